@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, sharding, tokens
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
+    "op4_token_counts": tokens.op4_token_counts,
     "op5_sharding": sharding.op5_sharding,
+    "op10_sentencepiece": tokens.op10_sentencepiece,
 }
 
 ORACLE: dict[str, str] = {}
