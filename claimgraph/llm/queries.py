@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, tokens
+from . import language, lm, media, mixing, sharding, tokens
 
 QUERIES = {
+    "op2_lm_scoring": lm.op2_lm_scoring,
     "op3_mixing": mixing.op3_mixing,
     "op4_token_counts": tokens.op4_token_counts,
     "op5_sharding": sharding.op5_sharding,
+    "op8_tiff": media.op8_tiff,
+    "op9_language": language.op9_language,
     "op10_sentencepiece": tokens.op10_sentencepiece,
 }
 
