@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language, lm, media, mixing, sharding, tokens
+from . import language, linedup, lm, media, mixing, sharding, tokens
 
 QUERIES = {
+    "op1_line_dedup": linedup.op1_line_dedup,
     "op2_lm_scoring": lm.op2_lm_scoring,
     "op3_mixing": mixing.op3_mixing,
     "op4_token_counts": tokens.op4_token_counts,
