@@ -65,6 +65,25 @@ def fresh_key(key: Column | str) -> Column:
     return F.xxhash64(key, F.lit(7))
 
 
+#: Bits of a membership filter; its broadcast has 2^17 rows at most, whatever it stands for.
+FILTER_BITS = 23
+
+
+def membership(members: DataFrame, key: Column) -> DataFrame:
+    """A bit filter over 64-bit keys: (word, bits), at most 2^17 rows, so it can be broadcast at any corpus size."""
+    at = F.pmod(key, F.lit(1 << FILTER_BITS))
+    one = F.expr("shiftleft(1L, cast(at_ & 63 as int))")
+    return members.select(at.alias("at_")).groupBy(F.shiftright("at_", 6).alias("word_")).agg(F.bit_or(one).alias("bits_"))
+
+
+def with_membership(df: DataFrame, key: Column, words: DataFrame, out: str) -> DataFrame:
+    """Adds ``out``: false where the key is surely no member (rows that needn't be shuffled to find that out)."""
+    at = F.pmod(key, F.lit(1 << FILTER_BITS))
+    marked = df.withColumn("at_", at).join(F.broadcast(words), F.shiftright("at_", 6) == F.col("word_"), "left")
+    hit = F.coalesce(F.expr("bit_get(bits_, cast(at_ & 63 as int)) = 1"), F.lit(False))
+    return marked.withColumn(out, hit).drop("at_", "word_", "bits_")
+
+
 def running_sums(df: DataFrame, groups: list[str], order: str, value: Column, out: str, sizes: DataFrame) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows before this one in its group, by ``order``.
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_key, staged
+from .common import fresh_key, membership, staged, with_membership
 from .words import mix64, text_bytes, word_hashes, word_spans
 
 LEAST_WORDS = 50
@@ -116,8 +116,12 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, counts: bool = True)
 
     ``counts`` adds n_lines (of the original text), removed_lines and removed (merged spans of line numbers).
     """
-    spans = repeated_runs(docs, least)
-    joined = docs.withColumn("key_", F.xxhash64("doc_id", "text")).join(spans, "key_", "left")
+    spans = staged(repeated_runs(docs, least), "line-spans")
+    # only texts that may change are shuffled to their spans; a bit filter tells them from the others
+    key = F.xxhash64("doc_id", "text")
+    marked = with_membership(docs.withColumn("key_", key), F.col("key_"), staged(membership(spans, F.col("key_")), "line-filter"), "hit_")
+    changed = marked.where("hit_").join(spans, "key_", "left")
+    joined = changed.unionByName(marked.where("not hit_").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
     cols = docs.columns
     extra = [T.StructField("n_lines", T.LongType()), T.StructField("removed_lines", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])))] if counts else []
     schema = T.StructType([*docs.schema.fields, *extra])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh_key, staged, unstage
+from .common import connected_components, fresh_key, membership, staged, unstage, with_membership
 from .words import mix64, shingles, text_bytes, word_hashes, word_spans
 
 STEP = 1000
@@ -219,7 +219,9 @@ def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percen
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(tokens.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), lists], ["whole", "tokens"])
 
-    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("text")
+    # texts stay where they are: a bit filter keeps those of the wanted documents and a few others
+    key = F.xxhash64("doc_id")
+    texts = with_membership(docs.select("doc_id", "text"), key, staged(membership(wanted, key), "near-wanted"), "hit_").where("hit_").select("text")
     full = staged(texts.mapInArrow(run, "whole long, tokens array<long>").where("size(tokens) > 0"), "near-sets")
     joined = close.join(full.select(F.col("whole").alias("a"), "tokens"), "a").join(full.select(F.col("whole").alias("b"), F.col("tokens").alias("tokens2")), "b")
     shared = F.size(F.array_intersect("tokens", "tokens2"))
