@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, linedup, lm, media, mixing, near, sharding, tokens
+from . import embed, language, linedup, lm, media, mixing, near, sharding, tokens
 
 QUERIES = {
     "op1_line_dedup": linedup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_counts": tokens.op4_token_counts,
     "op5_sharding": sharding.op5_sharding,
     "op6_ngram_jaccard": near.op6_ngram_jaccard,
+    "op7_embeddings": embed.op7_embeddings,
     "op8_tiff": media.op8_tiff,
     "op9_language": language.op9_language,
     "op10_sentencepiece": tokens.op10_sentencepiece,
