@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,14 +107,40 @@ def running_sums(df: DataFrame, groups: list[str], order: str, value: Column, ou
     return summed.join(offsets, [*groups, "range_"]).withColumn(out, F.col("inner_") + F.col("offset_")).drop("inner_", "offset_", "range_", "parts_", "value_")
 
 
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: Up to this many links are joined up in one task (16 MB); beyond, by rounds of star steps over all executors.
+FEW_LINKS = 1 << 20
+
+
+def _joined_up(batches):
+    """Union-find over all batches of (a, b): node and the smallest node of its component."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            p, q = root(a), root(b)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(list(map(root, nodes)), pa.int64())], ["node", "component"])
+
+
+def connected_components(links: DataFrame, most_rounds: int = 60, few: int = FEW_LINKS) -> DataFrame:
     """(a, b) long links -> (node, component): each linked node with the smallest node reachable from it.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014) over a staged edge table; rounds
-    grow with the logarithm of a component's size. Only one number per round comes to the driver.
+    Few links are joined up by one task. More take alternating large-star and small-star steps (Kiveris et
+    al., 2014) over a staged edge table: rounds grow with the logarithm of a component's size, and
+    only one number per round comes to the driver.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = staged(edges, "links")
+    if edges.count() <= few:
+        return edges.coalesce(1).mapInArrow(_joined_up, "node long, component long")
     last = None
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

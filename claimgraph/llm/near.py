@@ -11,8 +11,8 @@ size classes. Each entry knows the largest partner its place in the prefix still
 Candidates are compared exactly, but not all within a key: first each set with its key's leader (the
 set with the fewest rare tokens). What is linked becomes one component; keys whose sets are in one component
 are done, as are sets that are too large for every partner in the key. What is still apart is compared
-within the remaining keys, after some more leaders where a key is large. No key or candidate
-is capped. A parity sketch of 512 bits bounds the difference of two sets from below and drops hopeless
+within the remaining keys, on request after some more leaders where a key is large. No key or
+candidate is capped. A parity sketch of 512 bits bounds the difference of two sets from below and drops hopeless
 candidates without error before the sets are fetched.
 
 Cases: null texts and texts without words have an empty set, link with nothing and are their own
@@ -243,7 +243,7 @@ def _apart(entries: DataFrame, components: DataFrame, least: int) -> DataFrame:
     return out
 
 
-def link_sets(docs: DataFrame, sets: DataFrame, entries: DataFrame, size: int, percent: int, leaders: int = 2) -> DataFrame:
+def link_sets(docs: DataFrame, sets: DataFrame, entries: DataFrame, size: int, percent: int, leaders: int = 0) -> DataFrame:
     """Links (a, b) that connect every two sets connected by similar pairs."""
     pref = F.shiftleft(F.col("rare").cast("long"), 53).bitwiseOR(F.shiftrightunsigned("whole", 11))
     lead = [F.min_by(c, pref).alias(f"{c}2") for c in ("whole", "n", "most")]
