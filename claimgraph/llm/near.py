@@ -11,8 +11,7 @@ size classes. Each entry knows the largest partner its place in the prefix still
 Candidates are compared exactly, but not all within a key: first each set with its key's leader (the
 set with the fewest rare tokens). What is linked becomes one component; keys whose sets are in one component
 are done, as are sets that are too large for every partner in the key. What is still apart is compared
-within the remaining keys, on request after some more leaders where a key is large. No key or
-candidate is capped. A parity sketch of 512 bits bounds the difference of two sets from below and drops hopeless
+within the remaining keys. No key or candidate is capped. A parity sketch of 512 bits bounds the difference of two sets from below and drops hopeless
 candidates without error before the sets are fetched.
 
 Cases: null texts and texts without words have an empty set, link with nothing and are their own
@@ -36,8 +35,6 @@ from .words import mix64, shingles, text_bytes, word_hashes, word_spans
 STEP = 1000
 #: Tokens that recur this often belong to the frequent class; at most 2^18 tokens do.
 FREQUENT, FREQUENT_BITS = 32, 18
-#: Keys with up to this many sets compare all pairs that are still in different components.
-SMALL_KEY = 32
 _TOKEN = np.uint64((1 << 48) - 1)
 
 
@@ -96,7 +93,7 @@ def measure(docs: DataFrame, size: int) -> DataFrame:
                 marks = sketches(tokens, first)
                 marks = pa.ListArray.from_arrays(pa.array(np.arange(len(marks) + 1) * 8, pa.int32()), pa.array(marks.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(whole.view(np.int64)), marks, pa.nulls(len(whole), pa.int64())], names)
-                if rows > 6_000_000:  # bounded memory
+                if rows > 3_000_000:  # bounded memory
                     yield recurring()
                     held, rows = [], 0
         yield recurring()
@@ -230,49 +227,31 @@ def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percen
     return found
 
 
-def _apart(entries: DataFrame, components: DataFrame, least: int) -> DataFrame:
+def _apart(entries: DataFrame, components: DataFrame) -> DataFrame:
     """Entries of keys in which sets of different components could still link; drops sets too large for all others there."""
     known = components.select(fresh_key("node").alias("w_"), "component")
     rows = entries.withColumn("w_", fresh_key("whole")).join(known, "w_", "left").drop("w_")
     rows = staged(rows.withColumn("component", F.coalesce("component", "whole")), "near-rows")
     keys = rows.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("n").alias("smallest")).where("c1 <> c2")
     live = rows.withColumn("k_", fresh_key("key")).join(keys.select(fresh_key("key").alias("k_"), "smallest"), "k_").where("most >= smallest").drop("k_", "smallest")
-    keys = live.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("m")).where("c1 <> c2")
-    out = staged(live.withColumn("k_", fresh_key("key")).join(keys.select(fresh_key("key").alias("k_"), "m"), "k_").drop("k_"), "near-apart")
+    out = staged(live, "near-apart")
     unstage(rows)
     return out
 
 
-def link_sets(docs: DataFrame, sets: DataFrame, entries: DataFrame, size: int, percent: int, leaders: int = 0) -> DataFrame:
+def link_sets(docs: DataFrame, sets: DataFrame, entries: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) that connect every two sets connected by similar pairs."""
     pref = F.shiftleft(F.col("rare").cast("long"), 53).bitwiseOR(F.shiftrightunsigned("whole", 11))
-    lead = [F.min_by(c, pref).alias(f"{c}2") for c in ("whole", "n", "most")]
-    fits = "whole <> whole2 and n <= most2 and n2 <= most"
     pair = [F.least("whole", "whole2").alias("a"), F.greatest("whole", "whole2").alias("b")]
-
-    def with_leaders(rows: DataFrame, heads: DataFrame) -> DataFrame:
-        heads = heads.select(fresh_key("key").alias("k_"), "whole2", "n2", "most2")
-        return rows.withColumn("k_", fresh_key("key")).join(heads, "k_").where(fits).select(*pair).distinct()
-
-    heads = staged(entries.groupBy("key").agg(*lead, F.count("*").alias("m")).where("m > 1"), "near-heads")
-    links = verify(with_leaders(entries, heads), docs, sets, size, percent)
+    heads = entries.groupBy("key").agg(F.min_by("whole", pref).alias("whole2"), F.count("*").alias("m")).where("m > 1")
+    led = entries.withColumn("k_", fresh_key("key")).join(heads.select(fresh_key("key").alias("k_"), "whole2", "m"), "k_").drop("k_", "rare")
+    led = staged(led, "near-led")
+    links = verify(led.where("whole <> whole2").select(*pair).distinct(), docs, sets, size, percent)
     components = staged(connected_components(links), "near-components")
-    keys = heads.where("m > 2").select(fresh_key("key").alias("k_"))
-    rows = _apart(entries.withColumn("k_", fresh_key("key")).join(keys, "k_", "left_semi").drop("k_"), components, percent)
-    large = F.col("m") > SMALL_KEY
-    for turn in range(leaders):
-        if not rows.where(large).take(1):
-            break
-        # a leader of the smallest size class of components: a set that no leader has reached yet
-        by = F.xxhash64("whole", F.lit(turn))
-        alone = rows.where(large).where("component = whole")
-        heads = alone.groupBy("key").agg(*(F.min_by(c, by).alias(f"{c}2") for c in ("whole", "n", "most")))
-        more = verify(with_leaders(rows.where(large), heads), docs, sets, size, percent)
-        links = links.union(more)
-        components = staged(connected_components(links), "near-components")
-        rows = _apart(rows.drop("m", "component"), components, percent)
+    rows = _apart(led.where("m > 2").drop("whole2", "m"), components)
+    unstage(led)
     two = rows.select(fresh_key("key").alias("k_"), F.col("whole").alias("whole2"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("component").alias("component2"))
-    rest = rows.withColumn("k_", fresh_key("key")).join(two, "k_").where(f"whole < whole2 and component <> component2 and {fits}")
+    rest = rows.withColumn("k_", fresh_key("key")).join(two, "k_").where("whole < whole2 and component <> component2 and n <= most2 and n2 <= most")
     return links.union(verify(rest.select(*pair).distinct(), docs, sets, size, percent))
 
 
@@ -283,6 +262,7 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sets = staged(sets, "near-sets")
     entries = staged(index(docs, size, percent, frequent_tokens(measured)), "near-index")
     links = link_sets(docs, sets, entries, size, percent)
+    unstage(entries)
     components = staged(connected_components(links), "near-components")
     of = sets.select(fresh_key("whole").alias("k_"), "doc_id", "whole").join(components.select(fresh_key("node").alias("k_"), "component"), "k_", "left")
     of = staged(of.select("doc_id", "whole", F.coalesce("component", "whole").alias("component")), "near-of")
