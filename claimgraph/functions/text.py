@@ -100,3 +100,9 @@ def truncate(c: Column | str, n: int) -> Column:
 def sorted_join(c: Column | str) -> Column:
     """Array as one string of its sorted elements, for reports and comparisons."""
     return F.array_join(F.array_sort(col(c)), ",")
+
+
+def padded(n: Column | str, width: int = 3) -> Column:
+    """A number with leading zeros; longer numbers stay whole."""
+    text = col(n).cast("string")
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import padded
 from ..vocab import ACTIVATE, SUPPRESS
 from .iterate import cut
 
@@ -158,7 +159,7 @@ def build_loops(edges: DataFrame, cycles: DataFrame, rules: list[tuple[str, list
         category = F.when(F.arrays_overlap("path", F.array(*map(F.lit, members))), name).otherwise(category)
     out = cycles.join(per, "key").select("path", "length", F.round(F.col("backed") / F.col("hops"), 4).alias("completeness"), "supporting_pmids", F.size("supporting_pmids").alias("pmid_count"), category.alias("category"), "key")
     rank = F.row_number().over(Window.orderBy(F.desc("pmid_count"), F.desc("completeness"), "length", "key"))
-    return out.withColumn("loop_id", F.concat(F.lit("L"), F.lpad(rank.cast("string"), 3, "0"))).drop("key")
+    return out.withColumn("loop_id", F.concat(F.lit("L"), padded(rank))).drop("key")
 
 
 def motif_completeness(edges: DataFrame, motifs: DataFrame, graph_key: list[str] = []) -> DataFrame:

@@ -83,7 +83,7 @@ def extract_drug_pathways(pubs: DataFrame, targets: DataFrame, pathways: dict[st
     return rows.select("run_id", *PAPER, "drug", F.lit("indirectly_modulates").alias("predicate"), F.concat("target", F.lit(" pathway")).alias("object"), "target", F.lit("Pathway").alias("target_type"), F.lit(0.6).alias("confidence"), "source_sentence", T.claim_id(F.col("drug"), F.lit("indirectly_modulates"), F.col("target"), F.col("pmid"), prefix="drugclaim_").alias("claim_id"))
 
 
-def extract_gene_pathways(pubs: DataFrame, targets: DataFrame, pathways: dict[str, str] = PATHWAYS) -> DataFrame:
+def extract_gene_pathways(pubs: DataFrame, targets: DataFrame, pathways: dict[str, str] = PATHWAYS, cues: str = CAUSAL_CUES) -> DataFrame:
     """Gene and pathway in one sentence with a causal cue between them; sentences on the gene's inhibitors don't count."""
     rows = _dims(pubs, targets, "genes").select("run_id", *PAPER, "gene", F.explode(T.split_sentences("abstract")).alias("sentence"))
     word = F.concat(F.lit(r"(?i)\b\Q"), "gene", F.lit(r"\E\b"))
@@ -95,8 +95,8 @@ def extract_gene_pathways(pubs: DataFrame, targets: DataFrame, pathways: dict[st
     g, p = F.instr(F.col("sentence"), named), F.instr(F.col("sentence"), F.col("named"))
     low = F.least(g, p)
     high = F.greatest(g + F.length(named), p + F.length("named"))
-    rows = rows.withColumn("between", F.substr(F.col("sentence"), low, high - low)).where(F.col("between").rlike(f"(?i){CAUSAL_CUES}"))
-    cue = F.regexp_instr("between", F.lit(f"(?i){CAUSAL_CUES}"))
+    rows = rows.withColumn("between", F.substr(F.col("sentence"), low, high - low)).where(F.col("between").rlike(f"(?i){cues}"))
+    cue = F.regexp_instr("between", F.lit(f"(?i){cues}"))
     rows = rows.where(~F.substr(F.col("between"), F.lit(1), cue - 1).rlike(r"(?i)\binhibitor\w*\b"))
     negative = F.col("between").rlike(f"(?i){SUPPRESS_CUES}") & ~F.col("between").rlike(f"(?i){POSITIVE_CUES}")
     out = rows.select("run_id", *PAPER, F.col("gene").alias("source"), F.when(negative, "suppresses").otherwise("activates").alias("relation"), "target", F.trim("sentence").alias("source_sentence"), F.lit(0.6).alias("confidence"))

@@ -362,7 +362,7 @@ def drug_pathways(spark, d):
 @query("gene_pathways")
 def gene_pathways(spark, d):
     t = spark.createDataFrame([("r1", ["the", "of", "und"], [])], "run_id string, genes array<string>, drugs array<string>")
-    return X.extract_gene_pathways(V.publications(spark, d), t, {"W": "and|die", "V": "to"}).select("pmid", "source", "relation", "target")
+    return X.extract_gene_pathways(V.publications(spark, d), t, {"W": "and|die", "V": "to"}, "in|on|er").select("pmid", "source", "relation", "target")
 
 
 TYPED = EXTRACTED + f""", gated as (select c.*, array_to_string(list_filter([case when source_sentence is null then 'missing_source_sentence' end, case when source = 'ander' then 'unknown_node_type' end,

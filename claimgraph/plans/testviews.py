@@ -127,7 +127,7 @@ def run_events(spark: SparkSession, d: str) -> DataFrame:
         F.coalesce(F.try_element_at(kind, F.col("event_type")), F.lit("skill_loaded")).alias("event_type"),
         F.get_json_object("props", "$.k").alias("step_id"),
         F.round(F.col("value") * 100).cast("long").alias("tokens"),
-        F.col("ts").alias("created_at"),
+        F.col("ts").cast("timestamp").alias("created_at"),
     )
 
 
