@@ -33,8 +33,8 @@ from .common import connected_components, fresh_key, membership, staged, unstage
 from .words import mix64, shingles, text_bytes, word_hashes, word_spans
 
 STEP = 1000
-#: Tokens that recur this often belong to the frequent class; at most 2^18 tokens do.
-FREQUENT, FREQUENT_BITS = 32, 18
+#: Tokens of more sets than this belong to the frequent class; at most 2^20 tokens do, so it can be broadcast.
+FREQUENT, FREQUENT_BITS = 8, 20
 _TOKEN = np.uint64((1 << 48) - 1)
 
 
@@ -69,44 +69,67 @@ def sketches(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def measure(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of documents (doc_id, n, whole, sketch) and, with a null ``whole``, of tokens that recur in a partition (token, n)."""
+    """(doc_id, n, whole, sketch) of every document: tokens, hash and parity sketch of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "whole", "sketch", "token"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
-        held, seen, rows = [], set(), 0
-
-        def recurring() -> pa.RecordBatch:
-            tokens, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            tokens, n = tokens[n > 1], n[n > 1]
-            nothing = [pa.nulls(len(n), k) for k in kinds]
-            return pa.RecordBatch.from_arrays([nothing[0], pa.array(n.astype(np.int64)), nothing[2], nothing[3], pa.array(tokens.astype(np.int64))], names)
-
         for big in batches:
             for low in range(0, big.num_rows, STEP):
                 batch = big.slice(low, STEP)
                 tokens, first, whole = token_sets(batch.column(1), size)
-                fresh = [i for i, w in enumerate(whole.tolist()) if first[i + 1] > first[i] and w not in seen and not seen.add(w)]
-                for i in fresh:
-                    held.append(tokens[first[i] : first[i + 1]])
-                    rows += len(held[-1])
                 marks = sketches(tokens, first)
                 marks = pa.ListArray.from_arrays(pa.array(np.arange(len(marks) + 1) * 8, pa.int32()), pa.array(marks.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(whole.view(np.int64)), marks, pa.nulls(len(whole), pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(whole.view(np.int64)), marks], ["doc_id", "n", "whole", "sketch"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, whole long, sketch array<long>")
+
+
+def count_tokens(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(token, n): in how many sets a token lies in the prefix by hash, or recurs in a partition beyond it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        seen: set[int] = set()
+        rows = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            tokens, at, n = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True, return_counts=True)
+            inside = np.bincount(at, np.concatenate([h[1] for h in held]), len(tokens)) > 0
+            some = np.flatnonzero(inside | (n > 1))
+            for low in range(0, len(some), 100_000):
+                part = some[low : low + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[part].view(np.int64)), pa.array(n[part])], ["token", "n"])
+
+        for big in batches:
+            for low in range(0, big.num_rows, STEP):
+                tokens, first, whole = token_sets(big.column(0).slice(low, STEP), size)
+                fresh = np.array([first[i + 1] > first[i] and w not in seen and not seen.add(w) for i, w in enumerate(whole.tolist())], bool)
+                n = np.diff(first)
+                rank = np.arange(len(tokens)) - np.repeat(first[:-1], n)
+                inside = rank < np.repeat(n + percent * -n // 100 + 1, n)
+                mine = np.repeat(fresh, n)
+                held.append((tokens[mine], inside[mine]))
+                rows += int(mine.sum())
                 if rows > 3_000_000:  # bounded memory
-                    yield recurring()
+                    yield from counted()
                     held, rows = [], 0
-        yield recurring()
+        if held:
+            yield from counted()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, whole long, sketch array<long>, token long")
+    return docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def frequent_tokens(measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted tokens of the frequent class, and each one's place in its order (rarest first)."""
-    counts = measured.where("token is not null").groupBy("token").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") >= max(FREQUENT, total / (1 << FREQUENT_BITS))).toPandas()
-    tokens, n = rows["token"].to_numpy(np.uint64), rows["n"].to_numpy(np.int64)
+def frequent_tokens(docs: DataFrame, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted tokens of the frequent class, and each one's place in its order (rarest first).
+
+    A token of more than FREQUENT sets is frequent; where that would make the class larger than its bound, the
+    least doubling of FREQUENT that keeps to the bound is taken. Any class gives the same links.
+    """
+    counts = staged(count_tokens(docs, size, percent).where(F.col("n") > FREQUENT), "near-frequent")
+    sizes = counts.agg(*(F.count_if(F.col("n") > FREQUENT << k).alias(f"c{k}") for k in range(40))).first()
+    step = next(k for k in range(40) if sizes[k] <= 1 << FREQUENT_BITS)
+    rows = counts.where(F.col("n") > FREQUENT << step).toPandas()
+    unstage(counts)
+    tokens, n = rows["token"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
     place = np.empty(len(tokens), np.int64)
     place[np.lexsort((tokens, n))] = np.arange(len(tokens))
     order = np.argsort(tokens)
@@ -148,7 +171,8 @@ def index_entries(tokens: np.ndarray, first: np.ndarray, frequent: np.ndarray, p
         edge = np.ceil(WIDER ** other.astype(float) - 1e-6).astype(np.int64)  # the least size in the partner's class
         least = np.maximum(edge, -(percent * -n // 100))
         possible = (other >= 0) & (edge <= 100 * n // percent) & (WIDER ** (other + 1.0) >= percent * n / 100)
-        groups = np.maximum(1, np.floor(WIDER ** np.minimum(own, other).astype(float)).astype(np.int64) // 256)
+        smaller = np.floor(WIDER ** np.minimum(own, other).astype(float)).astype(np.int64)
+        groups = np.where(smaller < 256, 1, smaller // 48)  # more groups: fewer pairs, a longer prefix
         need = -(percent * -(n + least) // (100 + percent))
         prefix = np.where(possible, n - need + groups + 1, 0)
         some = np.flatnonzero(rank < prefix[row[order]])
@@ -258,9 +282,9 @@ def link_sets(docs: DataFrame, sets: DataFrame, entries: DataFrame, size: int, p
 def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id connected by similar pairs) and whole (the set's hash)."""
     measured = staged(measure(docs, size), "near-measured")
-    sets = measured.where("whole is not null and n > 0").groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sets = measured.where("n > 0").groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sets = staged(sets, "near-sets")
-    entries = staged(index(docs, size, percent, frequent_tokens(measured)), "near-index")
+    entries = staged(index(docs, size, percent, frequent_tokens(docs, size, percent)), "near-index")
     links = link_sets(docs, sets, entries, size, percent)
     unstage(entries)
     components = staged(connected_components(links), "near-components")
@@ -268,7 +292,7 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     of = staged(of.select("doc_id", "whole", F.coalesce("component", "whole").alias("component")), "near-of")
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = of.withColumn("k_", fresh_key("component")).join(least.select(fresh_key("component").alias("k_"), "component_id"), "k_")
-    rows = measured.where("whole is not null").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("whole")).alias("whole"))
+    rows = measured.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("whole")).alias("whole"))
     out = rows.withColumn("k_", F.coalesce(fresh_key("whole"), F.xxhash64("doc_id")))
     out = out.join(of.select(fresh_key("whole").alias("k_"), "component_id"), "k_", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "whole")
