@@ -114,15 +114,19 @@ def repeated_runs(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, counts: bool = True) -> DataFrame:
     """``docs`` with the later repeated runs taken out of ``text``; n_chars, if there, follows.
 
-    ``counts`` adds n_lines (of the original text), removed_lines and removed (merged spans of line numbers).
+    ``counts`` adds n_lines (of the original text), removed_lines and removed (merged spans of line numbers);
+    columns of these names are replaced.
     """
+    if counts:
+        docs = docs.drop("n_lines", "removed_lines", "removed")
+    cols = docs.columns
     spans = staged(repeated_runs(docs, least), "line-spans")
-    # only texts that may change are shuffled to their spans; a bit filter tells them from the others
-    key = F.xxhash64("doc_id", "text")
-    marked = with_membership(docs.withColumn("key_", key), F.col("key_"), staged(membership(spans, F.col("key_")), "line-filter"), "hit_")
+    # the document travels as one struct, so that its own column names can't clash; only texts that may
+    # change are shuffled to their spans: a bit filter tells them from the others
+    packed = docs.select(F.struct(*cols).alias("doc"), F.xxhash64("doc_id", "text").alias("key_"))
+    marked = with_membership(packed, F.col("key_"), staged(membership(spans, F.col("key_")), "line-filter"), "hit_")
     changed = marked.where("hit_").join(spans, "key_", "left")
     joined = changed.unionByName(marked.where("not hit_").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
-    cols = docs.columns
     extra = [T.StructField("n_lines", T.LongType()), T.StructField("removed_lines", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])))] if counts else []
     schema = T.StructType([*docs.schema.fields, *extra])
     text_at, chars_at = cols.index("text"), cols.index("n_chars") if "n_chars" in cols else None
@@ -163,7 +167,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, counts: bool = True)
                     names += ["n_lines", "removed_lines", "removed"]
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return joined.select(*cols, "spans").mapInArrow(run, schema)
+    return joined.select(*(F.col("doc")[c].alias(c) for c in cols), F.col("spans").alias("claimgraph_spans")).mapInArrow(run, schema)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

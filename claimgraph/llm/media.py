@@ -292,8 +292,12 @@ PAGE_SCHEMA = "page int, width int, height int, channels int, compression int, t
 
 
 def tiff_pages(files: DataFrame, column: str = "media") -> DataFrame:
-    """One row per page of each file, in order, behind the row's other columns; ``samples`` has the decoded bytes."""
-    keep = [c for c in files.columns if c != column]
+    """One row per page of each file, in order, behind the row's other columns; ``samples`` has the decoded bytes.
+
+    Columns of the pages' own names are replaced.
+    """
+    own_names = [f.split()[0] for f in PAGE_SCHEMA.split(", ")]
+    keep = [c for c in files.columns if c != column and c not in own_names]
     at = files.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,9 +315,9 @@ def tiff_pages(files: DataFrame, column: str = "media") -> DataFrame:
                 kinds = [pa.int32()] * 5 + [pa.bool_(), pa.int32(), pa.binary(), pa.string()]
                 columns = [pa.array(v, t) for v, t in zip(zip(*pages), kinds)] if pages else [pa.array([], t) for t in kinds]
                 taken = batch.select(keep).take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*taken.columns, *columns], [*keep, *(f.split()[0] for f in PAGE_SCHEMA.split(", "))])
+                yield pa.RecordBatch.from_arrays([*taken.columns, *columns], [*keep, *own_names])
 
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields if f.name != column)
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields if f.name in keep)
     return files.mapInArrow(run, f"{own}, {PAGE_SCHEMA}")
 
 

@@ -150,8 +150,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Rows of a shard lie in its shuffled local order.
     """
     draws = mix(docs, **options).where("size > 0 and 2 * words >= size").select("key_", "shard", "local_order")
-    own = docs.withColumn("key_", F.xxhash64("doc_id", "text", "source")).dropDuplicates(["key_"])
-    return own.join(draws, "key_").sortWithinPartitions("shard", "local_order").select(*docs.columns)
+    cols = docs.columns
+    own = docs.select(F.struct(*cols).alias("doc"), F.xxhash64("doc_id", "text", "source").alias("key_")).dropDuplicates(["key_"])
+    return own.join(draws, "key_").sortWithinPartitions("shard", "local_order").select(*(F.col("doc")[c].alias(c) for c in cols))
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
