@@ -13,8 +13,8 @@ components, a spanning forest of its links.
 
 Cases: null vectors, vectors of zero, with null or non-finite components, or of another length than
 most, link with nothing and are their own component; equal vectors are one vector with copies, linked
-with each other; ties in a list go by vec_id; repeated rows are vectors of their own; null vec_ids sort
-first; an empty table gives no rows; other columns are ignored.
+with each other; ties in a list don't matter; repeated rows are vectors of their own; null vec_ids count
+only in classes without any other; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

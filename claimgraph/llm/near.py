@@ -16,7 +16,7 @@ candidates without error before the sets are fetched.
 
 Cases: null texts and texts without words have an empty set, link with nothing and are their own
 component; texts with fewer words than a shingle have their whole sequence as one; repeated rows fall into one
-component; null doc_ids sort first in a component; ties of the token order go by hash; an empty table
+component; null doc_ids count only in classes without any other; ties of the token order go by hash; an empty table
 gives no rows; other columns are ignored. Sets are told apart by 64-bit hashes, tokens by 48 bits.
 """
 
@@ -267,8 +267,10 @@ def link_sets(docs: DataFrame, sets: DataFrame, entries: DataFrame, size: int, p
     """Links (a, b) that connect every two sets connected by similar pairs."""
     pref = F.shiftleft(F.col("rare").cast("long"), 53).bitwiseOR(F.shiftrightunsigned("whole", 11))
     pair = [F.least("whole", "whole2").alias("a"), F.greatest("whole", "whole2").alias("b")]
-    heads = entries.groupBy("key").agg(F.min_by("whole", pref).alias("whole2"), F.count("*").alias("m")).where("m > 1")
-    led = entries.withColumn("k_", fresh_key("key")).join(heads.select(fresh_key("key").alias("k_"), "whole2", "m"), "k_").drop("k_", "rare")
+    heads = entries.groupBy("key").agg(F.min_by("whole", pref).alias("whole2"), F.count("*").alias("m"), F.min("n").alias("smallest"), F.max("n").alias("largest")).where("m > 1")
+    led = entries.withColumn("k_", fresh_key("key")).join(heads.select(fresh_key("key").alias("k_"), "whole2", "m", "smallest", "largest"), "k_")
+    # what no partner of the key can fit is left out: all are too large for the place of the key, or too small for the set
+    led = led.where(f"most >= smallest and 100 * largest >= {percent} * n").drop("k_", "rare", "smallest", "largest")
     led = staged(led, "near-led")
     links = verify(led.where("whole <> whole2").select(*pair).distinct(), docs, sets, size, percent)
     components = staged(connected_components(links), "near-components")
