@@ -85,8 +85,8 @@ def document_windows(docs: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch_ in batches:
-            for at in range(0, batch_.num_rows, 2000):
-                batch = batch_.slice(at, 2000)
+            for at in range(0, batch_.num_rows, 500):
+                batch = batch_.slice(at, 500)
                 texts, number, hashes, words = line_hashes(batch.column(1))
                 if not len(texts):
                     continue

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Longest pre-token remembered, and how many are remembered by a task's worker.
-REMEMBER_CHARS, REMEMBER = 48, 900_000
+REMEMBER_CHARS, REMEMBER = 48, 600_000
 
 
 class Pieces:
@@ -135,7 +135,7 @@ class Pieces:
                             break
                         ok = pairs.get(before << 20 | k)
                         if ok is None:
-                            if len(pairs) > 4_000_000:
+                            if len(pairs) > 1_000_000:
                                 pairs.clear()
                             ok = pairs[before << 20 | k] = self._pair_ok(before, k)
                         if ok:
