@@ -272,6 +272,7 @@ def link_sets(docs: DataFrame, sets: DataFrame, entries: DataFrame, size: int, p
     # what no partner of the key can fit is left out: all are too large for the place of the key, or too small for the set
     led = led.where(f"most >= smallest and 100 * largest >= {percent} * n").drop("k_", "rare", "smallest", "largest")
     led = staged(led, "near-led")
+    unstage(entries)
     links = verify(led.where("whole <> whole2").select(*pair).distinct(), docs, sets, size, percent)
     components = staged(connected_components(links), "near-components")
     rows = _apart(led.where("m > 2").drop("whole2", "m"), components)
@@ -288,7 +289,6 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sets = staged(sets, "near-sets")
     entries = staged(index(docs, size, percent, frequent_tokens(docs, size, percent)), "near-index")
     links = link_sets(docs, sets, entries, size, percent)
-    unstage(entries)
     components = staged(connected_components(links), "near-components")
     of = sets.select(fresh_key("whole").alias("k_"), "doc_id", "whole").join(components.select(fresh_key("node").alias("k_"), "component"), "k_", "left")
     of = staged(of.select("doc_id", "whole", F.coalesce("component", "whole").alias("component")), "near-of")
