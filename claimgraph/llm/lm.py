@@ -5,11 +5,11 @@ and clean, and a background model over all documents. They are matched: one voca
 smoothing. A document's score is the mean over its words of target loss minus background loss; low scores
 look like the target.
 
-The shared vocabulary holds every word with at least 1.5 / 2^16 of all words; rarer words are one unknown word.
-Bigrams are kept from 1 / 2^20 of the words of either corpus on; the others' mass goes to the
-unigrams (absolute discounting). So both broadcast tables have a proven bound (2^17 words, 2^21
-bigrams) at any corpus size, while all counts come from all words. Each document's own words are taken
-out of the counts before it is scored, so that no document vouches for itself.
+The vocabulary holds every word of the corpus and the models every bigram: nothing is cut off by count or by
+share, so the counts don't depend on the size of the corpus or on its partitions. Unigrams take what absolute
+discounting leaves of the bigrams. The models stay in the cluster: each document's distinct bigrams are
+joined to them, losses are summed by document. Each document's own words are taken out of the counts before
+it is scored, so that no document vouches for itself.
 
 Cases: null or empty texts and texts without words have 0 words and a null score; without labelled
 documents all scores are 0 (the target model falls back to the background); labels of unknown or null
@@ -23,15 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, unstage
-from .words import text_bytes, word_hashes, word_spans
+from .common import fresh_key, staged, unstage
+from .words import mix64, text_bytes, word_hashes, word_spans
 
-VOCABULARY_BITS, BIGRAM_BITS = 16, 20
 DISCOUNT, ADD = 0.75, 0.5
 STEP = 500
+#: Stands before the first word of a text.
+START = np.uint64(0x5851F42D4C957F2D)
 
 
 def target_ids(labels: DataFrame) -> DataFrame:
@@ -46,85 +47,72 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(values, starts, ends), first
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Sorted hashes of the shared vocabulary's words, and the number of all words.
+def _pair_hashes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix64(mix64(before) * np.uint64(0xD6E8FEB86659FD93) + word)
 
-    Each partition reports the words that make up 1 / 2^16 of its own words (at most 2^16 of them). What a
-    word has elsewhere is below 1 / 2^16 of all words, so every word with 1.5 / 2^16 is reported with
-    2^-17 of all words at least: those words are the vocabulary, at most 2^17.
-    """
 
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        for whole in batches:
-            for low in range(0, whole.num_rows, STEP * 4):
-                words, n = np.unique(_words(whole.column(0).slice(low, STEP * 4))[0], return_counts=True)
-                total += int(n.sum())
-                both = np.concatenate([seen, words])
-                seen, at = np.unique(both, return_inverse=True)
-                counts = np.bincount(at, np.concatenate([counts, n]), len(seen)).astype(np.int64)
-        large = counts >= total / (1 << VOCABULARY_BITS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen[large].view(np.int64), 0)), pa.array(np.append(counts[large], 0)), pa.array(np.append(np.zeros(large.sum(), np.int64), total))], ["word", "n", "total"])
-
-    reported = docs.select("text").mapInArrow(report, "word long, n long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    reported = staged(reported, "lm-words")
-    total = reported.agg(F.sum("total")).first()[0] or 0
-    rows = reported.where(F.col("n") >= total / (1 << (VOCABULARY_BITS + 1))).where("n > 0").select("word").toPandas()
-    return np.sort(rows["word"].to_numpy(np.int64).view(np.uint64)), int(total)
-
-
-def _ids(column: pa.Array, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids (1 up; 0: unknown), the word before each (len + 1 stands before a text), first word of each text."""
+def _document_pairs(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Each text's distinct bigrams: text, hash of the word before, hash of the word, and how often the text has the
+    bigram, the word, and the word before as such; last, the number of words of each text."""
     hashes, first = _words(column)
-    at = np.searchsorted(vocab, hashes)
-    known = at < len(vocab)
-    known[known] = vocab[at[known]] == hashes[known]
-    ids = np.where(known, at + 1, 0).astype(np.int64)
+    n = np.diff(first)
+    row = np.repeat(np.arange(len(n)), n)
+    words, ids = np.unique(hashes, return_inverse=True)
+    ids = ids.astype(np.int64) + 1
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
-    before[first[:-1][np.diff(first) > 0]] = len(vocab) + 1
-    return ids, before, first
+    before[first[:-1][n > 0]] = 0
+    wide = len(words) + 1
+
+    def repeats(keys: np.ndarray) -> np.ndarray:
+        _, at, times = np.unique(keys, return_inverse=True, return_counts=True)
+        return times[at]
+
+    _, index, own = np.unique((row * wide + before) * wide + ids, return_index=True, return_counts=True)
+    table = np.concatenate([np.array([START]), words])
+    return row[index], table[before[index]], table[ids[index]], own, repeats(row * wide + ids)[index], repeats(row * wide + before)[index], n
+
 
+def marked_documents(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """doc_id, text, is_target, staged. The labels grow with the documents: joined by a merge at every size, never broadcast."""
+    marked = docs.select("doc_id", "text").join(targets.withColumn("is_target", F.lit(True)).hint("merge"), "doc_id", "left")
+    return staged(marked.withColumn("is_target", F.coalesce("is_target", F.lit(False))), "lm-documents")
 
-def count_bigrams(docs: DataFrame, targets: DataFrame, vocab: np.ndarray) -> DataFrame:
-    """(pair, n_all, n_target): occurrences of each pair of word ids, packed as before << 32 | word."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    # the labels grow with the documents: joined by a merge at every size, never broadcast
-    marked = docs.select("doc_id", "text").join(targets.withColumn("is_target_", F.lit(True)).hint("merge"), "doc_id", "left").select("text", F.coalesce("is_target_", F.lit(False)).alias("is_target_"))
+
+def count_bigrams(marked: DataFrame) -> DataFrame:
+    """(pair, before, word, n_all, n_target): occurrences of every bigram, summed in each task and then over all."""
+    names = ["pair", "before", "word", "n_all", "n_target"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         rows = 0
 
-        def summed() -> tuple:
-            keys = np.concatenate([h[0] for h in held])
-            pairs, at = np.unique(keys, return_inverse=True)
-            return pairs, *(np.bincount(at, np.concatenate([h[k] for h in held]), len(pairs)).astype(np.int64) for k in (1, 2))
+        def summed() -> Iterator[pa.RecordBatch]:
+            before, word, n_all, n_target = (np.concatenate([h[k] for h in held]) for k in range(4))
+            pairs, index, at = np.unique(_pair_hashes(before, word), return_index=True, return_inverse=True)
+            out = [pairs.view(np.int64), before[index].view(np.int64), word[index].view(np.int64), *(np.bincount(at, x, len(pairs)).astype(np.int64) for x in (n_all, n_target))]
+            for k in range(0, len(pairs), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in out], names)
 
         for whole in batches:
-            for low in range(0, whole.num_rows, STEP * 4):
-                batch = whole.slice(low, STEP * 4)
-                ids, before, first = _ids(batch.column(0), shared.value)
-                good = np.repeat(np.array(batch.column(1).to_pylist(), bool), np.diff(first))
-                pairs, at = np.unique(before << 32 | ids, return_inverse=True)
-                held.append((pairs, np.bincount(at, minlength=len(pairs)), np.bincount(at, good, len(pairs))))
-                rows += len(pairs)
-                if rows > 4_000_000:  # bounded memory: what has been counted goes out
-                    out = summed()
-                    for k in range(0, len(out[0]), 100_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in out], ["pair", "n_all", "n_target"])
+            for low in range(0, whole.num_rows, STEP):
+                batch = whole.slice(low, STEP)
+                row, before, word, own, _, _, _ = _document_pairs(batch.column(0))
+                good = np.array(batch.column(1).to_pylist(), bool)
+                held.append((before, word, own, own * good[row]))
+                rows += len(own)
+                if rows > 3_000_000:  # bounded memory: what has been counted goes out
+                    yield from summed()
                     held, rows = [], 0
         if held:
-            out = summed()
-            for k in range(0, len(out[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in out], ["pair", "n_all", "n_target"])
+            yield from summed()
 
-    counted = marked.mapInArrow(count, "pair long, n_all long, n_target long")
-    return counted.groupBy("pair").agg(F.sum("n_all").alias("n_all"), F.sum("n_target").alias("n_target"))
+    counted = marked.select("text", "is_target").mapInArrow(count, "pair long, before long, word long, n_all long, n_target long")
+    return counted.groupBy("pair").agg(F.min("before").alias("before"), F.min("word").alias("word"), F.sum("n_all").alias("n_all"), F.sum("n_target").alias("n_target"))
 
 
 class Models:
-    """Both models over one vocabulary: unigram counts, kept bigrams and the mass that each word passes on."""
+    """Both models in one process's memory, for small tables: what ``losses`` below does by joins."""
 
     def __init__(self, vocab: np.ndarray, words: np.ndarray, contexts: np.ndarray, pairs: np.ndarray, counts: np.ndarray):
         """words, contexts: (2, V + 2) counts as a word and as a word before; counts: (2, pairs). Row 0 is the background."""
@@ -165,46 +153,80 @@ class Models:
         return out
 
 
-def train(docs: DataFrame, targets: DataFrame) -> Models:
-    """Both models; the driver gets at most 2^17 words and 2^21 bigrams."""
-    vocab, _ = vocabulary(docs)
-    wide = len(vocab) + 2
-    pairs = staged(count_bigrams(docs, targets, vocab), "lm-pairs")
-    totals = pairs.agg(F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
-    words, contexts = np.zeros((2, wide), np.int64), np.zeros((2, wide), np.int64)
-    for side, table in ((F.col("pair").bitwiseAND((1 << 32) - 1), words), (F.shiftright("pair", 32), contexts)):
-        got = pairs.groupBy(side.alias("id")).agg(F.sum("n_all").alias("a"), F.sum("n_target").alias("t")).toPandas()
-        table[0, got["id"]], table[1, got["id"]] = got["a"], got["t"]
-    least = [max(1.0, t / (1 << BIGRAM_BITS)) for t in totals]
-    kept = pairs.where((F.col("n_all") >= least[0]) | (F.col("n_target") >= least[1])).toPandas().sort_values("pair")
-    unstage(pairs)
-    return Models(vocab, words, contexts, kept["pair"].to_numpy(np.int64), kept[["n_all", "n_target"]].to_numpy(np.int64).T)
+def train(pairs: DataFrame) -> tuple[DataFrame, int, tuple[int, int]]:
+    """The models, a row for each bigram (pair; for model m: n, its count; w, of the word; c, of the word before as such;
+    p, the mass that the word before passes on), the number of distinct words and the words counted in each model."""
+    sums = [F.sum(f"n_{x}").alias(f"{k}{m}") for k in "wc" for m, x in enumerate(("all", "target"))]
+    kept = [F.sum(F.greatest(F.col(f"n_{x}") - DISCOUNT, F.lit(0.0))).alias(f"k{m}") for m, x in enumerate(("all", "target"))]
+    words = staged(pairs.groupBy("word").agg(*sums[:2]), "lm-words")
+    contexts = pairs.groupBy("before").agg(*sums[2:], *kept)
+    passed = [(1 - F.col(f"k{m}") / F.greatest(F.col(f"c{m}"), F.lit(1))).alias(f"p{m}") for m in (0, 1)]
+    contexts = staged(contexts.select("before", "c0", "c1", *passed), "lm-contexts")
+    n_words, *total = words.agg(F.count("*"), F.coalesce(F.sum("w0"), F.lit(0)), F.coalesce(F.sum("w1"), F.lit(0))).first()
+    model = pairs.withColumn("w_", fresh_key("word")).join(words.select(fresh_key("word").alias("w_"), "w0", "w1"), "w_")
+    model = model.withColumn("b_", fresh_key("before")).join(contexts.select(fresh_key("before").alias("b_"), "c0", "c1", "p0", "p1"), "b_")
+    model = model.select("pair", F.col("n_all").alias("n0"), F.col("n_target").alias("n1"), "w0", "w1", "c0", "c1", "p0", "p1")
+    return model, n_words, tuple(total)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, n_words, loss_target, loss_background, score (their difference), is_target."""
-    targets = target_ids(labels)
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, targets))
+def document_pairs(marked: DataFrame) -> DataFrame:
+    """A row for each distinct bigram of a document, one without counts for a document without words; ``copies`` is 1 in
+    a document's first row. Rows alike in doc_id and text share their key_."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
         for whole in batches:
             for low in range(0, whole.num_rows, STEP):
                 batch = whole.slice(low, STEP)
-                ids, before, first = _ids(batch.column(1), models.vocab)
-                n = np.diff(first)
-                row = np.repeat(np.arange(len(n)), n)
-                sums = []
-                for own in ((True, False), (True, True)):
-                    for loss in models.losses(ids, before, row, n, own):
-                        sums.append(np.bincount(row, loss, len(n)))
-                mean = [pa.array(s / np.maximum(n, 1), mask=n == 0) for s in (sums[0], sums[1], sums[3])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *mean], ["doc_id", "n_words", "loss_background", "as_other_", "as_target_"])
-
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, loss_background double, as_other_ double, as_target_ double")
-    scored = scored.join(targets.withColumn("is_target", F.lit(True)).hint("merge"), "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
-    scored = scored.withColumn("loss_target", F.when(F.col("is_target"), F.col("as_target_")).otherwise(F.col("as_other_")))
-    return scored.select("doc_id", "n_words", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"), "is_target")
+                row, before, word, own, own_word, own_before, n = _document_pairs(batch.column(1))
+                none = np.flatnonzero(n == 0)
+                zeros = np.zeros(len(none), np.int64)
+                keys = batch.column(3).to_numpy(zero_copy_only=False)
+                pair = np.concatenate([_pair_hashes(before, word).view(np.int64), keys[none]])
+                row = np.concatenate([row, none])
+                copies = np.zeros(len(row), np.int64)
+                copies[np.unique(row, return_index=True)[1]] = 1
+                at = pa.array(row)
+                counts = [np.concatenate([x, zeros]) for x in (own, own_word, own_before)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(3).take(at), batch.column(0).take(at), batch.column(2).take(at), pa.array(pair), *(pa.array(x, pa.int64()) for x in (*counts, n[row], copies))],
+                    ["key_", "doc_id", "is_target", "pair", "own", "own_word", "own_before", "n", "copies"],
+                )
+
+    keyed = marked.select("doc_id", "text", "is_target", F.xxhash64("doc_id", "text").alias("key_"))
+    return keyed.mapInArrow(run, "key_ long, doc_id long, is_target boolean, pair long, own long, own_word long, own_before long, n long, copies long")
+
+
+def losses(n_words: int, total: tuple[int, int]) -> list[Column]:
+    """Loss of a bigram's word under both models, the document's own counts taken out where they are in the model."""
+    wide = n_words + 2  # as in Models: the start of a text, and a word not seen
+    out = []
+    for m in (0, 1):
+        k = m if total[1] else 0  # no target text: both models are the background
+        taken = F.lit(True) if k == 0 else F.col("is_target")
+        own, own_word, own_before, own_all = (F.when(taken, F.col(c)).otherwise(0) for c in ("own", "own_word", "own_before", "n"))
+        one = (F.greatest(F.col(f"w{k}") - own_word, F.lit(0)) + ADD) / (F.greatest(F.lit(total[k]) - own_all, F.lit(0)) + ADD * wide)
+        contexts = F.col(f"c{k}") - own_before
+        two = F.greatest(F.col(f"n{k}") - own - DISCOUNT, F.lit(0.0)) / F.greatest(contexts, F.lit(1))
+        passed = F.when(contexts > 0, F.col(f"p{k}")).otherwise(1.0)
+        out.append(-F.log(F.least(two, F.lit(1 - 1e-9)) + F.greatest(passed, F.lit(1e-3)) * one))
+    return out
+
+
+def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_words, loss_target, loss_background, score (their difference), is_target."""
+    marked = marked_documents(docs, target_ids(labels))
+    pairs = staged(count_bigrams(marked), "lm-pairs")
+    model, n_words, total = train(pairs)
+    rows = document_pairs(marked).withColumn("k_", fresh_key("pair")).drop("pair")
+    rows = rows.join(model.withColumn("k_", fresh_key("pair")).drop("pair"), "k_", "left")
+    background, target = (F.coalesce(F.sum(F.col("own") * loss), F.lit(0.0)) for loss in losses(n_words, total))
+    sums = rows.groupBy("key_", "doc_id", "is_target").agg(F.sum("own").alias("own"), F.sum("copies").alias("copies"), background.alias("background"), target.alias("target"))
+    sums = staged(sums, "lm-sums")  # the tables that it came from can go
+    unstage(marked, pairs)
+    each = sums.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))  # as many rows as came in
+    mean = [F.when(F.col("own") > 0, F.col(c) / F.col("own")).alias(f"loss_{c}") for c in ("target", "background")]
+    out = each.select("doc_id", (F.col("own") / F.col("copies")).cast("long").alias("n_words"), *mean, "is_target")
+    return out.select("doc_id", "n_words", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"), "is_target")
 
 
 def op2_lm_scoring(spark, sf_dir: str) -> DataFrame:

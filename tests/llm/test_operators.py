@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -146,6 +147,49 @@ def test_lm_scoring(spark, docs, odd):
     assert lm.score_documents(odd.limit(0), labels).count() == 0
 
 
+def brute_scores(rows, targets):
+    texts = [[low(x) for x in WORD.findall(t or "")] for _, t in rows]
+    bigrams = [list(zip([None, *w], w)) for w in texts]
+    good = [d in targets for d, _ in rows]
+    models = []
+    for m in (0, 1):
+        n = Counter(x for b, g in zip(bigrams, good) if g or not m for x in b)
+        words_, contexts, kept = Counter(), Counter(), Counter()
+        for (b, w), c in n.items():
+            words_[w] += c
+            contexts[b] += c
+            kept[b] += max(c - lm.DISCOUNT, 0)
+        models.append((n, words_, contexts, kept, sum(n.values())))
+    wide = len(models[0][1]) + 2
+    out = []
+    for b, g in zip(bigrams, good):
+        pair, word, before, loss = Counter(b), Counter(w for _, w in b), Counter(x for x, _ in b), [0.0, 0.0]
+        for m, (n, words_, contexts, kept, total) in enumerate(models):
+            own = g or not m
+            for x, w in b:
+                one = (words_[w] - own * word[w] + lm.ADD) / (total - own * len(b) + lm.ADD * wide)
+                c = contexts[x] - own * before[x]
+                two = max(n[x, w] - own * pair[x, w] - lm.DISCOUNT, 0) / max(c, 1)
+                passed = 1 - kept[x] / max(contexts[x], 1) if c > 0 else 1
+                loss[m] -= np.log(min(two, 1 - 1e-9) + max(passed, 1e-3) * one)
+        out.append((len(b), *(x / len(b) if b else None for x in loss)))
+    return out
+
+
+def test_lm_counts_all_words(spark):
+    """Words and bigrams that are a tiny share of a large table count as they do in a small one; rows alike stay rows."""
+    rng = random.Random(22)
+    rows = [(d, " ".join(rng.choice(["rare", "seldom", "scarce", "few"]) for _ in range(rng.randrange(9)))) for d in range(40)]
+    rows += [(40, " ".join(f"w{rng.randrange(30_000)}" for _ in range(400_000))), (41, None), (3, rows[3][1]), (None, "rare few")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 40, 2)], "doc_id long, quality int, toxic int")
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_words, r.loss_background, r.loss_target) for r in lm.score_documents(d, labels).collect()), key=str)
+    want = sorted(((k is None, k or 0, *x) for (k, _), x in zip(rows, brute_scores(rows, set(range(0, 40, 2))))), key=str)
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    for a, b in zip(got, want):
+        assert (a[3] is None) == (b[3] is None) and (a[3] is None or a[3:] == pytest.approx(b[3:], rel=1e-9))
+
+
 def test_lm_losses_against_plain_counts():
     ids = np.array([1, 2, 1, 2, 0])
     before = np.array([3, 1, 2, 1, 2])
