@@ -10,6 +10,9 @@ overlap along a repeated run, so forward and backward windows together extend ea
 A line is removed if it lies in a run of ``least_words`` or more words that also stands earlier: in a document
 with a smaller (doc_id, text hash), or further up in the same document without overlap.
 
+That is ``dedup_lines``. The query and the pipeline use ``dedup_passages``, which does the same by words: windows of
+``least_words`` words from every word on, so a repeat may start and end inside a line, and only its words go.
+
 Cases: a null text stays null; blank lines inside a removed run go with it; a null doc_id sorts first;
 rows alike in doc_id and text count as one document and are changed alike; ties of hashes don't
 matter; an empty table gives no rows; all other columns pass through.
@@ -17,6 +20,7 @@ matter; an empty table gives no rows; all other columns pass through.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_key, membership, staged, with_membership
+from .common import WORD, fresh_key, membership, staged, unstage, with_membership
 from .words import mix64, text_bytes, word_hashes, word_spans
 
 LEAST_WORDS = 50
@@ -170,5 +174,171 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, counts: bool = True)
     return joined.select(*(F.col("doc")[c].alias(c) for c in cols), F.col("spans").alias("claimgraph_spans")).mapInArrow(run, schema)
 
 
+def word_windows(hashes: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of ``least`` words: first word (index), text, fingerprint, hash of all words; and the fingerprints'
+    texts that have them at two places, as (text, fingerprint) rows of a (2, n) array.
+
+    A fingerprint is the least hash of the window's shingles of half its words, so a few windows in a row share it.
+    """
+    n, short = len(hashes), max(1, least // 2)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    start = np.flatnonzero(np.arange(n) + least <= first[1:][row]) if n else np.zeros(0, np.int64)
+    if not len(start):
+        none = np.zeros(0, np.uint64)
+        return start, start, none, none, np.zeros((2, 0), np.uint64)
+    powers, inverse = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
+    powers[1:], inverse[1:] = _R, _R_INVERSE
+    powers, inverse = np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers[:n], dtype=np.uint64)])
+    small = mix64((sums[short:] - sums[:-short]) * inverse[: n - short + 1])
+    mark, width = small, 1
+    while width < least - short + 1:
+        step = min(width, least - short + 1 - width)
+        mark = np.minimum(mark[:-step], mark[step:])
+        width += step
+    mark = mark[start]
+    inside = np.arange(len(small)) + short <= first[1:][row[: len(small)]]
+    at, value = row[: len(small)][inside], small[inside]
+    order = np.lexsort((value, at))
+    at, value = at[order], value[order]
+    again = np.flatnonzero((at[1:] == at[:-1]) & (value[1:] == value[:-1]))
+    whole = mix64((sums[start + least] - sums[start]) * inverse[start])
+    return start, row[start], mark, whole, np.stack([at[again].astype(np.uint64), value[again]])
+
+
+def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """(key_, firsts): first words of the windows of ``least`` words to remove, keyed by xxhash64(doc_id, text).
+
+    Fingerprints that only one place has are dropped before any window is written.
+    """
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key_"))
+
+    def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        values, offsets = text_bytes(column)
+        at, end, first = word_spans(values, offsets)
+        return word_hashes(values, at, end), first
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for low in range(0, big.num_rows, 500):
+                batch = big.slice(low, 500)
+                _, text, mark, _, again = word_windows(*words_of(batch.column(0)), least)
+                pairs = np.unique(np.stack([text.astype(np.uint64), mark]), axis=1) if len(text) else np.zeros((2, 0), np.uint64)
+                twice = np.isin(mix64(pairs[0]) ^ pairs[1], mix64(again[0]) ^ again[1])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[1].view(np.int64)), batch.column(1).take(pa.array(pairs[0].astype(np.int64))), pa.array(twice)], ["mark", "key_", "twice"])
+
+    found = staged(keyed.select("text", "key_").mapInArrow(marks, "mark long, key_ long, twice boolean"), "line-marks")
+    known = found.groupBy("mark").agg(F.min("key_").alias("a"), F.max("key_").alias("b"), F.max("twice").alias("t")).where("a <> b or t").select(fresh_key("mark").alias("m_"))
+    wanted = found.withColumn("m_", fresh_key("mark")).join(known, "m_", "left_semi").groupBy("key_").agg(F.collect_set("mark").alias("marks"))
+    wanted = staged(wanted, "line-wanted")
+    near = with_membership(keyed, F.col("key_"), staged(membership(wanted, F.col("key_")), "line-filter"), "hit_").where("hit_").drop("hit_")
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for low in range(0, big.num_rows, 500):
+                batch = big.slice(low, 500)
+                hashes, first = words_of(batch.column(1))
+                start, text, mark, whole, _ = word_windows(hashes, first, least)
+                lists = batch.column(3)
+                owner = np.repeat(np.arange(len(lists)), np.array([len(x) for x in lists]))
+                values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                hit = np.isin(mix64(text.astype(np.uint64)) ^ mark, mix64(owner.astype(np.uint64)) ^ values)
+                rows = pa.array(text[hit])
+                yield pa.RecordBatch.from_arrays([pa.array(whole[hit].view(np.int64)), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(start[hit] - first[text[hit]], pa.int32())], ["whole", "doc_id", "key_", "first"])
+
+    each = near.join(wanted, "key_").select("doc_id", "text", "key_", "marks").mapInArrow(emit, "whole long, doc_id long, key_ long, first int")
+    each = staged(each, "line-windows")
+    unstage(found)
+    firsts = each.groupBy("whole").agg(F.min(F.struct("doc_id", "key_", "first")).alias("at"), F.count("*").alias("n")).where("n > 1").select(fresh_key("whole").alias("w_"), "at")
+    later = each.withColumn("w_", fresh_key("whole")).join(firsts, "w_").where(f"key_ <> at.key_ or first >= at.first + {least}")
+    return later.groupBy("key_").agg(F.collect_set("first").alias("firsts"))
+
+
+_WORD = re.compile(WORD)
+
+
+def without_words(text: str, firsts: list[int], least: int) -> tuple[str, list[dict], int]:
+    """The text without the windows of ``least`` words that start at ``firsts``, their merged spans (word numbers), and
+    how many lines went as wholes. Lines of which words stay keep them; blank lines inside a span go."""
+    spans: list[dict] = []
+    for f in sorted(firsts):
+        if spans and f <= spans[-1]["last"] + 1:
+            spans[-1]["last"] = f + least - 1
+        else:
+            spans.append({"first": f, "last": f + least - 1})
+    out, at, k, gone = [], 0, 0, 0
+    for line in text.split("\n"):
+        words = [m.span() for m in _WORD.finditer(line)]
+        while k < len(spans) and spans[k]["last"] < at:
+            k += 1
+        if not words:
+            if k < len(spans) and spans[k]["first"] < at <= spans[k]["last"]:
+                gone += 1
+            else:
+                out.append(line)
+            continue
+        pieces, low, j = [], 0, k  # low: the first word of the line that has not been dealt with
+        while j < len(spans) and spans[j]["first"] < at + len(words):
+            high = max(spans[j]["first"] - at, low)
+            if high > low:
+                pieces.append(line[words[low][0] if low else 0 : words[high - 1][1]])
+            low = min(spans[j]["last"] + 1 - at, len(words))
+            j += 1
+        if low < len(words):
+            pieces.append(line[words[low][0] if low else 0 :])
+        at += len(words)
+        if pieces:
+            out.append(" ".join(pieces))
+        else:
+            gone += 1
+    return "\n".join(out), spans, gone
+
+
+def dedup_passages(docs: DataFrame, least: int = LEAST_WORDS, counts: bool = True) -> DataFrame:
+    """``docs`` with later repeats of ``least`` words and more taken out of ``text``, wherever in a line they start or end;
+    n_chars, if there, follows.
+
+    ``counts`` adds n_lines (of the original text), removed_lines (gone as wholes) and removed (merged spans of word
+    numbers); columns of these names are replaced.
+    """
+    if counts:
+        docs = docs.drop("n_lines", "removed_lines", "removed")
+    cols = docs.columns
+    found = staged(repeated_passages(docs, least), "line-spans")
+    packed = docs.select(F.struct(*cols).alias("doc"), F.xxhash64("doc_id", "text").alias("key_"))
+    marked = with_membership(packed, F.col("key_"), staged(membership(found, F.col("key_")), "line-filter"), "hit_")
+    changed = marked.where("hit_").join(found, "key_", "left")
+    joined = changed.unionByName(marked.where("not hit_").withColumn("firsts", F.lit(None).cast("array<int>")))
+    extra = [T.StructField("n_lines", T.LongType()), T.StructField("removed_lines", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])))] if counts else []
+    schema = T.StructType([*docs.schema.fields, *extra])
+    text_at, chars_at = cols.index("text"), cols.index("n_chars") if "n_chars" in cols else None
+    pairs = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for low in range(0, big.num_rows, 1000):
+                batch = big.slice(low, 1000)
+                out = list(batch.columns[: len(cols)])
+                texts, cut = out[text_at].to_pylist(), batch.column(len(cols)).to_pylist()
+                chars = out[chars_at].to_pylist() if chars_at is not None else None
+                n_lines = [0 if t is None else t.count("\n") + 1 for t in texts]
+                removed, gone = [[] for _ in texts], [0] * len(texts)
+                for i, c in enumerate(cut):
+                    if c:
+                        texts[i], removed[i], gone[i] = without_words(texts[i], c, least)
+                        if chars is not None:
+                            chars[i] = len(texts[i])
+                out[text_at] = pa.array(texts, pa.string())
+                if chars is not None:
+                    out[chars_at] = pa.array(chars, out[chars_at].type)
+                names = list(cols)
+                if counts:
+                    out += [pa.array(n_lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(removed, pairs)]
+                    names += ["n_lines", "removed_lines", "removed"]
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    return joined.select(*(F.col("doc")[c].alias(c) for c in cols), F.col("firsts").alias("claimgraph_firsts")).mapInArrow(run, schema)
+
+
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return dedup_passages(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

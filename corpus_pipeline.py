@@ -20,7 +20,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes later repeated runs of 50 words and more out of the texts; documents of which nothing is left go."""
-    left = linedup.dedup_lines(docs, counts=False)
+    left = linedup.dedup_passages(docs, counts=False)
     return left.where(F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 

@@ -131,6 +131,49 @@ def test_line_dedup_passage_and_odd(spark, odd):
     assert linedup.dedup_lines(odd.limit(0)).count() == 0
 
 
+def brute_passages(rows, least):
+    """The words left of each text, without those in later repeats of ``least`` words."""
+    docs = [(d, [low(x) for x in WORD.findall(t or "")]) for d, t in sorted(rows)]
+    seen, out = {}, {}
+    for k, (d, w) in enumerate(docs):
+        gone = set()
+        for a in range(len(w) - least + 1):
+            at = seen.setdefault(tuple(w[a : a + least]), (k, a))
+            if at[0] != k or a >= at[1] + least:
+                gone |= set(range(a, a + least))
+        out[d] = [x for i, x in enumerate(w) if i not in gone]
+    return out
+
+
+@pytest.mark.parametrize("least", [3, 13, 50])
+def test_passages_brute_force(spark, least):
+    rng = random.Random(least)
+    base = [f"b{i}" for i in range(4 * least)]
+    rows = []
+    for d in range(60):
+        w = [rng.choice("abcdefgh") for _ in range(rng.randrange(2 * least))]
+        for _ in range(rng.randrange(3)):
+            a, at = rng.randrange(3 * least), rng.randrange(len(w) + 1)
+            w[at:at] = base[a : a + least + rng.randrange(-2, least)]
+        rows.append((d, "".join(x + rng.choice([" ", " ", " ", "\n", "\n\n"]) for x in w)))
+    got = {r.doc_id: r for r in linedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), least).collect()}
+    want = brute_passages(rows, least)
+    assert {d: WORD.findall(r.text.lower()) for d, r in got.items()} == want
+    assert all(sum(s.last - s.first + 1 for s in r.removed) == len(WORD.findall(rows[d][1])) - len(want[d]) for d, r in got.items())
+
+
+def test_passages_inside_lines(spark, odd):
+    passage = " ".join(f"p{i}" for i in range(55))
+    rows = [(1, f"one {passage} two", 0), (2, f"three {passage.upper()} four\n \nfive", 0), (3, f"six\n{passage}\nseven", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in linedup.dedup_passages(d).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("three four\n \nfive", 17), 3: ("six\nseven", 9)}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, d, DATA).collect()}[2] == "three four\n \nfive"
+    out = linedup.dedup_passages(odd, counts=False)
+    assert out.columns == odd.columns and out.count() == odd.count() and out.where("doc_id = 2").first().text is None
+    assert linedup.dedup_passages(odd.limit(0)).count() == 0
+
+
 # 2 ------------------------------------------------------------------------------------------------
 def test_lm_scoring(spark, docs, odd):
     rng = random.Random(2)
