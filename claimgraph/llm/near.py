@@ -69,18 +69,18 @@ def sketches(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def measure(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, whole, sketch) of every document: tokens, hash and parity sketch of its set."""
+    """(doc_id, key_, n, whole, sketch) of every document: hash of doc_id and text; tokens, hash and parity sketch of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for low in range(0, big.num_rows, STEP):
                 batch = big.slice(low, STEP)
-                tokens, first, whole = token_sets(batch.column(1), size)
+                tokens, first, whole = token_sets(batch.column(0), size)
                 marks = sketches(tokens, first)
                 marks = pa.ListArray.from_arrays(pa.array(np.arange(len(marks) + 1) * 8, pa.int32()), pa.array(marks.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(whole.view(np.int64)), marks], ["doc_id", "n", "whole", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(np.diff(first)), pa.array(whole.view(np.int64)), marks], ["doc_id", "key_", "n", "whole", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, whole long, sketch array<long>")
+    return docs.select("text", "doc_id", F.xxhash64("doc_id", "text").alias("key_")).mapInArrow(run, "doc_id long, key_ long, n long, whole long, sketch array<long>")
 
 
 def count_tokens(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -282,8 +282,8 @@ def link_sets(docs: DataFrame, sets: DataFrame, entries: DataFrame, size: int, p
     return links.union(verify(rest.select(*pair).distinct(), docs, sets, size, percent))
 
 
-def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id connected by similar pairs) and whole (the set's hash)."""
+def _classed(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``measure`` of the documents; and (doc_id, whole, component) of every set: its least doc_id, hash and class."""
     measured = staged(measure(docs, size), "near-measured")
     sets = measured.where("n > 0").groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sets = staged(sets, "near-sets")
@@ -291,7 +291,12 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     links = link_sets(docs, sets, entries, size, percent)
     components = staged(connected_components(links), "near-components")
     of = sets.select(fresh_key("whole").alias("k_"), "doc_id", "whole").join(components.select(fresh_key("node").alias("k_"), "component"), "k_", "left")
-    of = staged(of.select("doc_id", "whole", F.coalesce("component", "whole").alias("component")), "near-of")
+    return measured, staged(of.select("doc_id", "whole", F.coalesce("component", "whole").alias("component")), "near-of")
+
+
+def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id connected by similar pairs) and whole (the set's hash)."""
+    measured, of = _classed(docs, size, percent)
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = of.withColumn("k_", fresh_key("component")).join(least.select(fresh_key("component").alias("k_"), "component_id"), "k_")
     rows = measured.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("whole")).alias("whole"))
@@ -301,12 +306,18 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each class of similar ones: the one with the least doc_id; all columns stay.
+    """``docs`` with one document of each class of similar ones: the one with the least doc_id (null last); all columns stay.
 
-    Of rows alike in doc_id one stays.
+    Ids needn't be there or be unique: documents are told apart by doc_id and text, and rows alike in both are one.
+    Documents without words are like no other.
     """
-    kept = similar_classes(docs, size, percent).where("component_id <=> doc_id").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").dropDuplicates(["doc_id"])
+    measured, of = _classed(docs, size, percent)
+    best = measured.where("n > 0").groupBy("whole").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_")).alias("best"))
+    classed = best.withColumn("k_", fresh_key("whole")).join(of.select(fresh_key("whole").alias("k_"), "component"), "k_")
+    first = classed.groupBy("component").agg(F.min(F.struct("best.none", "best.doc_id", "whole", "best.key_")).alias("first"))
+    kept = staged(first.select("first.key_").union(measured.where("n = 0").select("key_")).distinct(), "near-kept")
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("doc_id", "text").alias("key_"))
+    return packed.join(kept, "key_", "left_semi").dropDuplicates(["key_"]).select("doc.*")
 
 
 def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

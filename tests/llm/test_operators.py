@@ -412,6 +412,17 @@ def test_jaccard_on_documents_and_odd(spark, docs, odd):
     assert near.similar_classes(odd.limit(0)).count() == 0
 
 
+def test_keep_one_without_ids(spark):
+    """Different texts stay whatever their ids; a repeated id neither saves a near-duplicate nor loses a unique text."""
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcde"}
+    rows = [(None, text["a"]), (None, text["b"]), (None, text["b"] + " more"), (1, text["c"]), (5, text["c"] + " more"), (5, text["d"]), (5, text["d"]), (None, text["c"]), (6, text["e"]), (6, "x " + text["e"]), (None, None), (7, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near.keep_one(d).collect()
+    groups = sorted(next((k for k in "abcde" if text[k] in (r.text or "")), "") for r in got)
+    assert groups == ["", "", "a", "b", "c", "d", "e"]
+    assert {r.doc_id for r in got if text["c"] in (r.text or "")} == {1}
+
+
 # 7 ------------------------------------------------------------------------------------------------
 def test_embeddings_brute_force(spark):
     rng = np.random.default_rng(7)
