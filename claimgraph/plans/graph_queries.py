@@ -223,15 +223,21 @@ def priority_gaps(spark, d):
     return A.priority_gaps(edges_of(spark, d), watch).withColumns({"first_pmids": F.array_join("first_pmids", ","), "support": F.col("support").cast("long")})
 
 
-@query(
-    "untested_transitive",
-    f"""with {V.SPARSE}, two as (select x.source a, y.target c, count(*) ways from pairs x join pairs y on x.target = y.source where x.source <> y.target group by 1, 2)
-  select a, c, ways from two where (a, c) not in (select (source, target) from pairs)""",
-)
+def _untested_sql(edges: str = V.SPARSE) -> str:
+    return f"""with {edges}, two as (select x.source a, y.target c, count(*) ways from pairs x join pairs y on x.target = y.source where x.source <> y.target group by 1, 2)
+  select a, c, ways from two where (a, c) not in (select (source, target) from pairs)"""
+
+
+@query("untested_transitive", _untested_sql())
 def untested_transitive(spark, d):
     return A.untested_transitive(V.sparse_edges(spark, d))
 
 
+@query("untested_transitive_all", _untested_sql(V.PAIRS))
+def untested_transitive_all(spark, d):
+    return A.untested_transitive(V.claim_pairs(spark, d))
+
+
 @query(
     "graph_health",
     f"""with {V.EDGES}, s as (select distinct source, target, case when relation in ('activates','induces') then '+' else '-' end sign from edges where source <> target)
@@ -273,8 +279,8 @@ def degree_ratio(spark, d):
     return A.degree_ratio(nodes_of(spark, d), edges_of(spark, d))
 
 
-def _pagerank_sql(rounds: int) -> str:
-    steps = [f"""with {V.SPARSE}, {V.NODE_IDS}, o as (select source, count(*) c from pairs group by source), r0 as (select id, 1.0::double / (select count(*) from ids) r from ids)"""]
+def _pagerank_sql(rounds: int, edges: str = V.SPARSE) -> str:
+    steps = [f"""with {edges}, {V.NODE_IDS}, o as (select source, count(*) c from pairs group by source), r0 as (select id, 1.0::double / (select count(*) from ids) r from ids)"""]
     for k in range(rounds):
         steps.append(
             f"""r{k + 1} as (select i.id, 0.15 / (select count(*) from ids) + 0.85 * (coalesce(g.s, 0) + (select coalesce(sum(r), 0) from r{k} where id not in (select source from o)) / (select count(*) from ids)) r
@@ -288,8 +294,13 @@ def pagerank(spark, d):
     return A.pagerank(V.node_ids(spark, d), V.sparse_edges(spark, d), max_iter=10, tol=0).select("id", F.round("pagerank", 8).alias("pagerank"))
 
 
-def _eigen_sql(rounds: int) -> str:
-    steps = [f"""with {V.SPARSE}, {V.NODE_IDS}, u as (select source a, target b from pairs union select target, source from pairs), x0 as (select id, 1.0::double x from ids)"""]
+@query("pagerank_all", _pagerank_sql(10, V.PAIRS))
+def pagerank_all(spark, d):
+    return A.pagerank(V.node_ids(spark, d), V.claim_pairs(spark, d), max_iter=10, tol=0).select("id", F.round("pagerank", 8).alias("pagerank"))
+
+
+def _eigen_sql(rounds: int, edges: str = V.SPARSE) -> str:
+    steps = [f"""with {edges}, {V.NODE_IDS}, u as (select source a, target b from pairs union select target, source from pairs), x0 as (select id, 1.0::double x from ids)"""]
     for k in range(rounds):
         steps.append(f"y{k} as (select i.id, coalesce(g.s, 0) y from ids i left join (select b id, sum(x) s from u join x{k} on id = a group by b) g using (id))")
         steps.append(f"x{k + 1} as (select id, y / (select sqrt(sum(y * y)) from y{k}) x from y{k})")
@@ -301,6 +312,11 @@ def eigenvector(spark, d):
     return A.eigenvector_centrality(V.node_ids(spark, d), V.sparse_edges(spark, d), max_iter=8, tol=0).select("id", F.round("eigenvector", 6).alias("eigenvector"))
 
 
+@query("eigenvector_all", _eigen_sql(8, V.PAIRS))
+def eigenvector_all(spark, d):
+    return A.eigenvector_centrality(V.node_ids(spark, d), V.claim_pairs(spark, d), max_iter=8, tol=0).select("id", F.round("eigenvector", 6).alias("eigenvector"))
+
+
 @query(
     "components",
     f"""with recursive {V.SPARSE}, {V.NODE_IDS}, u as (select source a, target b from sparse where relation = 'suppresses' union select target, source from sparse where relation = 'suppresses'),
@@ -311,6 +327,16 @@ def components(spark, d):
     return A.connected_components(V.node_ids(spark, d), V.sparse_edges(spark, d).where("relation = 'suppresses'"))
 
 
+@query(
+    "components_all",
+    f"""with recursive {V.PAIRS}, {V.NODE_IDS}, u as (select source a, target b from pairs union select target, source from pairs),
+  reach as (select id, id m from ids union select u.b, m from reach join u on u.a = reach.id), c as (select id, min(m) component from reach group by id)
+  select id, component, count(*) over (partition by component) size from c""",
+)
+def components_all(spark, d):
+    return A.connected_components(V.node_ids(spark, d), V.claim_pairs(spark, d))
+
+
 CYCLES_SQL = f"""with recursive {V.SPARSE}, walk as (select source s, [source, target] path from pairs where source < target
   union all select s, list_append(path, target) from walk join pairs on source = path[len(path)] where len(path) < 6 and target > s and not list_contains(path, target)),
   cycles as (select path from walk join pairs on source = path[len(path)] and target = s)"""
@@ -348,5 +374,4 @@ def rank_architectures(spark, d):
 
 @query("betweenness")
 def betweenness(spark, d):
-    s = V.sparse_edges(spark, d)
-    return A.betweenness(V.node_ids(spark, d), s).withColumn("betweenness", F.round("betweenness", 6))
+    return A.betweenness(V.node_ids(spark, d), V.claim_pairs(spark, d)).withColumn("betweenness", F.round("betweenness", 6))

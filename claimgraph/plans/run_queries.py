@@ -92,6 +92,15 @@ def node_set_view(spark, d):
     return VW.node_set_view(V.node_ids(spark, d), A.pairs(V.sparse_edges(spark, d)), ["N1", "N2"], hops=1)[1]
 
 
+@query(
+    "node_set_view_all",
+    f"""with {V.PAIRS}, w as (select unnest(['N1','N2']) id union select target from pairs where source in ('N1','N2') union select source from pairs where target in ('N1','N2'))
+  select source, target, case when source in ('N1','N2') and target in ('N1','N2') then 'solid' else 'dashed' end "style" from pairs where source in (select id from w) and target in (select id from w)""",
+)
+def node_set_view_all(spark, d):
+    return VW.node_set_view(V.node_ids(spark, d), V.claim_pairs(spark, d), ["N1", "N2"], hops=1)[1]
+
+
 @query(
     "module_view",
     f"""with {V.EDGES}, m as (select * from (values ('a','N1'),('a','N2'),('b','N3'),('b','N4')) t(module, id)) select source, target, relation, x.module source_module, y.module target_module

@@ -87,6 +87,14 @@ SPARSE = (
 )
 
 
+def claim_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct pairs of all claims that aren't loops."""
+    return claims(spark, d).where("source <> target").select("source", "target").distinct()
+
+
+PAIRS = CLAIMS + ", pairs as (select distinct source, target from claims where source <> target)"
+
+
 def node_ids(spark: SparkSession, d: str) -> DataFrame:
     c = claims(spark, d)
     return c.select(F.col("source").alias("id")).union(c.select("target")).distinct()

@@ -176,3 +176,40 @@ def test_export_manifest_and_plans(spark):
     for df in (e, n, A.contradictions(e), GT.gate_report(GT.semantic_gate(c))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "Python" not in plan and "Pandas" not in plan
+
+
+def test_graph_queries_use_all_claims(spark, tmp_path):
+    """A hub with many claims keeps all its pairs; betweenness equals brute force over them."""
+    from collections import deque
+    from datetime import date
+
+    from claimgraph.plans import graph_queries as Q
+    from claimgraph.plans import run_queries as RQ
+
+    links = [(1, 2), (1, 3), (1, 4), (1, 5), (1, 1), (2, 6), (3, 6), (4, 6), (5, 0), (6, 7), (7, 1), (1, 5)]
+    rows = [(k, t, s, "R", "F", date(1995, 1, 1), 0.0) for k, (s, t) in enumerate(links)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_shipdate date, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1, 9).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    d = str(tmp_path)
+    pairs = {(f"N{s}", f"N{t}") for s, t in links if s != t}
+    assert {tuple(r) for r in V.claim_pairs(spark, d).collect()} == pairs
+    ids = sorted({x for p in pairs for x in p})
+    ways = {}
+    for a in ids:  # all shortest paths
+        found, queue = {a: [[a]]}, deque([a])
+        while queue:
+            v = queue.popleft()
+            for s, t in pairs:
+                if s == v and t not in found:
+                    found[t] = []
+                    queue.append(t)
+                if s == v and (not found[t] or len(found[t][0]) == len(found[v][0]) + 1):
+                    found[t] += [[*p, t] for p in found[v]]
+        ways |= {(a, b): p for b, p in found.items()}
+    want = {x: sum(sum(x in p[1:-1] for p in w) / len(w) for w in ways.values()) for x in ids}
+    got = {r.id: r.betweenness for r in Q.betweenness(spark, d).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-5 for x in ids)
+    two = {(a, c) for a, b in pairs for x, c in pairs if b == x and a != c} - pairs
+    assert {(r.a, r.c) for r in Q.untested_transitive_all(spark, d).collect()} == two
+    assert {r.component for r in Q.components_all(spark, d).collect()} == {"N0"}
+    assert {(r.source, r.target) for r in RQ.node_set_view_all(spark, d).collect()} >= {p for p in pairs if p[0] == "N1"}
