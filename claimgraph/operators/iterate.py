@@ -1,4 +1,4 @@
-"""Tables between the steps of iterative operators: written to the shared folder, so lost executors cost no lineage."""
+"""Tables between the steps of operators: written to the shared folder, so lost executors cost no lineage."""
 
 from __future__ import annotations
 
@@ -11,19 +11,53 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (tests, local mode), a temporary folder removed at exit."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("claimgraph.scratch", None)
+    """The folder that all executors share, from spark.checkpoint.dir.
+
+    Where that is unset in local mode (tests, a notebook) a temporary folder is made, set as the
+    checkpoint folder and removed at exit. A cluster without the setting is refused: its executors share no local folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.conf.get("claimgraph.scratch", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="spark-shared-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         folder = f"file://{own}"
         spark.conf.set("claimgraph.scratch", folder)
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` and reads it back."""
-    path = f"{shared_folder(df.sparkSession)}/claimgraph/step-{uuid.uuid4().hex}"
+#: Removes a query's shuffle files when it ends: a staged table never needs them again.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged(df: DataFrame, name: str = "step") -> DataFrame:
+    """Writes ``df`` as Parquet to the shared folder and reads it back: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/claimgraph/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
+    out = spark.read.schema(schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def unstage(*frames: DataFrame | None) -> None:
+    """Removes staged tables that nothing will read again."""
+    for df in frames:
+        path = getattr(df, "_staged_path", None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
