@@ -2,57 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
-import tempfile
-import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-
+from ..operators.iterate import staged, unstage
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir.
-
-    Where that is unset (tests, a notebook in local mode) a temporary folder is made, set as the
-    checkpoint folder and removed at exit.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("claimgraph.scratch", None)
-    if not folder:
-        own = tempfile.mkdtemp(prefix="spark-shared-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        folder = f"file://{own}"
-        spark.conf.set("claimgraph.scratch", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/claimgraph/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    out = spark.read.parquet(path) if partition_by else spark.read.schema(schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def unstage(*frames: DataFrame | None) -> None:
-    """Removes staged tables that nothing will read again."""
-    for df in frames:
-        path = getattr(df, "_staged_path", None)
-        if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def fresh_key(key: Column | str) -> Column:
@@ -66,23 +24,29 @@ def fresh_key(key: Column | str) -> Column:
     return F.xxhash64(key, F.lit(7))
 
 
-#: Bits of a membership filter; its broadcast has 2^17 rows at most, whatever it stands for.
-FILTER_BITS = 23
+#: Bits of a membership filter for a member, and the most bits: its broadcast has 2^20 rows at most.
+BITS_EACH, MOST_BITS = 16, 26
+
 
+class Membership:
+    """A bit filter over 64-bit keys, sized by its members up to a bound, staged as (word_, bits_).
 
-def membership(members: DataFrame, key: Column) -> DataFrame:
-    """A bit filter over 64-bit keys: (word, bits), at most 2^17 rows, so it can be broadcast at any corpus size."""
-    at = F.pmod(key, F.lit(1 << FILTER_BITS))
-    one = F.expr("shiftleft(1L, cast(at_ & 63 as int))")
-    return members.select(at.alias("at_")).groupBy(F.shiftright("at_", 6).alias("word_")).agg(F.bit_or(one).alias("bits_"))
+    Beyond the bound it lets more and more non-members pass, which costs a shuffle of their rows but no result.
+    """
 
+    def __init__(self, members: DataFrame, key: Column):
+        keys = members.select(key.alias("at_"))
+        self.bits = min(MOST_BITS, max(16, (BITS_EACH * keys.count()).bit_length()))
+        one = F.expr("shiftleft(1L, cast(at_ & 63 as int))")
+        keys = keys.select(F.pmod("at_", F.lit(1 << self.bits)).alias("at_"))
+        self.words = staged(keys.groupBy(F.shiftright("at_", 6).alias("word_")).agg(F.bit_or(one).alias("bits_")), "members")
 
-def with_membership(df: DataFrame, key: Column, words: DataFrame, out: str) -> DataFrame:
-    """Adds ``out``: false where the key is surely no member (rows that needn't be shuffled to find that out)."""
-    at = F.pmod(key, F.lit(1 << FILTER_BITS))
-    marked = df.withColumn("at_", at).join(F.broadcast(words), F.shiftright("at_", 6) == F.col("word_"), "left")
-    hit = F.coalesce(F.expr("bit_get(bits_, cast(at_ & 63 as int)) = 1"), F.lit(False))
-    return marked.withColumn(out, hit).drop("at_", "word_", "bits_")
+    def mark(self, df: DataFrame, key: Column, out: str) -> DataFrame:
+        """Adds ``out``: false where the key is surely no member (rows that needn't be shuffled to find that out)."""
+        at = F.pmod(key, F.lit(1 << self.bits))
+        marked = df.withColumn("at_", at).join(F.broadcast(self.words), F.shiftright("at_", 6) == F.col("word_"), "left")
+        hit = F.coalesce(F.expr("bit_get(bits_, cast(at_ & 63 as int)) = 1"), F.lit(False))
+        return marked.withColumn(out, hit).drop("at_", "word_", "bits_")
 
 
 def running_sums(df: DataFrame, groups: list[str], order: str, value: Column, out: str, sizes: DataFrame) -> DataFrame:
@@ -107,8 +71,8 @@ def running_sums(df: DataFrame, groups: list[str], order: str, value: Column, ou
     return summed.join(offsets, [*groups, "range_"]).withColumn(out, F.col("inner_") + F.col("offset_")).drop("inner_", "offset_", "range_", "parts_", "value_")
 
 
-#: Up to this many links are joined up in one task (16 MB); beyond, by rounds of star steps over all executors.
-FEW_LINKS = 1 << 20
+#: Up to this many links are joined up in one task (some 50 MB of Python numbers); beyond, by rounds of star steps over all executors.
+FEW_LINKS = 1 << 18
 
 
 def _joined_up(batches):
@@ -150,7 +114,7 @@ def connected_components(links: DataFrame, most_rounds: int = 60, few: int = FEW
         large = large.union(small.where("m < a").select("a", F.col("m").alias("b"))).distinct()
         # small star: neighbours below a, and a itself, hang on the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        down = large.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        down = large.withColumn("k_", fresh_key("a")).join(low.select(fresh_key("a").alias("k_"), "m"), "k_").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         step = down.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         nxt = staged(step, "links")
         key = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

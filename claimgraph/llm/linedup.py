@@ -1,21 +1,23 @@
-"""Operator 1: line dedup by winnowing over line hashes.
-
-A document is its sequence of non-blank lines, each hashed by its words (A-Z lower-cased, white space aside).
-A window is a least run of lines with ``least_words`` words, from each line forwards and back to each
-line; its least line hash is its fingerprint. Two equal runs of that many words contain an equal
-window, which picks the same fingerprint in both: no repeated run is missed. Positions are joined on
-fingerprints; where one recurs, the windows around it are matched by all their lines. Equal windows
-overlap along a repeated run, so forward and backward windows together extend each match to both its ends.
-
-A line is removed if it lies in a run of ``least_words`` or more words that also stands earlier: in a document
-with a smaller (doc_id, text hash), or further up in the same document without overlap.
-
-That is ``dedup_lines``. The query and the pipeline use ``dedup_passages``, which does the same by words: windows of
-``least_words`` words from every word on, so a repeat may start and end inside a line, and only its words go.
-
-Cases: a null text stays null; blank lines inside a removed run go with it; a null doc_id sorts first;
-rows alike in doc_id and text count as one document and are changed alike; ties of hashes don't
-matter; an empty table gives no rows; all other columns pass through.
+"""Operator 1: line dedup by winnowing: repeated passages go, wherever in a line they start or end.
+
+A document is its sequence of words (A-Z lower-cased). Of every window of ``least`` words the least hash among its
+shingles of half its words is selected, the leftmost of equal ones; windows in a row mostly select the same one, so a
+document keeps about one fingerprint for every thirteen words: its hash, where it stands, and the run of windows
+that selected it. Two equal windows select the same fingerprint, so no repeat is missed.
+
+Positions are joined on fingerprints. Places of one fingerprint whose whole surroundings (all words of all windows that
+selected it) are equal are matched at once, each with the first of them: neighbouring fingerprints extend such a match to both
+sides. Where a fingerprint has different surroundings, the first place of each is extended window by
+window to the left and right as far as its words agree. A hot passage therefore costs one row per place and
+one extension per different surrounding; nothing is paired within a group.
+
+Words are removed if they lie in a window that also stands earlier: in a document with a smaller (doc_id, text hash), or
+further up in the same document without overlap. Only whole lines would miss passages spliced into the middle of a line;
+lines of which words stay keep them, the others go.
+
+Cases: a null text stays null; blank lines inside a removed span go with it; a null doc_id sorts first;
+rows alike in doc_id and text count as one document and are changed alike; an empty table gives no rows; all
+other columns pass through. Windows are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,243 +31,149 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, fresh_key, membership, staged, unstage, with_membership
+from .common import WORD, Membership, fresh_key, staged, unstage
 from .words import mix64, text_bytes, word_hashes, word_spans
 
 LEAST_WORDS = 50
+#: Rows handled at a time, so that a batch of long texts stays small.
+STEP = 400
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
 
 
-def line_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all non-blank lines: text, line number in it, hash, words."""
+def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the index of each text's first one (len + 1)."""
     values, offsets = text_bytes(column)
-    breaks = np.flatnonzero(values == 10)
-    texts = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, side="right") - 1])
-    starts = np.concatenate([offsets[:-1], breaks + 1])
-    order = np.lexsort((starts, texts))
-    texts, starts = texts[order], starts[order]
-    number = np.arange(len(texts)) - np.searchsorted(texts, texts)
-    word_at, word_end, _ = word_spans(values, offsets)
-    hashes = word_hashes(values, word_at, word_end)
-    line = np.searchsorted(starts, word_at, side="right") - 1
-    n = np.bincount(line, minlength=len(starts))
-    first = np.cumsum(n) - n
-    place = (np.arange(len(line)) - first[line]).astype(np.uint64)
-    filled = np.flatnonzero(n)
-    sums = np.add.reduceat(mix64(hashes + place * _R), first[filled]) if len(filled) else np.zeros(0, np.uint64)
-    return texts[filled], number[filled], mix64(sums), n[filled]
-
-
-def windows(texts: np.ndarray, hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All forward and backward windows: first and last line (indices), fingerprint, hash of all lines."""
-    n = len(hashes)
-    done = np.cumsum(words)
-    before = done - words
-    lines = np.arange(n)
-    last = np.searchsorted(done, before + least)
-    forward = last < n
-    forward[forward] = texts[last[forward]] == texts[lines[forward]]
-    start = np.searchsorted(before, done - least, side="right") - 1
-    backward = start >= 0
-    backward[backward] = texts[start[backward]] == texts[lines[backward]]
-    pairs = np.unique(np.concatenate([lines[forward] * (n + 1) + last[forward], start[backward] * (n + 1) + lines[backward]]))
-    low, high = pairs // (n + 1), pairs % (n + 1)
-    mark, open_ = hashes[low].copy(), np.arange(len(low))
-    k = 1
-    while len(open_ := open_[low[open_] + k <= last[low[open_]]]):  # the least over the forward window, which the backward one contains
-        mark[open_] = np.minimum(mark[open_], hashes[low[open_] + k])
-        k += 1
-    powers, inverse = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
-    powers[1:], inverse[1:] = _R, _R_INVERSE
-    powers, inverse = np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers[:n], dtype=np.uint64)])
-    whole = mix64((sums[high + 1] - sums[low]) * inverse[low] + (high - low).astype(np.uint64))
-    return low, high, mark, whole
-
-
-def document_windows(docs: DataFrame, least: int) -> DataFrame:
-    """One row per window of a document: mark, whole, doc_id, key_, first, last (line numbers)."""
+    at, end, first = word_spans(values, offsets)
+    return word_hashes(values, at, end), first
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch_ in batches:
-            for at in range(0, batch_.num_rows, 500):
-                batch = batch_.slice(at, 500)
-                texts, number, hashes, words = line_hashes(batch.column(1))
-                if not len(texts):
-                    continue
-                low, high, mark, whole = windows(texts, hashes, words, least)
-                rows = pa.array(texts[low])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(mark.view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(number[low], pa.int32()), pa.array(number[high], pa.int32())],
-                    ["mark", "whole", "doc_id", "key_", "first", "last"],
-                )
-
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key_")).mapInArrow(run, "mark long, whole long, doc_id long, key_ long, first int, last int")
-
-
-def repeated_runs(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(key_, spans): the line spans to remove from each document, keyed by xxhash64(doc_id, text)."""
-    found = staged(document_windows(docs, least), "line-windows")
-    place = F.xxhash64("key_", "first")
-    marks = found.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select(fresh_key("mark").alias("m_"))
-    matched = found.withColumn("m_", fresh_key("mark")).join(marks, "m_", "left_semi").drop("m_", "mark")
-    firsts = matched.groupBy("whole").agg(F.min(F.struct("doc_id", "key_", "first", "last")).alias("at"), F.count("*").alias("n")).where("n > 1").select(fresh_key("whole").alias("w_"), "at")
-    later = matched.withColumn("w_", fresh_key("whole")).join(firsts, "w_").where("key_ <> at.key_ or first > at.last")
-    return later.groupBy("key_").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-
-
-def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, counts: bool = True) -> DataFrame:
-    """``docs`` with the later repeated runs taken out of ``text``; n_chars, if there, follows.
-
-    ``counts`` adds n_lines (of the original text), removed_lines and removed (merged spans of line numbers);
-    columns of these names are replaced.
-    """
-    if counts:
-        docs = docs.drop("n_lines", "removed_lines", "removed")
-    cols = docs.columns
-    spans = staged(repeated_runs(docs, least), "line-spans")
-    # the document travels as one struct, so that its own column names can't clash; only texts that may
-    # change are shuffled to their spans: a bit filter tells them from the others
-    packed = docs.select(F.struct(*cols).alias("doc"), F.xxhash64("doc_id", "text").alias("key_"))
-    marked = with_membership(packed, F.col("key_"), staged(membership(spans, F.col("key_")), "line-filter"), "hit_")
-    changed = marked.where("hit_").join(spans, "key_", "left")
-    joined = changed.unionByName(marked.where("not hit_").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
-    extra = [T.StructField("n_lines", T.LongType()), T.StructField("removed_lines", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])))] if counts else []
-    schema = T.StructType([*docs.schema.fields, *extra])
-    text_at, chars_at = cols.index("text"), cols.index("n_chars") if "n_chars" in cols else None
-    pairs = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, 1000):
-                batch = whole.slice(low, 1000)
-                out = list(batch.columns[: len(cols)])
-                texts, cut = out[text_at].to_pylist(), batch.column(len(cols)).to_pylist()
-                chars = out[chars_at].to_pylist() if chars_at is not None else None
-                n_lines, removed = [], []
-                for i, (t, c) in enumerate(zip(texts, cut)):
-                    merged: list[dict] = []
-                    lines = t.split("\n") if t is not None and (c or counts) else []
-                    for s in sorted(c or [], key=lambda s: s["first"]):
-                        if merged and s["first"] <= merged[-1]["last"] + 1:
-                            merged[-1]["last"] = max(merged[-1]["last"], s["last"])
-                        else:
-                            merged.append(dict(s))
-                    if merged:
-                        kept, at = [], 0
-                        for s in merged:
-                            kept += lines[at : s["first"]]
-                            at = s["last"] + 1
-                        texts[i] = "\n".join(kept + lines[at:])
-                        if chars is not None:
-                            chars[i] = len(texts[i])
-                    n_lines.append(len(lines))
-                    removed.append(merged)
-                out[text_at] = pa.array(texts, pa.string())
-                if chars is not None:
-                    out[chars_at] = pa.array(chars, out[chars_at].type)
-                names = list(cols)
-                if counts:
-                    out += [pa.array(n_lines, pa.int64()), pa.array([sum(s["last"] - s["first"] + 1 for s in m) for m in removed], pa.int64()), pa.array(removed, pairs)]
-                    names += ["n_lines", "removed_lines", "removed"]
-                yield pa.RecordBatch.from_arrays(out, names)
+class Spans:
+    """Hashes of any spans of a sequence of word hashes, from running sums."""
 
-    return joined.select(*(F.col("doc")[c].alias(c) for c in cols), F.col("spans").alias("claimgraph_spans")).mapInArrow(run, schema)
+    def __init__(self, hashes: np.ndarray):
+        n = len(hashes)
+        powers, inverse = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
+        powers[1:], inverse[1:] = _R, _R_INVERSE
+        powers, self.inverse = np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers[:n], dtype=np.uint64)])
 
+    def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Hash of the words low up to high (exclusive)."""
+        return mix64((self.sums[high] - self.sums[low]) * self.inverse[low])
 
-def word_windows(hashes: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of ``least`` words: first word (index), text, fingerprint, hash of all words; and the fingerprints'
-    texts that have them at two places, as (text, fingerprint) rows of a (2, n) array.
 
-    A fingerprint is the least hash of the window's shingles of half its words, so a few windows in a row share it.
-    """
+def fingerprints(hashes: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Selected fingerprints of all texts: text, hash, hash of the surroundings, first window (word index), windows."""
     n, short = len(hashes), max(1, least // 2)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     start = np.flatnonzero(np.arange(n) + least <= first[1:][row]) if n else np.zeros(0, np.int64)
     if not len(start):
-        none = np.zeros(0, np.uint64)
-        return start, start, none, none, np.zeros((2, 0), np.uint64)
-    powers, inverse = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
-    powers[1:], inverse[1:] = _R, _R_INVERSE
-    powers, inverse = np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers[:n], dtype=np.uint64)])
-    small = mix64((sums[short:] - sums[:-short]) * inverse[: n - short + 1])
-    mark, width = small, 1
-    while width < least - short + 1:
+        return start, np.zeros(0, np.uint64), np.zeros(0, np.uint64), start, start
+    spans = Spans(hashes)
+    at = np.arange(n - short + 1)
+    small = spans.of(at, at + short)
+    least_at, width = at, 1
+    while width < least - short + 1:  # leftmost least shingle of each window, by doubling
         step = min(width, least - short + 1 - width)
-        mark = np.minimum(mark[:-step], mark[step:])
+        left, right = least_at[:-step], least_at[step:]
+        least_at = np.where(small[right] < small[left], right, left)
         width += step
-    mark = mark[start]
-    inside = np.arange(len(small)) + short <= first[1:][row[: len(small)]]
-    at, value = row[: len(small)][inside], small[inside]
-    order = np.lexsort((value, at))
-    at, value = at[order], value[order]
-    again = np.flatnonzero((at[1:] == at[:-1]) & (value[1:] == value[:-1]))
-    whole = mix64((sums[start + least] - sums[start]) * inverse[start])
-    return start, row[start], mark, whole, np.stack([at[again].astype(np.uint64), value[again]])
+    picked = least_at[start]
+    new = np.flatnonzero(np.concatenate([[True], picked[1:] != picked[:-1]]))
+    runs = np.diff(np.concatenate([new, [len(start)]]))
+    low, place = start[new], picked[new]
+    around = mix64(spans.of(low, low + runs - 1 + least) ^ mix64(((place - low) * 4096 + runs).astype(np.uint64)))
+    return row[low], small[place], around, low, runs
 
 
-def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(key_, firsts): first words of the windows of ``least`` words to remove, keyed by xxhash64(doc_id, text).
+def document_fingerprints(keyed: DataFrame, least: int) -> DataFrame:
+    """(mark, around, key_, doc_id, low, n) of all documents: n windows from word ``low`` on selected ``mark``."""
 
-    Fingerprints that only one place has are dropped before any window is written.
-    """
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key_"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for low in range(0, big.num_rows, STEP):
+                batch = big.slice(low, STEP)
+                hashes, first = words_of(batch.column(0))
+                text, mark, around, start, runs = fingerprints(hashes, first, least)
+                rows = pa.array(text)
+                columns = [pa.array(mark.view(np.int64)), pa.array(around.view(np.int64)), batch.column(1).take(rows), batch.column(2).take(rows)]
+                columns += [pa.array(start - first[text], pa.int32()), pa.array(runs, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["mark", "around", "key_", "doc_id", "low", "n"])
 
-    def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        values, offsets = text_bytes(column)
-        at, end, first = word_spans(values, offsets)
-        return word_hashes(values, at, end), first
+    return keyed.select("text", "key_", "doc_id").mapInArrow(run, "mark long, around long, key_ long, doc_id long, low int, n int")
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for low in range(0, big.num_rows, 500):
-                batch = big.slice(low, 500)
-                _, text, mark, _, again = word_windows(*words_of(batch.column(0)), least)
-                pairs = np.unique(np.stack([text.astype(np.uint64), mark]), axis=1) if len(text) else np.zeros((2, 0), np.uint64)
-                twice = np.isin(mix64(pairs[0]) ^ pairs[1], mix64(again[0]) ^ again[1])
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[1].view(np.int64)), batch.column(1).take(pa.array(pairs[0].astype(np.int64))), pa.array(twice)], ["mark", "key_", "twice"])
-
-    found = staged(keyed.select("text", "key_").mapInArrow(marks, "mark long, key_ long, twice boolean"), "line-marks")
-    known = found.groupBy("mark").agg(F.min("key_").alias("a"), F.max("key_").alias("b"), F.max("twice").alias("t")).where("a <> b or t").select(fresh_key("mark").alias("m_"))
-    wanted = found.withColumn("m_", fresh_key("mark")).join(known, "m_", "left_semi").groupBy("key_").agg(F.collect_set("mark").alias("marks"))
-    wanted = staged(wanted, "line-wanted")
-    near = with_membership(keyed, F.col("key_"), staged(membership(wanted, F.col("key_")), "line-filter"), "hit_").where("hit_").drop("hit_")
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def extended_windows(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(whole, doc_id, key_, first): every window of ``least`` words that ``wanted`` (key_, runs, least) asks for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for low in range(0, big.num_rows, 500):
-                batch = big.slice(low, 500)
+            for low in range(0, big.num_rows, STEP):
+                batch = big.slice(low, STEP)
                 hashes, first = words_of(batch.column(1))
-                start, text, mark, whole, _ = word_windows(hashes, first, least)
                 lists = batch.column(3)
-                owner = np.repeat(np.arange(len(lists)), np.array([len(x) for x in lists]))
-                values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                hit = np.isin(mix64(text.astype(np.uint64)) ^ mark, mix64(owner.astype(np.uint64)) ^ values)
-                rows = pa.array(text[hit])
-                yield pa.RecordBatch.from_arrays([pa.array(whole[hit].view(np.int64)), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(start[hit] - first[text[hit]], pa.int32())], ["whole", "doc_id", "key_", "first"])
-
-    each = near.join(wanted, "key_").select("doc_id", "text", "key_", "marks").mapInArrow(emit, "whole long, doc_id long, key_ long, first int")
-    each = staged(each, "line-windows")
+                owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                start = lists.flatten().field("low").to_numpy(zero_copy_only=False).astype(np.int64)
+                n = lists.flatten().field("n").to_numpy(zero_copy_only=False)
+                owner, start = np.repeat(owner, n), np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                least = int(batch.column(4)[0].as_py()) if batch.num_rows else 0
+                at = start + first[owner]
+                whole = Spans(hashes).of(at, at + least)
+                rows = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(start, pa.int32())], ["whole", "doc_id", "key_", "first"])
+
+    texts = keyed.join(wanted, "key_").select("doc_id", "text", "key_", "runs", "least")
+    return texts.mapInArrow(run, "whole long, doc_id long, key_ long, first int")
+
+
+def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """(key_, spans): spans of words (first, last) to remove, keyed by xxhash64(doc_id, text); staged."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key_"))
+    found = staged(document_fingerprints(keyed, least), "line-marks")
+    marks = found.groupBy("mark").agg(F.min("around").alias("a"), F.max("around").alias("b"), F.count("*").alias("places")).where("places > 1")
+    marks = marks.select(fresh_key("mark").alias("m_"), (F.col("a") != F.col("b")).alias("mixed"))
+    matched = staged(found.withColumn("m_", fresh_key("mark")).join(marks, "m_").drop("m_", "mark"), "line-matched")
     unstage(found)
-    firsts = each.groupBy("whole").agg(F.min(F.struct("doc_id", "key_", "first")).alias("at"), F.count("*").alias("n")).where("n > 1").select(fresh_key("whole").alias("w_"), "at")
-    later = each.withColumn("w_", fresh_key("whole")).join(firsts, "w_").where(f"key_ <> at.key_ or first >= at.first + {least}")
-    return later.groupBy("key_").agg(F.collect_set("first").alias("firsts"))
+    # equal surroundings: each place with the first of them
+    firsts = matched.groupBy("around").agg(F.min(F.struct("doc_id", "key_", "low")).alias("at"), F.first("n").alias("n"), F.max("mixed").alias("mixed"), F.count("*").alias("places"))
+    firsts = staged(firsts, "line-firsts")
+    again = firsts.where("places > 1").select(fresh_key("around").alias("a_"), "at")
+    later = matched.withColumn("a_", fresh_key("around")).join(again, "a_").where("key_ <> at.key_ or low > at.low")
+    later = later.withColumn("apart", F.expr(f"key_ <> at.key_ or low >= at.low + {least}"))
+    later = staged(later.select("key_", "low", "n", "mixed", "apart"), "line-later")
+    unstage(matched)
+    # different surroundings of one fingerprint: the first place of each is extended by windows
+    open_ = firsts.where("mixed").select("at.key_", "at.low", "n").union(later.where("mixed and not apart").select("key_", "low", "n"))
+    wanted = staged(open_.groupBy("key_").agg(F.collect_set(F.struct("low", "n")).alias("runs")), "line-wanted")
+    near = Membership(wanted, F.col("key_")).mark(keyed, F.col("key_"), "hit_").where("hit_").drop("hit_")
+    each = staged(extended_windows(near, wanted.withColumn("least", F.lit(least))), "line-windows")
+    heads = each.groupBy("whole").agg(F.min(F.struct("doc_id", "key_", "first")).alias("at"), F.count("*").alias("places")).where("places > 1").select(fresh_key("whole").alias("w_"), "at")
+    repeats = each.withColumn("w_", fresh_key("whole")).join(heads, "w_").where(f"key_ <> at.key_ or first >= at.first + {least}")
+    spans = repeats.select("key_", "first", (F.col("first") + (least - 1)).alias("last"))
+    spans = spans.union(later.where("apart").select("key_", "low", F.expr(f"low + n + {least - 2}")))
+    out = staged(spans.groupBy("key_").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "line-spans")
+    unstage(firsts, later, wanted, each)
+    return out
 
 
 _WORD = re.compile(WORD)
 
 
-def without_words(text: str, firsts: list[int], least: int) -> tuple[str, list[dict], int]:
-    """The text without the windows of ``least`` words that start at ``firsts``, their merged spans (word numbers), and
-    how many lines went as wholes. Lines of which words stay keep them; blank lines inside a span go."""
-    spans: list[dict] = []
-    for f in sorted(firsts):
-        if spans and f <= spans[-1]["last"] + 1:
-            spans[-1]["last"] = f + least - 1
+def merged_spans(spans: list[dict]) -> list[dict]:
+    """Spans in order, those that touch joined."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: s["first"]):
+        if out and s["first"] <= out[-1]["last"] + 1:
+            out[-1]["last"] = max(out[-1]["last"], s["last"])
         else:
-            spans.append({"first": f, "last": f + least - 1})
+            out.append(dict(s))
+    return out
+
+
+def without_words(text: str, spans: list[dict]) -> tuple[str, int]:
+    """The text without its words in ``spans`` (merged), and how many lines went as wholes. Lines of which
+    words stay keep them; blank lines inside a span go."""
     out, at, k, gone = [], 0, 0, 0
     for line in text.split("\n"):
         words = [m.span() for m in _WORD.finditer(line)]
@@ -291,7 +199,7 @@ def without_words(text: str, firsts: list[int], least: int) -> tuple[str, list[d
             out.append(" ".join(pieces))
         else:
             gone += 1
-    return "\n".join(out), spans, gone
+    return "\n".join(out), gone
 
 
 def dedup_passages(docs: DataFrame, least: int = LEAST_WORDS, counts: bool = True) -> DataFrame:
@@ -304,11 +212,12 @@ def dedup_passages(docs: DataFrame, least: int = LEAST_WORDS, counts: bool = Tru
     if counts:
         docs = docs.drop("n_lines", "removed_lines", "removed")
     cols = docs.columns
-    found = staged(repeated_passages(docs, least), "line-spans")
+    found = repeated_passages(docs, least)
     packed = docs.select(F.struct(*cols).alias("doc"), F.xxhash64("doc_id", "text").alias("key_"))
-    marked = with_membership(packed, F.col("key_"), staged(membership(found, F.col("key_")), "line-filter"), "hit_")
+    # the document travels as one struct, so that its own column names can't clash; only texts that may change are shuffled
+    marked = Membership(found, F.col("key_")).mark(packed, F.col("key_"), "hit_")
     changed = marked.where("hit_").join(found, "key_", "left")
-    joined = changed.unionByName(marked.where("not hit_").withColumn("firsts", F.lit(None).cast("array<int>")))
+    joined = changed.unionByName(marked.where("not hit_").withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType)))
     extra = [T.StructField("n_lines", T.LongType()), T.StructField("removed_lines", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])))] if counts else []
     schema = T.StructType([*docs.schema.fields, *extra])
     text_at, chars_at = cols.index("text"), cols.index("n_chars") if "n_chars" in cols else None
@@ -316,8 +225,8 @@ def dedup_passages(docs: DataFrame, least: int = LEAST_WORDS, counts: bool = Tru
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for low in range(0, big.num_rows, 1000):
-                batch = big.slice(low, 1000)
+            for low in range(0, big.num_rows, STEP):
+                batch = big.slice(low, STEP)
                 out = list(batch.columns[: len(cols)])
                 texts, cut = out[text_at].to_pylist(), batch.column(len(cols)).to_pylist()
                 chars = out[chars_at].to_pylist() if chars_at is not None else None
@@ -325,7 +234,8 @@ def dedup_passages(docs: DataFrame, least: int = LEAST_WORDS, counts: bool = Tru
                 removed, gone = [[] for _ in texts], [0] * len(texts)
                 for i, c in enumerate(cut):
                     if c:
-                        texts[i], removed[i], gone[i] = without_words(texts[i], c, least)
+                        removed[i] = merged_spans(c)
+                        texts[i], gone[i] = without_words(texts[i], removed[i])
                         if chars is not None:
                             chars[i] = len(texts[i])
                 out[text_at] = pa.array(texts, pa.string())
@@ -337,7 +247,7 @@ def dedup_passages(docs: DataFrame, least: int = LEAST_WORDS, counts: bool = Tru
                     names += ["n_lines", "removed_lines", "removed"]
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return joined.select(*(F.col("doc")[c].alias(c) for c in cols), F.col("firsts").alias("claimgraph_firsts")).mapInArrow(run, schema)
+    return joined.select(*(F.col("doc")[c].alias(c) for c in cols), F.col("spans").alias("claimgraph_spans")).mapInArrow(run, schema)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -85,52 +85,6 @@ def test_components(spark):
 
 
 # 1 ------------------------------------------------------------------------------------------------
-def brute_lines(rows, least):
-    docs = []
-    for d, t in sorted(set(rows)):
-        lines = [(i, tuple(map(low, WORD.findall(x)))) for i, x in enumerate(t.split("\n"))]
-        docs.append((d, t, [x for x in lines if x[1]]))
-    seen, out = {}, {}
-
-    def runs(lines):
-        for a in range(len(lines)):
-            n = 0
-            for b in range(a, len(lines)):
-                n += len(lines[b][1])
-                if n >= least:
-                    yield a, b, tuple(x[1] for x in lines[a : b + 1])
-
-    for k, (_, _, lines) in enumerate(docs):
-        for a, b, run in runs(lines):
-            seen.setdefault(run, (k, a, b))
-    for k, (d, t, lines) in enumerate(docs):
-        gone = set()
-        for a, b, run in runs(lines):
-            if seen[run][0] != k or a > seen[run][2]:
-                gone |= set(range(lines[a][0], lines[b][0] + 1))
-        out[d] = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
-    return out
-
-
-@pytest.mark.parametrize("least", [3, 7])
-def test_line_dedup_brute_force(spark, least):
-    rng = random.Random(least)
-    rows = [(d, "\n".join(" ".join(rng.choice("abC") for _ in range(rng.choice([0, 1, 2, 3, 5]))) for _ in range(rng.randrange(12)))) for d in range(50)]
-    got = {r.doc_id: r.text for r in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), least).collect()}
-    assert got == brute_lines(rows, least)
-
-
-def test_line_dedup_passage_and_odd(spark, odd):
-    passage = " ".join(f"p{i}" for i in range(55))
-    rows = [(1, f"one\n{passage}\ntwo", 0), (2, f"three\n{passage.upper()}\nfour", 0), (3, "clean text of its own", 0)]
-    got = {r.doc_id: (r.text, r.n_chars) for r in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
-    assert got[1][0] == rows[0][1] and got[2] == ("three\nfour", 10) and got[3][0] == rows[2][1]
-    out = linedup.dedup_lines(odd, counts=False)
-    assert out.columns == odd.columns and out.count() == odd.count()
-    assert out.where("doc_id = 2").first().text is None and out.where("doc_id = 1").first().key_ == "x"
-    assert linedup.dedup_lines(odd.limit(0)).count() == 0
-
-
 def brute_passages(rows, least):
     """The words left of each text, without those in later repeats of ``least`` words."""
     docs = [(d, [low(x) for x in WORD.findall(t or "")]) for d, t in sorted(rows)]
@@ -190,7 +144,7 @@ def test_lm_scoring(spark, docs, odd):
     assert lm.score_documents(odd.limit(0), labels).count() == 0
 
 
-def brute_scores(rows, targets):
+def brute_scores(rows, targets, least=1):
     texts = [[low(x) for x in WORD.findall(t or "")] for _, t in rows]
     bigrams = [list(zip([None, *w], w)) for w in texts]
     good = [d in targets for d, _ in rows]
@@ -201,16 +155,26 @@ def brute_scores(rows, targets):
         for (b, w), c in n.items():
             words_[w] += c
             contexts[b] += c
-            kept[b] += max(c - lm.DISCOUNT, 0)
         models.append((n, words_, contexts, kept, sum(n.values())))
     wide = len(models[0][1]) + 2
+    often, seen = models[0][0].copy(), models[0][1].copy()
+    for n, words_, contexts, kept, _ in models:  # what is seen less than ``least`` times counts as not seen
+        for b in {b for b, _ in often if b is not None and seen[b] < least}:
+            contexts[b] = 0
+        for x, c in often.items():
+            if c < least:
+                n[x] = 0
+            kept[x[0]] += max(n[x] - lm.DISCOUNT, 0)
+        for w, c in seen.items():
+            if c < least:
+                words_[w] = 0
     out = []
     for b, g in zip(bigrams, good):
         pair, word, before, loss = Counter(b), Counter(w for _, w in b), Counter(x for x, _ in b), [0.0, 0.0]
         for m, (n, words_, contexts, kept, total) in enumerate(models):
             own = g or not m
             for x, w in b:
-                one = (words_[w] - own * word[w] + lm.ADD) / (total - own * len(b) + lm.ADD * wide)
+                one = (max(words_[w] - own * word[w], 0) + lm.ADD) / (total - own * len(b) + lm.ADD * wide)
                 c = contexts[x] - own * before[x]
                 two = max(n[x, w] - own * pair[x, w] - lm.DISCOUNT, 0) / max(c, 1)
                 passed = 1 - kept[x] / max(contexts[x], 1) if c > 0 else 1
@@ -219,34 +183,27 @@ def brute_scores(rows, targets):
     return out
 
 
-def test_lm_counts_all_words(spark):
+@pytest.mark.parametrize(("least", "most_sent"), [(1, 0), (1, 1 << 21), (3, 0), (3, 1 << 21)])
+def test_lm_counts_all_words(spark, least, most_sent):
     """Words and bigrams that are a tiny share of a large table count as they do in a small one; rows alike stay rows."""
     rng = random.Random(22)
     rows = [(d, " ".join(rng.choice(["rare", "seldom", "scarce", "few"]) for _ in range(rng.randrange(9)))) for d in range(40)]
     rows += [(40, " ".join(f"w{rng.randrange(30_000)}" for _ in range(400_000))), (41, None), (3, rows[3][1]), (None, "rare few")]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 40, 2)], "doc_id long, quality int, toxic int")
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_words, r.loss_background, r.loss_target) for r in lm.score_documents(d, labels).collect()), key=str)
-    want = sorted(((k is None, k or 0, *x) for (k, _), x in zip(rows, brute_scores(rows, set(range(0, 40, 2))))), key=str)
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_words, r.loss_background, r.loss_target) for r in lm.score_documents(d, labels, least, most_sent).collect()), key=str)
+    want = sorted(((k is None, k or 0, *x) for (k, _), x in zip(rows, brute_scores(rows, set(range(0, 40, 2)), least))), key=str)
     assert [x[:3] for x in got] == [x[:3] for x in want]
     for a, b in zip(got, want):
         assert (a[3] is None) == (b[3] is None) and (a[3] is None or a[3:] == pytest.approx(b[3:], rel=1e-9))
 
 
-def test_lm_losses_against_plain_counts():
-    ids = np.array([1, 2, 1, 2, 0])
-    before = np.array([3, 1, 2, 1, 2])
-    wide = 4
-    words_, contexts = np.bincount(ids, minlength=wide), np.bincount(before, minlength=wide)
-    pairs, n = np.unique(before << 32 | ids, return_counts=True)
-    m = lm.Models(np.array([5, 9], np.uint64), np.stack([words_, words_]), np.stack([contexts, contexts]), pairs, np.stack([n, n]))
-    loss = m.losses(ids, before, np.zeros(5, int), np.array([5]), (False, False))[0]
-    for k in range(5):
-        c = int(((before == before[k]) & (ids == ids[k])).sum())
-        one = (words_[ids[k]] + lm.ADD) / (5 + lm.ADD * wide)
-        kept = sum(max(x - lm.DISCOUNT, 0) for p, x in zip(pairs, n) if p >> 32 == before[k])
-        want = max(c - lm.DISCOUNT, 0) / contexts[before[k]] + (1 - kept / contexts[before[k]]) * one
-        assert abs(loss[k] + np.log(want)) < 1e-9
+def test_lm_scores_do_not_depend_on_partitions(spark, docs):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    one, many = ({r.doc_id: r.score for r in lm.score_documents(docs.repartition(n), labels, lm.MIN_COUNT).collect()} for n in (1, 16))
+    assert one == pytest.approx(many, rel=1e-9) and len(one) == docs.count()
+    want = brute_scores([(r.doc_id, r.text) for r in docs.collect()], {r.doc_id for r in lm.target_ids(labels).collect()}, lm.MIN_COUNT)
+    assert [one[r.doc_id] for r in docs.collect()] == pytest.approx([x[2] - x[1] for x in want], rel=1e-6, abs=1e-9)
 
 
 # 3 ------------------------------------------------------------------------------------------------
