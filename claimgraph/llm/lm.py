@@ -5,11 +5,14 @@ and clean, and a background model over all documents. They are matched: one voca
 smoothing. A document's score is the mean over its words of target loss minus background loss; low scores
 look like the target.
 
-The vocabulary holds every word of the corpus and the models every bigram: nothing is cut off by count or by
-share, so the counts don't depend on the size of the corpus or on its partitions. Unigrams take what absolute
-discounting leaves of the bigrams. The models stay in the cluster: each document's distinct bigrams are
-joined to them, losses are summed by document. Each document's own words are taken out of the counts before
-it is scored, so that no document vouches for itself.
+Words and bigrams are counted exactly. Those with fewer than ``min_count`` occurrences count as not seen; the
+number is the same at every size, so the models grow with the corpus and don't depend on its partitions.
+Unigrams take what absolute discounting leaves of the bigrams. A document's own words are taken out of the counts
+before it is scored, so that no document vouches for itself (the discounted mass of a word before stays that of all).
+
+Bigrams are counted in PASSES parts of the words before, one part's shuffle at a time. Models of a checked size are sent to all
+tasks and each document is scored where it is read; larger ones stay in the cluster, and documents' distinct
+bigrams are joined to them. Both ways give the same scores.
 
 Cases: null or empty texts and texts without words have 0 words and a null score; without labelled
 documents all scores are 0 (the target model falls back to the background); labels of unknown or null
@@ -20,6 +23,7 @@ toxicity; repeated rows are documents of their own; an empty table gives no rows
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,10 @@ from .common import fresh_key, staged, unstage
 from .words import mix64, text_bytes, word_hashes, word_spans
 
 DISCOUNT, ADD = 0.75, 0.5
-STEP = 500
+STEP = 400
+PASSES = 2
+#: The query's least number of occurrences of words and bigrams, and the most rows of models that are sent to all tasks (40 MB).
+MIN_COUNT, MOST_SENT = 5, 1 << 21
 #: Stands before the first word of a text.
 START = np.uint64(0x5851F42D4C957F2D)
 
@@ -79,9 +86,10 @@ def marked_documents(docs: DataFrame, targets: DataFrame) -> DataFrame:
     return staged(marked.withColumn("is_target", F.coalesce("is_target", F.lit(False))), "lm-documents")
 
 
-def count_bigrams(marked: DataFrame) -> DataFrame:
-    """(pair, before, word, n_all, n_target): occurrences of every bigram, summed in each task and then over all."""
-    names = ["pair", "before", "word", "n_all", "n_target"]
+def count_bigrams(marked: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+    """(before, word, n_all, n_target): occurrences of every bigram whose word before is in ``part``, summed in each task and then
+    over all."""
+    names = ["before", "word", "n_all", "n_target"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -89,84 +97,136 @@ def count_bigrams(marked: DataFrame) -> DataFrame:
 
         def summed() -> Iterator[pa.RecordBatch]:
             before, word, n_all, n_target = (np.concatenate([h[k] for h in held]) for k in range(4))
-            pairs, index, at = np.unique(_pair_hashes(before, word), return_index=True, return_inverse=True)
-            out = [pairs.view(np.int64), before[index].view(np.int64), word[index].view(np.int64), *(np.bincount(at, x, len(pairs)).astype(np.int64) for x in (n_all, n_target))]
-            for k in range(0, len(pairs), 100_000):
+            _, index, at = np.unique(_pair_hashes(before, word), return_index=True, return_inverse=True)
+            out = [before[index].view(np.int64), word[index].view(np.int64), *(np.bincount(at, x, len(index)).astype(np.int64) for x in (n_all, n_target))]
+            for k in range(0, len(index), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in out], names)
 
         for whole in batches:
             for low in range(0, whole.num_rows, STEP):
                 batch = whole.slice(low, STEP)
                 row, before, word, own, _, _, _ = _document_pairs(batch.column(0))
+                mine = np.flatnonzero(mix64(before) % np.uint64(parts) == np.uint64(part)) if parts > 1 else slice(None)
                 good = np.array(batch.column(1).to_pylist(), bool)
-                held.append((before, word, own, own * good[row]))
-                rows += len(own)
+                held.append((before[mine], word[mine], own[mine], (own * good[row])[mine]))
+                rows += len(held[-1][0])
                 if rows > 3_000_000:  # bounded memory: what has been counted goes out
                     yield from summed()
                     held, rows = [], 0
         if held:
             yield from summed()
 
-    counted = marked.select("text", "is_target").mapInArrow(count, "pair long, before long, word long, n_all long, n_target long")
-    return counted.groupBy("pair").agg(F.min("before").alias("before"), F.min("word").alias("word"), F.sum("n_all").alias("n_all"), F.sum("n_target").alias("n_target"))
+    counted = marked.select("text", "is_target").mapInArrow(count, "before long, word long, n_all long, n_target long")
+    return counted.groupBy("before", "word").agg(F.sum("n_all").alias("n_all"), F.sum("n_target").alias("n_target"))
+
+
+def count_words(marked: DataFrame) -> DataFrame:
+    """(word, w0, w1, c0, c1): occurrences of every word and, as the word before, of every word and of the start of a text;
+    0 for all documents, 1 for the target ones."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        rows = 0
+
+        def summed() -> pa.RecordBatch:
+            word, *counts = (np.concatenate([h[k] for h in held]) for k in range(5))
+            words, at = np.unique(word, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), *(pa.array(np.bincount(at, c, len(words)).astype(np.int64)) for c in counts)], ["word", "w0", "w1", "c0", "c1"])
+
+        for whole in batches:
+            for low in range(0, whole.num_rows, STEP):
+                batch = whole.slice(low, STEP)
+                hashes, first = _words(batch.column(0))
+                n = np.diff(first)
+                good = np.array(batch.column(1).to_pylist(), bool)
+                last = np.zeros(len(hashes), bool)
+                last[first[1:][n > 0] - 1] = True
+                target = np.repeat(good, n)
+                starts = np.array([n.astype(bool).sum(), (n.astype(bool) & good).sum()])
+                word = np.concatenate([hashes, [START]])
+                every = np.ones(len(word), np.int64)
+                every[-1] = 0
+                columns = [every, np.append(target, 0), np.append(~last, starts[0]), np.append(target & ~last, starts[1])]
+                words, at = np.unique(word, return_inverse=True)
+                held.append((words, *(np.bincount(at, c, len(words)) for c in columns)))
+                rows += len(words)
+                if rows > 2_000_000:
+                    yield summed()
+                    held, rows = [], 0
+        if held:
+            yield summed()
+
+    names = ["w0", "w1", "c0", "c1"]
+    counted = marked.select("text", "is_target").mapInArrow(count, "word long, w0 long, w1 long, c0 long, c1 long")
+    return counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in names))
 
 
 class Models:
-    """Both models in one process's memory, for small tables: what ``losses`` below does by joins."""
-
-    def __init__(self, vocab: np.ndarray, words: np.ndarray, contexts: np.ndarray, pairs: np.ndarray, counts: np.ndarray):
-        """words, contexts: (2, V + 2) counts as a word and as a word before; counts: (2, pairs). Row 0 is the background."""
-        self.vocab, self.words, self.contexts, self.pairs, self.counts = vocab, words, contexts, pairs, counts
-        self.total = words.sum(1)
-        before = pairs >> 32
-        kept = np.stack([np.bincount(before, np.maximum(c - DISCOUNT, 0), words.shape[1]) for c in counts])
-        self.passed = 1 - kept / np.maximum(contexts, 1)
-        self.alike = self.total[1] == 0  # no target text: both models are the background
-        if self.alike:
-            self.words, self.contexts, self.counts, self.passed, self.total = words[[0, 0]], contexts[[0, 0]], counts[[0, 0]], self.passed[[0, 0]], self.total[[0, 0]]
-
-    def losses(self, ids: np.ndarray, before: np.ndarray, row: np.ndarray, n_words: np.ndarray, own: tuple[bool, bool]) -> list[np.ndarray]:
-        """Loss of every word under both models; ``own``: whether each text's words are in the model and taken out."""
-        wide = self.words.shape[1]
-        own = (own[0], own[0]) if self.alike else own
-
-        def repeats(keys: np.ndarray) -> np.ndarray:
-            _, at, n = np.unique(keys, return_inverse=True, return_counts=True)
-            return n[at]
-
-        own_word, own_before = repeats(row * wide + ids), repeats(row * wide + before)
-        own_pair = repeats((row * wide + before) * wide + ids)
-        key = before << 32 | ids
-        at = np.minimum(np.searchsorted(self.pairs, key), max(0, len(self.pairs) - 1))
-        found = self.pairs[at] == key if len(self.pairs) else np.zeros(len(key), bool)
+    """Both models in one process's memory: words with their counts, and bigrams by the hash of the pair."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, mass: np.ndarray, pairs: np.ndarray, times: np.ndarray, total: tuple[int, int], n_words: int):
+        """words: sorted; counts: (4, words) w0, w1, c0, c1; mass: (2, words) that each passes on as the word before;
+        pairs: sorted hashes; times: (2, pairs)."""
+        self.words, self.counts, self.mass, self.pairs, self.times = words, counts, mass, pairs, times
+        self.total, self.wide = total, n_words + 2
+
+    def sums(self, column: pa.Array, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: words, and the sums of its words' losses under the background and the target model."""
+        row, before, word, own, own_word, own_before, n = _document_pairs(column)
+
+        def found(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(sorted_, keys), max(0, len(sorted_) - 1))
+            return at, sorted_[at] == keys if len(sorted_) else np.zeros(len(keys), bool)
+
+        w_at, w_in = found(self.words, word)
+        b_at, b_in = found(self.words, before)
+        p_at, p_in = found(self.pairs, _pair_hashes(before, word))
+
+        def of(values: np.ndarray, at: np.ndarray, inside: np.ndarray, other: float) -> np.ndarray:
+            return np.where(inside, values[at], other) if len(values) else np.full(len(at), other)
+
         out = []
         for m in (0, 1):
-            out_word, out_before, out_pair, out_all = (own_word, own_before, own_pair, n_words[row]) if own[m] else (0, 0, 0, 0)
-            one = (np.maximum(self.words[m][ids] - out_word, 0) + ADD) / (np.maximum(self.total[m] - out_all, 0) + ADD * wide)
-            contexts = self.contexts[m][before] - out_before
-            if len(self.pairs):
-                two = np.where(found, np.maximum(self.counts[m][at] - out_pair - DISCOUNT, 0), 0) / np.maximum(contexts, 1)
-                passed = np.where(contexts > 0, self.passed[m][before], 1.0)
-                out.append(-np.log(np.minimum(two, 1 - 1e-9) + np.maximum(passed, 1e-3) * one))
-            else:
-                out.append(-np.log(one))
-        return out
-
-
-def train(pairs: DataFrame) -> tuple[DataFrame, int, tuple[int, int]]:
-    """The models, a row for each bigram (pair; for model m: n, its count; w, of the word; c, of the word before as such;
-    p, the mass that the word before passes on), the number of distinct words and the words counted in each model."""
-    sums = [F.sum(f"n_{x}").alias(f"{k}{m}") for k in "wc" for m, x in enumerate(("all", "target"))]
+            k = m if self.total[1] else 0  # no target text: both models are the background
+            taken = np.ones(len(row)) if k == 0 else good[row].astype(float)
+            one = (np.maximum(of(self.counts[k], w_at, w_in, 0) - taken * own_word, 0) + ADD) / (np.maximum(self.total[k] - taken * n[row], 0) + ADD * self.wide)
+            contexts = of(self.counts[2 + k], b_at, b_in, 0) - taken * own_before
+            two = np.maximum(of(self.times[k], p_at, p_in, 0) - taken * own - DISCOUNT, 0) / np.maximum(contexts, 1)
+            passed = np.where(contexts > 0, of(self.mass[k], b_at, b_in, 1), 1)
+            loss = -np.log(np.minimum(two, 1 - 1e-9) + np.maximum(passed, 1e-3) * one)
+            out.append(np.bincount(row, own * loss, len(n)))
+        return n, out[0], out[1]
+
+
+def score_in_place(marked: DataFrame, models: Models) -> DataFrame:
+    """doc_id, is_target, n_words and the sums of losses, each document scored where it is read."""
+    shared = marked.sparkSession.sparkContext.broadcast(models)
+    names = ["doc_id", "is_target", "own", "background", "target"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, STEP):
+                batch = whole.slice(low, STEP)
+                n, background, target = shared.value.sums(batch.column(1), np.array(batch.column(2).to_pylist(), bool))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(background, pa.float64()), pa.array(target, pa.float64())], names)
+
+    return marked.select("doc_id", "text", "is_target").mapInArrow(run, "doc_id long, is_target boolean, own long, background double, target double")
+
+
+def passed_mass(pairs: DataFrame) -> DataFrame:
+    """(before, k0, k1): the discounted counts of the bigrams of each word before."""
     kept = [F.sum(F.greatest(F.col(f"n_{x}") - DISCOUNT, F.lit(0.0))).alias(f"k{m}") for m, x in enumerate(("all", "target"))]
-    words = staged(pairs.groupBy("word").agg(*sums[:2]), "lm-words")
-    contexts = pairs.groupBy("before").agg(*sums[2:], *kept)
-    passed = [(1 - F.col(f"k{m}") / F.greatest(F.col(f"c{m}"), F.lit(1))).alias(f"p{m}") for m in (0, 1)]
-    contexts = staged(contexts.select("before", "c0", "c1", *passed), "lm-contexts")
-    n_words, *total = words.agg(F.count("*"), F.coalesce(F.sum("w0"), F.lit(0)), F.coalesce(F.sum("w1"), F.lit(0))).first()
-    model = pairs.withColumn("w_", fresh_key("word")).join(words.select(fresh_key("word").alias("w_"), "w0", "w1"), "w_")
-    model = model.withColumn("b_", fresh_key("before")).join(contexts.select(fresh_key("before").alias("b_"), "c0", "c1", "p0", "p1"), "b_")
-    model = model.select("pair", F.col("n_all").alias("n0"), F.col("n_target").alias("n1"), "w0", "w1", "c0", "c1", "p0", "p1")
-    return model, n_words, tuple(total)
+    return pairs.groupBy("before").agg(*kept)
+
+
+def joined_models(pairs: DataFrame, words: DataFrame, contexts: DataFrame) -> DataFrame:
+    """A row for each bigram (pair; for model m: n, its count; w, of the word; c, of the word before as such; p, the mass that
+    the word before passes on)."""
+    model = pairs.withColumn("w_", fresh_key("word")).join(words.select(fresh_key("word").alias("w_"), "w0", "w1"), "w_", "left")
+    model = model.withColumn("b_", fresh_key("before")).join(contexts.select(fresh_key("before").alias("b_"), "c0", "c1", "p0", "p1"), "b_", "left")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("w0", "w1", "c0", "c1")]
+    one = [F.coalesce(c, F.lit(1.0)).alias(c) for c in ("p0", "p1")]
+    return model.select("before", "word", "n0", "n1", *zero, *one)
 
 
 def document_pairs(marked: DataFrame) -> DataFrame:
@@ -180,20 +240,21 @@ def document_pairs(marked: DataFrame) -> DataFrame:
                 row, before, word, own, own_word, own_before, n = _document_pairs(batch.column(1))
                 none = np.flatnonzero(n == 0)
                 zeros = np.zeros(len(none), np.int64)
-                keys = batch.column(3).to_numpy(zero_copy_only=False)
-                pair = np.concatenate([_pair_hashes(before, word).view(np.int64), keys[none]])
                 row = np.concatenate([row, none])
                 copies = np.zeros(len(row), np.int64)
                 copies[np.unique(row, return_index=True)[1]] = 1
                 at = pa.array(row)
+                # a document without words has a pair that no text has, of its own
+                alone = mix64(batch.column(3).to_numpy(zero_copy_only=False)[none].view(np.uint64))
+                hashes = [np.concatenate([x, alone]).view(np.int64) for x in (before, word)]
                 counts = [np.concatenate([x, zeros]) for x in (own, own_word, own_before)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(3).take(at), batch.column(0).take(at), batch.column(2).take(at), pa.array(pair), *(pa.array(x, pa.int64()) for x in (*counts, n[row], copies))],
-                    ["key_", "doc_id", "is_target", "pair", "own", "own_word", "own_before", "n", "copies"],
+                    [batch.column(3).take(at), batch.column(0).take(at), batch.column(2).take(at), *map(pa.array, hashes), *(pa.array(x, pa.int64()) for x in (*counts, n[row], copies))],
+                    ["key_", "doc_id", "is_target", "before", "word", "own", "own_word", "own_before", "n", "copies"],
                 )
 
     keyed = marked.select("doc_id", "text", "is_target", F.xxhash64("doc_id", "text").alias("key_"))
-    return keyed.mapInArrow(run, "key_ long, doc_id long, is_target boolean, pair long, own long, own_word long, own_before long, n long, copies long")
+    return keyed.mapInArrow(run, "key_ long, doc_id long, is_target boolean, before long, word long, own long, own_word long, own_before long, n long, copies long")
 
 
 def losses(n_words: int, total: tuple[int, int]) -> list[Column]:
@@ -212,22 +273,54 @@ def losses(n_words: int, total: tuple[int, int]) -> list[Column]:
     return out
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, n_words, loss_target, loss_background, score (their difference), is_target."""
-    marked = marked_documents(docs, target_ids(labels))
-    pairs = staged(count_bigrams(marked), "lm-pairs")
-    model, n_words, total = train(pairs)
-    rows = document_pairs(marked).withColumn("k_", fresh_key("pair")).drop("pair")
-    rows = rows.join(model.withColumn("k_", fresh_key("pair")).drop("pair"), "k_", "left")
+def score_joined(marked: DataFrame, model: DataFrame, n_words: int, total: tuple[int, int]) -> DataFrame:
+    """The same as ``score_in_place`` for models of any size: documents' bigrams are joined to them, losses summed by document."""
+    key = F.xxhash64("before", "word", F.lit(7))
+    rows = document_pairs(marked).withColumn("k_", key).drop("before", "word")
+    rows = rows.join(model.withColumn("k_", key).drop("before", "word"), "k_", "left")
     background, target = (F.coalesce(F.sum(F.col("own") * loss), F.lit(0.0)) for loss in losses(n_words, total))
     sums = rows.groupBy("key_", "doc_id", "is_target").agg(F.sum("own").alias("own"), F.sum("copies").alias("copies"), background.alias("background"), target.alias("target"))
-    sums = staged(sums, "lm-sums")  # the tables that it came from can go
-    unstage(marked, pairs)
     each = sums.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))  # as many rows as came in
+    return each.select("doc_id", "is_target", *((F.col(c) / F.col("copies")).cast(t).alias(c) for c, t in (("own", "long"), ("background", "double"), ("target", "double"))))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, min_count: int = 1, most_sent: int = MOST_SENT) -> DataFrame:
+    """doc_id, n_words, loss_target, loss_background, score (their difference), is_target."""
+    marked = marked_documents(docs, target_ids(labels))
+    every = staged(count_words(marked), "lm-words")
+    n_words, *total = every.agg(F.count_if(F.col("w0") > 0), F.coalesce(F.sum("w0"), F.lit(0)), F.coalesce(F.sum("w1"), F.lit(0))).first()
+    # words seen too seldom have no counts as words, nor, if no bigram of theirs can be kept, as words before
+    words = every.where(F.greatest("w0", "c0") >= min_count)
+    words = words.select("word", *(F.when(F.col("w0") >= min_count, F.col(w)).otherwise(0).alias(w) for w in ("w0", "w1")), "c0", "c1")
+    n_kept, kept, parts = words.count(), 0, []
+    for part in range(PASSES):
+        parts.append(staged(count_bigrams(marked, part, PASSES).where(F.col("n_all") >= min_count), "lm-pairs"))
+        kept += parts[-1].count()
+    pairs = reduce(DataFrame.union, parts)
+    mass = passed_mass(pairs)
+    # in order: a context's mass is 1 less its discounted bigrams; words that no kept bigram starts with pass on everything
+    of = words.select("word", "w0", "w1", "c0", "c1").join(mass.withColumnRenamed("before", "word"), "word", "left")
+    of = of.select("word", "w0", "w1", "c0", "c1", *((1 - F.coalesce(f"k{m}", F.lit(0.0)) / F.greatest(f"c{m}", F.lit(1))).alias(f"p{m}") for m in (0, 1)))
+    if n_kept + kept <= most_sent:
+        w = of.toPandas().assign(word=lambda x: x["word"].to_numpy(np.int64).view(np.uint64)).sort_values("word")
+        p = pairs.toPandas()
+        hashes = _pair_hashes(p["before"].to_numpy(np.int64).view(np.uint64), p["word"].to_numpy(np.int64).view(np.uint64))
+        order = np.argsort(hashes)
+        times = p[["n_all", "n_target"]].to_numpy(np.int64).T[:, order].astype(np.int32 if total[0] < 1 << 31 else np.int64)
+        counts = w[["w0", "w1", "c0", "c1"]].to_numpy(np.int64).T
+        models = Models(w["word"].to_numpy(np.uint64), counts, w[["p0", "p1"]].to_numpy(float).T, hashes[order], times, tuple(total), n_words)
+        sums = staged(score_in_place(marked, models), "lm-sums")
+    else:
+        of = staged(of, "lm-models")
+        scored = [count_bigrams(marked, part, PASSES) for part in range(PASSES)]  # with the seldom ones, as rows that count nothing
+        scored = reduce(DataFrame.union, scored).select("before", "word", *(F.when(F.col("n_all") >= min_count, F.col(n)).otherwise(0).alias(f"n{m}") for m, n in enumerate(("n_all", "n_target"))))
+        sums = staged(score_joined(marked, joined_models(scored, of, of.withColumnRenamed("word", "before")), n_words, tuple(total)), "lm-sums")
+        unstage(of)
+    unstage(marked, every, *parts)
     mean = [F.when(F.col("own") > 0, F.col(c) / F.col("own")).alias(f"loss_{c}") for c in ("target", "background")]
-    out = each.select("doc_id", (F.col("own") / F.col("copies")).cast("long").alias("n_words"), *mean, "is_target")
+    out = sums.select("doc_id", F.col("own").alias("n_words"), *mean, "is_target")
     return out.select("doc_id", "n_words", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"), "is_target")
 
 
 def op2_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), MIN_COUNT)
