@@ -17,29 +17,36 @@ candidates without error before the sets are fetched.
 Cases: null texts and texts without words have an empty set, link with nothing and are their own
 component; texts with fewer words than a shingle have their whole sequence as one; repeated rows fall into one
 component; null doc_ids count only in classes without any other; ties of the token order go by hash; an empty table
-gives no rows; other columns are ignored. Sets are told apart by 64-bit hashes, tokens by 48 bits.
+gives no rows; other columns are ignored. Sets are told apart by 58-bit hashes, tokens by 48 bits.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh_key, membership, staged, unstage, with_membership
+from .common import Membership, connected_components, fresh_key, staged, unstage
 from .words import mix64, shingles, text_bytes, word_hashes, word_spans
 
-STEP = 1000
-#: Tokens of more sets than this belong to the frequent class; at most 2^20 tokens do, so it can be broadcast.
-FREQUENT, FREQUENT_BITS = 8, 20
+STEP = 400
+#: Tokens of more sets than a share of the root of all sets, and than this, belong to the frequent class; at most 2^20 tokens do, so
+#: it can be broadcast.
+FREQUENT, ROOT_SHARE, FREQUENT_BITS = 8, 28, 20
+#: The index is made, joined and removed in so many parts of its keys, so that only one part is on disk at a time.
+PARTS = 2
+#: Bits of a set's hash; above them an index entry holds its place in the choice of leaders.
+WHOLE_BITS = 58
 _TOKEN = np.uint64((1 << 48) - 1)
 
 
 def token_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted 48-bit tokens of each text's shingle set, first of each text (len + 1), hash of each set."""
+    """Sorted 48-bit tokens of each text's shingle set, first of each text (len + 1), 58-bit hash of each set."""
     values, offsets = text_bytes(column)
     starts, ends, first = word_spans(values, offsets)
     hashes, at = shingles(word_hashes(values, starts, ends), first, size)
@@ -55,7 +62,7 @@ def token_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.
     whole = np.zeros(n, np.uint64)
     full = np.flatnonzero(count)
     if len(full):
-        whole[full] = mix64(np.add.reduceat(mix64(tokens), first[full]) ^ mix64(count[full].astype(np.uint64)))
+        whole[full] = mix64(np.add.reduceat(mix64(tokens), first[full]) ^ mix64(count[full].astype(np.uint64))) >> np.uint64(64 - WHOLE_BITS)
     return tokens, first, whole
 
 
@@ -109,7 +116,7 @@ def count_tokens(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 mine = np.repeat(fresh, n)
                 held.append((tokens[mine], inside[mine]))
                 rows += int(mine.sum())
-                if rows > 3_000_000:  # bounded memory
+                if rows > 2_000_000:  # bounded memory
                     yield from counted()
                     held, rows = [], 0
         if held:
@@ -118,16 +125,18 @@ def count_tokens(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def frequent_tokens(docs: DataFrame, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_tokens(docs: DataFrame, n_sets: int, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted tokens of the frequent class, and each one's place in its order (rarest first).
 
-    A token of more than FREQUENT sets is frequent; where that would make the class larger than its bound, the
-    least doubling of FREQUENT that keeps to the bound is taken. Any class gives the same links.
+    The class starts at a share of the root of all sets: so a set has about as many entries in a large corpus as in a small
+    one, and a rare key has few sets. Where that would make the class larger than its bound, the least doubling
+    that keeps to the bound is taken. Any class gives the same links.
     """
-    counts = staged(count_tokens(docs, size, percent).where(F.col("n") > FREQUENT), "near-frequent")
-    sizes = counts.agg(*(F.count_if(F.col("n") > FREQUENT << k).alias(f"c{k}") for k in range(40))).first()
+    least = max(FREQUENT, math.isqrt(n_sets) // ROOT_SHARE)
+    counts = staged(count_tokens(docs, size, percent).where(F.col("n") > least), "near-frequent")
+    sizes = counts.agg(*(F.count_if(F.col("n") > least << k).alias(f"c{k}") for k in range(40))).first()
     step = next(k for k in range(40) if sizes[k] <= 1 << FREQUENT_BITS)
-    rows = counts.where(F.col("n") > FREQUENT << step).toPandas()
+    rows = counts.where(F.col("n") > least << step).toPandas()
     unstage(counts)
     tokens, n = rows["token"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
     place = np.empty(len(tokens), np.int64)
@@ -197,9 +206,9 @@ def index_entries(tokens: np.ndarray, first: np.ndarray, frequent: np.ndarray, p
     return np.concatenate(keys), owner, thousandth[owner], np.concatenate(most)
 
 
-def index(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, whole, rare, n, most) for every set: its rare tokens per thousand, size and largest partner at that key."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def index(docs: DataFrame, size: int, percent: int, shared, part: int) -> DataFrame:
+    """(key, id, n, most) for every set and each of its keys in ``part``: id is the set's hash below its share of rare tokens,
+    most its largest partner at that key. ``shared`` is the broadcast frequent class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens_, place = shared.value
@@ -213,10 +222,13 @@ def index(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarray,
                 if not len(n):
                     continue
                 key, owner, rare, most = index_entries(tokens, np.concatenate([[0], np.cumsum(n)]), tokens_, place, percent)
-                columns = [key.view(np.int64), whole[owner].view(np.int64), rare.astype(np.int16), n[owner].astype(np.int32), most.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["key", "whole", "rare", "n", "most"])
+                mine = np.flatnonzero(key % np.uint64(PARTS) == np.uint64(part))
+                key, owner, most = key[mine], owner[mine], most[mine]
+                ids = whole[owner] | (rare[mine] * 31 // 1000).astype(np.uint64) << np.uint64(WHOLE_BITS)
+                columns = [key.view(np.int64), ids.view(np.int64), n[owner].astype(np.int32), most.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["key", "id", "n", "most"])
 
-    return docs.select("text").mapInArrow(run, "key long, whole long, rare short, n int, most int")
+    return docs.select("text").mapInArrow(run, "key long, id long, n int, most int")
 
 
 def _hopeful(percent: int) -> Column:
@@ -226,12 +238,19 @@ def _hopeful(percent: int) -> Column:
     return (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & ((100 + percent) * (both - differ) >= 2 * percent * both)
 
 
+def _joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on ``key`` whose exchanges adaptive execution may split, whatever is grouped by ``key`` before or after."""
+    other = [F.col(c) for c in right.columns if c != key]
+    return left.withColumn("k_", fresh_key(key)).join(right.select(fresh_key(key).alias("k_"), *other), "k_").drop("k_")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets whose Jaccard similarity reaches the threshold, compared in full."""
+    """The pairs (a, b) of sets whose Jaccard similarity reaches the threshold, compared in full; ``pairs`` is distinct."""
     one = sets.select(F.col("whole").alias("a"), "n", "sketch", F.col("doc_id").alias("doc_a"))
     two = sets.select(F.col("whole").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"), F.col("doc_id").alias("doc_b"))
-    close = staged(pairs.join(one, "a").join(two, "b").where(_hopeful(percent)).select("a", "b", "n", "n2", "doc_a", "doc_b"), "near-close")
-    wanted = close.select(F.col("doc_a").alias("doc_id")).union(close.select("doc_b")).distinct()
+    close = _joined(_joined(pairs, one, "a"), two, "b").where(_hopeful(percent))
+    close = staged(close.select("a", "b", "n", "n2", "doc_a", "doc_b"), "near-close")
+    wanted = staged(close.select(F.col("doc_a").alias("doc_id")).union(close.select("doc_b")).distinct(), "near-wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -240,14 +259,19 @@ def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percen
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(tokens.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), lists], ["whole", "tokens"])
 
-    # texts stay where they are: a bit filter keeps those of the wanted documents and a few others
+    # texts stay where they are: a bit filter keeps those of the wanted documents and a few others, one text of each set
     key = F.xxhash64("doc_id")
-    texts = with_membership(docs.select("doc_id", "text"), key, staged(membership(wanted, key), "near-wanted"), "hit_").where("hit_").select("text")
-    full = staged(texts.mapInArrow(run, "whole long, tokens array<long>").where("size(tokens) > 0"), "near-sets")
-    joined = close.join(full.select(F.col("whole").alias("a"), "tokens"), "a").join(full.select(F.col("whole").alias("b"), F.col("tokens").alias("tokens2")), "b")
+    texts = Membership(wanted, key).mark(docs.select("doc_id", "text"), key, "hit_").where("hit_").select("text")
+    full = staged(texts.mapInArrow(run, "whole long, tokens array<long>").where("size(tokens) > 0"), "near-full")
+    if not full.groupBy("whole").count().where("count > 1").isEmpty():  # ids that aren't unique bring a set along more than once
+        once = staged(full.dropDuplicates(["whole"]), "near-full")
+        unstage(full)
+        full = once
+    joined = _joined(close.select("a", "b", "n", "n2"), full.select(F.col("whole").alias("b"), F.col("tokens").alias("tokens2")), "b")
+    joined = _joined(joined, full.select(F.col("whole").alias("a"), "tokens"), "a")
     shared = F.size(F.array_intersect("tokens", "tokens2"))
-    found = staged(joined.where((100 + percent) * shared >= percent * (F.col("n") + F.col("n2"))).select("a", "b").distinct(), "near-links")
-    unstage(close, full)
+    found = staged(joined.where((100 + percent) * shared >= percent * (F.col("n") + F.col("n2"))).select("a", "b"), "near-links")
+    unstage(close, full, wanted)
     return found
 
 
@@ -257,26 +281,39 @@ def _apart(entries: DataFrame, components: DataFrame) -> DataFrame:
     rows = entries.withColumn("w_", fresh_key("whole")).join(known, "w_", "left").drop("w_")
     rows = staged(rows.withColumn("component", F.coalesce("component", "whole")), "near-rows")
     keys = rows.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("n").alias("smallest")).where("c1 <> c2")
-    live = rows.withColumn("k_", fresh_key("key")).join(keys.select(fresh_key("key").alias("k_"), "smallest"), "k_").where("most >= smallest").drop("k_", "smallest")
+    live = _joined(rows, keys.select("key", "smallest"), "key").where("most >= smallest").drop("smallest")
     out = staged(live, "near-apart")
     unstage(rows)
     return out
 
 
-def link_sets(docs: DataFrame, sets: DataFrame, entries: DataFrame, size: int, percent: int) -> DataFrame:
+def led_entries(entries: DataFrame, percent: int) -> DataFrame:
+    """(key, whole, n, most, whole2, m) of the entries that may have a partner: m at their key, whose leader is whole2.
+
+    What no partner of the key can fit is left out: all are too large for the place of the key, or too small for the set.
+    """
+    heads = entries.groupBy("key").agg(F.min("id").alias("id2"), F.count("*").alias("m"), F.min("n").alias("smallest"), F.max("n").alias("largest")).where("m > 1")
+    heads = heads.select(fresh_key("key").alias("key"), "id2", "m", "smallest", "largest")
+    led = entries.select(fresh_key("key").alias("key"), "id", "n", "most").join(heads, "key")
+    led = led.where(f"most >= smallest and 100 * largest >= {percent} * n")
+    whole = [F.col(c).bitwiseAND(F.lit((1 << WHOLE_BITS) - 1)) for c in ("id", "id2")]
+    return led.select("key", whole[0].alias("whole"), "n", "most", whole[1].alias("whole2"), "m")
+
+
+def link_sets(docs: DataFrame, sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, percent: int) -> DataFrame:
     """Links (a, b) that connect every two sets connected by similar pairs."""
-    pref = F.shiftleft(F.col("rare").cast("long"), 53).bitwiseOR(F.shiftrightunsigned("whole", 11))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
     pair = [F.least("whole", "whole2").alias("a"), F.greatest("whole", "whole2").alias("b")]
-    heads = entries.groupBy("key").agg(F.min_by("whole", pref).alias("whole2"), F.count("*").alias("m"), F.min("n").alias("smallest"), F.max("n").alias("largest")).where("m > 1")
-    led = entries.withColumn("k_", fresh_key("key")).join(heads.select(fresh_key("key").alias("k_"), "whole2", "m", "smallest", "largest"), "k_")
-    # what no partner of the key can fit is left out: all are too large for the place of the key, or too small for the set
-    led = led.where(f"most >= smallest and 100 * largest >= {percent} * n").drop("k_", "rare", "smallest", "largest")
-    led = staged(led, "near-led")
-    unstage(entries)
+    parts = []
+    for part in range(PARTS):
+        entries = staged(index(docs, size, percent, shared, part), "near-index")
+        parts.append(staged(led_entries(entries, percent), "near-led"))
+        unstage(entries)
+    led = reduce(DataFrame.union, parts)
     links = verify(led.where("whole <> whole2").select(*pair).distinct(), docs, sets, size, percent)
     components = staged(connected_components(links), "near-components")
     rows = _apart(led.where("m > 2").drop("whole2", "m"), components)
-    unstage(led)
+    unstage(*parts)
     two = rows.select(fresh_key("key").alias("k_"), F.col("whole").alias("whole2"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("component").alias("component2"))
     rest = rows.withColumn("k_", fresh_key("key")).join(two, "k_").where("whole < whole2 and component <> component2 and n <= most2 and n2 <= most")
     return links.union(verify(rest.select(*pair).distinct(), docs, sets, size, percent))
@@ -287,11 +324,12 @@ def _classed(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     measured = staged(measure(docs, size), "near-measured")
     sets = measured.where("n > 0").groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sets = staged(sets, "near-sets")
-    entries = staged(index(docs, size, percent, frequent_tokens(docs, size, percent)), "near-index")
-    links = link_sets(docs, sets, entries, size, percent)
+    links = link_sets(docs, sets, frequent_tokens(docs, sets.count(), size, percent), size, percent)
     components = staged(connected_components(links), "near-components")
     of = sets.select(fresh_key("whole").alias("k_"), "doc_id", "whole").join(components.select(fresh_key("node").alias("k_"), "component"), "k_", "left")
-    return measured, staged(of.select("doc_id", "whole", F.coalesce("component", "whole").alias("component")), "near-of")
+    out = staged(of.select("doc_id", "whole", F.coalesce("component", "whole").alias("component")), "near-of")
+    unstage(sets, components)
+    return measured, out
 
 
 def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
