@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import padded
 from ..vocab import ACTIVATE, SUPPRESS
-from .iterate import cut
+from .iterate import staged as cut
 
 
 def _ends(edges: DataFrame) -> DataFrame:
