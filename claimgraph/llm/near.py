@@ -11,7 +11,7 @@ size classes. Each entry knows the largest partner its place in the prefix still
 Candidates are compared exactly, but not all within a key: first each set with its key's leader (the
 set with the fewest rare tokens). What is linked becomes one component; keys whose sets are in one component
 are done, as are sets that are too large for every partner in the key. What is still apart is compared
-within the remaining keys. No key or candidate is capped. A parity sketch of 512 bits bounds the difference of two sets from below and drops hopeless
+within the remaining keys. No key or candidate is capped. A parity sketch of 512 bits (2048 for large sets) bounds the difference of two sets from below and drops hopeless
 candidates without error before the sets are fetched.
 
 Cases: null texts and texts without words have an empty set, link with nothing and are their own
@@ -22,7 +22,6 @@ gives no rows; other columns are ignored. Sets are told apart by 58-bit hashes,
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,11 +34,10 @@ from .common import Membership, connected_components, fresh_key, staged, unstage
 from .words import mix64, shingles, text_bytes, word_hashes, word_spans
 
 STEP = 400
-#: Tokens of more sets than a share of the root of all sets, and than this, belong to the frequent class; at most 2^20 tokens do, so
-#: it can be broadcast.
-FREQUENT, ROOT_SHARE, FREQUENT_BITS = 8, 28, 20
+#: Tokens of more sets than this belong to the frequent class; at most 2^20 tokens do, so it can be broadcast.
+FREQUENT, FREQUENT_BITS = 8, 20
 #: The index is made, joined and removed in so many parts of its keys, so that only one part is on disk at a time.
-PARTS = 2
+PARTS = 4
 #: Bits of a set's hash; above them an index entry holds its place in the choice of leaders.
 WHOLE_BITS = 58
 _TOKEN = np.uint64((1 << 48) - 1)
@@ -66,13 +64,27 @@ def token_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.
     return tokens, first, whole
 
 
-def sketches(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Parity of the tokens in each of 512 bins, as eight 64-bit numbers a set."""
+#: Bits of the parity sketch of sets of up to WIDE tokens, and of larger ones.
+SKETCH, WIDE_SKETCH, WIDE = 512, 2048, 512
+
+
+def sketches(tokens: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """Parity of the tokens in each bin, 64 bins to a number."""
     n = len(first) - 1
-    row = np.repeat(np.arange(n), np.diff(first))
-    bins = (mix64(tokens) & np.uint64(511)).astype(np.int64)
-    odd = np.bincount(row * 512 + bins, minlength=n * 512).astype(np.uint8) & 1
-    return np.packbits(odd.reshape(n, 512), axis=1).view(np.int64).reshape(n, 8)
+    sizes = np.diff(first)
+    row = np.repeat(np.arange(n), sizes)
+    bins = (mix64(tokens) & np.uint64(WIDE_SKETCH - 1)).astype(np.int64)
+    odd = np.bincount(row * WIDE_SKETCH + bins, minlength=n * WIDE_SKETCH).astype(np.uint8).reshape(n, WIDE_SKETCH) & 1
+    wide = sizes > WIDE
+    short = np.bitwise_xor.reduce(odd.reshape(n, WIDE_SKETCH // SKETCH, SKETCH), axis=1)
+    length = np.where(wide, WIDE_SKETCH, SKETCH) // 64
+    ends = np.concatenate([[0], np.cumsum(length)])
+    out = np.zeros(ends[-1], np.int64)
+    for some, bits in ((wide, odd), (~wide, short)):
+        if some.any():
+            packed = np.packbits(bits[some], axis=1).view(np.int64)
+            out[np.repeat(ends[:-1][some], packed.shape[1]) + np.tile(np.arange(packed.shape[1]), int(some.sum()))] = packed.ravel()
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out))
 
 
 def measure(docs: DataFrame, size: int) -> DataFrame:
@@ -83,9 +95,7 @@ def measure(docs: DataFrame, size: int) -> DataFrame:
             for low in range(0, big.num_rows, STEP):
                 batch = big.slice(low, STEP)
                 tokens, first, whole = token_sets(batch.column(0), size)
-                marks = sketches(tokens, first)
-                marks = pa.ListArray.from_arrays(pa.array(np.arange(len(marks) + 1) * 8, pa.int32()), pa.array(marks.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(np.diff(first)), pa.array(whole.view(np.int64)), marks], ["doc_id", "key_", "n", "whole", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(np.diff(first)), pa.array(whole.view(np.int64)), sketches(tokens, first)], ["doc_id", "key_", "n", "whole", "sketch"])
 
     return docs.select("text", "doc_id", F.xxhash64("doc_id", "text").alias("key_")).mapInArrow(run, "doc_id long, key_ long, n long, whole long, sketch array<long>")
 
@@ -125,18 +135,16 @@ def count_tokens(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def frequent_tokens(docs: DataFrame, n_sets: int, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_tokens(docs: DataFrame, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted tokens of the frequent class, and each one's place in its order (rarest first).
 
-    The class starts at a share of the root of all sets: so a set has about as many entries in a large corpus as in a small
-    one, and a rare key has few sets. Where that would make the class larger than its bound, the least doubling
-    that keeps to the bound is taken. Any class gives the same links.
+    A token of more than FREQUENT sets is frequent; where that would make the class larger than its bound, the
+    least doubling of FREQUENT that keeps to the bound is taken. Any class gives the same links.
     """
-    least = max(FREQUENT, math.isqrt(n_sets) // ROOT_SHARE)
-    counts = staged(count_tokens(docs, size, percent).where(F.col("n") > least), "near-frequent")
-    sizes = counts.agg(*(F.count_if(F.col("n") > least << k).alias(f"c{k}") for k in range(40))).first()
+    counts = staged(count_tokens(docs, size, percent).where(F.col("n") > FREQUENT), "near-frequent")
+    sizes = counts.agg(*(F.count_if(F.col("n") > FREQUENT << k).alias(f"c{k}") for k in range(40))).first()
     step = next(k for k in range(40) if sizes[k] <= 1 << FREQUENT_BITS)
-    rows = counts.where(F.col("n") > least << step).toPandas()
+    rows = counts.where(F.col("n") > FREQUENT << step).toPandas()
     unstage(counts)
     tokens, n = rows["token"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
     place = np.empty(len(tokens), np.int64)
@@ -232,10 +240,10 @@ def index(docs: DataFrame, size: int, percent: int, shared, part: int) -> DataFr
 
 
 def _hopeful(percent: int) -> Column:
-    """Whether sets of n and n2 tokens whose sketches differ in so many bits can be similar enough."""
+    """Whether sets of n and n2 tokens whose sketches differ in so many bits can be similar enough; sketches of two lengths don't tell."""
     differ = F.aggregate(F.zip_with("sketch", "sketch2", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
     both = F.col("n") + F.col("n2")
-    return (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & ((100 + percent) * (both - differ) >= 2 * percent * both)
+    return (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & ((F.size("sketch") != F.size("sketch2")) | ((100 + percent) * (both - differ) >= 2 * percent * both))
 
 
 def _joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -245,33 +253,42 @@ def _joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets whose Jaccard similarity reaches the threshold, compared in full; ``pairs`` is distinct."""
+    """The pairs (a, b) of sets whose Jaccard similarity reaches the threshold, compared in full; ``pairs`` is distinct.
+
+    A set is fetched as the text of its one document; those that stand first in pairs (leaders, fewer) travel last.
+    """
     one = sets.select(F.col("whole").alias("a"), "n", "sketch", F.col("doc_id").alias("doc_a"))
     two = sets.select(F.col("whole").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"), F.col("doc_id").alias("doc_b"))
     close = _joined(_joined(pairs, one, "a"), two, "b").where(_hopeful(percent))
-    close = staged(close.select("a", "b", "n", "n2", "doc_a", "doc_b"), "near-close")
-    wanted = staged(close.select(F.col("doc_a").alias("doc_id")).union(close.select("doc_b")).distinct(), "near-wanted")
+    key = lambda doc, whole: F.xxhash64(doc, whole)
+    close = staged(close.select("a", "b", "n", "n2", key("doc_a", "a").alias("key_a"), key("doc_b", "b").alias("key_b"), "doc_a", "doc_b"), "near-close")
+    ids = F.xxhash64("doc_id")
+    members = [staged(close.select(F.col(c).alias("doc_id")).distinct(), "near-wanted") for c in ("doc_a", "doc_b")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for low in range(0, big.num_rows, STEP):
-                tokens, first, whole = token_sets(big.column(0).slice(low, STEP), size)
+                batch = big.slice(low, STEP)
+                tokens, first, whole = token_sets(batch.column(0), size)
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(tokens.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), lists], ["whole", "tokens"])
-
-    # texts stay where they are: a bit filter keeps those of the wanted documents and a few others, one text of each set
-    key = F.xxhash64("doc_id")
-    texts = Membership(wanted, key).mark(docs.select("doc_id", "text"), key, "hit_").where("hit_").select("text")
-    full = staged(texts.mapInArrow(run, "whole long, tokens array<long>").where("size(tokens) > 0"), "near-full")
-    if not full.groupBy("whole").count().where("count > 1").isEmpty():  # ids that aren't unique bring a set along more than once
-        once = staged(full.dropDuplicates(["whole"]), "near-full")
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(whole.view(np.int64)), batch.column(2), batch.column(3), lists], ["doc_id", "whole", "as_a", "as_b", "tokens"])
+
+    # texts stay where they are: bit filters keep those of the wanted documents and a few others
+    texts = docs.select("doc_id", "text")
+    for df, name in zip(members, ("as_a", "as_b")):
+        texts = Membership(df, ids).mark(texts, ids, name)
+    texts = texts.where("as_a or as_b").select("text", "doc_id", "as_a", "as_b")
+    full = texts.mapInArrow(run, "doc_id long, whole long, as_a boolean, as_b boolean, tokens array<long>").where("size(tokens) > 0")
+    full = staged(full.select(key("doc_id", "whole").alias("key"), "as_a", "as_b", "tokens"), "near-full")
+    if not full.groupBy("key").count().where("count > 1").isEmpty():  # repeated rows
+        once = staged(full.dropDuplicates(["key"]), "near-full")
         unstage(full)
         full = once
-    joined = _joined(close.select("a", "b", "n", "n2"), full.select(F.col("whole").alias("b"), F.col("tokens").alias("tokens2")), "b")
-    joined = _joined(joined, full.select(F.col("whole").alias("a"), "tokens"), "a")
+    joined = _joined(close.select("a", "b", "n", "n2", "key_a", "key_b"), full.where("as_b").select(F.col("key").alias("key_b"), F.col("tokens").alias("tokens2")), "key_b").drop("key_b")
+    joined = _joined(joined, full.where("as_a").select(F.col("key").alias("key_a"), "tokens"), "key_a")
     shared = F.size(F.array_intersect("tokens", "tokens2"))
     found = staged(joined.where((100 + percent) * shared >= percent * (F.col("n") + F.col("n2"))).select("a", "b"), "near-links")
-    unstage(close, full, wanted)
+    unstage(close, full, *members)
     return found
 
 
@@ -310,7 +327,8 @@ def link_sets(docs: DataFrame, sets: DataFrame, frequent: tuple[np.ndarray, np.n
         parts.append(staged(led_entries(entries, percent), "near-led"))
         unstage(entries)
     led = reduce(DataFrame.union, parts)
-    links = verify(led.where("whole <> whole2").select(*pair).distinct(), docs, sets, size, percent)
+    # the leader has the lesser id of the two, so a pair stands one way only
+    links = verify(led.where("whole <> whole2").select(F.col("whole2").alias("a"), F.col("whole").alias("b")).distinct(), docs, sets, size, percent)
     components = staged(connected_components(links), "near-components")
     rows = _apart(led.where("m > 2").drop("whole2", "m"), components)
     unstage(*parts)
@@ -324,7 +342,7 @@ def _classed(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     measured = staged(measure(docs, size), "near-measured")
     sets = measured.where("n > 0").groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sets = staged(sets, "near-sets")
-    links = link_sets(docs, sets, frequent_tokens(docs, sets.count(), size, percent), size, percent)
+    links = link_sets(docs, sets, frequent_tokens(docs, size, percent), size, percent)
     components = staged(connected_components(links), "near-components")
     of = sets.select(fresh_key("whole").alias("k_"), "doc_id", "whole").join(components.select(fresh_key("node").alias("k_"), "component"), "k_", "left")
     out = staged(of.select("doc_id", "whole", F.coalesce("component", "whole").alias("component")), "near-of")
