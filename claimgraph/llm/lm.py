@@ -36,8 +36,8 @@ from .words import mix64, text_bytes, word_hashes, word_spans
 DISCOUNT, ADD = 0.75, 0.5
 STEP = 400
 PASSES = 2
-#: The query's least number of occurrences of words and bigrams, and the most rows of models that are sent to all tasks (40 MB).
-MIN_COUNT, MOST_SENT = 5, 1 << 21
+#: The query's least number of occurrences of words and bigrams, and the most rows of models that are sent to all tasks (170 MB at most).
+MIN_COUNT, MOST_SENT = 5, 1 << 22
 #: Stands before the first word of a text.
 START = np.uint64(0x5851F42D4C957F2D)
 
@@ -213,6 +213,22 @@ def score_in_place(marked: DataFrame, models: Models) -> DataFrame:
     return marked.select("doc_id", "text", "is_target").mapInArrow(run, "doc_id long, is_target boolean, own long, background double, target double")
 
 
+def collected(rows: DataFrame, derive, kinds: list) -> list[np.ndarray]:
+    """Columns of a table of bounded size as arrays: packed by the tasks, so that the driver only puts bytes together.
+
+    ``derive`` makes arrays of ``kinds`` out of a batch.
+    """
+    names = [f"c{k}" for k in range(len(kinds))]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = derive([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            yield pa.RecordBatch.from_arrays([pa.array([a.astype(k).tobytes()], pa.binary()) for a, k in zip(arrays, kinds)], names)
+
+    packed = rows.mapInArrow(pack, ", ".join(f"{n} binary" for n in names)).collect()
+    return [np.frombuffer(b"".join(bytes(r[n]) for r in packed), k) for n, k in zip(names, kinds)]
+
+
 def passed_mass(pairs: DataFrame) -> DataFrame:
     """(before, k0, k1): the discounted counts of the bigrams of each word before."""
     kept = [F.sum(F.greatest(F.col(f"n_{x}") - DISCOUNT, F.lit(0.0))).alias(f"k{m}") for m, x in enumerate(("all", "target"))]
@@ -302,13 +318,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, min_count: int = 1, most
     of = words.select("word", "w0", "w1", "c0", "c1").join(mass.withColumnRenamed("before", "word"), "word", "left")
     of = of.select("word", "w0", "w1", "c0", "c1", *((1 - F.coalesce(f"k{m}", F.lit(0.0)) / F.greatest(f"c{m}", F.lit(1))).alias(f"p{m}") for m in (0, 1)))
     if n_kept + kept <= most_sent:
-        w = of.toPandas().assign(word=lambda x: x["word"].to_numpy(np.int64).view(np.uint64)).sort_values("word")
-        p = pairs.toPandas()
-        hashes = _pair_hashes(p["before"].to_numpy(np.int64).view(np.uint64), p["word"].to_numpy(np.int64).view(np.uint64))
-        order = np.argsort(hashes)
-        times = p[["n_all", "n_target"]].to_numpy(np.int64).T[:, order].astype(np.int32 if total[0] < 1 << 31 else np.int64)
-        counts = w[["w0", "w1", "c0", "c1"]].to_numpy(np.int64).T
-        models = Models(w["word"].to_numpy(np.uint64), counts, w[["p0", "p1"]].to_numpy(float).T, hashes[order], times, tuple(total), n_words)
+        number = np.int32 if total[0] < 1 << 31 else np.int64
+        word, *counts, p0, p1 = collected(of, lambda c: [c[0].view(np.uint64), *c[1:]], [np.uint64, *[number] * 4, float, float])
+        hashes, *times = collected(pairs, lambda c: [_pair_hashes(c[0].view(np.uint64), c[1].view(np.uint64)), *c[2:]], [np.uint64, number, number])
+        at, order = np.argsort(word), np.argsort(hashes)
+        models = Models(word[at], np.stack(counts)[:, at], np.stack([p0, p1])[:, at], hashes[order], np.stack(times)[:, order], tuple(total), n_words)
         sums = staged(score_in_place(marked, models), "lm-sums")
     else:
         of = staged(of, "lm-models")
