@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..vocab import ARTIFACT_PATTERNS, CANONICAL_NODES, NAME_PATTERN, NAME_WORDS, NODE_ALIASES, NODE_LEXICON, NOISE_WORDS, STOP_NODES
 from . import text as T
 
 
@@ -19,23 +20,29 @@ def normalize_entities(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     Adds normalized, status (normalized or unresolved), method and canonical_key; one row per (normalized, type).
     """
     out = rows.withColumn("label", squeeze("label")).where("label <> ''").withColumn("canonical_key", T.canonical_key("label"))
-    a = F.broadcast(aliases.select(F.col("type"), F.col("key").alias("canonical_key"), "canonical"))
+    a = aliases.select(F.col("type"), F.col("key").alias("canonical_key"), "canonical")
     out = out.join(a, ["type", "canonical_key"], "left")
     out = out.withColumns({"normalized": F.coalesce("canonical", "label"), "status": F.when(F.col("canonical").isNull(), "unresolved").otherwise("normalized"), "method": F.when(F.col("canonical").isNull(), "none").otherwise("alias")})
     return out.drop("canonical").dropDuplicates(["normalized", "type"])
 
 
-def normalize_node(c: Column | str, aliases: list[tuple[str, str]]) -> Column:
+def titled(c: Column) -> Column:
+    """Lower-case text with the first letter after anything but a letter in upper case."""
+    runs = F.regexp_extract_all(c, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda w: F.concat(F.when(F.substring(w, 1, 1) == "ß", "Ss").otherwise(F.upper(F.substring(w, 1, 1))), w.substr(F.lit(2), F.length(w)))), "")
+
+
+def normalize_node(c: Column | str, aliases: list[tuple[str, str]] = NODE_ALIASES) -> Column:
     """Exact alias, then the first alias that contains the text or is contained in it, then the text if 3 to 59 characters long."""
     low = F.lower(squeeze(c))
     exact = F.try_element_at(F.create_map(*(F.lit(x) for p in aliases for x in p)), low)
     pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(n).alias("n")) for a, n in aliases))
     near = F.try_element_at(F.filter(pairs, lambda p: F.contains(low, p["a"]) | F.contains(p["a"], low)), F.lit(1))["n"]
-    own = F.when((F.length(low) > 2) & (F.length(low) < 60), F.initcap(low))
+    own = F.when((F.length(low) > 2) & (F.length(low) < 60), titled(low))
     return F.coalesce(exact, near, own)
 
 
-def classify_node(c: Column | str, lexicon: dict[str, list[str]]) -> Column:
+def classify_node(c: Column | str, lexicon: dict[str, list[str]] = NODE_LEXICON) -> Column:
     """Type of a node by lexicon; muscles are tissue; else Unknown."""
     out = F.when(F.contains(F.lower(T.col(c)), F.lit("muscle")), "Tissue").otherwise("Unknown")
     for kind, names in reversed(lexicon.items()):
@@ -43,32 +50,28 @@ def classify_node(c: Column | str, lexicon: dict[str, list[str]]) -> Column:
     return out
 
 
-#: Words that mark a label as a piece of a sentence, at its edges or inside.
-EDGE_WORDS = ["a", "an", "and", "as", "by", "for", "from", "in", "is", "of", "on", "or", "that", "the", "to", "was", "were", "which", "with"]
-INNER_WORDS = ["and", "are", "by", "is", "that", "was", "were", "which", "with"]
-
-
-def looks_like_noise(c: Column | str) -> Column:
-    """Five words or more, a stop word at an edge, one inside of three words or more, or a leading number."""
-    words = F.split(F.lower(squeeze(c)), " ")
+def looks_like_noise(c: Column | str, noise: list[str] = NOISE_WORDS) -> Column:
+    """No word or five and more, a noise word at an edge or anywhere among three and more, or a leading number."""
+    words = F.split(squeeze(c), " ")
+    low = F.transform(words, lambda w: F.lower(F.btrim(w, F.lit(".,;:"))))
+    bad = lambda w: w.isin(list(noise))
     n = F.size(words)
-    edge = F.array(*map(F.lit, EDGE_WORDS))
-    inner = F.exists(words, lambda w: w.isin(INNER_WORDS)) & (n >= 3)
-    return (n >= 5) | F.array_contains(edge, words[0]) | F.array_contains(edge, F.element_at(words, -1)) | inner | words[0].rlike("^[0-9]")
-
-
-def artifact_reason(c: Column | str, canonical: list[str] = (), stop: list[str] = ()) -> Column:
-    """Why a label is an artifact, else null; canonical labels never are."""
-    low = F.lower(squeeze(c))
-    return (
-        F.when(T.col(c).isin(list(canonical)) if canonical else F.lit(False), F.lit(None).cast("string"))
-        .when(low.isin(list(stop)) if stop else F.lit(False), "stop_node")
-        .when(F.size(F.split(low, " ")) > 6, "too_many_words")
-        .when(low.rlike(r"^[^a-z0-9]|^(the|a|an|and|or|of|in|to|by|with|that|which) "), "fragment_start")
-        .when(low.rlike(r" (the|a|an|and|or|of|in|to|by|with|that|which)$"), "fragment_end")
-        .when(low.rlike(r"^[0-9]+$"), "number")
-        .when(low.rlike(r"^(these|this|those|our|we|results?|study|studies)( |$)"), "sentence_fragment")
-    )
+    return (squeeze(c) == "") | (n >= 5) | bad(low[0]) | bad(F.element_at(low, -1)) | ((n >= 3) & F.exists(low, bad)) | words[0].rlike("^[0-9]+$")
+
+
+def artifact_reason(c: Column | str, canonical: list[str] = CANONICAL_NODES, stop: list[str] = STOP_NODES, patterns: list[str] = ARTIFACT_PATTERNS, aliases: list[tuple[str, str]] = NODE_ALIASES) -> Column:
+    """Why a label is an artifact, else null; canonical labels, aliases and names like IL-5 never are."""
+    label = T.col(c)
+    low = F.lower(F.trim(label))
+    words = F.split(squeeze(label), " ")
+    fine = label.isin([*canonical, *(name for _, name in aliases)])
+    spared = low.isin([a for a, _ in aliases]) | label.rlike(r"(?i)^IL-?\d+[a-z]?$")
+    out = F.when(fine, F.lit(None).cast("string")).when(label.isin(list(stop)), "stopword_node").when(spared, F.lit(None).cast("string")).when(F.size(words) > 6, "too_many_words")
+    for p in patterns:
+        out = out.when(label.rlike(f"(?i){p}"), f"pattern:{p[:40]}")
+    capital = F.substring(words[0], 1, 1).rlike(r"^\p{Lu}")
+    named = F.exists(words, lambda w: F.lower(w).isin(NAME_WORDS)) | low.rlike(NAME_PATTERN)
+    return out.when((F.size(words) >= 3) & capital & ~named, "sentence_fragment")
 
 
 def context_value(c: Column | str) -> Column:

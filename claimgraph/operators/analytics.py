@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import padded
 from ..vocab import ACTIVATE, SUPPRESS
 from .iterate import staged as cut
+from .iterate import unstage
 
 
 def _ends(edges: DataFrame) -> DataFrame:
@@ -27,6 +28,15 @@ def degree(nodes: DataFrame, edges: DataFrame, core: Column | None = None) -> Da
     return out.where(core) if core is not None else out
 
 
+def core_degree(edges: DataFrame, core: DataFrame, k: int = 20) -> DataFrame:
+    """A1: the k nodes with the most edges that touch the core (id), and how many edges lie inside it."""
+    c = core.select("id").distinct()
+    marked = edges.join(c.select(F.col("id").alias("source"), F.lit(1).alias("s")), "source", "left").join(c.select(F.col("id").alias("target"), F.lit(1).alias("t")), "target", "left")
+    touching = marked.where("s = 1 or t = 1")
+    top = _ends(touching).groupBy("id").agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "id").limit(k)
+    return top.crossJoin(touching.agg(F.count_if((F.col("s") == 1) & (F.col("t") == 1)).alias("core_edges")))
+
+
 def degree_ratio(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """A2: distinct-neighbour degree over the largest one, 4 places."""
     d = degree(nodes, edges)
@@ -34,87 +44,119 @@ def degree_ratio(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return d.crossJoin(F.broadcast(top)).select("id", F.round(F.col("neighbours") / F.greatest("top", F.lit(1)), 4).alias("degree_ratio"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame | None = None, max_depth: int = 50) -> DataFrame:
-    """A3: directed betweenness by Brandes' sums, level by level for all pivots at once.
+def betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame | None = None) -> DataFrame:
+    """A3: directed betweenness by Brandes' sums, level by level for all pivots at once, until no new node is reached.
 
-    ``pivots`` (id) samples the sources for large graphs; scores are then sums over those sources alone.
+    ``pivots`` (id) samples the sources for large graphs; scores are then sums over those sources alone. The state has a row for
+    each pivot and node that it reaches.
     """
     p = cut(pairs(edges))
     seeds = (pivots if pivots is not None else nodes).select(F.col("id").alias("s"))
-    seen = cut(seeds.select("s", F.col("s").alias("v"), F.lit(0).alias("d"), F.lit(1.0).cast("double").alias("paths")))
-    depth = 0
-    while depth < max_depth:
-        front = seen.where(F.col("d") == depth)
-        step = front.join(p, front.v == p.source).groupBy("s", F.col("target").alias("v")).agg(F.sum("paths").alias("paths"))
-        new = cut(step.join(seen.select("s", "v"), ["s", "v"], "left_anti").select("s", "v", F.lit(depth + 1).alias("d"), "paths"))
-        if not new.take(1):
+    levels = [cut(seeds.select("s", F.col("s").alias("v"), F.lit(1.0).cast("double").alias("paths")))]
+    while True:
+        seen = levels[0].select("s", "v")
+        for one in levels[1:]:
+            seen = seen.union(one.select("s", "v"))
+        step = levels[-1].join(p, F.col("v") == p.source).groupBy("s", F.col("target").alias("v")).agg(F.sum("paths").alias("paths"))
+        new = cut(step.join(seen, ["s", "v"], "left_anti"))
+        if new.isEmpty():
+            unstage(new)
             break
-        seen = seen.union(new)
-        depth += 1
-    seen = cut(seen)
-    low = seen.select("s", F.col("v").alias("w"), F.col("d").alias("dw"), F.col("paths").alias("pw"))
-    share = cut(seen.where("false").select("s", "v", F.lit(0.0).alias("delta")))
-    for level in range(depth, 0, -1):
-        at = low.where(F.col("dw") == level).join(share.withColumnRenamed("v", "w"), ["s", "w"], "left")
-        back = at.join(p, F.col("w") == p.target).join(seen.where(F.col("d") == level - 1).select("s", F.col("v").alias("source"), "paths"), ["s", "source"])
-        gain = back.groupBy("s", F.col("source").alias("v")).agg(F.sum(F.col("paths") / F.col("pw") * (1 + F.coalesce("delta", F.lit(0.0)))).alias("delta"))
-        share = cut(share.unionByName(gain))
-    total = share.where("s <> v").groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("betweenness"))
+        levels.append(new)
+    share = None
+    total = None
+    for level in range(len(levels) - 1, 0, -1):  # a node's share goes to the nodes before it on its shortest paths
+        at = levels[level].select("s", F.col("v").alias("w"), F.col("paths").alias("pw"))
+        at = at.join(share.select("s", F.col("v").alias("w"), "delta"), ["s", "w"], "left") if share is not None else at.withColumn("delta", F.lit(None).cast("double"))
+        back = at.join(p, F.col("w") == p.target).join(levels[level - 1].select("s", F.col("v").alias("source"), "paths"), ["s", "source"])
+        gain = cut(back.groupBy("s", F.col("source").alias("v")).agg(F.sum(F.col("paths") / F.col("pw") * (1 + F.coalesce("delta", F.lit(0.0)))).alias("delta")))
+        mine = cut(gain.where("s <> v").groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("b")))
+        total = mine if total is None else total.union(mine)
+        if share is not None:
+            unstage(share)
+        share = gain
+    unstage(p, *levels, *([share] if share is not None else []))
+    if total is None:
+        return nodes.select("id", F.lit(0.0).alias("betweenness"))
+    total = total.groupBy("id").agg(F.sum("b").alias("betweenness"))
     return nodes.select("id").join(total, "id", "left").select("id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-8) -> DataFrame:
-    """A4: PageRank over distinct pairs; dangling mass spread evenly; stops at an L1 change below tol (0: never)."""
-    p = edges.select("source", "target").distinct()
-    p = cut(p.join(p.groupBy("source").agg(F.count("*").alias("out")), "source"))
+    """A4: PageRank over distinct pairs; dangling mass spread evenly; stops at an L1 change below tol (0: never).
+
+    Each round is one job: ranks are written once, and what the next round needs to know is observed while they are.
+    """
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("pagerank"))
-    rank = nodes.select("id", F.lit(1.0 / n).alias("r"))
-    for k in range(max_iter):
-        dangling = rank.join(p.select(F.col("source").alias("id")), "id", "left_anti").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("loose"))
-        got = rank.join(p, rank.id == p.source).groupBy(F.col("target").alias("id")).agg(F.sum(F.col("r") / F.col("out")).alias("in_"))
-        nxt = rank.withColumnRenamed("r", "old").join(got, "id", "left").crossJoin(F.broadcast(dangling))
-        nxt = nxt.select("id", "old", ((1 - alpha) / n + alpha * (F.coalesce("in_", F.lit(0.0)) + F.col("loose") / n)).alias("r"))
-        if tol or k % 5 == 4:
-            nxt = cut(nxt)
-        if tol and nxt.agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] < tol:
-            return nxt.select("id", F.col("r").alias("pagerank"))
-        rank = nxt.select("id", "r")
+    p = edges.select("source", "target").distinct()
+    out = p.groupBy("source").agg(F.count("*").alias("out"))
+    p = cut(p.join(out, "source").select("source", "target", (1 / F.col("out")).alias("share")))
+    rank = nodes.select("id").join(out.select(F.col("source").alias("id"), "out"), "id", "left")
+    rank = cut(rank.select("id", F.col("out").isNull().alias("loose"), F.lit(1.0 / n).alias("r")))
+    loose = rank.where("loose").count() / n
+    for _ in range(max_iter):
+        got = p.join(rank.select(F.col("id").alias("source"), "r"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("r") * F.col("share")).alias("in_"))
+        nxt = rank.withColumnRenamed("r", "old").join(got, "id", "left").withColumn("r", (1 - alpha) / n + alpha * (F.coalesce("in_", F.lit(0.0)) + loose / n))
+        seen = Observation()
+        nxt = nxt.observe(seen, F.sum(F.abs(F.col("r") - F.col("old"))).alias("change"), F.sum(F.when(F.col("loose"), F.col("r")).otherwise(0.0)).alias("loose"))
+        nxt = cut(nxt.select("id", "loose", "r"))
+        unstage(rank)
+        rank, loose = nxt, seen.get["loose"]
+        if tol and seen.get["change"] < tol:
+            break
+    unstage(p)
     return rank.select("id", F.col("r").alias("pagerank"))
 
 
 def eigenvector_centrality(nodes: DataFrame, edges: DataFrame, max_iter: int = 100, tol: float = 1e-8) -> DataFrame:
-    """A5: power iteration over undirected distinct neighbours, scaled to length 1; zeros where nothing is connected."""
+    """A5: power iteration over undirected distinct neighbours, scaled to length 1; zeros where nothing is connected.
+
+    Each round writes the product once; its length is observed on the way and divided out when it is read.
+    """
     p = cut(_ends(edges.where("source <> target")).distinct())
-    x = nodes.select("id", F.lit(1.0).alias("x"))
-    for k in range(max_iter):
-        got = x.join(p.withColumnRenamed("other", "to"), "id").groupBy(F.col("to").alias("id")).agg(F.sum("x").alias("y"))
-        nxt = x.withColumnRenamed("x", "old").join(got, "id", "left").select("id", "old", F.coalesce("y", F.lit(0.0)).alias("y"))
-        norm = nxt.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
-        nxt = nxt.crossJoin(F.broadcast(norm)).select("id", "old", F.when(F.col("norm") > 0, F.col("y") / F.col("norm")).otherwise(0.0).alias("x"))
-        if tol or k % 5 == 4:
-            nxt = cut(nxt)
-        if tol and nxt.agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0] < tol:
-            return nxt.select("id", F.col("x").alias("eigenvector"))
-        x = nxt.select("id", "x")
-    return x.select("id", F.col("x").alias("eigenvector"))
-
-
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Id, component (least member), size; alternating star steps, so rounds grow with the log of a component."""
+    x = cut(nodes.select("id", F.lit(1.0).alias("y"), F.lit(0.0).alias("old")))
+    norm = 1.0
+    for _ in range(max_iter):
+        unit = x.select("id", (F.col("y") / norm).alias("x"))
+        got = p.join(unit, "id").groupBy(F.col("other").alias("id")).agg(F.sum("x").alias("y"))
+        seen = Observation()
+        nxt = unit.withColumnRenamed("x", "old").join(got, "id", "left").select("id", F.coalesce("y", F.lit(0.0)).alias("y"), "old")
+        nxt = cut(nxt.observe(seen, F.sum(F.col("y") * F.col("y")).alias("square")))
+        unstage(x)
+        x, norm = nxt, (seen.get["square"] or 0.0) ** 0.5 or 1.0
+        if tol and (x.agg(F.sum(F.abs(F.col("y") / norm - F.col("old")))).first()[0] or 0.0) < tol:
+            break
+    unstage(p)
+    return x.select("id", (F.col("y") / norm).alias("eigenvector"))
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """Id, component (least member), size; alternating star steps, so rounds grow with the log of a component.
+
+    Joins meet on a salted copy of the key, so that adaptive execution may split a hub.
+    """
+    key = lambda c: F.xxhash64(c, F.lit(7))
     e = cut(pairs(edges).select(F.greatest("source", "target").alias("a"), F.least("source", "target").alias("b")).distinct())
     last = None
-    while True:
+    for _ in range(most_rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
+        large = both.withColumn("k_", key("a")).join(least.select(key("a").alias("k_"), "m"), "k_").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.union(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        e = cut(large.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        down = large.withColumn("k_", key("a")).join(low.select(key("a").alias("k_"), "m"), "k_").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        seen = Observation()
+        step = down.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        nxt = cut(step.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")))
+        unstage(e)
+        e, state = nxt, (seen.get["n"], seen.get["sum"])
         if state == last:
             break
         last = state
+    else:
+        raise RuntimeError("components did not settle")
     of = nodes.select("id").join(e.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     return of.join(of.groupBy("component").agg(F.count("*").alias("size")), "component").select("id", "component", "size")
 
@@ -158,8 +200,21 @@ def build_loops(edges: DataFrame, cycles: DataFrame, rules: list[tuple[str, list
     for name, members in reversed(list(rules)):
         category = F.when(F.arrays_overlap("path", F.array(*map(F.lit, members))), name).otherwise(category)
     out = cycles.join(per, "key").select("path", "length", F.round(F.col("backed") / F.col("hops"), 4).alias("completeness"), "supporting_pmids", F.size("supporting_pmids").alias("pmid_count"), category.alias("category"), "key")
-    rank = F.row_number().over(Window.orderBy(F.desc("pmid_count"), F.desc("completeness"), "length", "key"))
-    return out.withColumn("loop_id", F.concat(F.lit("L"), padded(rank))).drop("key")
+    return numbered(cut(out), ["-pmid_count", "-completeness", "length", "key"], "rank").select("*", F.concat(F.lit("L"), padded("rank")).alias("loop_id")).drop("key", "rank")
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Row numbers from 1 on in a total order, over all executors: numbers inside value ranges, plus what the ranges before hold.
+
+    ``rows`` is read twice (a staged table).
+    """
+    by = [F.expr(o) for o in order]
+    ranged = rows.repartitionByRange(*by).withColumn("part_", F.spark_partition_id())
+    ranged = cut(ranged)
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("part_").agg(F.count("*").alias("n_")).withColumn("start_", F.coalesce(F.sum("n_").over(before), F.lit(0)))  # a row per partition
+    inside = F.row_number().over(Window.partitionBy("part_").orderBy(*by))
+    return ranged.withColumn("in_", inside).join(starts.select("part_", "start_"), "part_").withColumn(name, F.col("in_") + F.col("start_")).drop("part_", "in_", "start_")
 
 
 def motif_completeness(edges: DataFrame, motifs: DataFrame, graph_key: list[str] = []) -> DataFrame:
@@ -167,7 +222,7 @@ def motif_completeness(edges: DataFrame, motifs: DataFrame, graph_key: list[str]
     hops = path_hops(motifs, "name")
     graphs = edges.select(*graph_key).distinct() if graph_key else None
     if graphs is not None:
-        hops = hops.crossJoin(F.broadcast(graphs))
+        hops = hops.crossJoin(graphs)
     keys = [*graph_key, "name"]
     e = edges.groupBy(*graph_key, "source", "target").agg(F.flatten(F.collect_list("pmids")).alias("pmids"), F.sum("confidence").alias("conf"), F.count("*").alias("n"))
     joined = hops.join(e, [*graph_key, "source", "target"], "left")
@@ -200,24 +255,44 @@ def cross_graph_motifs(edges: DataFrame, motifs: DataFrame, graph_key: str = "gr
     return out.withColumn("class", kind)
 
 
+def transfer_notes(edges: DataFrame, motifs: DataFrame, papers: DataFrame, graph_key: str = "graph_id", comparable: float = 0.5) -> DataFrame:
+    """Per motif and pair of graphs what may be carried over, and whether both corpora are of comparable size.
+
+    ``papers``: (graph, papers) sizes of the corpora; comparable where the smaller has at least that share of the larger.
+    """
+    per = motif_completeness(edges, motifs, [graph_key]).select("name", F.col(graph_key).alias("g"), F.col("completeness").alias("c"), F.col("pmid_count").alias("p"))
+    sizes = papers.select(F.col(graph_key).alias("g"), F.col("papers").alias("size"))
+    per = per.join(sizes, "g", "left")
+    one = per.select("name", *(F.col(c).alias(f"{c}_a") for c in ("g", "c", "p", "size")))
+    two = per.select("name", *(F.col(c).alias(f"{c}_b") for c in ("g", "c", "p", "size")))
+    both = one.join(two, "name").where("g_a < g_b")
+    note = F.expr(
+        """case when c_a >= 1 and c_b < 0.5 then 'full in the first, weak in the second' when c_b >= 1 and c_a < 0.5 then 'full in the second, weak in the first'
+        when c_a >= 1 and c_b >= 1 then 'present in both' when p_a >= 3 and p_b <= 1 then 'several sources in the first, one or none in the second'
+        when p_b >= 3 and p_a <= 1 then 'several sources in the second, one or none in the first' end"""
+    )
+    return both.select("name", F.col("g_a").alias("graph_a"), F.col("g_b").alias("graph_b"), note.alias("note"), (F.least("size_a", "size_b") >= comparable * F.greatest("size_a", "size_b")).alias("comparable"))
+
+
 def contradictions(edges: DataFrame, activate: list[str] = ACTIVATE, suppress: list[str] = SUPPRESS) -> DataFrame:
     """Opposite claims, once per unordered pair and kind, both sides kept and no winner.
 
-    Kinds: same_direction (a->b activates and suppresses) and reverse (a->b activates, b->a suppresses or
+    Kinds: same_direction (a->b activates and suppresses; ``one_edge`` where a single edge does both) and reverse (a->b activates, b->a suppresses or
     the other way round). Pairs meet by one aggregation on the unordered pair instead of a scan of all edges.
     """
-    rows = edges.where("source <> target").select("source", "target", F.explode("relations").alias("r"), "pmids")
+    has = lambda words: F.arrays_overlap("relations", F.array(*map(F.lit, words)))
+    rows = edges.where("source <> target").select("source", "target", F.explode("relations").alias("r"), "pmids", (has(activate) & has(suppress)).alias("both"))
     sign = F.when(F.col("r").isin(activate), "+").when(F.col("r").isin(suppress), "-")
     rows = rows.withColumn("sign", sign).where("sign is not null")
     rows = rows.withColumns({"a": F.least("source", "target"), "b": F.greatest("source", "target"), "way": F.when(F.col("source") < F.col("target"), ">").otherwise("<")})
-    side = rows.groupBy("a", "b", "way", "sign").agg(F.array_sort(F.collect_set("r")).alias("relations"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pmids")))).alias("pmids"))
+    side = rows.groupBy("a", "b", "way", "sign").agg(F.array_sort(F.collect_set("r")).alias("relations"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pmids")))).alias("pmids"), F.max("both").alias("both"))
     slot = lambda way, sign, c: F.max(F.when((F.col("way") == way) & (F.col("sign") == sign), F.col(c)))
-    cells = {f"{n}_{c}": slot(w, s, c) for n, w, s in (("fp", ">", "+"), ("fm", ">", "-"), ("bp", "<", "+"), ("bm", "<", "-")) for c in ("relations", "pmids")}
+    cells = {f"{n}_{c}": slot(w, s, c) for n, w, s in (("fp", ">", "+"), ("fm", ">", "-"), ("bp", "<", "+"), ("bm", "<", "-")) for c in ("relations", "pmids", "both")}
     wide = side.groupBy("a", "b").agg(*(v.alias(k) for k, v in cells.items()))
 
     def pick(kind: str, x: str, y: str) -> Column:
         both = F.col(f"{x}_relations").isNotNull() & F.col(f"{y}_relations").isNotNull()
-        return F.when(both, F.struct(F.lit(kind).alias("kind"), F.lit(x).alias("side_a"), F.lit(y).alias("side_b"), F.col(f"{x}_relations").alias("relations_a"), F.col(f"{y}_relations").alias("relations_b"), F.col(f"{x}_pmids").alias("pmids_a"), F.col(f"{y}_pmids").alias("pmids_b")))
+        return F.when(both, F.struct(F.lit(kind).alias("kind"), F.lit(x).alias("side_a"), F.lit(y).alias("side_b"), F.col(f"{x}_relations").alias("relations_a"), F.col(f"{y}_relations").alias("relations_b"), F.col(f"{x}_pmids").alias("pmids_a"), F.col(f"{y}_pmids").alias("pmids_b"), (F.lit(kind == "same_direction") & F.col(f"{x}_both")).alias("one_edge")))
 
     found = F.array_compact(F.array(pick("same_direction", "fp", "fm"), pick("same_direction", "bp", "bm"), pick("reverse", "fp", "bm"), pick("reverse", "fm", "bp")))
     return wide.select("a", "b", F.explode(found).alias("x")).select("a", "b", "x.*")
@@ -252,7 +327,7 @@ def support_gaps(nodes: DataFrame, found: DataFrame) -> DataFrame:
 def priority_gaps(edges: DataFrame, watch: DataFrame) -> DataFrame:
     """Watched pairs (source, target, tag): EVIDENCED or UNTESTED, with support and the first five pmids."""
     e = edges.groupBy("source", "target").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pmids")))).alias("pmids"))
-    out = F.broadcast(watch).join(e, ["source", "target"], "left")
+    out = watch.join(e, ["source", "target"], "left")
     return out.select("source", "target", "tag", F.when(F.col("pmids").isNotNull(), "EVIDENCED").otherwise("UNTESTED").alias("status"), F.coalesce(F.size("pmids"), F.lit(0)).alias("support"), F.slice(F.coalesce("pmids", F.array().cast("array<string>")), 1, 5).alias("first_pmids"))
 
 
@@ -269,7 +344,8 @@ def graph_health(nodes: DataFrame, edges: DataFrame, loops: DataFrame, found: Da
     touched = _ends(edges).select("id").distinct().withColumn("touched", F.lit(True))
     n = nodes.join(touched, "id", "left").agg(F.count("*").alias("nodes"), F.count_if(F.col("touched").isNull() | (F.col("edge_count") == 1)).alias("isolated_nodes"), F.count_if(F.col("pmid_count") == 0).alias("canonical_nodes"))
     e = edges.agg(F.count("*").alias("edges"), F.count_if(F.col("evidence_strength") == "weak").alias("weak_edges"), F.count_if(F.col("pmid_count") == 1).alias("single_paper_edges"))
-    return n.crossJoin(e).crossJoin(loops.agg(F.count("*").alias("loops"))).crossJoin(found.agg(F.count("*").alias("contradictions")))
+    top = F.max_by(F.array_join("path", ">"), F.struct("pmid_count", F.array_join("path", ">"))) if "path" in loops.columns else F.max(F.lit(None).cast("string"))
+    return n.crossJoin(e).crossJoin(loops.agg(F.count("*").alias("loops"), top.alias("top_loop"))).crossJoin(found.agg(F.count("*").alias("contradictions")))
 
 
 def graph_diff(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:

@@ -9,16 +9,25 @@ from ..functions import text as T
 from ..vocab import EVIDENCE_LEVELS, STUDY_DESIGNS
 
 
-def dedupe_publications(pubs: DataFrame, key: str, order: list) -> tuple[DataFrame, DataFrame]:
-    """The first row of a key wins; later ones are rejected as duplicates."""
+def dedupe_publications(pubs: DataFrame, key: str, order: list, strategy: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The first row of a key wins; later ones are rejected as duplicates.
+
+    ``strategy`` names the column of the query that found a row: accepted rows get ``query_strategies_matched``, those of all
+    rows of the key.
+    """
     ranked = pubs.withColumn("rn_", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return ranked.where("rn_ = 1").drop("rn_"), ranked.where("rn_ > 1").drop("rn_").withColumn("reason", F.lit("duplicate"))
+    first = ranked.where("rn_ = 1").drop("rn_")
+    if strategy is not None:
+        matched = pubs.groupBy(F.col(key).alias("k_")).agg(F.array_sort(F.collect_set(strategy)).alias("query_strategies_matched"))
+        first = first.drop("query_strategies_matched").join(matched, first[key].eqNullSafe(matched["k_"]), "left").drop("k_")
+    return first, ranked.where("rn_ > 1").drop("rn_").withColumn("reason", F.lit("duplicate"))
 
 
 def verify_metadata(pubs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Needs an id and a title that isn't blank."""
+    """Needs an id and a title that isn't blank; ``doi_present`` tells of a DOI."""
     bad = F.col("pmid").isNull() | (F.col("pmid") == "") | (F.trim(F.coalesce("title", F.lit(""))) == "")
-    marked = pubs.withColumn("reason", F.when(bad, "incomplete_metadata"))
+    doi = F.trim(F.coalesce("doi", F.lit(""))) != "" if "doi" in pubs.columns else F.lit(False)
+    marked = pubs.withColumns({"doi_present": doi, "reason": F.when(bad, "incomplete_metadata")})
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
 
@@ -54,8 +63,18 @@ def infer_species(text: Column, mesh: Column | None = None, mode: str = "text")
     return F.when(mouse, "mouse").when(human, "human").otherwise("unknown") if mode == "text" else F.when(human, "human").when(mouse, "mouse").otherwise("unknown")
 
 
-def assign_evidence_level(pubs: DataFrame) -> DataFrame:
-    """Level and confidence by the first ranked publication type, then overrides, sample size and limitations."""
+#: Fixed values of the shorter profile: its publication types; the others count as primary research.
+SHORT_TYPES = ["Meta-Analysis", "Systematic Review", "Clinical Trial", "Randomized Controlled Trial", "Review"]
+
+
+def assign_evidence_level(pubs: DataFrame, profile: str = "v1") -> DataFrame:
+    """Level and confidence by the first ranked publication type, then overrides, sample size and limitations.
+
+    Profile ``s002`` knows fewer types, raises single-cell studies to 0.75, caps mouse studies at 0.55, takes 0.1 off preprints,
+    and has neither sample sizes nor limitations.
+    """
+    if profile == "s002":
+        return _short_profile(pubs)
     kinds = list(EVIDENCE_LEVELS)
     known = F.filter("publication_types", lambda p: p.isin(kinds))
     first = F.try_element_at(known, F.lit(1))
@@ -83,6 +102,19 @@ def assign_evidence_level(pubs: DataFrame) -> DataFrame:
     return out.withColumns({"evidence_level": F.col("lv"), "confidence_score": F.round("cf", 2), "sample_size": F.col("n_"), "limitations": F.array_compact(F.array(*limits))}).drop("lv", "cf", "n_")
 
 
+def _short_profile(pubs: DataFrame) -> DataFrame:
+    first = F.try_element_at(F.filter("publication_types", lambda p: p.isin(SHORT_TYPES)), F.lit(1))
+    level, conf = F.lit("primary_research"), F.lit(0.5)
+    for kind in SHORT_TYPES:
+        level = F.when(first == kind, EVIDENCE_LEVELS[kind][0]).otherwise(level)
+        conf = F.when(first == kind, EVIDENCE_LEVELS[kind][1]).otherwise(conf)
+    cells = F.lower(F.coalesce("abstract", F.lit(""))).rlike("single-cell|scrna")
+    conf = F.when(cells, F.greatest(conf, F.lit(0.75))).otherwise(conf)
+    conf = F.when(F.col("species") == "mouse", F.least(conf, F.lit(0.55))).otherwise(conf)
+    conf = conf - F.when(F.contains(F.lower(F.coalesce("journal", F.lit(""))), F.lit("biorxiv")), 0.1).otherwise(0.0)
+    return pubs.withColumns({"evidence_level": F.when(cells, "single_cell_study").otherwise(level), "confidence_score": F.round(conf, 2)})
+
+
 def quality_score(pubs: DataFrame) -> DataFrame:
     """Study design, sample size, named penalties and the score they leave, as one struct ``quality``."""
     text = F.coalesce("abstract", F.lit(""))
@@ -134,6 +166,16 @@ def year_bands(pubs: DataFrame, bands: list[tuple[str, int, int]], max_share: fl
     return out.select("band", "n", F.round(share, 4).alias("share"), (share > max_share).alias("skewed"))
 
 
+def year_counts(pubs: DataFrame) -> DataFrame:
+    """Rows per year; a missing year is unknown."""
+    return pubs.groupBy(F.coalesce(F.col("year").cast("string"), F.lit("unknown")).alias("year")).agg(F.count("*").alias("n"))
+
+
+def rejection_reasons(checked: DataFrame) -> DataFrame:
+    """Rejected rows per reason."""
+    return checked.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def rejection_report(checked: DataFrame, strategies: int | None = None) -> DataFrame:
     """One row: totals, rate, flags; ``reason`` is null in accepted rows."""
     out = checked.agg(F.count("*").alias("total"), F.count("reason").alias("rejected"))
@@ -154,7 +196,9 @@ def rank_publications(pubs: DataFrame, k: int = 15) -> DataFrame:
 
 
 def compact_publications(pubs: DataFrame) -> DataFrame:
-    """Title 220, abstract 1800, journal 140 characters at most."""
+    """Title 220, abstract 1800, journal 140 characters and five strategies at most."""
+    if "query_strategies_matched" in pubs.columns:
+        pubs = pubs.withColumn("query_strategies_matched", F.slice("query_strategies_matched", 1, 5))
     return pubs.withColumns({"title": T.truncate("title", 220), "abstract": T.truncate("abstract", 1800), "journal": T.truncate("journal", 140)})
 
 
@@ -197,21 +241,22 @@ def build_strategies(targets: DataFrame, most: int = 8) -> DataFrame:
     return targets.select("run_id", F.posexplode(F.slice(every, 1, most)).alias("pos", "x")).select("run_id", "pos", "x.*")
 
 
-def search_corpus(pubs: DataFrame, strategies: DataFrame, per_query: int = 25, cap: int = 120) -> tuple[DataFrame, DataFrame]:
+def search_corpus(pubs: DataFrame, strategies: DataFrame, per_query: int = 25, cap: int = 120, pages: int = 1) -> tuple[DataFrame, DataFrame]:
     """Corpus search: strategies (strategy, groups: array of any-of term arrays, year_from, year_to) against words of the texts.
 
     Words and terms meet in one equi-join; a document matches if it has a term of each group. Returns
-    (strategy, total hits) and the documents retrieved: ``per_query`` per strategy by recency, each once, ``cap`` overall.
+    (strategy, total hits) and the documents retrieved: ``pages`` of ``per_query`` per strategy by recency, each once with its first
+    page, ``cap`` overall.
     """
     words = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "title", "abstract")), r"[^a-z0-9-]+"))
     tokens = pubs.select("pmid", "year", F.explode(words).alias("term"))
     terms = strategies.select("strategy", F.size("groups").alias("n_groups"), "year_from", "year_to", F.posexplode("groups").alias("g", "any")).select("strategy", "n_groups", "year_from", "year_to", "g", F.explode("any").alias("term"))
-    hits = tokens.join(F.broadcast(terms), "term").where("year between year_from and year_to")
+    hits = tokens.join(terms, "term").where("year between year_from and year_to")
     found = hits.groupBy("strategy", "pmid").agg(F.count_distinct("g").alias("got"), F.first("n_groups").alias("n_groups"), F.first("year").alias("year")).where("got = n_groups")
     totals = found.groupBy("strategy").agg(F.count("*").alias("total"))
     by = Window.partitionBy("strategy").orderBy(F.desc("year"), F.col("pmid").cast("long"))
-    picked = found.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= per_query)
-    papers = picked.groupBy("pmid").agg(F.array_sort(F.collect_set("strategy")).alias("strategies"), F.first("year").alias("year"))
+    picked = found.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= per_query * pages)
+    papers = picked.groupBy("pmid").agg(F.array_sort(F.collect_set("strategy")).alias("strategies"), F.first("year").alias("year"), F.min(F.ceil(F.col("rn") / per_query)).cast("int").alias("page"))
     return totals, papers.orderBy(F.col("pmid").cast("long")).limit(cap)
 
 

@@ -6,20 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.normalize import normalize_node
-from ..vocab import CAUSAL_CUES, CAUSAL_VERBS, DIRECT_CUES, INDIRECT_CUES, PATHWAYS, POSITIVE_CUES, SUPPRESS_CUES
+from ..functions.normalize import classify_node, normalize_node
+from ..vocab import CAUSAL_CUES, CAUSAL_VERBS, DIRECT_CUES, GENE_ALIASES, INDIRECT_CUES, NODE_ALIASES, NODE_LEXICON, PATHWAYS, POSITIVE_CUES, SUPPRESS_CUES, TEMPLATES
 
 PAPER = ["pmid", "year", "species"]
 
 
-def extract_templates(pubs: DataFrame, templates: list[tuple[str, str, str, str]], confidence: str = "confidence") -> DataFrame:
+def extract_templates(pubs: DataFrame, templates: list[tuple[str, str, str, str]] = TEMPLATES, confidence: str = "confidence", lexicon: dict[str, list[str]] = NODE_LEXICON) -> DataFrame:
     """(source, relation, target, regex) found anywhere in the lower-cased abstract, with its supporting sentence."""
     low = F.lower("abstract")
     hits = [F.when(low.rlike(p), F.struct(F.lit(s).alias("source"), F.lit(r).alias("relation"), F.lit(t).alias("target"))) for s, r, t, p in templates]
     rows = pubs.where("coalesce(abstract, '') <> ''").withColumn("h", F.explode(F.array_compact(F.array(*hits))))
     rows = rows.select(*PAPER, F.col(confidence).alias("confidence"), "abstract", "h.*")
     sentence = T.supporting_sentence("abstract", F.col("source"), F.col("target"))
-    return rows.select(*PAPER, "confidence", "source", "relation", "target", F.lit("template").alias("extraction_method"), sentence.alias("source_sentence"))
+    kinds = [classify_node(e, lexicon).alias(f"{e}_type") for e in ("source", "target")]
+    return rows.select(*PAPER, "confidence", "source", "relation", "target", *kinds, F.lit("template").alias("extraction_method"), sentence.alias("source_sentence"))
 
 
 def extract_templates_by_token(pubs: DataFrame, templates: DataFrame) -> DataFrame:
@@ -30,43 +31,76 @@ def extract_templates_by_token(pubs: DataFrame, templates: DataFrame) -> DataFra
     return full.where("lower(abstract) rlike pattern").select(*PAPER, "source", "relation", "target")
 
 
-def extract_patterns(pubs: DataFrame, aliases: list[tuple[str, str]], seen: DataFrame, verbs=CAUSAL_VERBS, confidence: str = "confidence") -> DataFrame:
-    """Causal verbs; both ends normalised, self-loops and short ends dropped, once per paper, not where X1 (``seen``) has it."""
-    words = r"(\w[\w\s\-\+/]*?)"
+def extract_patterns(pubs: DataFrame, seen: DataFrame, aliases: list[tuple[str, str]] = NODE_ALIASES, verbs=CAUSAL_VERBS, confidence: str = "confidence", lexicon: dict[str, list[str]] = NODE_LEXICON) -> DataFrame:
+    """Causal verbs; both ends normalised, self-loops and short ends dropped, once per paper, not where X1 (``seen``) has it.
+
+    A paper's matches become distinct inside its row, so abstracts aren't shuffled.
+    """
     low = F.lower("abstract")
     found = []
     for forms, relation in verbs:
-        p = F.lit(rf"{words}\s+(?:{forms})\s+(\w[\w\s\-\+/]+)")
+        p = F.lit(rf"(\w[\w\s\-\+/]+?)\s+(?:{forms})\s+(\w[\w\s\-\+/]+)")
         both = F.arrays_zip(F.regexp_extract_all(low, p, F.lit(1)).alias("s"), F.regexp_extract_all(low, p, F.lit(2)).alias("t"))
-        found.append(F.transform(both, _named(relation)))
-    rows = pubs.where("coalesce(abstract, '') <> ''").select(*PAPER, F.col(confidence).alias("c"), F.explode(F.concat(*found)).alias("m"))
-    rows = rows.select(*PAPER, F.greatest(F.col("c") - 0.15, F.lit(0.3)).alias("confidence"), normalize_node(F.col("m.s"), aliases).alias("source"), F.col("m.relation").alias("relation"), normalize_node(F.col("m.t"), aliases).alias("target"))
-    rows = rows.where("source <> target and length(source) > 2 and length(target) > 2").dropDuplicates(["pmid", "source", "relation", "target"])
-    return rows.join(seen.select("pmid", "source", "relation", "target"), ["pmid", "source", "relation", "target"], "left_anti").withColumn("extraction_method", F.lit("pattern"))
+        found.append(F.transform(both, _ends_of(relation, aliases)))
+    good = lambda m: (m["source"] != m["target"]) & (F.length(m["source"]) > 2) & (F.length(m["target"]) > 2)
+    rows = pubs.where("coalesce(abstract, '') <> ''").select(*PAPER, F.greatest(F.col(confidence) - 0.15, F.lit(0.3)).alias("confidence"), "abstract", F.explode(F.array_distinct(F.filter(F.concat(*found), good))).alias("m"))
+    rows = rows.select(*PAPER, "confidence", "m.source", "m.relation", "m.target", T.supporting_sentence("abstract", F.col("m.source"), F.col("m.target")).alias("source_sentence"))
+    rows = rows.withColumns({f"{e}_type": classify_node(e, lexicon) for e in ("source", "target")}).withColumn("extraction_method", F.lit("pattern"))
+    rows = rows.dropDuplicates(["pmid", "source", "relation", "target"])
+    return rows.join(seen.select("pmid", "source", "relation", "target").distinct(), ["pmid", "source", "relation", "target"], "left_anti")
 
 
-def _named(relation: str):
-    """A match with its relation; a function of one argument, since higher-order functions pass an index to a second."""
-    return lambda m: F.struct(m["s"].alias("s"), m["t"].alias("t"), F.lit(relation).alias("relation"))
+def _ends_of(relation: str, aliases: list[tuple[str, str]]):
+    """A match as a claim; a function of one argument, since higher-order functions pass an index to a second."""
+    return lambda m: F.struct(normalize_node(m["s"], aliases).alias("source"), F.lit(relation).alias("relation"), normalize_node(m["t"], aliases).alias("target"))
 
 
 def _matching(pattern: str):
     return lambda s: s.rlike(f"(?i){pattern}")
 
 
-def _dims(pubs: DataFrame, targets: DataFrame, *names: str) -> DataFrame:
+#: Requests that one scan of the corpus takes along; more are taken in as many scans.
+REQUESTS = 2000
+
+
+def _asked(pubs: DataFrame, targets: DataFrame, *names: str, aliases: dict[str, list[str]] = {}) -> DataFrame:
+    """Papers with every request (run_id and one value of each of ``names``) whose first value, or an alias, they mention in compact form.
+
+    The corpus is scanned with the requests as one literal list, and only matches become rows: no paper is paired with a
+    request that it doesn't mention.
+    """
     t = targets
     for n in names:
         t = t.select("*", F.explode(n).alias(n[:-1])).drop(n)
-    return pubs.where("coalesce(abstract, '') <> '' and coalesce(pmid, '') <> ''").crossJoin(F.broadcast(t.select("run_id", *(n[:-1] for n in names))))
-
-
-def extract_drug_claims(pubs: DataFrame, targets: DataFrame) -> DataFrame:
+    values = [n[:-1] for n in names]
+    rows = t.select("run_id", *values).distinct().orderBy("run_id", *values).collect()  # requests are typed by people
+    papers = pubs.where("coalesce(abstract, '') <> '' and coalesce(pmid, '') <> ''").withColumn("compact_", T.compact_label("abstract"))
+    kind = "array<struct<" + ",".join(f"{c}:string" for c in ("run_id", *values)) + ">>"
+    out = None
+    for low in range(0, max(1, len(rows)), REQUESTS):
+        part = rows[low : low + REQUESTS]
+        by_key: dict[str, list] = {}
+        for r in part:
+            by_key.setdefault(r[values[0]], []).append(r)
+        hits = []
+        for v, group in by_key.items():
+            said = F.lit(False)
+            for name in [v, *aliases.get((v or "").lower(), [])]:
+                key = T.compact_label(F.lit(name))
+                said = said | ((F.length(key) > 0) & F.contains(F.col("compact_"), key))
+            hits.append(F.when(said, F.array(*(F.struct(*(F.lit(r[c]).cast("string").alias(c) for c in ("run_id", *values))) for r in group))))
+        found = F.flatten(F.array_compact(F.array(*hits))) if hits else F.array().cast(kind)
+        one = papers.withColumn("asked_", found).select(*(c for c in pubs.columns if c not in ("run_id", *values)), F.inline("asked_"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def extract_drug_claims(pubs: DataFrame, targets: DataFrame, direct_cues: str = DIRECT_CUES, indirect_cues: str = INDIRECT_CUES) -> DataFrame:
     """A requested drug and gene in one sentence: direct cue binds_target, else indirect cue indirectly_modulates."""
-    rows = _dims(pubs, targets, "drugs", "genes").where(F.contains(F.lower("abstract"), F.lower("drug")))
+    rows = _asked(pubs, targets, "drugs", "genes").where(F.contains(F.lower("abstract"), F.lower("drug")))
     rows = rows.withColumn("source_sentence", T.supporting_sentence("abstract", F.col("drug"), F.col("gene"))).where("source_sentence is not null")
     low = F.lower("source_sentence")
-    predicate = F.when(low.rlike(DIRECT_CUES), "binds_target").when(low.rlike(INDIRECT_CUES), "indirectly_modulates")
+    predicate = F.when(low.rlike(direct_cues), "binds_target").when(low.rlike(indirect_cues), "indirectly_modulates")
     rows = rows.withColumn("predicate", predicate).where("predicate is not null")
     direct = F.col("predicate") == "binds_target"
     obj = F.when(direct, F.concat("gene", F.lit(" protein"))).otherwise(F.col("gene"))
@@ -77,21 +111,28 @@ def extract_drug_claims(pubs: DataFrame, targets: DataFrame) -> DataFrame:
 
 def extract_drug_pathways(pubs: DataFrame, targets: DataFrame, pathways: dict[str, str] = PATHWAYS) -> DataFrame:
     """A requested drug and a pathway name in one sentence: an indirect claim."""
-    rows = _dims(pubs, targets, "drugs").withColumn("sentences", F.filter(T.split_sentences("abstract"), lambda s: T.entity_mentioned(F.col("drug"), s)))
+    rows = _asked(pubs, targets, "drugs").withColumn("sentences", F.filter(T.split_sentences("abstract"), lambda s: T.entity_mentioned(F.col("drug"), s)))
     hits = [F.struct(F.lit(n).alias("target"), F.try_element_at(F.filter("sentences", _matching(p)), F.lit(1)).alias("source_sentence")) for n, p in pathways.items()]
     rows = rows.where("size(sentences) > 0").select("run_id", *PAPER, "drug", F.inline(F.array(*hits))).where("source_sentence is not null")
     return rows.select("run_id", *PAPER, "drug", F.lit("indirectly_modulates").alias("predicate"), F.concat("target", F.lit(" pathway")).alias("object"), "target", F.lit("Pathway").alias("target_type"), F.lit(0.6).alias("confidence"), "source_sentence", T.claim_id(F.col("drug"), F.lit("indirectly_modulates"), F.col("target"), F.col("pmid"), prefix="drugclaim_").alias("claim_id"))
 
 
-def extract_gene_pathways(pubs: DataFrame, targets: DataFrame, pathways: dict[str, str] = PATHWAYS, cues: str = CAUSAL_CUES) -> DataFrame:
-    """Gene and pathway in one sentence with a causal cue between them; sentences on the gene's inhibitors don't count."""
-    rows = _dims(pubs, targets, "genes").select("run_id", *PAPER, "gene", F.explode(T.split_sentences("abstract")).alias("sentence"))
-    word = F.concat(F.lit(r"(?i)\b\Q"), "gene", F.lit(r"\E\b"))
-    rows = rows.where(F.rlike("sentence", word))
+def extract_gene_pathways(pubs: DataFrame, targets: DataFrame, pathways: dict[str, str] = PATHWAYS, cues: str = CAUSAL_CUES, aliases: dict[str, list[str]] = GENE_ALIASES) -> DataFrame:
+    """Gene and pathway in one sentence with a causal cue between them; sentences on the gene's inhibitors don't count.
+
+    A gene is found by its name, else by the first of its aliases (by lower-case name) that the sentence has.
+    """
+    rows = _asked(pubs, targets, "genes", aliases=aliases).select("run_id", *PAPER, "gene", F.explode(T.split_sentences("abstract")).alias("sentence"))
+    more = F.lit(None).cast("array<string>")
+    for gene, names in aliases.items():
+        more = F.when(F.lower("gene") == gene, F.array(*map(F.lit, names))).otherwise(more)
+    names = F.concat(F.array("gene"), F.coalesce(more, F.array().cast("array<string>")))
+    found = F.array_compact(F.transform(names, lambda n: F.regexp_substr("sentence", F.concat(F.lit(r"(?i)\b\Q"), n, F.lit(r"\E\b")))))
+    rows = rows.withColumn("gene_named", F.try_element_at(found, F.lit(1))).where("gene_named is not null")
     hits = [F.when(F.col("sentence").rlike(f"(?i){p}"), F.struct(F.lit(n).alias("target"), F.regexp_substr("sentence", F.lit(f"(?i){p}")).alias("named"))) for n, p in pathways.items()]
-    rows = rows.select("*", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("run_id", *PAPER, "gene", "sentence", "h.*")
+    rows = rows.select("*", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("run_id", *PAPER, "gene", "gene_named", "sentence", "h.*")
     rows = rows.where(~F.rlike("sentence", F.concat(F.lit(r"(?i)\b\Q"), "gene", F.lit(r"\E\s+(inhibitor|inhibitors|inhibition|is)"))))
-    named = F.regexp_substr("sentence", word)
+    named = F.col("gene_named")
     g, p = F.instr(F.col("sentence"), named), F.instr(F.col("sentence"), F.col("named"))
     low = F.least(g, p)
     high = F.greatest(g + F.length(named), p + F.length("named"))
@@ -107,7 +148,7 @@ def attach_context(claims: DataFrame, targets: DataFrame) -> DataFrame:
     """Session and context of the run's target on every claim."""
     context = F.struct("cell_types", F.array_compact(F.array("disease")).alias("disease"), "drugs", "tissues")
     t = targets.select("run_id", context.alias("context"))
-    return claims.drop("context").join(F.broadcast(t), "run_id", "left").withColumns({"session": F.col("run_id"), "provenance_status": F.when(F.coalesce("pmid", F.lit("")) != "", "pmid_backed").otherwise("unsupported")})
+    return claims.drop("context").join(t, "run_id", "left").withColumns({"session": F.col("run_id"), "provenance_status": F.when(F.coalesce("pmid", F.lit("")) != "", "pmid_backed").otherwise("unsupported")})
 
 
 def extraction_stats(pubs: DataFrame, claims: DataFrame) -> DataFrame:

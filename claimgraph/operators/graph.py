@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..vocab import NODE_LABELS
+from ..vocab import COMPATIBLE_TYPES, NODE_LABELS
 
 NO_CONTEXT = "named_struct('cell_types', array(), 'disease', array(), 'drugs', array(), 'tissues', array())"
 EDGE_KEY = ["source", "target", "relation_key", "polarity", "context_key", "provenance_type"]
@@ -192,13 +192,10 @@ def input_only_nodes(targets: DataFrame, nodes: DataFrame) -> DataFrame:
     return lone.select("run_id", F.concat(F.lit("__input__"), F.lower("type"), F.lit("__"), "key").alias("id"), F.col("value").alias("label"), "type", F.lit("input_only").alias("provenance_type")).distinct()
 
 
-#: Base types over which a requested type may be laid.
-COMPATIBLE = {"Gene": ["Gene", "Molecule", "unknown", "Unknown"], "Drug": ["Drug", "Molecule", "unknown", "Unknown"], "Tissue": ["Tissue", "unknown", "Unknown"], "Cell_type": ["Cell", "Cell_type", "unknown", "Unknown"], "Disease": ["Clinical_phenotype", "unknown", "Unknown"]}
-
-
-def semantic_types(nodes: DataFrame, targets: DataFrame) -> DataFrame:
-    """The requested type of nodes with a compatible base type and an equal key; the first dimension wins."""
-    ok = F.create_map(*(x for k, v in COMPATIBLE.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+def semantic_types(nodes: DataFrame, targets: DataFrame, compatible: dict[str, list[str]] = COMPATIBLE_TYPES) -> DataFrame:
+    """The requested type of nodes with a compatible base type and an equal key; the first dimension wins. Nodes of a
+    canonical source and of unknown types keep their type."""
+    ok = F.create_map(*(x for k, v in compatible.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     asked = target_dimensions(targets).select(T.compact_label("value").alias("key"), F.col("type").alias("asked"), "pos").where("key <> ''").distinct()
     hits = nodes.withColumn("key", T.compact_label("id")).join(asked, "key").where(F.array_contains(ok[F.col("asked")], F.col("type")))
     best = hits.groupBy("id").agg(F.min_by("asked", "pos").alias("asked"))

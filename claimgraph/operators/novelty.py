@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def candidate_manifest(contradictions: DataFrame, gaps: DataFrame) -> DataFrame:
-    """H1: per run, contradictions C001.. and gaps G00n, numbered on, with statements; a run without any gets a fallback row.
+def candidate_manifest(contradictions: DataFrame, gaps: DataFrame, curated: DataFrame | None = None) -> DataFrame:
+    """H1: per run, contradictions C001.. and gaps G00n, numbered on, with statements, then curated candidates with their own ids.
 
-    Inputs: (run_id, subject). Numbers come from a window per run.
+    Inputs: (run_id, subject); curated: (run_id, candidate_id, subject, statement). Numbers come from a window per run.
     """
     c = contradictions.select("run_id", F.lit(0).alias("part"), "subject", F.concat(F.lit("Conflicting evidence for "), "subject").alias("statement"))
     g = gaps.select("run_id", F.lit(1).alias("part"), "subject", F.concat(F.lit("Untested link: "), "subject").alias("statement"))
     n = F.row_number().over(Window.partitionBy("run_id").orderBy("part", "subject"))
     rows = c.union(g).withColumn("n", n)
-    return rows.select("run_id", F.concat(F.when(F.col("part") == 0, "C").otherwise("G"), T.padded("n")).alias("candidate_id"), "subject", "statement")
+    out = rows.select("run_id", F.concat(F.when(F.col("part") == 0, "C").otherwise("G"), T.padded("n")).alias("candidate_id"), "subject", "statement")
+    return out.unionByName(curated.select("run_id", "candidate_id", "subject", "statement")) if curated is not None else out
 
 
 def with_fallback(candidates: DataFrame, runs: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def with_fallback(candidates: DataFrame, runs: DataFrame) -> DataFrame:
 
 def supported_patterns(edges: DataFrame, patterns: DataFrame) -> DataFrame:
     """H2: candidate patterns (pattern_id, source_term, target_term) matched to edges by normalised substrings of both ends."""
-    p = F.broadcast(patterns.select("pattern_id", T.compact_label("source_term").alias("s"), T.compact_label("target_term").alias("t")))
+    p = patterns.select("pattern_id", T.compact_label("source_term").alias("s"), T.compact_label("target_term").alias("t"))
     hits = edges.join(p, F.contains(T.compact_label("source"), F.col("s")) & F.contains(T.compact_label("target"), F.col("t")))
     return hits.groupBy("pattern_id").agg(F.count_distinct("source", "target", "relation").alias("edges"), F.size(F.array_distinct(F.flatten(F.collect_list("pmids")))).alias("pmid_count"))
 
@@ -87,16 +88,70 @@ def review_outcomes(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("run_id", "hypothesis_id").agg((~F.coalesce(F.max(rejected), F.lit(False))).alias("accepted"), F.count_if(valid).alias("valid_accepts"), F.count_distinct("query").alias("distinct_queries"), F.count_distinct("reviewer").alias("reviewers"))
 
 
-def last_field(text: Column, label: str) -> Column:
-    """H8: the last value of a labelled field, up to the end of its line, in text whose line ends may be escaped."""
-    plain = F.replace(F.replace(text, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"'))
-    return F.trim(F.try_element_at(F.regexp_extract_all(plain, F.lit(rf"(?im)^\W*{label}\W*:\s*([^\n]+)"), F.lit(1)), F.lit(-1)))
+def transcript_text(text: Column) -> Column:
+    """Text without repeated escaping: up to three rounds of quotes and backslashes."""
+    plain = F.coalesce(text, F.lit(""))
+    for _ in range(3):
+        plain = F.replace(F.replace(plain, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+    return plain
 
 
-def parse_audit_text(rows: DataFrame, column: str = "result_text") -> DataFrame:
-    """H8: classification, eligibility, statement and hypothesis id out of transcript text."""
-    f = lambda label: last_field(F.col(column), label)
-    return rows.withColumns({"classification": T.class_code(f("classification")), "eligible": F.coalesce(F.lower(f("eligible")).startswith("yes") | F.lower(f("eligible")).startswith("true"), F.lit(False)), "statement": f("statement"), "hypothesis_id": f("hypothesis")})
+def field_values(text: Column, field: str, value: str, quoted: bool = True) -> Column:
+    """All values of ``field`` in transcript text: the field's name, a colon and the value, with or without quotes around both."""
+    quote = "['\"]" if quoted else "['\"]?"
+    return F.regexp_extract_all(text, F.lit(rf"{field}['\"]?\s*:\s*{quote}\s*({value})" if not quoted else rf"{field}['\"]?\s*:\s*{quote}({value})"), F.lit(1))
+
+
+def last_field(text: Column, field: str, value: str, quoted: bool = True) -> Column:
+    """H8: the last value of a field, else null."""
+    return F.try_element_at(field_values(text, field, value, quoted), F.lit(-1))
+
+
+def _any(n: int) -> str:
+    return rf"[^'\"]{{1,{n}}}"
+
+
+def parse_audit_text(rows: DataFrame, column: str = "result_text", fallback: str | None = None) -> DataFrame:
+    """H8: classification, eligibility, statement, hypothesis id and action out of transcript text; the last value of a field counts.
+
+    ``fallback`` names a column with the candidate's label: where the transcript has no statement of its own, that is said.
+    """
+    text = transcript_text(F.col(column))
+    statement = last_field(text, "original_statement", _any(500))
+    if fallback is not None:
+        label = F.col(fallback)
+        generic = statement.isNull() | (F.lower(F.trim(statement)) == F.lower(F.trim(label)))
+        named = F.try_element_at(F.regexp_extract_all(text, F.lit(r"as a previously published ([^,;]{1,300}mechanism)"), F.lit(1)), F.lit(-1))
+        own = F.when(named.isNotNull(), F.concat(F.lit("Candidate mechanism: "), named)).when(label.isNotNull(), F.concat(F.lit("No concrete mechanistic hypothesis supplied. Candidate label: "), label))
+        statement = F.when(generic, F.coalesce(own, statement)).otherwise(statement)
+    return rows.withColumns(
+        {
+            "classification": last_field(text, "classification", "A|B|C|D|E|RESTATED", quoted=False),
+            "eligible": F.coalesce(last_field(text, "eligible_for_hypothesis_generation", "true|false", quoted=False) == "true", F.lit(False)),
+            "statement": statement,
+            "hypothesis_id": last_field(text, "hypothesis_id", r"[^'\"]+"),
+            "action": last_field(text, "action", _any(700)),
+        }
+    )
+
+
+def parse_hypothesis_text(rows: DataFrame, column: str = "result_text") -> DataFrame:
+    """H8: id, class, source gap, prediction and falsification of a hypothesis; rows without any of them go."""
+    text = transcript_text(F.col(column))
+    fields = {"class": "class", "source_gap": "source_gap", "specific_prediction": "specific_prediction", "falsification": "falsification"}
+    own = F.coalesce(last_field(text, "id", r"H[-A-Za-z0-9_]+"), last_field(text, "hypothesis_id", r"[^'\"]+"))
+    out = rows.withColumns({"id": own} | {k: last_field(text, v, _any(1200)) for k, v in fields.items()})
+    return out.where(F.coalesce("id", *fields).isNotNull())
+
+
+def parse_experiment_text(rows: DataFrame, column: str = "result_text") -> DataFrame:
+    """H8: one row per experiment id of a transcript; methods, outcomes and criteria are aligned by position."""
+    text = transcript_text(F.col(column))
+    names = {"id": ("id", r"E[-A-Za-z0-9_]+"), "method": ("method", _any(1800)), "predicted_outcome": ("predicted_outcome", _any(1800)), "falsification_criterion": ("falsification_criterion", _any(1800))}
+    found = rows.withColumns({f"{k}_": field_values(text, *v) for k, v in names.items()})
+    at = lambda k: F.try_element_at(F.col(f"{k}_"), F.col("pos") + 1).alias(k)
+    keep = [c for c in rows.columns if c not in names]
+    return found.select("*", F.posexplode("id_").alias("pos", "one_")).select(*keep, "pos", *(at(k) for k in names))
 
 
 def novelty_catalog(audits: DataFrame, manifests: DataFrame) -> DataFrame:

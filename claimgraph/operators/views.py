@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..vocab import TYPE_RANK
+
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends in ``nodes``."""
@@ -47,7 +49,7 @@ def node_set_view(nodes: DataFrame, edges: DataFrame, ids: list[str], hops: int
 
 def module_view(nodes: DataFrame, edges: DataFrame, modules: DataFrame) -> DataFrame:
     """V4: edges inside the union of modules (module, id) with both ends' modules."""
-    m = F.broadcast(modules)
+    m = modules
     out = edges.join(m.select(F.col("id").alias("source"), F.col("module").alias("source_module")), "source")
     return out.join(m.select(F.col("id").alias("target"), F.col("module").alias("target_module")), "target")
 
@@ -69,28 +71,30 @@ def narratable_edges(edges: DataFrame) -> DataFrame:
     return edges.where((F.col("provenance_type") == "pmid") & (F.col("pmid_count") >= 1) & F.exists("source_refs", lambda r: F.coalesce(r["source_sentence"], F.lit("")) != ""))
 
 
-#: Rank of node types in the hub score, most story-bearing first.
-TYPE_RANK = {"Cell": 5, "Cytokine": 4, "Gene": 3, "Molecule": 3, "Pathway": 2, "Tissue": 1}
-
+def focus_hub(nodes: DataFrame, edges: DataFrame, noise: Column | None = None, graph_key: list[str] = [], ranks: dict[str, int] = TYPE_RANK) -> DataFrame:
+    """V8: the best hub of each graph over its narratable edges: 100 per edge, 12 per paper of an edge, 500 if it has both directions,
+    25 per rank of its type, 25 for a name of up to 12 characters (runs of others than letters and digits as one blank) or 10 for up to 20, less 1500 for noise.
 
-def focus_hub(nodes: DataFrame, edges: DataFrame, noise: Column | None = None, graph_key: list[str] = []) -> DataFrame:
-    """V8: the best hub of each graph: 100 per edge, 12 per paper, 500 if it has both directions, 25 per type rank, less 1500 for noise."""
-    half = lambda own, way: edges.select(*graph_key, F.col(own).alias("id"), F.lit(way).alias("way"), "pmid_count")
+    Ties go to the node with more papers, then to the shorter name, then to the lesser id.
+    """
+    half = lambda own, way: narratable_edges(edges).select(*graph_key, F.col(own).alias("id"), F.lit(way).alias("way"), "pmid_count")
     ends = half("source", 1).union(half("target", 0))
     per = ends.groupBy(*graph_key, "id").agg(F.count("*").alias("incident"), F.sum("pmid_count").alias("papers"), (F.count_distinct("way") == 2).alias("both"))
-    rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in TYPE_RANK.items() for x in p)), F.col("type")), F.lit(0))
-    score = 100 * F.col("incident") + 12 * F.col("papers") + F.when(F.col("both"), 500).otherwise(0) + 25 * rank + F.when(F.length("id") <= 12, 40).otherwise(0)
+    rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in ranks.items() for x in p)), F.col("type")), F.lit(2))
+    size = F.length(F.trim(F.regexp_replace(F.lower("id"), "[^a-z0-9]+", " ")))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    score = 100 * zero("incident") + 12 * zero("papers") + F.when(F.col("both"), 500).otherwise(0) + 25 * rank + F.when(size <= 12, 25).when(size <= 20, 10).otherwise(0)
     if noise is not None:
         score = score - F.when(noise, 1500).otherwise(0)
-    rows = nodes.join(per, [*graph_key, "id"]).withColumn("score", score)
-    best = F.max_by(F.struct("id", "score", "incident", "papers"), F.struct("score", "papers", -F.length("id"), "id"))
+    rows = nodes.join(per, [*graph_key, "id"], "left").withColumn("score", score)
+    best = F.min_by(F.struct("id", "score", zero("incident").alias("incident"), zero("papers").alias("papers")), F.struct(-F.col("score"), -F.col("pmid_count"), F.length("id"), "id"))
     return rows.groupBy(*graph_key).agg(best.alias("h")).select(*graph_key, "h.*")
 
 
 def hub_summary(edges: DataFrame, hubs: DataFrame, up: int = 3, down: int = 4) -> DataFrame:
     """V9: the strongest incoming and outgoing edges of each hub (column id)."""
-    into = edges.join(F.broadcast(hubs.select(F.col("id").alias("target"))), "target").select(F.col("target").alias("hub"), F.lit("in").alias("direction"), F.col("source").alias("other"), "relation", "pmid_count", "confidence")
-    out = edges.join(F.broadcast(hubs.select(F.col("id").alias("source"))), "source").select(F.col("source").alias("hub"), F.lit("out").alias("direction"), F.col("target").alias("other"), "relation", "pmid_count", "confidence")
+    into = edges.join(hubs.select(F.col("id").alias("target")), "target").select(F.col("target").alias("hub"), F.lit("in").alias("direction"), F.col("source").alias("other"), "relation", "pmid_count", "confidence")
+    out = edges.join(hubs.select(F.col("id").alias("source")), "source").select(F.col("source").alias("hub"), F.lit("out").alias("direction"), F.col("target").alias("other"), "relation", "pmid_count", "confidence")
     by = Window.partitionBy("hub", "direction").orderBy(F.desc("pmid_count"), F.desc("confidence"), "other", "relation")
     ranked = into.union(out).withColumn("rank", F.row_number().over(by))
     return ranked.where(F.col("rank") <= F.when(F.col("direction") == "in", up).otherwise(down))

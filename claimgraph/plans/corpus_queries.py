@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import vocab
 from ..functions import normalize as N
 from ..functions import text as T
 from ..operators import corpus as C
@@ -63,34 +64,75 @@ def sentences(spark, d):
 
 ALIASES = [("thing", "THING"), ("thble", "THBLE"), ("erble", "ERBLE"), ("und der", "DER")]
 LEXICON = {"Cell": ["THING", "THBLE"], "Gene": ["ERBLE"]}
+SPLIT = f"s as (select pmid, unnest({SENTENCES}) sentence, unnest(range(len({SENTENCES}))) pos from publications)"
+
+
+def sentences_of(spark, d):
+    """Every sentence of every text: pmid, pos, sentence."""
+    return V.publications(spark, d).select("pmid", F.posexplode(T.split_sentences("abstract")).alias("pos", "sentence"))
+
+
+def node_sql(t: str, aliases=ALIASES) -> str:
+    """SQL of N8 for lower-case text ``t`` with single blanks."""
+    exact = " ".join(f"when {t} = '{a}' then '{n}'" for a, n in aliases)
+    near = " ".join(f"when contains({t}, '{a}') or contains('{a}', {t}) then '{n}'" for a, n in aliases)
+    title = f"array_to_string(list_transform(regexp_extract_all({t}, '\\p{{L}}+|\\P{{L}}+'), lambda w: case w[1:1] when 'ß' then 'Ss' else upper(w[1:1]) end || w[2:]), '')"
+    return f"case {exact} {near} when length({t}) between 3 and 59 then {title} end"
 
 
 @query(
     "normalize_nodes",
-    P + """, w as (select pmid, regexp_replace(lower(trim(regexp_replace(split_part(abstract, '.', 1), '\\s+', ' ', 'g'))), '\\s+', ' ', 'g') t from publications),
-  n as (select pmid, case when t in ('thing','thble','erble') then upper(t) when t = 'und der' then 'DER' when contains(t, 'thing') or contains('thing', t) then 'THING'
-  when contains(t, 'thble') or contains('thble', t) then 'THBLE' when contains(t, 'erble') or contains('erble', t) then 'ERBLE' when contains(t, 'und der') or contains('und der', t) then 'DER' end node from w)
-  select pmid, coalesce(node, '') node, case when node in ('THING','THBLE') then 'Cell' when node = 'ERBLE' then 'Gene' else 'Unknown' end kind from n""",
+    P + f""", {SPLIT}, w as (select pmid, pos, regexp_replace(lower(trim(regexp_replace(sentence, '\\s+', ' ', 'g'))), '\\s+', ' ', 'g') t from s), n as (select pmid, pos, {node_sql('t')} node from w)
+  select pmid, pos, node, case when node in ('THING','THBLE') then 'Cell' when node = 'ERBLE' then 'Gene' when contains(lower(node), 'muscle') then 'Tissue' else 'Unknown' end kind from n where node is not null""",
 )
 def normalize_nodes(spark, d):
-    p = V.publications(spark, d).withColumn("node", N.normalize_node(F.substring_index("abstract", ".", 1), ALIASES))
-    known = F.when(F.col("node").isin("THING", "THBLE", "ERBLE", "DER"), F.col("node"))
-    return p.select("pmid", F.coalesce(known, F.lit("")).alias("node"), F.coalesce(N.classify_node(known, LEXICON), F.lit("Unknown")).alias("kind"))
+    p = sentences_of(spark, d).withColumn("node", N.normalize_node("sentence", ALIASES)).where("node is not null")
+    return p.select("pmid", F.col("pos").cast("long").alias("pos"), "node", N.classify_node("node", LEXICON).alias("kind"))
+
+
+def quoted(words: list[str]) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+
+
+def bounded(pattern: str) -> str:
+    """A pattern whose word boundaries know letters beyond ASCII, as SQL's don't."""
+    return pattern.replace(r"\b(", r"(?:^|[^\p{L}\p{N}_])(").replace(r")\b", r")(?:[^\p{L}\p{N}_]|$)")
+
+
+ARTIFACT_SQL = " ".join("when regexp_matches(label, '(?i){}') then '{}'".format(bounded(p), f"pattern:{p[:40]}") for p in vocab.ARTIFACT_PATTERNS)
 
 
 @query(
     "noise_flags",
-    P + """, t as (select pmid, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) t from publications), w as (select *, string_split(t, ' ') w from t)
-  select pmid, (len(w) >= 5 or w[1] in ('a','an','and','as','by','for','from','in','is','of','on','or','that','the','to','was','were','which','with')
-  or w[-1] in ('a','an','and','as','by','for','from','in','is','of','on','or','that','the','to','was','were','which','with')
-  or (len(w) >= 3 and len(list_filter(w, lambda x: x in ('and','are','by','is','that','was','were','which','with'))) > 0) or regexp_matches(w[1], '^[0-9]')) noise,
-  case when len(w) > 6 then 'too_many_words' when regexp_matches(t, '^[^a-z0-9]|^(the|a|an|and|or|of|in|to|by|with|that|which) ') then 'fragment_start'
-  when regexp_matches(t, ' (the|a|an|and|or|of|in|to|by|with|that|which)$') then 'fragment_end' when regexp_matches(t, '^[0-9]+$') then 'number'
-  when regexp_matches(t, '^(these|this|those|our|we|results?|study|studies)( |$)') then 'sentence_fragment' else '' end reason from w""",
+    P + f""", {SPLIT}, l as (select pmid, pos, array_to_string(string_split(regexp_replace(trim(sentence), '\\s+', ' ', 'g'), ' ')[1:pos % 7 + 1], ' ') label from s),
+  w as (select *, string_split(label, ' ') w, list_transform(string_split(label, ' '), lambda x: lower(trim(x, '.,;:'))) low from l), k as (select [{quoted(vocab.NOISE_WORDS)}] noise, [{quoted(vocab.NAME_WORDS)}] names)
+  select pmid, pos, label = '' or len(w) >= 5 or list_contains(noise, low[1]) or list_contains(noise, low[-1]) or (len(w) >= 3 and list_has_any(low, noise)) or regexp_matches(w[1], '^[0-9]+$') noise,
+  case when label in ({quoted([*vocab.CANONICAL_NODES, *(n for _, n in vocab.NODE_ALIASES)])}) then '' when label in ({quoted(vocab.STOP_NODES)}) then 'stopword_node' when lower(label) in ({quoted([a for a, _ in vocab.NODE_ALIASES])}) or regexp_matches(label, '(?i)^IL-?\\d+[a-z]?$') then ''
+  when len(w) > 6 then 'too_many_words' {ARTIFACT_SQL} when len(w) >= 3 and regexp_matches(w[1], '^\\p{{Lu}}') and not list_has_any(list_transform(w, lambda x: lower(x)), names) and not regexp_matches(lower(label), '{bounded(vocab.NAME_PATTERN)}') then 'sentence_fragment' else '' end reason from w, k""",
 )
 def noise_flags(spark, d):
-    p = V.publications(spark, d)
-    return p.select("pmid", N.looks_like_noise("title").alias("noise"), F.coalesce(N.artifact_reason("title"), F.lit("")).alias("reason"))
+    """The first one to seven words of every sentence as labels."""
+    words = F.split(N.squeeze("sentence"), " ")
+    labels = sentences_of(spark, d).select("pmid", F.col("pos").cast("long").alias("pos"), F.array_join(F.slice(words, F.lit(1), (F.col("pos") % 7 + 1).cast("int")), " ").alias("label"))
+    return labels.select("pmid", "pos", N.looks_like_noise("label").alias("noise"), F.coalesce(N.artifact_reason("label"), F.lit("")).alias("reason"))
+
+
+@query(
+    "normalize_entities",
+    """with r as (select distinct p_brand from part), b as (select *, 'Gene' "type", regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g') "key", cast(regexp_extract(p_brand, '[0-9]+') as integer) n from r),
+  l as (select "type", "key", n, unnest([p_brand, lower(p_brand), replace(p_brand, '#', ' - ')]) label from b)
+  select distinct case when n % 2 = 0 then upper("key") else label end normalized, "type", case when n % 2 = 0 then 'normalized' else 'unresolved' end status, case when n % 2 = 0 then 'alias' else 'none' end "method", "key" canonical_key from l""",
+)
+def normalize_entities(spark, d):
+    """Brands in three spellings; every second one has an alias, and each also one of another type, which doesn't count."""
+    b = V.table(spark, d, "part").select("p_brand")
+    rows = b.select(F.explode(F.array("p_brand", F.lower("p_brand"), F.replace(F.col("p_brand"), F.lit("#"), F.lit(" - ")))).alias("label"), F.lit("Gene").alias("type"))
+    key = T.compact_label("p_brand")
+    known = b.distinct().where(F.regexp_extract("p_brand", "[0-9]+", 0).cast("int") % 2 == 0).select(F.lit("Gene").alias("type"), key.alias("key"), F.upper(key).alias("canonical"))
+    other = b.distinct().select(F.lit("Drug").alias("type"), key.alias("key"), F.lit("no").alias("canonical"))
+    return N.normalize_entities(rows, known.union(other)).select("normalized", "type", "status", "method", "canonical_key")
 
 
 @query(
@@ -116,18 +158,22 @@ def drug_records(spark, d):
     return s.select("s_suppkey", r["status"].alias("status"), F.coalesce(r["name"], F.lit("")).alias("name"), F.size(r["identifiers"]).alias("n_ids"), F.size(r["claims"]).alias("n_claims"), N.context_value("s_name")["status"].alias("context_status"))
 
 
-@query("dedupe_publications", P + ", r as (select *, row_number() over (partition by abstract order by cast(pmid as bigint)) rn from publications) select pmid, rn = 1 accepted, case when rn > 1 then 'duplicate' else '' end reason from r")
+@query(
+    "dedupe_publications",
+    P + """, r as (select *, row_number() over (partition by abstract order by cast(pmid as bigint)) rn, count(*) over (partition by abstract) n from publications), m as (select abstract, array_to_string(list_sort(list(distinct journal)), ',') matched from publications group by abstract)
+  select pmid, rn = 1 accepted, case when rn > 1 then 'duplicate' else '' end reason, case when rn = 1 then matched else '' end matched from r join m using (abstract)""",
+)
 def dedupe_publications(spark, d):
     p = V.publications(spark, d).withColumn("h", F.sha2("abstract", 256))
-    ok, bad = C.dedupe_publications(p, "h", [F.col("pmid").cast("long")])
-    return ok.select("pmid", F.lit(True).alias("accepted"), F.lit("").alias("reason")).union(bad.select("pmid", F.lit(False), "reason"))
+    ok, bad = C.dedupe_publications(p, "h", [F.col("pmid").cast("long")], strategy="journal")
+    return ok.select("pmid", F.lit(True).alias("accepted"), F.lit("").alias("reason"), F.array_join("query_strategies_matched", ",").alias("matched")).union(bad.select("pmid", F.lit(False), "reason", F.lit("")))
 
 
-@query("verify_metadata", P + " select case when trim(substr(title, 1, cast(\"year\" % 2 as integer) * 80)) = '' then 'incomplete_metadata' else '' end reason, count(*) n from publications group by 1")
+@query("verify_metadata", P + " select case when trim(case when \"year\" % 2 = 1 then title else '' end) = '' then 'incomplete_metadata' else '' end reason, \"year\" % 3 = 0 doi_present, count(*) n from publications group by all")
 def verify_metadata(spark, d):
-    p = V.publications(spark, d).withColumn("title", F.when(F.col("year") % 2 == 1, F.col("title")))
+    p = V.publications(spark, d).withColumns({"title": F.when(F.col("year") % 2 == 1, F.col("title")), "doi": F.when(F.col("year") % 3 == 0, F.concat(F.lit("10.1/"), "pmid"))})
     ok, bad = C.verify_metadata(p)
-    return ok.select(F.lit("").alias("reason")).union(bad.select("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    return ok.select(F.lit("").alias("reason"), "doi_present").union(bad.select("reason", "doi_present")).groupBy("reason", "doi_present").agg(F.count("*").alias("n"))
 
 
 TERMS = ["thing", "th-ble", "zzqx"]
@@ -159,14 +205,36 @@ def keyword_relevance(spark, d):
     return out.select("pmid", "relevance_score", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
-@query("infer_species", """select doc_id, case when regexp_matches(lower(text), 'mice|mouse|murine') then 'mouse' when regexp_matches(lower(text), 'human|patient') then 'human' else 'unknown' end species from documents""")
+MESH = "case doc_id % 5 when 0 then 'Humans' when 1 then 'Mice, Inbred' when 2 then 'Patients' else lang end"
+
+
+@query(
+    "infer_species",
+    f"""with m as (select doc_id, text, {MESH} mesh from documents), k as (select doc_id, lower(mesh) mesh, lower(mesh) || ' ' || lower(text[1:200]) head, lower(text || ' ' || mesh) whole from m)
+  select doc_id, case when regexp_matches(mesh, 'human|patient') then 'human' when regexp_matches(mesh, 'mice|mouse|murine') then 'mouse' else 'unknown' end by_mesh,
+  case when regexp_matches(head, 'human|patient') then 'human' when regexp_matches(head, 'mice|mouse|murine') then 'mouse' else 'unknown' end by_both,
+  case when regexp_matches(whole, 'mice|mouse|murine') then 'mouse' when regexp_matches(whole, 'human|patient') then 'human' else 'unknown' end by_text from k""",
+)
 def infer_species(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", C.infer_species(F.col("text")).alias("species"))
+    """MeSH terms alone; with the head of the text (the operator's own rule); the whole text with the term behind it."""
+    m = V.table(spark, d, "documents").withColumn("mesh", F.expr(MESH))
+    of = lambda mode, text: C.infer_species(text, F.array("mesh"), mode)
+    return m.select("doc_id", of("mesh", F.col("text")).alias("by_mesh"), of("mesh_text", F.col("text")).alias("by_both"), of("text", F.concat("text", F.lit(" "), "mesh")).alias("by_text"))
+
+
+SIZED = "publications_ as (select * replace (abstract || case when cast(pmid as bigint) % 4 < 3 then ' n = ' || (cast(pmid as bigint) * 7 % 700) else ' retrospective' end as abstract) from publications)"
+
+
+def sized(spark, d):
+    """Abstracts that state a sample size, or their design, behind the text."""
+    n = F.col("pmid").cast("long")
+    more = F.when(n % 4 < 3, F.concat(F.lit(" n = "), n * 7 % 700)).otherwise(" retrospective")
+    return V.publications(spark, d).withColumn("abstract", F.concat("abstract", more))
 
 
 @query(
     "evidence_level",
-    P + """, a as (select *, lower(abstract) x, try_cast(nullif(regexp_extract(lower(abstract), 'n\\s*=\\s*(\\d+)', 1), '') as integer) ss, publication_types[1] pt from publications),
+    P + f""", {SIZED}, a as (select *, lower(abstract) x, try_cast(nullif(regexp_extract(lower(abstract), 'n\\s*=\\s*(\\d+)', 1), '') as integer) ss, publication_types[1] pt from publications_),
   b as (select *, case pt when 'Meta-Analysis' then 'systematic_review' when 'Randomized Controlled Trial' then 'clinical_trial' when 'Observational Study' then 'human_cohort' when 'Review' then 'review' else 'primary_research' end lv,
   (case pt when 'Meta-Analysis' then 0.95 when 'Randomized Controlled Trial' then 0.85 when 'Observational Study' then 0.7 when 'Review' then 0.55 else 0.5 end)::double cf from a),
   c as (select *, case when lv = 'primary_research' and regexp_matches(x, 'single-cell|scrna-seq|single cell') then 'single_cell_study' when lv = 'primary_research' and species = 'mouse' then 'mouse_study'
@@ -177,7 +245,20 @@ def infer_species(spark, d):
   case when contains(x, 'retrospective') then 1 else 0 end + case when length(x) < 100 then 1 else 0 end) limitations from e""",
 )
 def evidence_level(spark, d):
-    return C.assign_evidence_level(V.publications(spark, d)).select("pmid", "evidence_level", "confidence_score", "sample_size", F.size("limitations").alias("limitations"))
+    return C.assign_evidence_level(sized(spark, d)).select("pmid", "evidence_level", "confidence_score", "sample_size", F.size("limitations").alias("limitations"))
+
+
+@query(
+    "evidence_level_s002",
+    P + """, a as (select *, publication_types[1] pt, 'src' || (cast(pmid as bigint) % 3) || case when cast(pmid as bigint) % 3 = 0 then ' bioRxiv' else '' end j, abstract || case when cast(pmid as bigint) % 7 = 0 then ' scRNA' else '' end x from publications),
+  b as (select *, contains(lower(x), 'scrna') or contains(lower(x), 'single-cell') cells, case pt when 'Meta-Analysis' then 'systematic_review' when 'Randomized Controlled Trial' then 'clinical_trial' when 'Review' then 'review' else 'primary_research' end lv,
+  (case pt when 'Meta-Analysis' then 0.95 when 'Randomized Controlled Trial' then 0.85 when 'Review' then 0.55 else 0.5 end)::double cf from a), c as (select *, case when cells then greatest(cf, 0.75) else cf end c1 from b)
+  select pmid, case when cells then 'single_cell_study' else lv end evidence_level, round(case when species = 'mouse' then least(c1, 0.55) else c1 end - case when contains(lower(j), 'biorxiv') then 0.1 else 0 end, 2) confidence_score from c""",
+)
+def evidence_level_s002(spark, d):
+    n = F.col("pmid").cast("long")
+    p = V.publications(spark, d).withColumns({"journal": F.concat(F.lit("src"), n % 3, F.when(n % 3 == 0, " bioRxiv").otherwise("")), "abstract": F.concat("abstract", F.when(n % 7 == 0, " scRNA").otherwise(""))})
+    return C.assign_evidence_level(p, "s002").select("pmid", "evidence_level", "confidence_score")
 
 
 @query(
@@ -203,6 +284,11 @@ def year_bands(spark, d):
     return C.year_bands(V.publications(spark, d), [("early", 2019, 2021), ("mid", 2022, 2024)])
 
 
+@query("year_counts", P + " select case when \"year\" > 2019 then cast(\"year\" as varchar) else 'unknown' end \"year\", count(*) n from publications group by 1")
+def year_counts(spark, d):
+    return C.year_counts(V.publications(spark, d).withColumn("year", F.when(F.col("year") > 2019, F.col("year"))))
+
+
 @query(
     "rejection_report",
     P + f""", m as (select contains({compact("title || ' ' || abstract || ' ' || journal")}, 'thing') ok from publications) select count(*) total, count_if(ok) accepted, count_if(not ok) rejected,
@@ -213,6 +299,17 @@ def rejection_report(spark, d):
     return C.rejection_report(ok.withColumn("reason", F.lit(None).cast("string")).unionByName(bad))
 
 
+@query(
+    "rejection_reasons",
+    P + f""", m as (select contains({compact("title || ' ' || abstract || ' ' || journal")}, 'thing') ok, trim(title) = '' bare from publications), r as (select case when bare then 'incomplete_metadata' when not ok then 'target_terms_not_found' end reason from m)
+  select reason, count(*) n from r where reason is not null group by reason""",
+)
+def rejection_reasons(spark, d):
+    ok, bare = C.verify_metadata(V.publications(spark, d))
+    ok, bad = C.match_target_terms(ok, ["thing"])
+    return C.rejection_reasons(bare.unionByName(bad, allowMissingColumns=True).unionByName(ok, allowMissingColumns=True))
+
+
 def scored(spark, d):
     p = C.assign_evidence_level(V.publications(spark, d))
     return p.withColumn("relevance_score", F.pmod(F.col("pmid").cast("long") * 7, F.lit(11)) / 8)
@@ -233,9 +330,15 @@ def rank_publications(spark, d):
     return C.rank_publications(scored(spark, d).withColumn("confidence_score", F.lit(None).cast("double"))).select("pmid", "relevance_score", "year")
 
 
-@query("compact_publications", P + " select pmid, case when length(abstract) > 1800 then substr(abstract, 1, 1799) || '…' else abstract end abstract from publications")
+@query(
+    "compact_publications",
+    P + """ select pmid, case when length(abstract) > 1800 then substr(abstract, 1, 1799) || '…' else abstract end abstract, case when length(title) > 220 then substr(title, 1, 219) || '…' else title end title,
+  least(5, cast(pmid as bigint) % 9) strategies from publications""",
+)
 def compact_publications(spark, d):
-    return C.compact_publications(V.publications(spark, d)).select("pmid", "abstract")
+    some = F.slice(F.array(*(F.lit(f"s{k}") for k in range(9))), F.lit(1), (F.col("pmid").cast("long") % 9).cast("int"))
+    p = V.publications(spark, d).withColumn("query_strategies_matched", some)
+    return C.compact_publications(p).select("pmid", "abstract", "title", F.size("query_strategies_matched").cast("long").alias("strategies"))
 
 
 @query("corpus_delta", P + " select case when \"year\" > 2024 then 'new' when \"year\" >= 2022 then 'retained' else 'prior' end status, count(*) n from publications group by 1")
@@ -272,6 +375,18 @@ def search_corpus(spark, d):
     return C.search_corpus(V.publications(spark, d), search_strategies(spark))[0]
 
 
+@query(
+    "search_retrieved",
+    P + """, w as (select pmid, "year", list_distinct(regexp_split_to_array(lower(title || ' ' || abstract), '[^a-z0-9-]+')) w from publications),
+  f as (select strategy, pmid, "year", row_number() over (partition by strategy order by "year" desc, cast(pmid as bigint)) rn from w join (values ('s1', ['thing','thble'], ['erble'], ['erble'], 2019, 2027), ('s2', ['attion'], ['attion'], ['attion'], 2022, 2024), ('s3', ['the'], ['and'], ['thing'], 2019, 2022))
+  t(strategy, a, b, c, y1, y2) on "year" between y1 and y2 and list_has_any(w, a) and list_has_any(w, b) and list_has_any(w, c))
+  select pmid, string_agg(strategy, ',' order by strategy) strategies, any_value("year") "year", cast(min(ceil(rn / 10)) as integer) page from f where rn <= 30 group by pmid order by cast(pmid as bigint) limit 120""",
+)
+def search_retrieved(spark, d):
+    """Three pages of ten for each strategy."""
+    return C.search_corpus(V.publications(spark, d), search_strategies(spark), per_query=10, pages=3)[1].withColumn("strategies", F.array_join("strategies", ","))
+
+
 @query(
     "node_expansion",
     P + ", t as (select unnest(['thble','erble','attion','ander']) term) select term, count(*) df from t join publications on contains(lower(abstract), term) group by term having count(*) >= 2 order by df desc, term limit 2",
@@ -315,36 +430,52 @@ def extraction_stats(spark, d):
     return X.extraction_stats(V.publications(spark, d), extracted(spark, d))
 
 
+VERBS = [("and|is|und|et|y", "activates"), ("to|zu|en", "suppresses"), *vocab.CAUSAL_VERBS]
+ENDS = [f"select pmid, '{relation}' relation, unnest(regexp_extract_all(x, '(\\w[\\w\\s\\-\\+/]+?)\\s+(?:{forms})\\s+(\\w[\\w\\s\\-\\+/]+)', 1)) s, unnest(regexp_extract_all(x, '(\\w[\\w\\s\\-\\+/]+?)\\s+(?:{forms})\\s+(\\w[\\w\\s\\-\\+/]+)', 2)) t from low" for forms, relation in VERBS]
+SHORT = "regexp_replace(trim(regexp_replace({}, '\\s+', ' ', 'g')), '\\s+', ' ', 'g')"
+
+
 @query(
     "extract_patterns",
-    P + """, m as (select pmid, lower(abstract) x from publications), h as (select pmid, unnest(regexp_extract_all(x, '([a-z][a-z ]*?)\\s+(?:and|is)\\s+([a-z][a-z ]+)', 1)) s,
-  unnest(regexp_extract_all(x, '([a-z][a-z ]*?)\\s+(?:and|is)\\s+([a-z][a-z ]+)', 2)) t from m) select pmid, count(*) n from (select distinct pmid, s, t from h) group by pmid""",
+    EXTRACTED
+    + f""", low as (select pmid, lower(abstract) x from publications), m as ({' union all '.join(ENDS)}), k as (select pmid, relation, {SHORT.format('s')} s, {SHORT.format('t')} t from m),
+  n as (select distinct pmid, {node_sql('s')} source, relation, {node_sql('t')} target from k)
+  select n.pmid, n.source, n.relation, n.target, 0.35::double confidence from n where source is not null and target is not null and source <> target and length(source) > 2 and length(target) > 2
+  and (pmid, source, relation, target) not in (select (pmid, upper(source), relation, upper(target)) from claims)""",
 )
 def extract_patterns(spark, d):
-    from pyspark.sql import functions as F2
-
-    low = F2.lower("abstract")
-    p = F2.lit(r"([a-z][a-z ]*?)\s+(?:and|is)\s+([a-z][a-z ]+)")
-    both = F2.arrays_zip(F2.regexp_extract_all(low, p, F2.lit(1)).alias("s"), F2.regexp_extract_all(low, p, F2.lit(2)).alias("t"))
-    return V.publications(spark, d).select("pmid", F2.explode(F2.array_distinct(both)).alias("m")).groupBy("pmid").agg(F2.count("*").alias("n"))
+    """The operator itself, with the prose's own connectives among the verbs; claims of templates go, under the aliases' names."""
+    seen = extracted(spark, d).withColumns({"source": F.upper("source"), "target": F.upper("target")})
+    p = V.publications(spark, d).withColumn("confidence", F.lit(0.5))
+    return X.extract_patterns(p, seen, ALIASES, VERBS).select("pmid", "source", "relation", "target", F.round("confidence", 4).alias("confidence"))
 
 
 def drug_targets(spark):
-    return spark.createDataFrame([("r1", "x", ["thble", "erble"], ["thing"], [], [])], "run_id string, disease string, genes array<string>, drugs array<string>, tissues array<string>, cell_types array<string>")
+    return spark.createDataFrame([("r1", "x", ["the", "tion", "thble"], ["thing"], [], [])], "run_id string, disease string, genes array<string>, drugs array<string>, tissues array<string>, cell_types array<string>")
 
 
-DIRECT, INDIRECT = "target|bind|and", "tion|pathway"
+DIRECT, INDIRECT = r"and|\\bis\\b|und", "in|to"
 
 
 @query(
     "drug_claims",
-    P + f""", g as (select unnest(['thble','erble']) gene), s as (select pmid, gene, list_filter({SENTENCES}, lambda x: contains({compact('x')}, 'thing') and contains({compact('x')}, gene))[1] sentence
-  from publications cross join g where contains(lower(abstract), 'thing'))
-  select pmid, gene target, case when regexp_matches(lower(sentence), 'bind|neutraliz|monoclonal antibody|blocking antibody|\\binhibitor\\b|\\binhibits?\\b|\\btarget(?:s|ed|ing)?\\b') then 'binds_target' else 'indirectly_modulates' end predicate
-  from s where sentence is not null and regexp_matches(lower(sentence), 'bind|neutraliz|monoclonal antibody|blocking antibody|\\binhibitor\\b|\\binhibits?\\b|\\btarget(?:s|ed|ing)?\\b|pathway|signaling|signalling|downstream|mediates|modulat|inhibit|activat|phosphorylat|ampk|mtor')""",
+    P + f""", g as (select unnest(['the','tion','thble']) gene), s as (select pmid, gene, list_filter({SENTENCES}, lambda x: contains({compact('x')}, 'thing') and contains({compact('x')}, gene))[1] sentence
+  from publications cross join g where contains(lower(abstract), 'thing')), p as (select pmid, gene, case when regexp_matches(lower(sentence), '{DIRECT}') then 'binds_target' when regexp_matches(lower(sentence), '{INDIRECT}') then 'indirectly_modulates' end predicate from s)
+  select pmid, gene target, predicate, case when predicate = 'binds_target' then gene || ' protein' else gene end object, case when predicate = 'binds_target' then 0.75 else 0.55 end::double confidence from p where predicate is not null""",
 )
 def drug_claims(spark, d):
-    return X.extract_drug_claims(V.publications(spark, d), drug_targets(spark)).select("pmid", "target", "predicate")
+    return X.extract_drug_claims(V.publications(spark, d), drug_targets(spark), DIRECT, INDIRECT).select("pmid", "target", "predicate", "object", "confidence")
+
+
+@query(
+    "attach_context",
+    EXTRACTED + f""", {V.TARGETS} select pmid, source, relation, target, run session, case when run = 'r3' or run = 'r1' then case run when 'r1' then 'thing' else 'zzqx' end else '' end disease, case when run in ('r1','r2') then 1 else 0 end drugs, 'pmid_backed' provenance_status
+  from (select *, 'r' || (cast(pmid as bigint) % 4 + 1) run from claims)""",
+)
+def attach_context(spark, d):
+    c = extracted(spark, d).withColumns({"run_id": F.concat(F.lit("r"), F.col("pmid").cast("long") % 4 + 1), "context": F.lit(None).cast("string")})
+    out = X.attach_context(c, V.targets(spark))
+    return out.select("pmid", "source", "relation", "target", "session", F.coalesce(F.array_join("context.disease", ","), F.lit("")).alias("disease"), F.coalesce(F.size("context.drugs"), F.lit(0)).alias("drugs"), "provenance_status")
 
 
 WAYS = {"W1": "attion", "W2": "ander|onthe"}

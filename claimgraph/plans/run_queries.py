@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.text import sorted_join
 from ..operators import analytics as A
 from ..operators import graph as G
 from ..operators import novelty as H
 from ..operators import runs as R
 from ..operators import views as VW
-from ..operators.iterate import shared_folder
+from ..operators.iterate import shared_folder, staged
 from ..sources import io
 from ..streaming import events as SE
 from . import testviews as V
@@ -85,11 +86,11 @@ def min_support_view(spark, d):
 
 @query(
     "node_set_view",
-    f"""with {V.SPARSE}, w as (select unnest(['N1','N2']) id union select target from pairs where source in ('N1','N2') union select source from pairs where target in ('N1','N2'))
+    f"""with {V.SUPPORTED}, w as (select unnest(['N1','N2']) id union select target from pairs where source in ('N1','N2') union select source from pairs where target in ('N1','N2'))
   select source, target, case when source in ('N1','N2') and target in ('N1','N2') then 'solid' else 'dashed' end "style" from pairs where source in (select id from w) and target in (select id from w)""",
 )
 def node_set_view(spark, d):
-    return VW.node_set_view(V.node_ids(spark, d), A.pairs(V.sparse_edges(spark, d)), ["N1", "N2"], hops=1)[1]
+    return VW.node_set_view(V.node_ids(spark, d), V.supported_edges(spark, d).select("source", "target"), ["N1", "N2"], hops=1)[1]
 
 
 @query(
@@ -127,9 +128,10 @@ def connections(spark, d):
 
 @query(
     "focus_hub",
-    f"""with {V.EDGES}, b as (select source id, 1 w, pmid_count from edges union all select target, 0, pmid_count from edges), p as (select id, count(*) incident, sum(pmid_count) papers, count(distinct w) = 2 both_ways from b group by id),
-  s as (select id, 100 * incident + 12 * papers + case when both_ways then 500 else 0 end + 75 + case when length(id) <= 12 then 40 else 0 end score, incident, papers from p)
-  select id, cast(score as bigint) score, incident, cast(papers as bigint) papers from s order by score desc, papers desc, length(id), id desc limit 1""",
+    f"""with {V.EDGES}, e as (select * from edges where n_refs > 0), b as (select source id, 1 w, pmid_count from e union all select target, 0, pmid_count from e), p as (select id, count(*) incident, sum(pmid_count) papers, count(distinct w) = 2 both_ways from b group by id),
+  s as (select n.id, n.pmid_count, 100 * coalesce(incident, 0) + 12 * coalesce(papers, 0) + case when both_ways then 500 else 0 end + 25 * case "type" when 'Cytokine' then 4 when 'Cell' then 2 when 'Clinical_phenotype' then 1 else 3 end
+  + case when length(n.id) <= 12 then 25 else 10 end score, coalesce(incident, 0) incident, coalesce(papers, 0) papers from nodes n left join p using (id))
+  select id, cast(score as bigint) score, incident, cast(papers as bigint) papers from s order by score desc, pmid_count desc, length(id), id limit 1""",
 )
 def focus_hub(spark, d):
     return VW.focus_hub(nodes_of(spark, d), edges_of(spark, d))
@@ -137,17 +139,17 @@ def focus_hub(spark, d):
 
 @query(
     "hub_summary",
-    f"""with {V.EDGES}, h as (select unnest(['N1','N2']) id), e as (select target hub, 'in' direction, source other, relation, pmid_count, round(confidence, 6) c from edges where target in (select id from h)
-  union all select source, 'out', target, relation, pmid_count, round(confidence, 6) from edges where source in (select id from h)),
-  r as (select *, row_number() over (partition by hub, direction order by pmid_count desc, other, relation) rank from e) select hub, direction, other, relation, pmid_count, rank from r where rank <= case direction when 'in' then 3 else 4 end""",
+    f"""with {V.EDGES}, h as (select unnest(['N1','N2']) id), e as (select target hub, 'in' direction, source other, relation, pmid_count, confidence c from edges where target in (select id from h)
+  union all select source, 'out', target, relation, pmid_count, confidence from edges where source in (select id from h)),
+  r as (select *, row_number() over (partition by hub, direction order by pmid_count desc, c desc, other, relation) rank from e) select hub, direction, other, relation, pmid_count, rank from r where rank <= case direction when 'in' then 3 else 4 end""",
 )
 def hub_summary(spark, d):
-    e = edges_of(spark, d).withColumn("confidence", F.lit(0.5))  # ties in papers go by name, so that both engines agree
+    e = edges_of(spark, d).withColumn("confidence", F.round(F.col("conf_sum") * 100).cast("long") / F.col("conf_n"))  # whole hundredths, so that both engines agree
     hubs = spark.createDataFrame([("N1",), ("N2",)], "id string")
     return VW.hub_summary(e, hubs).select("hub", "direction", "other", "relation", F.col("pmid_count").cast("long").alias("pmid_count"), "rank")
 
 
-CAND = f"""{V.EDGES}, s as (select distinct source, target, case when relation in ('activates','induces') then '+' else '-' end sign from edges where source <> target),
+CAND = f"""{V.EDGES}, s as (select distinct source, target, {V.SIGN} sign from edges where source <> target),
   con as (select distinct least(x.source, x.target) || '|' || greatest(x.source, x.target) subject from s x join s y on x.sign < y.sign and ((x.source = y.source and x.target = y.target) or (x.source = y.target and x.target = y.source)))"""
 
 
@@ -246,13 +248,47 @@ def review_outcomes(spark, d):
 
 @query(
     "audit_text",
-    """select page_id, case when page_id % 2 = 0 then 'D' else 'UNKNOWN' end classification, page_id % 3 = 0 eligible, url statement from pages""",
+    """select page_id, case when page_id % 2 = 0 then 'D' end classification, page_id % 3 = 0 eligible, case when page_id % 4 = 3 then 'No concrete mechanistic hypothesis supplied. Candidate label: ' || url else 'about ' || url end statement,
+  'H' || page_id hypothesis_id, case when page_id % 5 = 0 then 'act' end action from pages""",
 )
 def audit_text(spark, d):
+    """Transcripts as they are stored: JSON inside JSON, escaped once, twice or not at all."""
     p = V.table(spark, d, "pages")
-    label = F.when(F.col("page_id") % 2 == 0, "Classification: A\\nclassification: class D").otherwise("none")
-    text = F.concat(label, F.lit("\\nEligible: "), F.when(F.col("page_id") % 3 == 0, "yes").otherwise("no"), F.lit("\\n**Statement**: "), "url", F.lit("\\nend"))
-    return H.parse_audit_text(p.select("page_id", text.alias("result_text"))).select("page_id", "classification", "eligible", "statement")
+    piece = lambda cond, text: F.when(cond, text).otherwise(F.lit(""))
+    plain = F.concat(
+        F.lit('{"note": "classification: A first", "hypothesis_id": "H'), F.col("page_id"), F.lit('", "eligible_for_hypothesis_generation": '), F.when(F.col("page_id") % 3 == 0, "true").otherwise("false"),
+        piece(F.col("page_id") % 2 == 0, F.lit(', "classification": "D"')), piece(F.col("page_id") % 4 != 3, F.concat(F.lit(', "original_statement": "about '), "url", F.lit('"'))), piece(F.col("page_id") % 5 == 0, F.lit(', "action": "act"')), F.lit("}"),
+    )
+    plain = F.when(F.col("page_id") % 2 == 0, plain).otherwise(F.replace(plain, F.lit("classification: A first"), F.lit("none")))
+    once = F.replace(F.replace(plain, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    twice = F.replace(F.replace(once, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    text = F.when(F.col("page_id") % 3 == 0, plain).when(F.col("page_id") % 3 == 1, once).otherwise(twice)
+    return H.parse_audit_text(p.select("page_id", "url", text.alias("result_text")), fallback="url").select("page_id", "classification", "eligible", "statement", "hypothesis_id", "action")
+
+
+@query(
+    "experiment_text",
+    """select conv_id, cast(pos as integer) pos, 'E' || conv_id || '-' || pos id, case when pos < 2 then 'm' || pos end "method", 'o' || pos predicted_outcome from (select distinct conv_id from conversations), (select unnest([0,1,2]) pos)
+  where pos <= conv_id % 3""",
+)
+def experiment_text(spark, d):
+    c = V.table(spark, d, "conversations").select("conv_id").distinct()
+    one = lambda i: F.concat(F.lit('{"id": "E'), F.col("conv_id"), F.lit("-"), i.cast("string"), F.lit('", '), F.when(i < 2, F.concat(F.lit('"method": "m'), i.cast("string"), F.lit('", '))).otherwise(""), F.lit('"predicted_outcome": "o'), i.cast("string"), F.lit('"}'))
+    text = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("conv_id") % 3).cast("int")), one), ", ")
+    escaped = F.replace(text, F.lit('"'), F.lit('\\"'))
+    return H.parse_experiment_text(c.select("conv_id", escaped.alias("result_text"))).select("conv_id", "pos", "id", "method", "predicted_outcome")
+
+
+@query(
+    "hypothesis_text",
+    """select item_id, 'H' || item_id id, case when item_id % 2 = 0 then 'D' end "class", 'gap ' || item_id source_gap from benchmark where item_id % 3 > 0""",
+)
+def hypothesis_text(spark, d):
+    b = V.table(spark, d, "benchmark")
+    kind = F.when(F.col("item_id") % 2 == 0, F.lit("'class': 'D', ")).otherwise("")
+    text = F.concat(F.lit("{'id': 'H"), "item_id", F.lit("', "), kind, F.lit("'source_gap': 'gap "), "item_id", F.lit("'}"))
+    rows = b.select("item_id", F.when(F.col("item_id") % 3 > 0, text).otherwise("nothing here").alias("result_text"))
+    return H.parse_hypothesis_text(rows).select("item_id", "id", "class", "source_gap")
 
 
 @query(
@@ -272,13 +308,14 @@ def novelty_catalog(spark, d):
     "run_summary",
     f"""with {V.PUBLICATIONS}, p as (select "year" y, count(*) papers, count(distinct journal) journals from publications group by 1),
   a as (select "year" y, count_if(species = 'mouse') novel from publications group by 1)
-  select 'y' || y run_id, papers, journals, novel, novel accepted, papers < 10 degraded, papers >= 10 and novel > 0 ready from p join a using (y)""",
+  select 'y' || y run_id, papers, journals, novel, novel accepted, y - 2000 reported, y - 2000 - papers count_discrepancy, papers < 10 degraded, papers >= 10 and novel > 0 ready from p join a using (y)""",
 )
 def run_summary(spark, d):
     p = V.publications(spark, d).withColumn("run_id", F.concat(F.lit("y"), "year"))
     audits = p.select("run_id", F.when(F.col("species") == "mouse", "D").otherwise("A").alias("class"))
     reviews = p.select("run_id", (F.col("species") == "mouse").alias("accepted"))
-    return R.run_summary(p.select("run_id").distinct(), p, audits, reviews)
+    reported = p.select("run_id", (F.col("year") - 2000).cast("long").alias("reported")).distinct()
+    return R.run_summary(p.select("run_id").distinct(), p, audits, reviews, reported)
 
 
 SCORES = """s as (select 'hypothesis' subject_type, doc_id % 10 session_id, case when toxic = 1 then 'caught' else 'missed' end outcome, case when quality = 1 then 'D' else 'A' end original_label,
@@ -324,20 +361,25 @@ def replay(spark, d):
 
 @query(
     "run_status",
-    f"""with {SEQ}, t as (select run_id, min(seq) filter (event_type in ('run_completed','run_failed')) e, max(seq) last_seq, min(seq) filter (event_type = 'run_failed') first_error_seq from ev group by run_id)
-  select t.run_id, case ev.event_type when 'run_completed' then 'completed' when 'run_failed' then 'failed' else 'running' end status, 0 attempts, last_seq, first_error_seq from t left join ev on ev.run_id = t.run_id and ev.seq = t.e""",
+    f"""with {SEQ}, a as (select *, sum(case when event_type = 'run_retried' then 1 else 0 end) over (partition by run_id order by seq) attempt from ev),
+  t as (select run_id, attempt, min(seq) filter (event_type in ('run_completed','run_failed')) e, max(seq) filter (event_type in ('agent_started','run_paused')) m from a group by run_id, attempt),
+  l as (select run_id, max(attempt) attempts from t group by run_id), s as (select run_id, max(seq) last_seq, min(seq) filter (event_type = 'run_failed') first_error_seq, max(seq) filter (event_type in ('agent_started','run_paused')) agent_seq from ev group by run_id)
+  select l.run_id, case when x.event_type = 'run_completed' then 'completed' when x.event_type = 'run_failed' then 'failed' when y.event_type = 'run_paused' then 'paused' else 'running' end status, z.step_id current_agent, cast(attempts as bigint) attempts, last_seq, first_error_seq
+  from l join t on t.run_id = l.run_id and t.attempt = l.attempts join s on s.run_id = l.run_id left join ev x on x.run_id = l.run_id and x.seq = t.e left join ev y on y.run_id = l.run_id and y.seq = t.m left join ev z on z.run_id = l.run_id and z.seq = s.agent_seq""",
 )
 def run_status(spark, d):
     return R.run_status(events(spark, d))
 
 
-@query(
-    "pair_steps",
-    f"""with {SEQ}, s as (select *, lead(event_type) over w nt, lead(seq) over w ns, lead(created_at) over w na from ev where event_type in ('agent_started','agent_completed') and step_id is not null window w as (partition by run_id, step_id order by seq))
-  select run_id, step_id, seq start_seq, ns end_seq, epoch_us(na) - epoch_us(created_at) duration_us from s where event_type = 'agent_started' and nt = 'agent_completed'""",
-)
+PAIRED = f"""with {SEQ}, s as (select *, lead(event_type) over w nt, lead(seq) over w ns, lead(created_at) over w na from ev where event_type in ('agent_started','agent_completed') and step_id is not null window w as (partition by run_id, step_id order by seq))
+  select run_id, step_id, seq start_seq, ns end_seq, epoch_us(na) - epoch_us(created_at) duration_us%s from s where event_type = 'agent_started' and nt = 'agent_completed'"""
+
+
+@query("pair_steps", PAIRED.replace("%s", ", 'agent ' || step_id agent, ns % 2 = 0 is_error, case when ns % 3 = 0 then 'short' when ns % 3 = 1 then repeat('x', 800) || '...' end summary"))
 def pair_steps(spark, d):
-    return R.pair_steps(events(spark, d))
+    text = F.when(F.col("seq") % 3 == 0, " short ").when(F.col("seq") % 3 == 1, F.repeat(F.lit("x"), 801))
+    e = events(spark, d).withColumns({"agent": F.concat(F.lit("agent "), "step_id"), "is_error": F.col("seq") % 2 == 0, "summary": text})
+    return R.pair_steps(e)
 
 
 @query(
@@ -348,6 +390,18 @@ def usage_totals(spark, d):
     return R.usage_totals(events(spark, d), 50_000)
 
 
+@query(
+    "usage_cumulative",
+    f"""with {SEQ}, r as (select *, case when seq % 3 < 2 then 2 * tokens end t from ev), x as (select *, last_value(t ignore nulls) over (partition by run_id order by seq) running from r)
+  select run_id, count(t) calls, max_by(t, seq) filter (t is not null) total, min(seq) filter (running > 9000) exhausted_at from x group by run_id""",
+)
+def usage_cumulative(spark, d):
+    """Records with counters in and out, none in every third."""
+    some = F.when(F.col("seq") % 3 < 2, F.col("tokens"))
+    e = events(spark, d).withColumns({"tokens_in": some, "tokens_out": some}).drop("tokens")
+    return R.usage_totals(e, 9_000, cumulative=True)
+
+
 @query(
     "stalled_runs",
     f"""with {SEQ}, g as (select *, floor(epoch(created_at)) - floor(epoch(lag(created_at) over (partition by run_id order by seq))) gap from ev), p as (select run_id, cast(max(gap) as bigint) longest_gap, cast(floor(epoch(max(created_at))) - floor(epoch(min(created_at))) as bigint) length from g group by run_id)
@@ -364,32 +418,38 @@ def interventions(spark, d):
     return out.withColumn("decisions", F.array_join("decisions", ","))
 
 
-def _streamed(spark, d, transform, mode: str):
-    """Runs a streaming form over the event log, written as files first, to its end; the result as a table."""
+def _streamed(spark, d, transform, mode: str, log=None):
+    """Runs a streaming form over the event log, file by file in the log's order, to its end; the result as a table with its batch.
+
+    A batch that is run again overwrites what it wrote.
+    """
     base = f"{shared_folder(spark)}/claimgraph/stream-{uuid.uuid4().hex}"
-    log = events(spark, d)
-    log.repartition(4).write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(log.schema).parquet(f"{base}/in")
+    log = staged(log if log is not None else events(spark, d), "stream-log")
+    low, high = log.agg(F.min("created_at").cast("double"), F.max("created_at").cast("double")).first()
+    batch_of = F.least(F.lit(3), F.floor((F.col("created_at").cast("double") - low) / max(1e-6, high - low) * 4))
+    for k in range(4):  # one after the other, so that the files' times keep the order
+        log.where(batch_of == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
 
     def sink(batch, n):
-        batch.write.parquet(f"{base}/out/batch={n}")
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}")
 
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     q = transform(stream).writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     return spark.read.parquet(f"{base}/out")
 
 
-@query("stream_run_status", ORACLE["run_status"])
-def stream_run_status(spark, d):
-    out = _streamed(spark, d, SE.run_status, "update")
-    last = out.groupBy("run_id").agg(F.max_by(F.struct("status", "attempts", "last_seq", "first_error_seq"), "batch").alias("x"))
-    return last.select("run_id", "x.*")
+def _last(rows, *columns: str):
+    """The last batch's row of each run."""
+    return rows.groupBy("run_id").agg(F.max_by(F.struct(*columns), "batch").alias("x")).select("run_id", "x.*")
 
 
-@query("stream_usage_totals", f"with {V.EVENTS} select run_id, count(tokens) calls, cast(sum(tokens) as bigint) total from run_events group by run_id")
-def stream_usage_totals(spark, d):
-    out = _streamed(spark, d, SE.usage_totals, "update")
-    return out.groupBy("run_id").agg(F.max_by("calls", "batch").alias("calls"), F.max_by("total", "batch").alias("total"))
+@query("stream_sequence_events", ORACLE["sequence_events"])
+def stream_sequence_events(spark, d):
+    log = V.run_events(spark, d)
+    return _streamed(spark, d, SE.sequence_events, "append", log).select("run_id", "arrival", "seq")
 
 
 @query("stream_replay", ORACLE["replay"])
@@ -397,3 +457,82 @@ def stream_replay(spark, d):
     return _streamed(spark, d, lambda s: SE.replay(s, 5), "append").select("run_id", "seq", "event_type")
 
 
+@query("stream_run_status", ORACLE["run_status"])
+def stream_run_status(spark, d):
+    return _last(_streamed(spark, d, SE.run_status, "update"), "status", "current_agent", "attempts", "last_seq", "first_error_seq")
+
+
+@query("stream_pair_steps", PAIRED.replace("%s", ""))
+def stream_pair_steps(spark, d):
+    return _streamed(spark, d, SE.pair_steps, "append").drop("batch")
+
+
+@query("stream_usage_totals", ORACLE["usage_totals"])
+def stream_usage_totals(spark, d):
+    return _last(_streamed(spark, d, lambda s: SE.usage_totals(s, 50_000), "update"), "calls", "total", "exhausted_at")
+
+
+@query("stream_stalled_runs", ORACLE["stalled_runs"])
+def stream_stalled_runs(spark, d):
+    return _last(_streamed(spark, d, SE.stalled_runs, "update"), "longest_gap", "length", "stalled", "overlong")
+
+
+def _documents(rows, key, name: str, spark) -> str:
+    """Writes one JSON document per key, with all its rows in the list ``name``; the folder."""
+    folder = f"{shared_folder(spark)}/claimgraph/documents-{uuid.uuid4().hex}"
+    docs = rows.groupBy(key.alias("k")).agg(F.to_json(F.struct(F.collect_list(F.struct(*rows.columns)).alias(name))).alias("value"))
+    docs.write.partitionBy("k").text(folder)
+    return folder
+
+
+@query("read_publications", "select cast(p_partkey as varchar) pmid, p_name title, p_type abstract, p_brand journal, cast(1990 + p_size as integer) \"year\" from part")
+def read_publications(spark, d):
+    p = V.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("pmid"), F.col("p_name").alias("title"), F.col("p_type").alias("abstract"), F.col("p_brand").alias("journal"), (1990 + F.col("p_size")).cast("int").alias("year"))
+    folder = _documents(p, F.pmod(F.xxhash64("pmid"), F.lit(16)), "publications", spark)
+    return io.read_publications(spark, f"{folder}/*").select("pmid", "title", "abstract", "journal", "year")
+
+
+@query(
+    "read_publications_xml",
+    "select cast(p_partkey as varchar) pmid, p_name title, 'AIM: ' || p_type || ' ' || p_brand abstract, p_brand journal, cast(1990 + p_size as integer) \"year\", case when p_partkey % 2 = 0 then '10.1/' || p_partkey end doi from part",
+)
+def read_publications_xml(spark, d):
+    tag = lambda name, *inner: F.concat(F.lit(f"<{name}>"), *inner, F.lit(f"</{name.split()[0]}>"))
+    year = F.when(F.col("p_partkey") % 3 == 0, tag("MedlineDate", (1990 + F.col("p_size")).cast("string"), F.lit(" Jan"))).otherwise(tag("Year", (1990 + F.col("p_size")).cast("string")))
+    doi = F.when(F.col("p_partkey") % 2 == 0, tag("ArticleId IdType='doi'", F.lit("10.1/"), F.col("p_partkey").cast("string"))).otherwise(tag("ArticleId IdType='pii'", F.lit("x")))
+    article = tag(
+        "PubmedArticle",
+        tag("MedlineCitation", tag("PMID", F.col("p_partkey").cast("string")), tag("Article", tag("ArticleTitle", F.col("p_name")), tag("Abstract", tag("AbstractText Label='AIM'", F.col("p_type")), tag("AbstractText", F.col("p_brand"))), tag("Journal", tag("Title", F.col("p_brand")), tag("JournalIssue", tag("PubDate", year))))),
+        tag("PubmedData", tag("ArticleIdList", doi)),
+    )
+    folder = f"{shared_folder(spark)}/claimgraph/xml-{uuid.uuid4().hex}"
+    sets = V.table(spark, d, "part").groupBy((F.col("p_partkey") % 8).alias("k")).agg(F.array_join(F.collect_list(article), "").alias("all"))
+    sets.select("k", tag("PubmedArticleSet", F.col("all")).alias("value")).write.partitionBy("k").text(folder)
+    return io.read_publications_xml(spark, f"{folder}/*").select("pmid", "title", "abstract", "journal", "year", "doi")
+
+
+@query(
+    "read_graph",
+    f"""with {V.EDGES} select source, target, relation, array_to_string(pmids, ',') pmids, pmid_count, n_refs from edges where substr(source, 1, 2) <> 'N9'""",
+)
+def read_graph(spark, d):
+    """Graphs written as documents, one per first digit of the source, and read back; some edges in the older shape."""
+    e = edges_of(spark, d).where("source not like 'N9%'")
+    refs = F.transform("source_refs", lambda r: F.struct(r["pmid"].alias("pmid"), r["source_sentence"].alias("source_sentence")))
+    older = F.size("pmids") == 1
+    e = e.select("source", "target", F.when(~older, F.col("relation")).alias("relation"), F.when(older, F.col("relation")).alias("primary_relation"), F.when(older, F.col("pmids")[0]).alias("pmid"), F.when(~older, F.col("pmids")).alias("pmids"), refs.alias("source_refs"))
+    edges = io.read_graph(spark, f"{_documents(e, F.substring('source', 2, 1), 'edges', spark)}/*")[1]
+    return edges.select("source", "target", "relation", sorted_join("pmids").alias("pmids"), F.size("pmids").cast("long").alias("pmid_count"), F.size("source_refs").cast("long").alias("n_refs"))
+
+
+@query("stored_graphs", "select cast(n_regionkey as varchar) scope, cast(max(n_nationkey) over (partition by n_regionkey) as varchar) run_id, n_name from nation")
+def stored_graphs(spark, d):
+    """Each nation's run stores its region's nations; only the latest run of a region is read."""
+    base = f"{shared_folder(spark)}/claimgraph/store-{uuid.uuid4().hex}"
+    n = V.table(spark, d, "nation")
+    runs = n.select(F.col("n_regionkey").cast("string").alias("scope"), F.col("n_nationkey").cast("string").alias("run_id"), F.col("n_nationkey").alias("updated"))
+    for region in range(5):
+        for run in [r.run_id for r in runs.where(F.col("scope") == str(region)).orderBy("updated").collect()][-2:]:
+            io.write_graph(n.where(F.col("n_regionkey") == region).select("n_name"), base, "nodes", str(region), run)
+    stored = spark.read.option("mergeSchema", "false").parquet(f"{base}/nodes").withColumns({"scope": F.col("scope").cast("string"), "run_id": F.col("run_id").cast("string")})
+    return io.latest_graph(stored, runs).select("scope", "run_id", "n_name")

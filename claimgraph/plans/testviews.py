@@ -17,7 +17,7 @@ def publications(spark: SparkSession, d: str) -> DataFrame:
     species = F.array(*map(F.lit, ["human", "mouse", "unknown"]))
     return table(spark, d, "documents").select(
         F.col("doc_id").cast("string").alias("pmid"),
-        F.substring("text", 1, 80).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("abstract"),
         F.col("source").alias("journal"),
         (F.lit(2019) + F.col("doc_id") % 9).cast("int").alias("year"),
@@ -26,30 +26,40 @@ def publications(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-PUBLICATIONS = """publications as (select cast(doc_id as varchar) pmid, substr(text, 1, 80) title, text abstract, source journal,
+PUBLICATIONS = """publications as (select cast(doc_id as varchar) pmid, split_part(text, chr(10), 1) title, text abstract, source journal,
   cast(2019 + doc_id % 9 as integer) "year",
   [['Journal Article','Review','Randomized Controlled Trial','Meta-Analysis','Observational Study'][doc_id % 5 + 1], 'Journal Article'] publication_types,
   ['human','mouse','unknown'][doc_id % 3 + 1] species from documents)"""
 
 
+KINDS = ["Gene", "Cytokine", "Cell", "Molecule", "Clinical_phenotype"]
+#: Relation of a claim by return flag, of odd and of even lines.
+RELATIONS = {"A": ("activates", "maintains"), "R": ("suppresses", "blocks"), "N": ("induces", "recruits")}
+
+
 def claims(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "supplier").agg(F.count("*").alias("n_suppliers"))
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate", "l_discount")
-    relation = F.when(F.col("l_returnflag") == "A", "activates").when(F.col("l_returnflag") == "R", "suppresses").otherwise("induces")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate", "l_discount")
+    relation = F.lit(None).cast("string")
+    for flag, (odd, even) in RELATIONS.items():
+        relation = F.when(F.col("l_returnflag") == flag, F.when(F.col("l_linenumber") % 2 == 1, odd).otherwise(even)).otherwise(relation)
     null = F.lit(None).cast("string")
-    return li.crossJoin(F.broadcast(n)).select(
-        F.concat(F.lit("N"), "l_suppkey").alias("source"),
-        F.lit("Gene").alias("source_type"),
-        relation.alias("relation"),
-        F.concat(F.lit("N"), F.col("l_partkey") % F.col("n_suppliers")).alias("target"),
-        F.lit("Gene").alias("target_type"),
+    kind = lambda c: F.element_at(F.array(*map(F.lit, KINDS)), (F.col(c) % len(KINDS) + 1).cast("int"))
+    ends = li.crossJoin(F.broadcast(n)).withColumns({"t_": F.col("l_partkey") % F.col("n_suppliers"), "relation": relation})
+    ends = ends.withColumns({"source": F.concat(F.lit("N"), "l_suppkey"), "target": F.concat(F.lit("N"), "t_")})
+    return ends.select(
+        "source",
+        kind("l_suppkey").alias("source_type"),
+        "relation",
+        "target",
+        kind("t_").alias("target_type"),
         null.alias("polarity"),
         F.col("l_orderkey").cast("string").alias("pmid"),
         F.lit(None).cast("array<string>").alias("pmids"),
         F.year("l_shipdate").alias("year"),
         F.lit("human").alias("species"),
         (F.lit(1.0) - F.col("l_discount")).alias("confidence"),
-        null.alias("source_sentence"),
+        F.when(F.col("l_linenumber") == 1, F.concat_ws(" ", "source", "relation", F.concat("target", F.lit(".")))).alias("source_sentence"),
         null.alias("claim_id"),
         null.alias("provenance_type"),
         null.alias("evidence_state"),
@@ -59,31 +69,32 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-CLAIMS = """claims as (select 'N' || l_suppkey source, case l_returnflag when 'A' then 'activates' when 'R' then 'suppresses' else 'induces' end relation,
+CLAIMS = """claims as (select 'N' || l_suppkey source, case l_returnflag when 'A' then case when l_linenumber % 2 = 1 then 'activates' else 'maintains' end
+  when 'R' then case when l_linenumber % 2 = 1 then 'suppresses' else 'blocks' end else case when l_linenumber % 2 = 1 then 'induces' else 'recruits' end end relation,
   'N' || (l_partkey % (select count(*) from supplier)) target, cast(l_orderkey as varchar) pmid, cast(year(l_shipdate) as integer) "year",
-  1.0 - l_discount confidence, l_linestatus session from lineitem)"""
+  1.0 - l_discount confidence, l_linestatus session, l_linenumber = 1 has_sentence from lineitem)"""
+
+#: Type of a node, and sign of a relation, in SQL.
+KIND = "['Gene','Cytokine','Cell','Molecule','Clinical_phenotype'][cast(substr({}, 2) as bigint) % 5 + 1]"
+SIGN = "case when relation in ('suppresses','blocks') then '-' else '+' end"
 
 EDGES = (
     CLAIMS
-    + """, edges as (select source, target, relation, list_sort(list(distinct pmid)) pmids, count(distinct pmid) pmid_count, avg(confidence) confidence, round(sum(confidence), 2) conf_sum, count(*) conf_n,
-  list_sort(list(distinct session)) sessions from claims group by source, target, relation),
-  nodes as (select id, count(distinct pmid) pmid_count, count(*) edge_count from (select source id, pmid from claims union all select target, pmid from claims) group by id)"""
+    + f""", edges as (select source, target, relation, list_sort(list(distinct pmid)) pmids, count(distinct pmid) pmid_count, round(sum(confidence) * 100)::bigint / count(*) confidence, round(sum(confidence), 2) conf_sum, count(*) conf_n,
+  list_sort(list(distinct session)) sessions, count(distinct pmid) filter (has_sentence) n_refs from claims group by source, target, relation),
+  nodes as (select id, {KIND.format('id')} "type", count(distinct pmid) pmid_count, count(*) edge_count from (select source id, pmid from claims union all select target, pmid from claims) group by id)"""
 )
 
 
-def sparse_edges(spark: SparkSession, d: str) -> DataFrame:
-    """First two claims of each source that aren't loops, by (order, target, relation), as distinct pairs."""
-    from pyspark.sql import Window
-
-    c = claims(spark, d).where("source <> target").select("source", "target", "relation", "pmid")
-    by = Window.partitionBy("source").orderBy(F.col("pmid").cast("long"), "target", "relation")
-    return c.withColumn("rn", F.row_number().over(by)).where("rn <= 2").select("source", "target", "relation", "pmid")
+def supported_edges(spark: SparkSession, d: str, least: int = 2) -> DataFrame:
+    """Pairs of all claims, loops aside, that ``least`` papers or more support, with their papers."""
+    c = claims(spark, d).where("source <> target").groupBy("source", "target").agg(F.array_sort(F.collect_set("pmid")).alias("pmids"))
+    return c.where(F.size("pmids") >= least)
 
 
-SPARSE = (
+SUPPORTED = (
     CLAIMS
-    + """, sparse as (select source, target, relation, pmid from (select *, row_number() over (partition by source order by cast(pmid as bigint), target, relation) rn
-  from claims where source <> target) where rn <= 2), pairs as (select distinct source, target from sparse)"""
+    + """, pairs as (select source, target, list_sort(list(distinct pmid)) pmids from claims where source <> target group by source, target having count(distinct pmid) >= 2)"""
 )
 
 
@@ -128,11 +139,13 @@ TARGETS = """targets as (select * from (values ('r1','thing',['thble'],['erble']
 
 def run_events(spark: SparkSession, d: str) -> DataFrame:
     kind = F.create_map(*(F.lit(x) for p in [("signup", "agent_started"), ("click", "agent_completed"), ("view", "skill_loaded"), ("purchase", "run_completed"), ("error", "run_failed")] for x in p))
+    #: Some views are pauses and some clicks retries.
+    special = F.when((F.col("event_type") == "view") & (F.col("event_id") % 5 == 0), "run_paused").when((F.col("event_type") == "click") & (F.col("event_id") % 7 == 0), "run_retried")
     e = table(spark, d, "events")
     return e.select(
         F.col("user_id").cast("string").alias("run_id"),
         F.col("event_id").alias("arrival"),
-        F.coalesce(F.try_element_at(kind, F.col("event_type")), F.lit("skill_loaded")).alias("event_type"),
+        F.coalesce(special, F.try_element_at(kind, F.col("event_type")), F.lit("skill_loaded")).alias("event_type"),
         F.get_json_object("props", "$.k").alias("step_id"),
         F.round(F.col("value") * 100).cast("long").alias("tokens"),
         F.col("ts").cast("timestamp").alias("created_at"),
@@ -140,5 +153,5 @@ def run_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 EVENTS = """run_events as (select cast(user_id as varchar) run_id, event_id arrival,
-  case event_type when 'signup' then 'agent_started' when 'click' then 'agent_completed' when 'view' then 'skill_loaded' when 'purchase' then 'run_completed'
-  when 'error' then 'run_failed' else 'skill_loaded' end event_type, json_extract_string(props, '$.k') step_id, cast(round(value * 100) as bigint) tokens, ts created_at from events)"""
+  case when event_type = 'view' and event_id % 5 = 0 then 'run_paused' when event_type = 'click' and event_id % 7 = 0 then 'run_retried' else case event_type when 'signup' then 'agent_started' when 'click' then 'agent_completed' when 'view' then 'skill_loaded' when 'purchase' then 'run_completed'
+  when 'error' then 'run_failed' else 'skill_loaded' end end event_type, json_extract_string(props, '$.k') step_id, cast(round(value * 100) as bigint) tokens, ts created_at from events)"""

@@ -87,4 +87,4 @@ def write_graph(table: DataFrame, base: str, name: str, scope: str, run_id: str)
 def latest_graph(table: DataFrame, catalog: DataFrame) -> DataFrame:
     """Each scope's latest snapshot by (updated, run_id), as a semi-join on the catalog (scope, run_id, updated)."""
     last = catalog.groupBy("scope").agg(F.max_by("run_id", F.struct("updated", "run_id")).alias("run_id"))
-    return table.join(F.broadcast(last), ["scope", "run_id"], "left_semi")
+    return table.join(last, ["scope", "run_id"], "left_semi")

@@ -1,31 +1,50 @@
-"""Streaming forms of R1-R6: the same rows as the batch forms, from readStream."""
+"""Streaming forms of R1-R6: the same rows as the batch forms, from readStream.
+
+Rows of a run must come in order over micro-batches (as a log does); inside one they may come in any. Forms in update mode give
+a run's row again whenever it changes: the last one counts.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.runs import REOPEN, TERMINAL
+from ..operators.runs import MOVES, REOPEN, TERMINAL, agent_of
 
 LATENESS = "1 hour"
 
 
+def _keyed(events: DataFrame, keys: list[str], fold: Callable, out: str, state: str, mode: str) -> DataFrame:
+    """``fold(key, rows in order, state or None)`` gives the result's rows and the new state."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames))
+        rows = rows.sort_values("seq" if "seq" in rows else ["created_at", "arrival"])
+        result, new = fold(key, rows, held.get if held.exists else None)
+        held.update(new)
+        yield result
+
+    return events.groupBy(*keys).applyInPandasWithState(run, out, state, mode, GroupStateTimeout.NoTimeout)
+
+
+def _numbers(values: list) -> pd.Series:
+    return pd.array([pd.NA if v is None else v for v in values], "Int64")
+
+
 def sequence_events(events: DataFrame) -> DataFrame:
-    """A counter per run in keyed state; rows of a micro-batch go by arrival."""
+    """A counter per run in keyed state."""
 
-    def number(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values(["created_at", "arrival"])
+    def number(key: tuple, rows: pd.DataFrame, state: tuple | None):
+        n = state[0] if state else 0
         rows["seq"] = range(n, n + len(rows))
-        state.update((n + len(rows),))
-        yield rows[["run_id", "arrival", "event_type", "step_id", "tokens", "created_at", "seq"]]
+        return rows[["run_id", "arrival", "event_type", "step_id", "tokens", "created_at", "seq"]], (n + len(rows),)
 
     schema = "run_id string, arrival long, event_type string, step_id string, tokens long, created_at timestamp, seq long"
-    return events.groupBy("run_id").applyInPandasWithState(number, schema, "n long", "append", GroupStateTimeout.NoTimeout)
+    return _keyed(events.select("run_id", "arrival", "event_type", "step_id", "tokens", "created_at"), ["run_id"], number, schema, "n long", "append")
 
 
 def replay(events: DataFrame, after: int) -> DataFrame:
@@ -34,40 +53,78 @@ def replay(events: DataFrame, after: int) -> DataFrame:
 
 
 def run_status(events: DataFrame) -> DataFrame:
-    """Keyed state per run: attempt, its first terminal event, last seq, first error."""
+    """Keyed state per run: attempts, the last one's first terminal event and last move, agent, last seq, first error."""
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        attempts, end, last, error = state.get if state.exists else (0, "", -1, -1)
-        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
+    def fold(key: tuple, rows: pd.DataFrame, state: tuple | None):
+        attempts, end, move, agent, last, error = state or (0, "", "", None, -1, -1)
+        for row in rows.itertuples():
             if row.event_type in REOPEN:
-                attempts, end = attempts + 1, ""
+                attempts, end, move = attempts + 1, "", ""
             if row.event_type in TERMINAL and not end:
                 end = row.event_type
+            if row.event_type in MOVES:
+                move, agent = row.event_type, row.agent_ if isinstance(row.agent_, str) else None
             if row.event_type == "run_failed" and error < 0:
                 error = row.seq
             last = max(last, row.seq)
-        state.update((attempts, end, last, error))
-        status = {"run_completed": "completed", "run_failed": "failed", "run_cancelled": "cancelled"}.get(end, "running")
-        yield pd.DataFrame({"run_id": [key[0]], "status": [status], "attempts": [attempts], "last_seq": [last], "first_error_seq": pd.array([error if error >= 0 else pd.NA], "Int64")})
+        status = {"run_completed": "completed", "run_failed": "failed", "run_cancelled": "cancelled"}.get(end, "paused" if move == "run_paused" else "running")
+        out = pd.DataFrame({"run_id": [key[0]], "status": [status], "current_agent": [agent], "attempts": [attempts], "last_seq": [last], "first_error_seq": _numbers([error if error >= 0 else None])})
+        return out, (attempts, end, move, agent, last, error)
 
-    return events.groupBy("run_id").applyInPandasWithState(fold, "run_id string, status string, attempts long, last_seq long, first_error_seq long", "attempts long, end string, last long, error long", "update", GroupStateTimeout.NoTimeout)
+    rows = events.select("run_id", "seq", "event_type", agent_of(events).alias("agent_"))
+    schema = "run_id string, status string, current_agent string, attempts long, last_seq long, first_error_seq long"
+    return _keyed(rows, ["run_id"], fold, schema, "attempts long, end string, move string, agent string, last long, error long", "update")
 
 
 def pair_steps(events: DataFrame) -> DataFrame:
-    """Stream-stream join of starts and completions of a step within an hour."""
-    marked = events.withWatermark("created_at", LATENESS)
-    start = marked.where("event_type = 'agent_started'").select("run_id", "step_id", F.col("seq").alias("start_seq"), F.col("created_at").alias("started_at"))
-    end = marked.where("event_type = 'agent_completed'").select(F.col("run_id").alias("r"), F.col("step_id").alias("s"), F.col("seq").alias("end_seq"), F.col("created_at").alias("ended_at"))
-    on = "run_id = r and step_id = s and start_seq < end_seq and ended_at between started_at and started_at + interval 1 hour"
-    return start.join(end, F.expr(on)).select("run_id", "step_id", "start_seq", "end_seq", "started_at", "ended_at")
-
-
-def usage_totals(events: DataFrame) -> DataFrame:
-    """Running totals per run."""
-    return events.groupBy("run_id").agg(F.count("tokens").alias("calls"), F.sum("tokens").alias("total"))
-
-
-def activity_sessions(events: DataFrame, idle: int = 600) -> DataFrame:
-    """Sessions of activity per run; a run with two has been silent for longer than ``idle`` seconds."""
-    marked = events.withWatermark("created_at", LATENESS)
-    return marked.groupBy("run_id", F.session_window("created_at", f"{idle} seconds").alias("w")).agg(F.count("*").alias("n")).select("run_id", "w.start", "w.end", "n")
+    """The open start of each step in keyed state; the step's next event closes or replaces it."""
+
+    def fold(key: tuple, rows: pd.DataFrame, state: tuple | None):
+        seq, at = state or (-1, 0)
+        found = []
+        for row in rows.itertuples():
+            if row.event_type == "agent_started":
+                seq, at = row.seq, row.micros
+            else:
+                if seq >= 0:
+                    found.append((*key, seq, row.seq, row.micros - at))
+                seq = -1
+        return pd.DataFrame(found, columns=["run_id", "step_id", "start_seq", "end_seq", "duration_us"]), (seq, at)
+
+    rows = events.where(F.col("event_type").isin("agent_started", "agent_completed") & F.col("step_id").isNotNull())
+    rows = rows.select("run_id", "step_id", "event_type", "seq", F.unix_micros("created_at").alias("micros"))
+    return _keyed(rows, ["run_id", "step_id"], fold, "run_id string, step_id string, start_seq long, end_seq long, duration_us long", "seq long, at long", "append")
+
+
+def usage_totals(events: DataFrame, budget: int = 2_000_000) -> DataFrame:
+    """Calls, tokens and the event at which the budget ran out, in keyed state per run."""
+
+    def fold(key: tuple, rows: pd.DataFrame, state: tuple | None):
+        calls, total, gone = state or (0, 0, -1)
+        for row in rows.itertuples():
+            if pd.notna(row.tokens):
+                calls, total = calls + 1, total + int(row.tokens)
+            if total > budget and gone < 0:
+                gone = row.seq
+        out = pd.DataFrame({"run_id": [key[0]], "calls": [calls], "total": _numbers([total if calls else None]), "exhausted_at": _numbers([gone if gone >= 0 else None])})
+        return out, (calls, total, gone)
+
+    rows = events.select("run_id", "seq", "tokens")
+    return _keyed(rows, ["run_id"], fold, "run_id string, calls long, total long, exhausted_at long", "calls long, total long, gone long", "update")
+
+
+def stalled_runs(events: DataFrame, idle: int = 600, total: int = 3600) -> DataFrame:
+    """Longest silence and length of each run, in keyed state."""
+
+    def fold(key: tuple, rows: pd.DataFrame, state: tuple | None):
+        low, high, last, gap = state or (None, None, None, None)
+        for now in rows["second"]:
+            now = int(now)
+            if last is not None:
+                gap = now - last if gap is None else max(gap, now - last)
+            low, high, last = now if low is None else min(low, now), now if high is None else max(high, now), now
+        out = pd.DataFrame({"run_id": [key[0]], "longest_gap": _numbers([gap]), "length": [high - low], "stalled": [(gap or 0) > idle], "overlong": [high - low > total]})
+        return out, (low, high, last, gap)
+
+    rows = events.select("run_id", "seq", F.unix_seconds("created_at").alias("second"))
+    return _keyed(rows, ["run_id"], fold, "run_id string, longest_gap long, length long, stalled boolean, overlong boolean", "low long, high long, last long, gap long", "update")

@@ -104,7 +104,7 @@ def test_templates_by_token_agree_and_patterns(spark):
     assert a.select("pmid", "source").collect() == X.extract_templates_by_token(p, t).select("pmid", "source").collect()
     assert a.first().source_sentence == "IL-33 activates ILC2."
     q = spark.createDataFrame([("1", 2020, "human", "tslp activates dendritic cells strongly", 0.5)], "pmid string, year int, species string, abstract string, confidence double")
-    got = X.extract_patterns(q, [("tslp", "TSLP"), ("dendritic cells", "Dendritic cell")], a).first()
+    got = X.extract_patterns(q, a, [("tslp", "TSLP"), ("dendritic cells", "Dendritic cell")]).first()
     assert (got.source, got.relation, got.target) == ("TSLP", "activates", "Dendritic cell") and abs(got.confidence - 0.35) < 1e-9
 
 
@@ -120,7 +120,8 @@ def test_run_status(spark):
     assert r.status == "failed" and r.first_error_seq == 1
     assert R.run_status(e("run_failed", "run_retried", "agent_started", "run_completed")).first().status == "completed"
     assert R.run_status(e("run_failed", "run_retried")).first().status == "running"
-    assert R.run_status(e("run_paused")).first().status == "running"
+    assert R.run_status(e("run_paused")).first().status == "paused"
+    assert R.run_status(e("run_paused", "run_resumed")).first().status == "running"
 
 
 def test_small_functions(spark):
@@ -187,8 +188,8 @@ def test_graph_queries_use_all_claims(spark, tmp_path):
     from claimgraph.plans import run_queries as RQ
 
     links = [(1, 2), (1, 3), (1, 4), (1, 5), (1, 1), (2, 6), (3, 6), (4, 6), (5, 0), (6, 7), (7, 1), (1, 5)]
-    rows = [(k, t, s, "R", "F", date(1995, 1, 1), 0.0) for k, (s, t) in enumerate(links)]
-    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_shipdate date, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = [(k, t, s, 1, "R", "F", date(1995, 1, 1), 0.0) for k, (s, t) in enumerate(links)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_shipdate date, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.range(1, 9).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
     d = str(tmp_path)
     pairs = {(f"N{s}", f"N{t}") for s, t in links if s != t}
