@@ -30,8 +30,8 @@ TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES = 322, 323, 324, 325
 
 ROW = 64
 PAGE_ROWS, STRIP_ROWS, TILE = 4096, 512, 64
-#: Payloads up to this size are stored with LZW, whose coder is written in Python.
-LZW_MOST = 512
+#: Most samples of a page that are read: a file that claims more is taken as broken before any memory is asked for.
+MOST_SAMPLES = 1 << 30
 
 
 def unpack_bits(data: bytes) -> bytes:
@@ -103,39 +103,46 @@ def lzw_decode(data: bytes, expected: int) -> bytes:
 
 
 def lzw_encode(data: bytes) -> bytes:
-    codes: list[tuple[int, int]] = [(256, 9)]
-    table = {bytes([k]): k for k in range(256)}
-    nxt, width, held = 258, 9, b""
-    for k in range(len(data)):
-        grown = held + data[k : k + 1]
-        if grown in table:
-            held = grown
+    """Codes as ``lzw_decode`` reads them; bits go out as they come, so time and memory grow with the data."""
+    out = bytearray()
+    bits, have = 256, 9  # the stream starts with a clear code
+    table: dict[int, int] = {}  # (code of what is held, next byte) -> code
+    nxt, width, held = 258, 9, -1
+    for byte in data:
+        if held < 0:
+            held = byte
             continue
-        codes.append((table[held], width))
-        table[grown] = nxt
+        key = held << 8 | byte
+        code = table.get(key)
+        if code is not None:
+            held = code
+            continue
+        bits, have = bits << width | held, have + width
+        table[key] = nxt
         nxt += 1
         if nxt == 4094:
-            codes.append((256, width))
-            table = {bytes([c]): c for c in range(256)}
+            bits, have = bits << width | 256, have + width
+            table.clear()
             nxt, width = 258, 9
         elif nxt >= (1 << width):
             width += 1
-        held = data[k : k + 1]
-    if held:
-        codes.append((table[held], width))
+        held = byte
+        if have >= 512:
+            rest = have % 8
+            out += (bits >> rest).to_bytes(have // 8, "big")
+            bits, have = bits & ((1 << rest) - 1), rest
+    if held >= 0:
+        bits, have = bits << width | held, have + width
         nxt += 1
         if nxt >= (1 << width) and width < 12:
             width += 1
-    codes.append((257, width))
-    total = bits = 0
-    for code, w in codes:
-        bits = (bits << w) | code
-        total += w
-    pad = -total % 8
-    return (bits << pad).to_bytes((total + pad) // 8, "big")
+    bits, have = bits << width | 257, have + width
+    pad = -have % 8
+    return bytes(out) + (bits << pad).to_bytes((have + pad) // 8, "big")
 
 
 def decompress(kind: int, data: bytes, expected: int) -> bytes:
+    """A block's bytes; of what unpacks to more than expected, only that much is made."""
     if kind == NONE:
         return data
     if kind == PACKBITS:
@@ -143,7 +150,7 @@ def decompress(kind: int, data: bytes, expected: int) -> bytes:
     if kind == LZW:
         return lzw_decode(data, expected)
     if kind in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, expected)
     raise ValueError(f"compression {kind} isn't known")
 
 
@@ -196,12 +203,16 @@ def read_tiff(file: bytes) -> Iterator[Page]:
         if any(b != 8 for b in f.get(BITS, [1])):
             raise ValueError("samples don't have 8 bits")
         block_w, block_h = (f[TILE_WIDTH][0], f[TILE_HEIGHT][0]) if tiled else (width, min(height, f.get(ROWS_PER_STRIP, [height])[0]))
+        if min(width, height, channels, block_w, block_h) < 1 or max(width * height, block_w * block_h) * channels > MOST_SAMPLES:
+            raise ValueError("a page of no or too many samples")
         offsets, sizes = (f[TILE_AT], f[TILE_BYTES]) if tiled else (f[STRIP_AT], f[STRIP_BYTES])
         across, down = -(-width // block_w), -(-height // block_h)
         image = np.zeros((height, width, channels), np.uint8)
         deep = 1 if planes else channels
         for k, (place, size) in enumerate(zip(offsets, sizes)):
             plane, k = divmod(k, across * down)
+            if plane * deep >= channels:
+                raise ValueError("more blocks than the page has")
             y, x = k // across * block_h, k % across * block_w
             rows = block_h if tiled else min(block_h, height - y)
             raw = decompress(kind, file[place : place + size], rows * block_w * deep)
@@ -258,13 +269,13 @@ def write_tiff(payload: bytes, kind: int, tiled: bool = False, predictor: int =
 
 
 def store(payload: bytes) -> bytes:
-    """The stored form of a payload, chosen by its content alone: equal payloads are stored alike."""
-    mark = zlib.crc32(payload) % 3
-    if len(payload) <= LZW_MOST:
-        return write_tiff(payload, LZW, tiled=mark == 1, predictor=1 + (mark == 2))
+    """The stored form of a payload, chosen by its content alone, whatever its size: equal payloads are stored alike."""
+    mark = zlib.crc32(payload) % 6
     if mark == 0:
+        return write_tiff(payload, LZW, tiled=payload[0] % 2 == 1, predictor=1 + payload[-1] % 2)
+    if mark < 3:
         return write_tiff(payload, DEFLATE)
-    if mark == 1:
+    if mark < 5:
         return write_tiff(payload, DEFLATE, tiled=True, predictor=2)
     return write_tiff(payload, PACKBITS, predictor=1)
 
@@ -308,7 +319,7 @@ def tiff_pages(files: DataFrame, column: str = "media") -> DataFrame:
                 for i, file in enumerate(batch.column(at).to_pylist()):
                     try:
                         found = [(p.page, p.width, p.height, p.channels, p.compression, p.tiled, p.predictor, p.samples, None) for p in read_tiff(file or b"")]
-                    except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+                    except (ValueError, KeyError, IndexError, ArithmeticError, MemoryError, struct.error, zlib.error) as e:
                         found = [(0, None, None, None, None, None, None, None, str(e) or type(e).__name__)]
                     rows += [i] * len(found)
                     pages += found
