@@ -11,8 +11,10 @@ size, each block with the window before it. A pair that collides in several list
 them alone, which both vectors' projections tell. So a block gives the links per vector and, for
 components, a spanning forest of its links.
 
-Cases: null vectors, vectors of zero, with null or non-finite components, or of another length than
-most, link with nothing and are their own component; equal vectors are one vector with copies, linked
+Vectors are compared with those of their own length, one length after the other.
+
+Cases: null vectors, vectors of zero, or with null or non-finite components link with nothing and are their
+own component; equal vectors are one vector with copies, linked
 with each other; ties in a list don't matter; repeated rows are vectors of their own; null vec_ids count
 only in classes without any other; an empty table gives no rows; other columns are ignored.
 """
@@ -20,6 +22,7 @@ only in classes without any other; an empty table gives no rows; other columns a
 from __future__ import annotations
 
 import math
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -180,14 +183,14 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, recall: float =
     bad = F.exists("v_", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     norm = F.sqrt(F.aggregate("v_", F.lit(0.0), lambda s, x: s + x * x))
     base = rows.select("vec_id", vector.alias("v_")).withColumn("norm_", F.when(F.col("v_").isNotNull() & ~F.coalesce(bad, F.lit(True)), norm))
-    usual = base.where("norm_ > 0").groupBy(F.size("v_").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = usual[0] if usual else 0
-    base = base.withColumn("vec", F.when((F.col("norm_") > 0) & (F.size("v_") == dim), F.xxhash64(F.to_json("v_"))))
+    base = base.withColumn("vec", F.when(F.col("norm_") > 0, F.xxhash64(F.to_json("v_"))))
     base = staged(base.withColumn("row_", F.monotonically_increasing_id()), "embed-rows")
     unit = F.transform("v_", lambda x: x / F.col("norm_"))
     distinct = base.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first(unit).alias("unit"))
     distinct = staged(distinct, "embed-distinct")
-    found = staged(vector_links(distinct, max(1, dim), threshold, recall), "embed-links")
+    dims = sorted(r.dim for r in distinct.groupBy(F.size("unit").alias("dim")).count().where("count > 1").collect())  # one row per length
+    links = [vector_links(distinct.where(F.size("unit") == dim), dim, threshold, recall) for dim in dims or [1]]
+    found = staged(reduce(DataFrame.union, links), "embed-links")
     more = found.groupBy(F.col("a").alias("vec")).agg(F.sum("n").alias("others"))
     components = staged(connected_components(found.where("b is not null").select("a", "b")), "embed-components")
     of = distinct.select("vec", "vec_id", "copies").join(more, "vec", "left").join(components.withColumnRenamed("node", "vec"), "vec", "left")
