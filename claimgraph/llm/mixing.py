@@ -4,7 +4,7 @@ DataFrame functions only. Each source's words form a stream: its documents in a
 epoch. The stream is cut into blocks of equal words; the sources' block quotas are split exactly among
 the output shards by a binary tree, whose every node deals its quotas to its halves as one
 multivariate-hypergeometric draw (selection sampling without replacement). The shards then draw disjoint
-runs of each source's permuted blocks, and a document goes where the block with its first word goes.
+runs of each source's permuted blocks. What is taken of a document is what lies in blocks that a shard has drawn.
 
 Cases: null and empty texts have size 0 and are never drawn; a null source is a source of its own and
 stands last; repeated rows are documents of their own; an empty table gives no rows; other columns
@@ -103,10 +103,10 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, shards: int = 16, blocks_per_shard: int = 64, seed: int = 20240601) -> DataFrame:
-    """Draws of a mix, one row per document and epoch.
+    """Draws of a mix, one row per document, epoch and block that it reaches into.
 
     Columns: row_id, key_ (of doc_id, text and source), doc_id, size, source_size, target, epoch,
-    words (taken by this draw; 0 past the quota), block, shard (null if not drawn), local_order.
+    words (drawn with this block; 0 past the quota), block, shard (null if not drawn), local_order.
     """
     text, source = F.col("text"), F.col("source")
     sized = staged(
@@ -135,30 +135,42 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
     sizes = per.select("rank", F.explode(epochs).alias("epoch"), "n_rows")
     draws = running_sums(draws, ["rank", "epoch"], "u_", F.col("size"), "ahead", sizes)
     at = F.col("ahead") + F.col("epoch") * F.col("source_size")
-    draws = draws.withColumn("words", F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - at)))
-    draws = draws.withColumn("block", F.when(F.col("words") > 0, F.floor(at / F.col("block_words")).cast("long")))
-    return draws.join(blocks, ["rank", "block"], "left").select(
-        "row_id", "key_", "doc_id", "size", "source_size", "target", "epoch", "words", "block", "shard", F.xxhash64(F.lit(seed + 3), "u_").alias("local_order")
-    )
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    draws = draws.withColumn("at_", at).withColumn("to_", F.least(at + F.col("size"), F.col("quota")))
+    # a document reaches from the block of its first word to that of its last; one past the quota keeps a row without block
+    inside = F.expr("if(to_ > at_, sequence(cast(at_ div block_words as long), cast((to_ - 1) div block_words as long)), array(cast(null as long)))")
+    draws = draws.select("*", F.explode(inside).alias("block"))
+    start = F.col("block") * F.col("block_words")
+    words = F.least(F.col("to_"), start + F.col("block_words")) - F.greatest(F.col("at_"), start)
+    drawn = draws.withColumn("words", words).join(blocks, ["rank", "block"], "left")
+    return drawn.select(
+        "row_id", "key_", "doc_id", "size", "source_size", "target", "epoch", F.when(F.col("shard").isNotNull(), F.col("words")).otherwise(0).cast("long").alias("words"), "block", "shard",
+        F.xxhash64(F.lit(seed + 3), "u_").alias("local_order"),
+    )
+
+
+def mixed_documents(docs: DataFrame, shard_column: str | None = None, slices: int = 16, **options) -> DataFrame:
     """The mixed table: each document as often as the mix draws it, with the columns of ``docs``.
 
-    Documents stay whole here: one that a quota cuts is kept where at least half of it is drawn.
-    Rows alike in doc_id, text and source share their draws. Documents without words are not drawn.
-    Rows of a shard lie in its shuffled local order.
+    Documents stay whole here: one that a quota cuts is kept where at least half of it is drawn, in the shard of its first
+    block. Rows alike in doc_id, text and source share their draws. Documents without words are not drawn.
+    A shard is dealt in ``slices`` parts of its shuffled order, so that no task holds a whole one; in a part its rows lie
+    in that order. ``shard_column`` adds the shard under that name.
     """
-    draws = mix(docs, **options).where("size > 0 and 2 * words >= size").select("key_", "shard", "local_order")
+    whole = mix(docs, **options).where("words > 0").groupBy("key_", "row_id", "epoch")
+    draws = whole.agg(F.sum("words").alias("words"), F.first("size").alias("size"), F.min_by("shard", "block").alias("shard"), F.first("local_order").alias("local_order"))
+    draws = draws.where("2 * words >= size").select("key_", "shard", "local_order")
     cols = docs.columns
     own = docs.select(F.struct(*cols).alias("doc"), F.xxhash64("doc_id", "text", "source").alias("key_")).dropDuplicates(["key_"])
-    return own.join(draws, "key_").sortWithinPartitions("shard", "local_order").select(*(F.col("doc")[c].alias(c) for c in cols))
+    mixed = own.join(draws, "key_").withColumn("slice_", F.floor((F.col("local_order") / 2.0**64 + 0.5) * slices))
+    mixed = mixed.repartition("shard", "slice_").sortWithinPartitions("shard", "slice_", "local_order")
+    return mixed.select(*(F.col("doc")[c].alias(c) for c in cols if c != shard_column), *([F.col("shard").alias(shard_column)] if shard_column else []))
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     draws = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    taken = F.col("words") > 0
     return (
         draws.groupBy("row_id", "doc_id", "size", "source_size", "target")
-        .agg(F.sum("words").alias("taken"), F.count_if(F.col("words") > 0).alias("draws"), F.array_sort(F.collect_set("shard")).alias("shards"))
+        .agg(F.sum("words").alias("taken"), F.count_distinct(F.when(taken, F.col("epoch"))).alias("draws"), F.array_sort(F.collect_set(F.when(taken, F.col("shard")))).alias("shards"))
         .drop("row_id")
     )
