@@ -48,6 +48,7 @@ class Pieces:
             for k in range(1, len(s)):
                 self.suffix.setdefault(s[k:], -1)
         self.suffix |= self.vocabulary
+        self.open = {s[:k] for s in self.vocabulary for k in range(1, len(s))}  # what a longer piece starts with
         self.pattern = self._pattern()
         self.pairs: dict[int, bool] = {}
         self.counts: dict[str, int] = {}
@@ -109,53 +110,62 @@ class Pieces:
 
         A state is a boundary; its backpointer is the piece that ends there. A piece may follow another
         if merging both by score leaves both as they are; so each boundary keeps one backpointer, and
-        the path through them is the one that the merges would give. Once all states that a later piece
-        can still start from trace back to one boundary, the ids up to it are final and are sent out;
-        what is kept is a window of a few times the longest piece.
+        the path through them is the one that the merges would give. A path survives while its boundary may still start a piece
+        that goes on: what stands behind it begins some longer piece. Whenever all surviving paths have come together in one
+        boundary, the ids up to it are final and are sent out. The window kept is a few times the longest piece.
         """
         ids: list[int] = [-1]  # of the piece that ends at each boundary kept; below -1: a character without a piece
         back: list[int] = [0]  # where it starts
         kept = ""  # the characters between the boundaries kept
-        longest, suffix, pairs, step = self.longest, self.suffix, self.pairs, 8 * self.longest
+        longest, suffix, pairs, open_ = self.longest, self.suffix, self.pairs, self.open
+        alive: list[int] = [0]  # boundaries behind which some piece has begun
         for chunk in chunks:
-            for low in range(0, len(chunk), step):
-                at = len(kept)
-                kept += chunk[low : low + step]
-                for end in range(at + 1, len(kept) + 1):
-                    found = start = None
-                    for start in range(end - 1, max(-1, end - longest - 1), -1):
-                        k = suffix.get(kept[start:end])
-                        if k is None:
-                            break
-                        if k < 0:
-                            continue
-                        before = ids[start]
-                        if before < 0:
-                            found = k
-                            break
-                        ok = pairs.get(before << 20 | k)
-                        if ok is None:
-                            if len(pairs) > 1_000_000:
-                                pairs.clear()
-                            ok = pairs[before << 20 | k] = self._pair_ok(before, k)
-                        if ok:
-                            found = k
-                            break
-                    if found is None:
-                        found, start = -2 - ord(kept[end - 1]), end - 1
-                    ids.append(found)
-                    back.append(start)
-                if len(kept) > step:
-                    alive = set(range(len(kept) - longest + 1, len(kept) + 1))
-                    while len(alive) > 1:
-                        top = max(alive)
-                        alive.remove(top)
-                        alive.add(back[top])
-                    final = alive.pop()
+            for char in chunk:
+                kept += char
+                end = len(kept)
+                found = start = None
+                for start in range(end - 1, max(-1, end - longest - 1), -1):
+                    k = suffix.get(kept[start:end])
+                    if k is None:
+                        break
+                    if k < 0:
+                        continue
+                    before = ids[start]
+                    if before < 0:
+                        found = k
+                        break
+                    ok = pairs.get(before << 20 | k)
+                    if ok is None:
+                        if len(pairs) > 1_000_000:
+                            pairs.clear()
+                        ok = pairs[before << 20 | k] = self._pair_ok(before, k)
+                    if ok:
+                        found = k
+                        break
+                if found is None:
+                    found, start = -2 - ord(char), end - 1
+                ids.append(found)
+                back.append(start)
+                alive = [s for s in alive if kept[s:end] in open_]
+                final = end if not alive else self._meeting(back, [*alive, end]) if end >= longest else 0
+                alive.append(end)
+                if final:
                     yield from self._path(ids, back, final)
+                    # a path that starts anew at the boundary has its last piece behind it
                     kept, ids, back = kept[final:], ids[final:], [max(0, b - final) for b in back[final:]]
+                    alive = [s - final for s in alive]
         yield from self._path(ids, back, len(kept))
 
+    @staticmethod
+    def _meeting(back: list[int], paths: list[int]) -> int:
+        """The last boundary that all paths go through."""
+        now = set(paths)
+        while len(now) > 1:
+            top = max(now)
+            now.remove(top)
+            now.add(back[top])
+        return now.pop()
+
     def _path(self, ids: list[int], back: list[int], end: int) -> list[int]:
         path: list[int] = []
         while end > 0:
