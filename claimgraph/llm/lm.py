@@ -164,9 +164,9 @@ def count_words(marked: DataFrame) -> DataFrame:
 class Models:
     """Both models in one process's memory: words with their counts, and bigrams by the hash of the pair."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, mass: np.ndarray, pairs: np.ndarray, times: np.ndarray, total: tuple[int, int], n_words: int):
-        """words: sorted; counts: (4, words) w0, w1, c0, c1; mass: (2, words) that each passes on as the word before;
-        pairs: sorted hashes; times: (2, pairs)."""
+    def __init__(self, words: np.ndarray, counts: list[np.ndarray], mass: list[np.ndarray], pairs: np.ndarray, times: list[np.ndarray], total: tuple[int, int], n_words: int):
+        """words: sorted; counts: of the words, w0, w1, c0, c1; mass: that each passes on as the word before, for both models;
+        pairs: sorted hashes; times: of the pairs, for both models."""
         self.words, self.counts, self.mass, self.pairs, self.times = words, counts, mass, pairs, times
         self.total, self.wide = total, n_words + 2
 
@@ -226,7 +226,15 @@ def collected(rows: DataFrame, derive, kinds: list) -> list[np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([a.astype(k).tobytes()], pa.binary()) for a, k in zip(arrays, kinds)], names)
 
     packed = rows.mapInArrow(pack, ", ".join(f"{n} binary" for n in names)).collect()
-    return [np.frombuffer(b"".join(bytes(r[n]) for r in packed), k) for n, k in zip(names, kinds)]
+    return [np.concatenate([np.zeros(0, k), *(np.frombuffer(r[n], k) for r in packed)]) for n, k in zip(names, kinds)]
+
+
+def _sorted_by_first(arrays: list[np.ndarray]) -> list[np.ndarray]:
+    """The arrays in the order of the first, one copied at a time."""
+    order = np.argsort(arrays[0])
+    for k in range(len(arrays)):
+        arrays[k] = arrays[k][order]
+    return arrays
 
 
 def passed_mass(pairs: DataFrame) -> DataFrame:
@@ -319,10 +327,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, min_count: int = 1, most
     of = of.select("word", "w0", "w1", "c0", "c1", *((1 - F.coalesce(f"k{m}", F.lit(0.0)) / F.greatest(f"c{m}", F.lit(1))).alias(f"p{m}") for m in (0, 1)))
     if n_kept + kept <= most_sent:
         number = np.int32 if total[0] < 1 << 31 else np.int64
-        word, *counts, p0, p1 = collected(of, lambda c: [c[0].view(np.uint64), *c[1:]], [np.uint64, *[number] * 4, float, float])
-        hashes, *times = collected(pairs, lambda c: [_pair_hashes(c[0].view(np.uint64), c[1].view(np.uint64)), *c[2:]], [np.uint64, number, number])
-        at, order = np.argsort(word), np.argsort(hashes)
-        models = Models(word[at], np.stack(counts)[:, at], np.stack([p0, p1])[:, at], hashes[order], np.stack(times)[:, order], tuple(total), n_words)
+        word, *counts, p0, p1 = _sorted_by_first(collected(of, lambda c: [c[0].view(np.uint64), *c[1:]], [np.uint64, *[number] * 4, float, float]))
+        hashes, *times = _sorted_by_first(collected(pairs, lambda c: [_pair_hashes(c[0].view(np.uint64), c[1].view(np.uint64)), *c[2:]], [np.uint64, number, number]))
+        models = Models(word, counts, [p0, p1], hashes, times, tuple(total), n_words)
         sums = staged(score_in_place(marked, models), "lm-sums")
     else:
         of = staged(of, "lm-models")
