@@ -36,11 +36,12 @@ def extract_patterns(pubs: DataFrame, seen: DataFrame, aliases: list[tuple[str,
 
     A paper's matches become distinct inside its row, so abstracts aren't shuffled.
     """
-    low = F.lower("abstract")
+    # a match lies in one run of the characters that its ends may have; runs without the verb are left alone
+    runs = F.split(F.lower("abstract"), r"[^\w\s\-\+/]+")
     found = []
     for forms, relation in verbs:
         p = F.lit(rf"(\w[\w\s\-\+/]+?)\s+(?:{forms})\s+(\w[\w\s\-\+/]+)")
-        both = F.arrays_zip(F.regexp_extract_all(low, p, F.lit(1)).alias("s"), F.regexp_extract_all(low, p, F.lit(2)).alias("t"))
+        both = F.flatten(F.transform(F.filter(runs, _has_verb(forms)), _pairs_of(p)))
         found.append(F.transform(both, _ends_of(relation, aliases)))
     good = lambda m: (m["source"] != m["target"]) & (F.length(m["source"]) > 2) & (F.length(m["target"]) > 2)
     rows = pubs.where("coalesce(abstract, '') <> ''").select(*PAPER, F.greatest(F.col(confidence) - 0.15, F.lit(0.3)).alias("confidence"), "abstract", F.explode(F.array_distinct(F.filter(F.concat(*found), good))).alias("m"))
@@ -50,6 +51,14 @@ def extract_patterns(pubs: DataFrame, seen: DataFrame, aliases: list[tuple[str,
     return rows.join(seen.select("pmid", "source", "relation", "target").distinct(), ["pmid", "source", "relation", "target"], "left_anti")
 
 
+def _has_verb(forms: str):
+    return lambda run: run.rlike(rf"\s(?:{forms})\s")
+
+
+def _pairs_of(pattern: Column):
+    return lambda run: F.arrays_zip(F.regexp_extract_all(run, pattern, F.lit(1)).alias("s"), F.regexp_extract_all(run, pattern, F.lit(2)).alias("t"))
+
+
 def _ends_of(relation: str, aliases: list[tuple[str, str]]):
     """A match as a claim; a function of one argument, since higher-order functions pass an index to a second."""
     return lambda m: F.struct(normalize_node(m["s"], aliases).alias("source"), F.lit(relation).alias("relation"), normalize_node(m["t"], aliases).alias("target"))
