@@ -17,7 +17,7 @@ candidates without error before the sets are fetched.
 Cases: null texts and texts without words have an empty set, link with nothing and are their own
 component; texts with fewer words than a shingle have their whole sequence as one; repeated rows fall into one
 component; null doc_ids count only in classes without any other; ties of the token order go by hash; an empty table
-gives no rows; other columns are ignored. Sets are told apart by 58-bit hashes, tokens by 48 bits.
+gives no rows; other columns are ignored. Sets are told apart by 54-bit hashes, tokens by 48 bits.
 """
 
 from __future__ import annotations
@@ -39,12 +39,12 @@ FREQUENT, FREQUENT_BITS = 8, 20
 #: The index is made, joined and removed in so many parts of its keys, so that only one part is on disk at a time.
 PARTS = 4
 #: Bits of a set's hash; above them an index entry holds its place in the choice of leaders.
-WHOLE_BITS = 58
+WHOLE_BITS = 54
 _TOKEN = np.uint64((1 << 48) - 1)
 
 
 def token_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted 48-bit tokens of each text's shingle set, first of each text (len + 1), 58-bit hash of each set."""
+    """Sorted 48-bit tokens of each text's shingle set, first of each text (len + 1), 54-bit hash of each set."""
     values, offsets = text_bytes(column)
     starts, ends, first = word_spans(values, offsets)
     hashes, at = shingles(word_hashes(values, starts, ends), first, size)
@@ -232,7 +232,7 @@ def index(docs: DataFrame, size: int, percent: int, shared, part: int) -> DataFr
                 key, owner, rare, most = index_entries(tokens, np.concatenate([[0], np.cumsum(n)]), tokens_, place, percent)
                 mine = np.flatnonzero(key % np.uint64(PARTS) == np.uint64(part))
                 key, owner, most = key[mine], owner[mine], most[mine]
-                ids = whole[owner] | (rare[mine] * 31 // 1000).astype(np.uint64) << np.uint64(WHOLE_BITS)
+                ids = whole[owner] | (rare[mine] * 511 // 1000).astype(np.uint64) << np.uint64(WHOLE_BITS)
                 columns = [key.view(np.int64), ids.view(np.int64), n[owner].astype(np.int32), most.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["key", "id", "n", "most"])
 
