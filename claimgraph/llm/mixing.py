@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, running_sums, staged
+from .common import WORD, running_sums, spread, staged
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -148,18 +148,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
     )
 
 
-def mixed_documents(docs: DataFrame, shard_column: str | None = None, slices: int = 16, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, shard_column: str | None = None, slice_rows: int = 4000, **options) -> DataFrame:
     """The mixed table: each document as often as the mix draws it, with the columns of ``docs``.
 
     Documents stay whole here: one that a quota cuts is kept where at least half of it is drawn, in the shard of its first
     block. Rows alike in doc_id, text and source share their draws. Documents without words are not drawn.
-    A shard is dealt in ``slices`` parts of its shuffled order, so that no task holds a whole one; in a part its rows lie
-    in that order. ``shard_column`` adds the shard under that name.
+    A shard is dealt in slices of about ``slice_rows`` rows of its shuffled order, so that no task holds a whole one; in a slice its
+    rows lie in that order. ``shard_column`` adds the shard under that name.
     """
     whole = mix(docs, **options).where("words > 0").groupBy("key_", "row_id", "epoch")
     draws = whole.agg(F.sum("words").alias("words"), F.first("size").alias("size"), F.min_by("shard", "block").alias("shard"), F.first("local_order").alias("local_order"))
     draws = draws.where("2 * words >= size").select("key_", "shard", "local_order")
     cols = docs.columns
+    slices = spread(docs.count(), slice_rows * options.get("shards", 16))
     own = docs.select(F.struct(*cols).alias("doc"), F.xxhash64("doc_id", "text", "source").alias("key_")).dropDuplicates(["key_"])
     mixed = own.join(draws, "key_").withColumn("slice_", F.floor((F.col("local_order") / 2.0**64 + 0.5) * slices))
     mixed = mixed.repartition("shard", "slice_").sortWithinPartitions("shard", "slice_", "local_order")
