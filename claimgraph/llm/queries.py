@@ -17,4 +17,15 @@ QUERIES = {
     "op10_sentencepiece": tokens.op10_sentencepiece,
 }
 
-ORACLE: dict[str, str] = {}
+#: Shingle sets from the words themselves, all pairs that share a shingle, and what links reach.
+JACCARD_SQL = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+  s as (select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) shingle from w),
+  n as (select doc_id, count(*) n from s group by doc_id),
+  shared as (select x.doc_id a, y.doc_id b, count(*) k from s x join s y on x.shingle = y.shingle and x.doc_id < y.doc_id group by 1, 2),
+  links as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+  both_ways as (select a, b from links union all select b, a from links),
+  reach as (select doc_id, doc_id least_id from documents union select b, least_id from reach join both_ways on a = reach.doc_id),
+  c as (select doc_id, min(least_id) component_id from reach group by doc_id)
+  select d.doc_id, coalesce(n.n, 0) n_shingles, c.component_id from documents d join c on c.doc_id = d.doc_id left join n on n.doc_id = d.doc_id"""
+
+ORACLE: dict[str, str] = {"op6_ngram_jaccard": JACCARD_SQL}
