@@ -12,8 +12,8 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
 
 
@@ -44,9 +44,10 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return values[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word in ``values``, and for each text the index of its first word (len + 1)."""
-    inside = ~_SPACE[values]
+def word_spans(values: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word in ``values``, and for each text the index of its first word (len + 1); ``outside`` tells
+    which bytes belong to no word."""
+    inside = ~outside[values]
     if not len(inside):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
@@ -67,7 +68,7 @@ def word_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower:
     if not len(starts):
         return np.zeros(0, np.uint64)
     padded = np.zeros(len(values) + 8, np.uint8)
-    padded[: len(values)] = _LOWER[values] if lower else values
+    padded[: len(values)] = LOWER[values] if lower else values
     eights = np.ndarray(shape=(len(values) + 1,), dtype="<u8", buffer=padded, strides=(1,))
     left = ends - starts
     out = left.astype(np.uint64)
