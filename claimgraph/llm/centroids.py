@@ -45,7 +45,7 @@ def first_centroids(vectors: DataFrame, k: int = K) -> np.ndarray:
     """The ``k`` vectors with the least sha256 of ``3:<vec_id>``, in that order: a top-k, ``k`` rows come to the driver."""
     order = F.sha2(F.concat(F.lit("3:"), F.col("vec_id").cast("string")), 256)
     least = vectors.select(order.alias("h_"), "v").orderBy(F.asc_nulls_last("h_"), "v").limit(k).collect()
-    return np.array([r.v for r in least], np.int64).reshape(len(least), -1)
+    return np.array([r.v for r in least], np.int64)
 
 
 def bounds(vectors: DataFrame, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:

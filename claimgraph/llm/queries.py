@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, embed, language, linedup, lm, media, mixing, near, phrases, sharding, tokens
+from . import centroids, embed, language, linedup, lm, media, mixing, near, phrases, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_line_dedup": linedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language": language.op9_language,
     "op10_sentencepiece": tokens.op10_sentencepiece,
     "op11_collocations": phrases.op11_collocations,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_centroids": centroids.op13_centroids,
 }
 

@@ -4,12 +4,13 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from claimgraph.llm import centroids, phrases
+from claimgraph.llm import centroids, phrases, toxicity
 
 DOCS = "doc_id long, text string, lang string, a string, w_ int, rank int"
 VECTORS = "vec_id long, embedding array<float>, v int, n int, cluster int"
@@ -132,3 +133,98 @@ def test_boxes_keep_the_nearest():
         assert (again[0] == best).all() and (again[1] == distance).all()
         pruned += 8 - may.sum()
     assert pruned
+
+
+def edits(a, b):
+    """Optimal string alignment distance."""
+    d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
+    for i in range(len(a)):
+        for j in range(len(b)):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i] != b[j]))
+            if i and j and a[i] == b[j - 1] and a[i - 1] == b[j]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a) - 1, len(b) - 1]
+
+
+def test_automaton_is_the_distance():
+    rng = random.Random(2)
+    terms = ["scum", "idiot", "moron", "idiots", "worthless", "pathetic", "clown", "clowning*", "bad*", "ab"]
+    automaton = toxicity.Automaton(terms)
+
+    def broken(word):
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(word))
+            word = rng.choice([word[:k] + word[k + 1 :], word[:k] + rng.choice("abiost") + word[k:], word[:k] + rng.choice("abiost") + word[k + 1 :], word[:k] + word[k : k + 2][::-1] + word[k + 2 :]]) or "a"
+        return word
+
+    hits = 0
+    for _ in range(3000):
+        token = broken(rng.choice(terms).rstrip("*")) + rng.choice(["", "", "s", "xyz"])
+        want = set()
+        for t, term in enumerate(terms):
+            stem, most = term.rstrip("*"), toxicity.allowed(term)
+            heads = [token[:k] for k in range(1, len(token) + 1)] if term.endswith("*") else [token]
+            least = min(edits(h, stem) for h in heads)
+            if least == 0 or (least <= most and token[0] == stem[0]):
+                want.add((least, t))
+        got = automaton.match(token)
+        assert (got is None) == (not want), (token, got, want)
+        if got:
+            assert (got[1], got[0]) in want and got[1] == min(want)[0], (token, got, want)
+            hits += 1
+    assert hits > 1000
+
+
+TOXIC_DOCS = "doc_id long, text string, lang string, source string, term int, score double, toxic int"
+
+
+def toxic_rows(n=400, seed=9):
+    """Clean prose, abuse with some misspellings, and clean texts that quote a term; every third text carries a stem instead."""
+    rng = random.Random(seed)
+    syllables = ["ta", "ro", "mi", "ke", "lu", "so"]
+    rows, labels = [], []
+    for k in range(n):
+        words = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(5, 60))]
+        toxic = k % 4 == 0
+        if toxic:
+            term = rng.choice(["Gruffle", "gruflfe", "gruffl3", "wobbert", "WOBBERT!", "wobbbert"]) if k % 3 else "zonk" + rng.choice(syllables)
+            for _ in range(rng.randint(1, 3)):
+                words.insert(rng.randrange(len(words) + 1), term)
+        elif k % 7 == 0:
+            words[2:2] = ["they", "said", '"you', 'gruffle"', "quoted"]
+        rows.append((k, " ".join(words), "en", None, None, None, None))
+        labels.append((k, 1, int(toxic)))
+    return rows, labels
+
+
+def held_out(k):
+    return zlib.crc32(str(k).encode()) % 5 == 0
+
+
+def test_toxicity(spark):
+    rows, labels = toxic_rows()
+    odd = [(1000, None, None, None, None, None, None), (1001, "", "en", None, None, None, None), (None, "you gruffle", None, None, None, None, None), (1002, " \n", None, None, None, None, None), (1003, "ta ro " * 20000 + "wobbert", "en", "a", 1, 1.0, 1), (1003, "ta ro " * 20000 + "wobbert", "en", "a", 1, 1.0, 1)]
+    docs = spark.createDataFrame(rows + odd, TOXIC_DOCS).repartition(3)
+    table = spark.createDataFrame(labels + [(None, 1, 1), (5, None, None), (77777, 0, 1), (8, 1, 0)], "doc_id long, quality int, toxic int")
+    got = toxicity.score_documents(docs, table)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    out = got.collect()
+    assert len(out) == len(rows) + len(odd)
+    by = {r.doc_id: r for r in out}
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
+    assert all(by[k].held_out == held_out(k) for k, *_ in rows) and not by[None].held_out
+    wrong = [k for k, _, t in labels if held_out(k) and by[k].predicted != t]
+    assert len(wrong) <= 2, wrong
+    assert by[1000].score == by[1001].score == by[1002].score and by[1000].predicted == 0
+    assert by[1003].score > by[1001].score  # whole texts: a term at the end of a long one counts
+    # labels of held-out rows teach nothing
+    other = spark.createDataFrame([(k, q, 1 - t if held_out(k) else t) for k, q, t in labels], "doc_id long, quality int, toxic int")
+    again = {r.doc_id: r.score for r in toxicity.score_documents(docs, other).collect()}
+    assert all(abs(again[k] - by[k].score) < 1e-9 for k in by)
+
+
+def test_toxicity_without_labels(spark):
+    docs = spark.createDataFrame(toxic_rows(20)[0], TOXIC_DOCS)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {(r.score, r.predicted) for r in toxicity.score_documents(docs, none).collect()} == {(0.0, 0)}
+    assert toxicity.score_documents(docs.where("false"), none).collect() == []
