@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import padded
-from ..vocab import ACTIVATE, SUPPRESS
+from ..vocab import ACTIVATE, ARCHITECTURES, LOOP_RULES, OTHER_LOOPS, SUPPRESS
 from .iterate import staged as cut
 from .iterate import unstage
 
@@ -161,23 +163,76 @@ def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int =
     return of.join(of.groupBy("component").agg(F.count("*").alias("size")), "component").select("id", "component", "size")
 
 
-def simple_cycles(edges: DataFrame, max_len: int = 6, trims: int = 3) -> DataFrame:
+def strong_pairs(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """The distinct pairs inside strongly connected components: those that can lie on a cycle, staged.
+
+    Forward-backward reachability by colours (Orzan, 2004): the greatest id that reaches a node is its colour; pairs of two colours go; the nodes
+    of a colour that reach its namesake are a component, and only the others are looked at again. Rounds follow the longest way along which
+    a colour travels, one job each.
+    """
+    rest = cut(pairs(edges))
+    found = []
+    for _ in range(most_rounds):
+        color = cut(rest.select(F.col("source").alias("id")).union(rest.select("target")).distinct().select("id", F.col("id").alias("color")))
+        for _ in range(most_rounds):  # forward: the greatest id that reaches a node
+            sent = rest.join(color.select(F.col("id").alias("source"), F.col("color").alias("c")), "source").groupBy(F.col("target").alias("id")).agg(F.max("c").alias("c"))
+            seen = Observation()
+            nxt = color.join(sent, "id", "left").select("id", F.greatest("color", F.coalesce("c", "color")).alias("color"), (F.col("c") > F.col("color")).alias("new"))
+            nxt = cut(nxt.observe(seen, F.count_if("new").alias("n")).drop("new"))
+            unstage(color)
+            color = nxt
+            if not seen.get["n"]:
+                break
+        else:
+            raise RuntimeError("colours did not settle")
+        mark = lambda e: color.select(F.col("id").alias(e), F.col("color").alias(f"{e[0]}_"))
+        inside = cut(rest.join(mark("source"), "source").join(mark("target"), "target").where("s_ = t_").select("source", "target", F.col("s_").alias("color")))
+        member = cut(color.where("id = color").select("id"))
+        front = member
+        for _ in range(most_rounds):  # backward: what reaches the namesake inside its colour
+            step = inside.join(front.select(F.col("id").alias("target")), "target").select(F.col("source").alias("id")).distinct()
+            front = cut(step.join(member, "id", "left_anti"))
+            if front.isEmpty():
+                break
+            member = cut(member.union(front))
+        else:
+            raise RuntimeError("components did not settle")
+        ends = lambda df, e, how: df.join(member.select(F.col("id").alias(e)), e, how)
+        found.append(cut(ends(ends(inside, "source", "left_semi"), "target", "left_semi").select("source", "target")))
+        left = cut(ends(ends(inside, "source", "left_anti"), "target", "left_anti").select("source", "target"))
+        unstage(rest, color, inside, member, front)
+        rest = left
+        if rest.isEmpty():
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
+def simple_cycles(edges: DataFrame, max_len: int = 6) -> DataFrame:
     """Every simple directed cycle of 2 to max_len nodes once, from its least node on.
 
-    Nodes without edges in or out are trimmed first; paths grow by joins, only over nodes above the start.
+    Only pairs inside strongly connected components count. A cycle is two half-paths over nodes above its least one: from it to the middle and from
+    there back, so paths of at most (max_len + 1) / 2 hops are grown, and halves meet on (least, middle).
     """
-    p = pairs(edges)
-    for _ in range(trims):
-        p = p.join(p.select(F.col("source").alias("target")).distinct(), "target", "left_semi").join(p.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select("source", "target")
-    p = cut(p)
-    paths = p.where("source < target").select(F.array("source", "target").alias("path"))
+    p = strong_pairs(edges)
+    there = {1: cut(p.where("source < target").select(F.col("source").alias("least"), F.col("target").alias("middle"), F.array("target").alias("way")))}
+    back = {1: cut(p.where("source > target").select(F.col("target").alias("least"), F.col("source").alias("middle"), F.array().cast("array<string>").alias("way")))}
+    for n in range(2, (max_len + 1) // 2 + 1):
+        step = there[n - 1].join(p, F.col("middle") == F.col("source")).where((F.col("target") > F.col("least")) & ~F.array_contains("way", F.col("target")))
+        there[n] = cut(step.select("least", F.col("target").alias("middle"), F.concat("way", F.array("target")).alias("way")))
+        if n <= max_len // 2:
+            # ``way`` of the way back: the nodes after the middle, in order
+            step = back[n - 1].join(p, F.col("middle") == F.col("target")).where((F.col("source") > F.col("least")) & (F.col("source") != F.col("middle")) & ~F.array_contains("way", F.col("source")))
+            back[n] = cut(step.select("least", F.col("source").alias("middle"), F.concat(F.array("middle"), "way").alias("way")))
     found = None
     for n in range(2, max_len + 1):
-        if n > 2:
-            paths = paths.withColumn("end", F.element_at("path", -1)).join(p, F.col("end") == F.col("source"))
-            paths = paths.where((F.col("target") > F.col("path")[0]) & ~F.array_contains("path", F.col("target"))).select(F.concat("path", F.array("target")).alias("path"))
-        paths = cut(paths)
-        closed = paths.withColumn("end", F.element_at("path", -1)).join(p, (F.col("end") == F.col("source")) & (F.col("path")[0] == F.col("target")), "left_semi").select("path", F.size("path").alias("length"))
+        one, two = there[(n + 1) // 2], back[n // 2]
+        met = one.join(two.withColumnRenamed("way", "home"), ["least", "middle"]).where(~F.arrays_overlap("way", "home"))
+        closed = met.select(F.concat(F.array("least"), "way", "home").alias("path"), F.lit(n).alias("length"))
         found = closed if found is None else found.union(closed)
     return found
 
@@ -189,18 +244,35 @@ def path_hops(paths: DataFrame, key: str, path: str = "path", close: bool = Fals
     return paths.where(F.size(full) > 1).select(key, F.explode(hops).alias("h")).select(key, "h.*")
 
 
-def build_loops(edges: DataFrame, cycles: DataFrame, rules: list[tuple[str, list[str]]] = ()) -> DataFrame:
-    """Cycles with the evidence of every hop: completeness, distinct pmids, category by members, ids by rank."""
+def loop_category(path: Column, rules=LOOP_RULES, otherwise: str = OTHER_LOOPS) -> Column:
+    """The first rule of which the path has all members of one set."""
+    out = F.lit(otherwise)
+    for name, sets in reversed(list(rules)):
+        fits = F.lit(False)
+        for members in sets:
+            fits = fits | (F.size(F.array_except(F.array(*map(F.lit, members)), path)) == 0)
+        out = F.when(fits, name).otherwise(out)
+    return out
+
+
+def build_loops(edges: DataFrame, cycles: DataFrame, rules=LOOP_RULES, otherwise: str = OTHER_LOOPS) -> DataFrame:
+    """Cycles with the evidence of every hop: share of hops with papers (2 places), distinct pmids, category by members, and whether
+    every hop has an edge. ``number`` and ``loop_id`` follow the order of the paths; loops rank by completeness, then papers, then number.
+    """
     cycles = cycles.withColumn("key", F.array_join("path", "\x01"))
-    e = edges.select("source", "target", "pmids")
-    hops = path_hops(cycles, "key", close=True).join(e, ["source", "target"], "left")
-    per_hop = hops.groupBy("key", "pos").agg(F.flatten(F.collect_list("pmids")).alias("pmids"))
-    per = per_hop.groupBy("key").agg(F.count("*").alias("hops"), F.count_if(F.size("pmids") > 0).alias("backed"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pmids")))).alias("supporting_pmids"))
-    category = F.lit("feedback loop")
-    for name, members in reversed(list(rules)):
-        category = F.when(F.arrays_overlap("path", F.array(*map(F.lit, members))), name).otherwise(category)
-    out = cycles.join(per, "key").select("path", "length", F.round(F.col("backed") / F.col("hops"), 4).alias("completeness"), "supporting_pmids", F.size("supporting_pmids").alias("pmid_count"), category.alias("category"), "key")
-    return numbered(cut(out), ["-pmid_count", "-completeness", "length", "key"], "rank").select("*", F.concat(F.lit("L"), padded("rank")).alias("loop_id")).drop("key", "rank")
+    pair = edges.groupBy("source", "target").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pmids")))).alias("pmids"), F.lit(True).alias("edge"))
+    hops = path_hops(cycles, "key", close=True).join(pair, ["source", "target"], "left")
+    none = F.array().cast("array<string>")
+    hop = F.struct("pos", F.concat("source", F.lit("->"), "target").alias("hop"), F.coalesce("pmids", none).alias("pmids"))
+    per = hops.groupBy("key").agg(F.array_sort(F.collect_list(hop)).alias("hops"), F.bool_and(F.coalesce("edge", F.lit(False))).alias("complete"))  # a loop has few hops
+    pmids = F.array_sort(F.array_distinct(F.flatten(F.transform("hops", lambda h: h["pmids"]))))
+    backed = F.size(F.filter("hops", lambda h: F.size(h["pmids"]) > 0))
+    out = cycles.join(per, "key").select(
+        "path", "length", loop_category(F.col("path"), rules, otherwise).alias("category"), F.round(backed / F.size("hops"), 2).alias("completeness"), pmids.alias("supporting_pmids"), "complete",
+        F.map_from_entries(F.transform("hops", lambda h: F.struct(h["hop"], h["pmids"]))).alias("hop_pmids"),
+    )
+    out = out.withColumn("pmid_count", F.size("supporting_pmids"))
+    return numbered(cut(out), ["path"], "number").select("*", F.concat(F.lit("L"), padded("number")).alias("loop_id"))
 
 
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -217,14 +289,26 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return ranged.withColumn("in_", inside).join(starts.select("part_", "start_"), "part_").withColumn(name, F.col("in_") + F.col("start_")).drop("part_", "in_", "start_")
 
 
-def motif_completeness(edges: DataFrame, motifs: DataFrame, graph_key: list[str] = []) -> DataFrame:
-    """Per motif (and graph): nodes and hops present, completeness, pmids, mean confidence, hop support, rank score."""
+def architectures(spark) -> DataFrame:
+    """The default motifs: name, category, path."""
+    return spark.createDataFrame(ARCHITECTURES, "name string, category string, path array<string>")
+
+
+def motif_completeness(edges: DataFrame, motifs: DataFrame | None = None, graph_key: list[str] = [], nodes: DataFrame | None = None) -> DataFrame:
+    """Per motif (and graph): nodes and hops present, completeness, pmids, mean confidence, hop support, rank score.
+
+    ``nodes`` (id and the graph's key) tells which nodes a graph has; without it they are the ends of its edges. Edges that no motif asks
+    for are left out before anything is grouped.
+    """
+    motifs = motifs if motifs is not None else architectures(edges.sparkSession)
     hops = path_hops(motifs, "name")
-    graphs = edges.select(*graph_key).distinct() if graph_key else None
-    if graphs is not None:
+    asked = hops.select("source", "target").distinct()
+    if graph_key:
+        graphs = (nodes if nodes is not None else edges).select(*graph_key).distinct()
         hops = hops.crossJoin(graphs)
     keys = [*graph_key, "name"]
-    e = edges.groupBy(*graph_key, "source", "target").agg(F.flatten(F.collect_list("pmids")).alias("pmids"), F.sum("confidence").alias("conf"), F.count("*").alias("n"))
+    mine = edges.join(asked, ["source", "target"], "left_semi")
+    e = mine.groupBy(*graph_key, "source", "target").agg(F.flatten(F.collect_list("pmids")).alias("pmids"), F.sum("confidence").alias("conf"), F.count("*").alias("n"))
     joined = hops.join(e, [*graph_key, "source", "target"], "left")
     support = F.size(F.array_distinct(F.coalesce("pmids", F.array().cast("array<string>"))))
     per = joined.withColumn("support", support).groupBy(*keys).agg(
@@ -236,14 +320,22 @@ def motif_completeness(edges: DataFrame, motifs: DataFrame, graph_key: list[str]
     mean = F.when(F.col("n") > 0, F.col("conf") / F.col("n")).otherwise(0.0)
     out = per.select(*keys, "edges_present", "edges_total", completeness.alias("c"), "supporting_pmids", F.size("supporting_pmids").alias("pmid_count"), mean.alias("m"), "min_support", "max_support", "avg_support", "missing_edges")
     out = out.select("*", F.round("c", 4).alias("completeness"), F.round("m", 4).alias("avg_confidence"), F.round(F.col("c") * F.col("pmid_count") * F.col("m"), 4).alias("rank_score")).drop("c", "m")
-    return out.join(motifs.select("name", "category"), "name")
+    # places of the path that the graph has, a node that stands twice counting twice
+    places = motifs.select("name", F.posexplode("path").alias("place", "id"))
+    ids = nodes.select(*graph_key, "id") if nodes is not None else edges.select(*graph_key, F.explode(F.array("source", "target")).alias("id"))
+    have = ids.join(places.select("id").distinct(), "id", "left_semi").distinct()
+    present = places.join(have, "id").groupBy(*keys).agg(F.count("*").alias("nodes_present"))
+    out = out.join(present, keys, "left").withColumn("nodes_present", F.coalesce("nodes_present", F.lit(0)))
+    return out.join(motifs.select("name", "category", F.size("path").alias("nodes_total")), "name")
 
 
 def rank_architectures(loops: DataFrame, k: int = 25) -> DataFrame:
-    """A10: top loops by completeness times pmids."""
-    score = F.col("completeness") * F.greatest("pmid_count", F.lit(1))
-    ranked = loops.withColumn("score", F.round(score, 4)).orderBy(F.desc("score"), "loop_id").limit(k)
-    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "loop_id")))
+    """A10: the first k loops by completeness, papers and number, with rank, name and score (completeness times papers, one at least)."""
+    order = [F.desc("completeness"), F.desc("pmid_count"), F.asc("number")]
+    top = loops.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # k rows
+    score = F.round(F.col("completeness") * F.greatest("pmid_count", F.lit(1)), 2)
+    name = F.concat("category", F.lit(":"), F.array_join("path", " -> "))
+    return top.select("rank", name.alias("name"), "completeness", "pmid_count", F.lit(0.0).alias("avg_confidence"), score.alias("composite_score"), "path", "loop_id")
 
 
 def cross_graph_motifs(edges: DataFrame, motifs: DataFrame, graph_key: str = "graph_id") -> DataFrame:
@@ -324,19 +416,80 @@ def support_gaps(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return thin.union(bare).union(clash)
 
 
-def priority_gaps(edges: DataFrame, watch: DataFrame) -> DataFrame:
-    """Watched pairs (source, target, tag): EVIDENCED or UNTESTED, with support and the first five pmids."""
-    e = edges.groupBy("source", "target").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pmids")))).alias("pmids"))
-    out = watch.join(e, ["source", "target"], "left")
-    return out.select("source", "target", "tag", F.when(F.col("pmids").isNotNull(), "EVIDENCED").otherwise("UNTESTED").alias("status"), F.coalesce(F.size("pmids"), F.lit(0)).alias("support"), F.slice(F.coalesce("pmids", F.array().cast("array<string>")), 1, 5).alias("first_pmids"))
+def priority_gaps(edges: DataFrame, watch: DataFrame, sample: int = 5) -> DataFrame:
+    """Watched pairs (source, target, tag): EVIDENCED or UNTESTED, with support and the first pmids.
+
+    Only the edges of watched pairs are grouped; papers are distinct by (pair, paper) and ranked, so no array holds more than ``sample``.
+    """
+    mine = edges.join(watch.select("source", "target").distinct(), ["source", "target"], "left_semi")
+    papers = mine.select("source", "target", F.explode_outer("pmids").alias("pmid")).distinct()
+    rank = F.row_number().over(Window.partitionBy("source", "target").orderBy(F.asc_nulls_last("pmid")))
+    support = papers.groupBy("source", "target").agg(F.count("pmid").alias("support"))
+    first = papers.where("pmid is not null").withColumn("n_", rank).where(F.col("n_") <= sample).groupBy("source", "target").agg(F.array_sort(F.collect_list("pmid")).alias("first_pmids"))
+    out = watch.join(support, ["source", "target"], "left").join(first, ["source", "target"], "left")
+    status = F.when(F.col("support").isNotNull(), "EVIDENCED").otherwise("UNTESTED")
+    return out.select("source", "target", "tag", status.alias("status"), F.coalesce("support", F.lit(0)).alias("support"), F.coalesce("first_pmids", F.array().cast("array<string>")).alias("first_pmids"))
+
+
+#: A node with more than so many ways through it is heavy; rows and columns of a block of heavy ways.
+HEAVY_WAYS, WAYS_BLOCK = 4096, 1024
+
+
+def untested_transitive(edges: DataFrame, heavy: int = HEAVY_WAYS, block: int = WAYS_BLOCK, top: int | None = None) -> DataFrame:
+    """A->b->c evidenced while a->c is not; with the number of ways over b. ``top`` keeps each a's most frequented c.
+
+    Nodes with few ways through them are joined out. Those with more, of which E pairs have at most E / sqrt(heavy), are numbered: each a has
+    bitmaps of its heavy successors and each c of its heavy predecessors, blocks of a meet blocks of c, and the ways are products of bit
+    matrices. So a way over a hub is a bit, never a row; what is shuffled follows the pairs that come out.
+    """
+    p = cut(pairs(edges))
+    into = p.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n_in"))
+    out = p.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n_out"))
+    through = cut(into.join(out, "id").select("id", (F.col("n_in") * F.col("n_out") > heavy).alias("heavy")))
+    light = through.where("not heavy").select(F.col("id").alias("b"))
+    one, two = p.select(F.col("source").alias("a"), F.col("target").alias("b")), p.select(F.col("source").alias("b"), F.col("target").alias("c"))
+    ways = one.join(light, "b").join(two, "b").where("a <> c").groupBy("a", "c").agg(F.count("*").alias("ways"))
+    hubs = cut(numbered(cut(through.where("heavy").select("id")), ["id"], "no").select(F.col("id").alias("b"), "no"))
+    if not hubs.isEmpty():
+        ways = ways.union(_heavy_ways(one.join(hubs, "b").select(F.col("a").alias("id"), "no"), two.join(hubs, "b").select(F.col("c").alias("id"), "no"), block))
+        ways = ways.groupBy("a", "c").agg(F.sum("ways").alias("ways"))
+    found = ways.join(p.select(F.col("source").alias("a"), F.col("target").alias("c")), ["a", "c"], "left_anti")
+    if top is not None:
+        found = found.withColumn("n_", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("ways"), "c"))).where(F.col("n_") <= top).drop("n_")
+    return found
 
 
-def untested_transitive(edges: DataFrame) -> DataFrame:
-    """A->b->c evidenced while a->c is not; with the number of ways over b. Hubs are split by AQE, none is dropped."""
-    p = pairs(edges)
-    two = p.select(F.col("source").alias("a"), F.col("target").alias("b")).join(p.select(F.col("source").alias("b"), F.col("target").alias("c")), "b").where("a <> c")
-    ways = two.groupBy("a", "c").agg(F.count("*").alias("ways"))
-    return ways.join(p.select(F.col("source").alias("a"), F.col("target").alias("c")), ["a", "c"], "left_anti")
+def _heavy_ways(one: DataFrame, two: DataFrame, block: int) -> DataFrame:
+    """(a, c, ways): of (id, no) of both sides, the numbers that a and c share."""
+    packed = {}
+    for name, side in (("a", one), ("c", two)):
+        bits = side.groupBy("id", F.expr("bitmap_bucket_number(no)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(no))").alias("bits"))
+        blocks = F.greatest(F.lit(1), F.ceil(F.count_distinct("id") / block)).cast("int")
+        n = bits.agg(blocks).first()[0]
+        packed[name] = (bits.withColumn(f"{name}_block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n)
+    (left, n_left), (right, n_right) = packed["a"], packed["c"]
+    left = left.withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
+    right = right.withColumn("a_block", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
+
+    def product(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        ids = [np.sort(x["id"].unique()) for x in (a, c)]
+        total = np.zeros([len(x) for x in ids], np.float32)  # whole numbers below 2^24
+        for part in np.intersect1d(a["part"], c["part"]):
+            sides = []
+            for x, every in zip((a, c), ids):
+                x = x[x["part"] == part]
+                sides.append((np.searchsorted(every, x["id"]), np.stack([np.frombuffer(b, np.uint8) for b in x["bits"]])))
+            used = np.flatnonzero(sides[0][1].any(0) & sides[1][1].any(0))
+            for low in range(0, len(used), 512):  # 4,096 numbers at once
+                m = [np.unpackbits(b[:, used[low : low + 512]], axis=1).astype(np.float32) for _, b in sides]
+                total[np.ix_(sides[0][0], sides[1][0])] += m[0] @ m[1].T
+        i, j = np.nonzero(total)
+        far = ids[0][i] != ids[1][j]
+        i, j = i[far], j[far]
+        return pd.DataFrame({"a": ids[0][i], "c": ids[1][j], "ways": total[i, j].astype(np.int64)})
+
+    key = ["a_block", "c_block"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(product, "a string, c string, ways long")
 
 
 def graph_health(nodes: DataFrame, edges: DataFrame, loops: DataFrame, found: DataFrame) -> DataFrame:
@@ -344,7 +497,7 @@ def graph_health(nodes: DataFrame, edges: DataFrame, loops: DataFrame, found: Da
     touched = _ends(edges).select("id").distinct().withColumn("touched", F.lit(True))
     n = nodes.join(touched, "id", "left").agg(F.count("*").alias("nodes"), F.count_if(F.col("touched").isNull() | (F.col("edge_count") == 1)).alias("isolated_nodes"), F.count_if(F.col("pmid_count") == 0).alias("canonical_nodes"))
     e = edges.agg(F.count("*").alias("edges"), F.count_if(F.col("evidence_strength") == "weak").alias("weak_edges"), F.count_if(F.col("pmid_count") == 1).alias("single_paper_edges"))
-    top = F.max_by(F.array_join("path", ">"), F.struct("pmid_count", F.array_join("path", ">"))) if "path" in loops.columns else F.max(F.lit(None).cast("string"))
+    top = F.max_by(F.array_join("path", ">"), F.struct("completeness", "pmid_count", -F.col("number"))) if "path" in loops.columns else F.max(F.lit(None).cast("string"))
     return n.crossJoin(e).crossJoin(loops.agg(F.count("*").alias("loops"), top.alias("top_loop"))).crossJoin(found.agg(F.count("*").alias("contradictions")))
 
 

@@ -10,6 +10,8 @@ from ..functions.normalize import classify_node, normalize_node
 from ..vocab import CAUSAL_CUES, CAUSAL_VERBS, DIRECT_CUES, GENE_ALIASES, INDIRECT_CUES, NODE_ALIASES, NODE_LEXICON, PATHWAYS, POSITIVE_CUES, SUPPRESS_CUES, TEMPLATES
 
 PAPER = ["pmid", "year", "species"]
+#: A letter or digit of any script, and white space of any kind: what ends of a causal claim are made of.
+LETTER, BLANK = r"\p{L}\p{N}_", r"\s\x1c-\x1f\x{85}\p{Z}"
 
 
 def extract_templates(pubs: DataFrame, templates: list[tuple[str, str, str, str]] = TEMPLATES, confidence: str = "confidence", lexicon: dict[str, list[str]] = NODE_LEXICON) -> DataFrame:
@@ -37,10 +39,11 @@ def extract_patterns(pubs: DataFrame, seen: DataFrame, aliases: list[tuple[str,
     A paper's matches become distinct inside its row, so abstracts aren't shuffled.
     """
     # a match lies in one run of the characters that its ends may have; runs without the verb are left alone
-    runs = F.split(F.lower("abstract"), r"[^\w\s\-\+/]+")
+    runs = F.split(F.lower("abstract"), rf"[^{LETTER}{BLANK}\-+/]+")
     found = []
     for forms, relation in verbs:
-        p = F.lit(rf"(\w[\w\s\-\+/]+?)\s+(?:{forms})\s+(\w[\w\s\-\+/]+)")
+        end = rf"[{LETTER}][{LETTER}{BLANK}\-+/]"
+        p = F.lit(rf"({end}+?)[{BLANK}]+(?:{forms})[{BLANK}]+({end}+)")
         both = F.flatten(F.transform(F.filter(runs, _has_verb(forms)), _pairs_of(p)))
         found.append(F.transform(both, _ends_of(relation, aliases)))
     good = lambda m: (m["source"] != m["target"]) & (F.length(m["source"]) > 2) & (F.length(m["target"]) > 2)
@@ -52,7 +55,7 @@ def extract_patterns(pubs: DataFrame, seen: DataFrame, aliases: list[tuple[str,
 
 
 def _has_verb(forms: str):
-    return lambda run: run.rlike(rf"\s(?:{forms})\s")
+    return lambda run: run.rlike(rf"[{BLANK}](?:{forms})[{BLANK}]")
 
 
 def _pairs_of(pattern: Column):

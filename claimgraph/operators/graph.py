@@ -50,34 +50,44 @@ def _flat(c: str) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
 
 
-def build_edges(claims: DataFrame) -> DataFrame:
-    """B1: one edge per (source, target, relation key, polarity, context, provenance); opposite claims stay apart.
+_REF = "struct<pmid:string,source_sentence:string,canonical_id:string,source:string,source_id:string,statement:string>"
 
-    One hash aggregation with map-side partials; conf_sum and conf_n keep means exact over later merges.
-    """
+
+def edge_parts(claims: DataFrame) -> DataFrame:
+    """Claims as rows that ``merged_edges`` folds: an edge of one observation each."""
     rows = prepared_claims(claims)
-    weight = F.coalesce(F.col("conf_n"), F.lit(1)) if "conf_n" in claims.columns else F.lit(1)
-    total = F.coalesce(F.col("conf_sum"), F.col("confidence")) if "conf_sum" in claims.columns else F.col("confidence")
+    none = F.array().cast(f"array<{_REF}>")
     own_ref = F.struct("pmid", "source_sentence", *(F.lit(None).cast("string").alias(c) for c in ("canonical_id", "source", "source_id", "statement")))
-    refs = F.concat(F.coalesce("source_refs", F.array().cast(f"array<{_REF}>")), F.when(F.coalesce("source_sentence", F.lit("")) != "", F.array(own_ref)).otherwise(F.array().cast(f"array<{_REF}>")))
-    sessions = F.coalesce("sessions", F.array_compact(F.array("session"))) if "sessions" in claims.columns else F.array_compact(F.array("session"))
-    years = F.coalesce("years", F.array_compact(F.array("year"))) if "years" in claims.columns else F.array_compact(F.array("year"))
-    ids = F.array_sort(F.collect_set("claim_id"))
-    rows = rows.withColumns({"refs_": refs, "sessions_": sessions, "years_": years, "weight_": weight, "total_": total})
-    edges = rows.groupBy(*EDGE_KEY).agg(
-        F.array_sort(F.collect_set("relation")).alias("relations"),
-        _flat("pmids").alias("pmids"),
-        _flat("years_").alias("years"),
-        F.array_sort(F.collect_set("species")).alias("species"),
-        F.sum("total_").alias("conf_sum"),
-        F.sum("weight_").alias("conf_n"),
+    refs = F.concat(F.coalesce("source_refs", none), F.when(F.coalesce("source_sentence", F.lit("")) != "", F.array(own_ref)).otherwise(none))
+    one = lambda c: F.array_compact(F.array(c))
+    return rows.select(
+        *EDGE_KEY, F.array("relation").alias("relations"), "pmids", one("year").alias("years"), one("species").alias("species"), F.col("confidence").alias("conf_sum"), F.lit(1).alias("conf_n"),
+        "source_type", "target_type", one("evidence_state").alias("evidence_states"), one("session").alias("sessions"), refs.alias("source_refs"), "context", one("claim_id").alias("ids_"),
+    )
+
+
+def parts_of_edges(edges: DataFrame, mode: str = "exact") -> DataFrame:
+    """Edges of a graph as rows that ``merged_edges`` folds; ``compat`` counts an edge as one observation of its mean."""
+    sums = ("conf_sum", "conf_n") if mode == "exact" else ("confidence", "1")
+    return edges.select(
+        "source", "target", F.col("relation").alias("relation_key"), "polarity", F.to_json("context").alias("context_key"), "provenance_type", "relations", "pmids", "years", "species", F.expr(sums[0]).alias("conf_sum"), F.expr(sums[1]).alias("conf_n"),
+        "source_type", "target_type", "evidence_states", "sessions", "source_refs", "context", F.array_compact(F.array("claim_id")).alias("ids_"),
+    )
+
+
+def merged_edges(parts: DataFrame) -> DataFrame:
+    """Rows of any number of runs folded by their edge key: one hash aggregation with map-side partials.
+
+    Every column is a sum, a set or a minimum, so the order of merges doesn't matter.
+    """
+    edges = parts.groupBy(*EDGE_KEY).agg(
+        *(_flat(c).alias(c) for c in ("relations", "pmids", "years", "species")),
+        F.sum("conf_sum").alias("conf_sum"),
+        F.sum("conf_n").alias("conf_n"),
         F.min("source_type").alias("source_type"),
         F.min("target_type").alias("target_type"),
-        F.array_sort(F.collect_set("evidence_state")).alias("evidence_states"),
-        _flat("sessions_").alias("sessions"),
-        _flat("refs_").alias("source_refs"),
+        *(_flat(c).alias(c) for c in ("evidence_states", "sessions", "source_refs", "ids_")),
         F.first("context").alias("context"),
-        ids.alias("ids_"),
     )
     made = T.claim_id(*(F.col(c) for c in EDGE_KEY))
     return edges.select(
@@ -106,53 +116,48 @@ def build_edges(claims: DataFrame) -> DataFrame:
     )
 
 
-_REF = "struct<pmid:string,source_sentence:string,canonical_id:string,source:string,source_id:string,statement:string>"
+def build_edges(claims: DataFrame) -> DataFrame:
+    """B1: one edge per (source, target, relation key, polarity, context, provenance); opposite claims stay apart.
+
+    conf_sum and conf_n keep means exact over later merges. Papers and sentences are arrays here, as graph documents have them;
+    ``evidence`` counts them without.
+    """
+    return merged_edges(edge_parts(claims))
 
 
 def build_nodes(claims: DataFrame) -> DataFrame:
-    """B2: both ends of each claim; the type is that of the first claim by (pmid, source, target, relation)."""
+    """B2: both ends of each claim; the type is that of the first claim by (pmid, source, target, relation), kept as ``first_claim``."""
     rows = prepared_claims(claims)
     first = F.concat_ws("\x01", F.coalesce("pmid", F.lit("")), "source", "target", "relation")
-    ends = F.array(F.struct(F.col("source").alias("id"), F.col("source_type").alias("type")), F.struct(F.col("target").alias("id"), F.col("target_type").alias("type")))
-    rows = rows.select("pmids", "provenance_type", first.alias("first_"), ends.alias("ends_")).select("pmids", "provenance_type", "first_", F.inline("ends_"))
-    nodes = rows.groupBy("id").agg(
-        F.min_by("type", F.concat("first_", F.lit("\x01"), "type")).alias("type"),
+    end = lambda e: F.struct(F.col(e).alias("id"), F.concat(first, F.lit("\x01"), f"{e}_type").alias("first_claim"), F.col(f"{e}_type").alias("type"))
+    parts = rows.select("pmids", F.array("provenance_type").alias("provenance_types"), F.lit(1).alias("edge_count"), F.inline(F.array(end("source"), end("target"))))
+    return merged_nodes(parts)
+
+
+def merged_nodes(parts: DataFrame) -> DataFrame:
+    """Nodes of any number of runs folded by their id."""
+    nodes = parts.groupBy("id").agg(
+        F.min_by("type", "first_claim").alias("type"),
+        F.min("first_claim").alias("first_claim"),
         _flat("pmids").alias("pmids"),
-        F.count("*").cast("int").alias("edge_count"),
-        F.array_sort(F.collect_set("provenance_type")).alias("provenance_types"),
+        F.sum("edge_count").cast("int").alias("edge_count"),
+        _flat("provenance_types").alias("provenance_types"),
     )
     single = F.when(F.size("provenance_types") == 1, F.col("provenance_types")[0])
-    return nodes.select("id", "type", F.size("pmids").alias("pmid_count"), "pmids", "edge_count", single.alias("provenance_type"), "provenance_types")
-
-
-def edges_as_claims(edges: DataFrame) -> DataFrame:
-    """Prior edges expanded by relation, in the shape of claims."""
-    return edges.select(
-        "source", "source_type", F.explode("relations").alias("relation"), "target", "target_type", "polarity",
-        F.try_element_at("pmids", F.lit(1)).alias("pmid"), "pmids", "years", F.explode("species").alias("species"),
-        "confidence", "conf_sum", "conf_n", "claim_id", "provenance_type", "evidence_states", "sessions", "source_refs", "context",
-    ).select("*", F.explode("evidence_states").alias("evidence_state")).drop("evidence_states")
+    return nodes.select("id", "type", F.size("pmids").alias("pmid_count"), "pmids", "edge_count", single.alias("provenance_type"), "provenance_types", "first_claim")
 
 
 def merge_graph(prior_nodes: DataFrame, prior_edges: DataFrame, claims: DataFrame, mode: str = "exact") -> tuple[DataFrame, DataFrame]:
     """New claims folded into a prior graph; nodes without edges stay.
 
-    ``exact`` keeps sums and counts of confidences, so the order of merges doesn't matter; ``compat`` counts a
-    prior edge as one observation. An edge expanded over several relations, species or states
-    carries its confidence once.
+    Prior edges are rows of the same aggregation as new claims: nothing is exploded or joined, and a prior row without a match passes as
+    it is. ``exact`` keeps sums and counts of confidences, so the order of merges doesn't matter; ``compat`` counts a
+    prior edge as one observation. ``sources.store`` keeps a graph in buckets and merges only those that new claims touch.
     """
-    old = edges_as_claims(prior_edges)
-    copies = F.size("relations") * F.size("species") * F.size("evidence_states")
-    share = prior_edges.select("claim_id", "source", "target", copies.alias("copies_"))
-    old = old.join(share, ["claim_id", "source", "target"])
-    if mode == "compat":
-        old = old.withColumns({"conf_sum": F.col("confidence") / F.col("copies_"), "conf_n": F.lit(1) / F.col("copies_")})
-    else:
-        old = old.withColumns({"conf_sum": F.col("conf_sum") / F.col("copies_"), "conf_n": F.col("conf_n") / F.col("copies_")})
-    everything = old.drop("copies_").unionByName(claims, allowMissingColumns=True)
-    edges, nodes = build_edges(everything), build_nodes(everything)
-    lone = prior_nodes.join(nodes.select("id"), "id", "left_anti")
-    return nodes.unionByName(lone, allowMissingColumns=True), edges
+    edges = merged_edges(parts_of_edges(prior_edges, mode).unionByName(edge_parts(claims)))
+    cols = ["id", "type", "first_claim", "pmids", "edge_count", "provenance_types"]
+    old = prior_nodes if "first_claim" in prior_nodes.columns else prior_nodes.withColumn("first_claim", F.lit(""))  # a stored type stays
+    return merged_nodes(old.select(cols).unionByName(build_nodes(claims).select(cols))), edges
 
 
 def contract_filter(graphs: DataFrame, catalog: DataFrame, contract: str) -> DataFrame:

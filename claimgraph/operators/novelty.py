@@ -6,32 +6,78 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .analytics import numbered
+from .corpus import search_corpus
+from .iterate import staged
 
 
-def candidate_manifest(contradictions: DataFrame, gaps: DataFrame, curated: DataFrame | None = None) -> DataFrame:
-    """H1: per run, contradictions C001.. and gaps G00n, numbered on, with statements, then curated candidates with their own ids.
+def candidate_manifest(contradictions: DataFrame, gaps: DataFrame, runs: DataFrame, curated: DataFrame | None = None) -> DataFrame:
+    """H1: per run, contradictions C001.. by pair and gaps G00n, numbered on, then curated candidates with their own ids; a run without any has one fallback.
 
-    Inputs: (run_id, subject); curated: (run_id, candidate_id, subject, statement). Numbers come from a window per run.
+    Inputs: contradictions (run_id, a, b; a null end: a contradiction without a pair), gaps (run_id, architecture, missing_edge), runs (run_id, disease),
+    curated (run_id, candidate_id, statement). A gap without a missing edge takes a number and gives no row. Numbers come from value ranges over all
+    executors, so a run may have any number of candidates.
     """
-    c = contradictions.select("run_id", F.lit(0).alias("part"), "subject", F.concat(F.lit("Conflicting evidence for "), "subject").alias("statement"))
-    g = gaps.select("run_id", F.lit(1).alias("part"), "subject", F.concat(F.lit("Untested link: "), "subject").alias("statement"))
-    n = F.row_number().over(Window.partitionBy("run_id").orderBy("part", "subject"))
-    rows = c.union(g).withColumn("n", n)
-    out = rows.select("run_id", F.concat(F.when(F.col("part") == 0, "C").otherwise("G"), T.padded("n")).alias("candidate_id"), "subject", "statement")
-    return out.unionByName(curated.select("run_id", "candidate_id", "subject", "statement")) if curated is not None else out
-
-
-def with_fallback(candidates: DataFrame, runs: DataFrame) -> DataFrame:
-    """H1: one explicit row for runs without a candidate."""
-    bare = runs.select("run_id").distinct().join(candidates.select("run_id"), "run_id", "left_anti")
-    return candidates.unionByName(bare.select("run_id", F.lit("G000").alias("candidate_id"), F.lit(None).cast("string").alias("subject"), F.lit("No contradiction or gap was found").alias("statement")))
-
-
-def supported_patterns(edges: DataFrame, patterns: DataFrame) -> DataFrame:
-    """H2: candidate patterns (pattern_id, source_term, target_term) matched to edges by normalised substrings of both ends."""
-    p = patterns.select("pattern_id", T.compact_label("source_term").alias("s"), T.compact_label("target_term").alias("t"))
-    hits = edges.join(p, F.contains(T.compact_label("source"), F.col("s")) & F.contains(T.compact_label("target"), F.col("t")))
-    return hits.groupBy("pattern_id").agg(F.count_distinct("source", "target", "relation").alias("edges"), F.size(F.array_distinct(F.flatten(F.collect_list("pmids")))).alias("pmid_count"))
+    null = F.lit(None).cast("string")
+    c = contradictions.select("run_id", F.lit(0).alias("part"), "a", "b", null.alias("architecture"), null.alias("missing_edge"))
+    g = gaps.select("run_id", F.lit(1).alias("part"), null.alias("a"), null.alias("b"), "architecture", "missing_edge")
+    rows = numbered(staged(c.union(g), "candidates"), ["run_id", "part", "a", "b", "architecture", "missing_edge"], "at")
+    rows = staged(rows, "candidates")
+    before = rows.groupBy("run_id").agg(F.min("at").alias("before"))
+    rows = rows.join(before, "run_id").join(runs.select("run_id", "disease").dropDuplicates(["run_id"]), "run_id", "left").withColumn("n", F.col("at") - F.col("before") + 1)
+    disease = F.coalesce("disease", F.lit(""))
+    open_ = F.concat(F.lit("Which condition determines whether "), "a", F.lit(" -> "), "b", F.lit(" or the reverse dominates?"))
+    clash = F.coalesce(open_, F.concat(F.lit("Resolve contradiction "), F.col("n").cast("string"), F.lit(" in "), disease))
+    gap = F.concat("missing_edge", F.lit(" in "), disease, F.lit(" ("), F.coalesce("architecture", F.lit("global")), F.lit(")"))
+    first = F.col("part") == 0
+    rows = rows.where("part = 0 or coalesce(missing_edge, '') <> ''")
+    out = rows.select("run_id", F.concat(F.when(first, "C").otherwise("G"), T.padded("n")).alias("candidate_id"), F.when(first, clash).otherwise(gap).alias("statement"), F.when(first, "contradiction").otherwise("gap").alias("kind"))
+    if curated is not None:
+        out = out.unionByName(curated.select("run_id", "candidate_id", "statement", F.lit("curated").alias("kind")))
+    bare = runs.select("run_id", "disease").dropDuplicates(["run_id"]).join(out.select("run_id"), "run_id", "left_anti")
+    fallback = F.concat(F.lit("Mechanistic gap candidates in "), F.coalesce("disease", F.lit("")))
+    return out.unionByName(bare.select("run_id", F.lit("G001").alias("candidate_id"), fallback.alias("statement"), F.lit("fallback").alias("kind")))
+
+
+def normalized(c: Column | str) -> Column:
+    """Lower case, runs of other characters than a-z and 0-9 as one blank, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(T.col(c).cast("string"), F.lit(""))), "[^a-z0-9]+", " "))
+
+
+def labels_with(labels: DataFrame, terms: DataFrame, size: int = 3) -> DataFrame:
+    """(term, label) where the label has the term in normalised form: terms (term) meet labels (label) on their rarest run of ``size`` characters, then
+    the whole term is looked for. Shorter terms meet on themselves; a term that normalises to nothing is in every label.
+
+    Only labels are cut into runs, each run once; no term is compared with labels that lack its rarest run.
+    """
+    l = labels.select("label").distinct().withColumn("l_", normalized("label"))
+    t = terms.select("term").distinct().withColumn("t_", normalized("term"))
+    runs = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    every = F.concat(F.array(F.lit("")), *(runs(F.col("l_"), n) for n in range(1, size + 1)))
+    grams = l.select("label", "l_", F.explode(F.array_distinct(every)).alias("run"))
+    own = F.when(F.length("t_") >= size, F.array_distinct(runs(F.col("t_"), size))).otherwise(F.array("t_"))
+    asked = t.select("term", "t_", F.explode(own).alias("run"))
+    often = grams.join(asked.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count("*").alias("n"))
+    anchors = asked.join(often, "run", "left").groupBy("term", "t_").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("x"))
+    return anchors.select("term", "t_", F.col("x.run").alias("run")).join(grams, "run").where(F.contains("l_", F.col("t_"))).select("term", "label")
+
+
+def supported_patterns(edges: DataFrame, patterns: DataFrame, sample: int = 3) -> DataFrame:
+    """H2: candidate patterns (pattern_id, source_term, target_term; a row per hop) with the edges that both terms of a hop occur in: distinct
+    (source, target, relation), their count, summaries (with the first pmids) and distinct papers; zeros for a pattern without any.
+    """
+    sides = {}
+    for e in ("source", "target"):
+        sides[e] = labels_with(edges.select(F.col(e).alias("label")), patterns.select(F.col(f"{e}_term").alias("term"))).select(F.col("term").alias(f"{e}_term"), F.col("label").alias(e))
+    hops = patterns.select("pattern_id", "source_term", "target_term").distinct()
+    hits = hops.join(sides["source"], "source_term").join(edges, "source").join(sides["target"], ["target_term", "target"])
+    one = hits.groupBy("pattern_id", "source", "target", "relation").agg(F.max("pmid_count").cast("long").alias("pmid_count"), F.first("pmids").alias("pmids"))
+    summary = F.struct("source", "target", "relation", "pmid_count", F.slice("pmids", 1, sample).alias("sample_pmids"))
+    per = one.groupBy("pattern_id").agg(F.count("*").alias("edges"), F.array_sort(F.collect_list(summary)).alias("supporting_edges"))
+    papers = one.select("pattern_id", F.explode("pmids").alias("pmid")).distinct().groupBy("pattern_id").agg(F.count("*").alias("pmid_count"))
+    out = hops.select("pattern_id").distinct().join(per, "pattern_id", "left").join(papers, "pattern_id", "left")
+    none = F.array().cast("array<struct<source:string,target:string,relation:string,pmid_count:bigint,sample_pmids:array<string>>>")
+    return out.select("pattern_id", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("pmid_count", F.lit(0)).alias("pmid_count"), F.coalesce("supporting_edges", none).alias("supporting_edges"))
 
 
 def eligible(audits: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -51,21 +97,45 @@ def restated(hops: DataFrame, edges: DataFrame) -> DataFrame:
     return total.select("candidate_id").join(out, "candidate_id", "left").select("candidate_id", F.coalesce(verdict, F.lit("insufficient")).alias("verdict"), F.coalesce("papers", F.lit(0)).alias("papers"))
 
 
-def novelty_class(candidates: DataFrame) -> DataFrame:
-    """H5: class from canonical match, corpus hits (array, one per searched corpus), conflict and evidenced hops.
+def evidenced_hops(hops: DataFrame, edges: DataFrame) -> DataFrame:
+    """(candidate_id, hops, evidenced): distinct hops (candidate_id, source, target) of each candidate, and how many have an edge."""
+    own = hops.select("candidate_id", "source", "target").distinct()
+    have = edges.select("source", "target").distinct().withColumn("e_", F.lit(1))
+    return own.join(have, ["source", "target"], "left").groupBy("candidate_id").agg(F.count("*").alias("hops"), F.count("e_").alias("evidenced"))
+
+
+def chain_hits(candidates: DataFrame, corpora: list[DataFrame]) -> DataFrame:
+    """(candidate_id, hits): in how many texts of each corpus (pmid, title, abstract, year) all of a candidate's groups of words (any-of each) occur.
+
+    The search of C15, one for each corpus, whole chains at once.
+    """
+    out = candidates.select("candidate_id").distinct()
+    asked = candidates.select(F.col("candidate_id").alias("strategy"), "groups", F.lit(-9999).alias("year_from"), F.lit(9999).alias("year_to"))
+    for k, pubs in enumerate(corpora):
+        totals, _ = search_corpus(pubs.withColumn("year", F.coalesce("year", F.lit(0))), asked)
+        out = out.join(totals.select(F.col("strategy").alias("candidate_id"), F.col("total").alias(f"h{k}")), "candidate_id", "left")
+    return out.select("candidate_id", F.array(*(F.coalesce(f"h{k}", F.lit(0)) for k in range(len(corpora)))).cast("array<long>").alias("hits"))
+
+
+def novelty_class(candidates: DataFrame, many: int = 100, some: int = 50) -> DataFrame:
+    """H5: class from canonical match, hits of the whole chain (array, one per searched corpus), conflict and hops (hops, evidenced).
 
-    A canonical match or over 100 hits is A, over 50 B, conflicting C, no hit in two corpora or more E, some but
-    not all hops D; without a logged search the class is invalid.
+    In this order: no logged search is invalid; a canonical match or more than ``many`` hits A, more than ``some`` B, conflicting C; no hit in two
+    corpora or more E; some hops evidenced, but not all, D. What is left has a hit (B: the chain is published) or was looked for in one corpus
+    alone (invalid).
     """
     most = F.array_max("hits")
+    partly = (F.col("evidenced") > 0) & (F.col("evidenced") < F.col("hops"))
     return candidates.withColumn(
         "class",
         F.when(F.coalesce(F.size("hits"), F.lit(0)) < 1, "invalid")
-        .when(F.col("canonical") | (most > 100), "A")
-        .when(most > 50, "B")
+        .when(F.col("canonical") | (most > many), "A")
+        .when(most > some, "B")
         .when(F.col("conflicting"), "C")
         .when((F.size("hits") >= 2) & (most == 0), "E")
-        .otherwise("D"),
+        .when(partly, "D")
+        .when(most > 0, "B")
+        .otherwise("invalid"),
     )
 
 

@@ -68,7 +68,8 @@ def connections(edges: DataFrame, node: str) -> DataFrame:
 
 def narratable_edges(edges: DataFrame) -> DataFrame:
     """V7: edges backed by papers with at least one sentence."""
-    return edges.where((F.col("provenance_type") == "pmid") & (F.col("pmid_count") >= 1) & F.exists("source_refs", lambda r: F.coalesce(r["source_sentence"], F.lit("")) != ""))
+    told = F.col("n_sentences") > 0 if "n_sentences" in edges.columns else F.exists("source_refs", lambda r: F.coalesce(r["source_sentence"], F.lit("")) != "")
+    return edges.where((F.col("provenance_type") == "pmid") & (F.col("pmid_count") >= 1) & told)
 
 
 def focus_hub(nodes: DataFrame, edges: DataFrame, noise: Column | None = None, graph_key: list[str] = [], ranks: dict[str, int] = TYPE_RANK) -> DataFrame:
@@ -96,8 +97,8 @@ def hub_summary(edges: DataFrame, hubs: DataFrame, up: int = 3, down: int = 4) -
     into = edges.join(hubs.select(F.col("id").alias("target")), "target").select(F.col("target").alias("hub"), F.lit("in").alias("direction"), F.col("source").alias("other"), "relation", "pmid_count", "confidence")
     out = edges.join(hubs.select(F.col("id").alias("source")), "source").select(F.col("source").alias("hub"), F.lit("out").alias("direction"), F.col("target").alias("other"), "relation", "pmid_count", "confidence")
     by = Window.partitionBy("hub", "direction").orderBy(F.desc("pmid_count"), F.desc("confidence"), "other", "relation")
-    ranked = into.union(out).withColumn("rank", F.row_number().over(by))
-    return ranked.where(F.col("rank") <= F.when(F.col("direction") == "in", up).otherwise(down))
+    first = lambda side, k: side.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return first(into, up).union(first(out, down))  # a constant limit each: a hub's edges are cut down before they meet
 
 
 def export_view(nodes: DataFrame, edges: DataFrame, condition: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -431,7 +431,10 @@ def extraction_stats(spark, d):
 
 
 VERBS = [("and|is|und|et|y", "activates"), ("to|zu|en", "suppresses"), *vocab.CAUSAL_VERBS]
-ENDS = [f"select pmid, '{relation}' relation, unnest(regexp_extract_all(x, '(\\w[\\w\\s\\-\\+/]+?)\\s+(?:{forms})\\s+(\\w[\\w\\s\\-\\+/]+)', 1)) s, unnest(regexp_extract_all(x, '(\\w[\\w\\s\\-\\+/]+?)\\s+(?:{forms})\\s+(\\w[\\w\\s\\-\\+/]+)', 2)) t from low" for forms, relation in VERBS]
+#: Ends of a causal claim are letters and digits of any script, blanks, and three marks.
+END = r"[\p{L}\p{N}_][\p{L}\p{N}_\s\x0b\x1c-\x1f\x{85}\p{Z}\-+/]"
+GAP = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
+ENDS = [f"select pmid, '{relation}' relation, unnest(regexp_extract_all(x, '({END}+?){GAP}(?:{forms}){GAP}({END}+)', 1)) s, unnest(regexp_extract_all(x, '({END}+?){GAP}(?:{forms}){GAP}({END}+)', 2)) t from low" for forms, relation in VERBS]
 SHORT = "regexp_replace(trim(regexp_replace({}, '\\s+', ' ', 'g')), '\\s+', ' ', 'g')"
 
 

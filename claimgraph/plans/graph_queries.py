@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import artifact_reason
 from ..functions.text import sorted_join
 from ..operators import analytics as A
+from ..operators import evidence as E
 from ..operators import graph as G
 from ..operators import views as VW
 from . import testviews as V
@@ -34,6 +35,43 @@ def nodes_of(spark: SparkSession, d: str) -> DataFrame:
     return G.build_nodes(V.claims(spark, d))
 
 
+def facts_of(spark: SparkSession, d: str) -> DataFrame:
+    return E.edge_facts(V.claims(spark, d))
+
+
+def counts_of(spark: SparkSession, d: str) -> DataFrame:
+    """Edges in counts, for what needs no list of papers."""
+    return E.counted_edges(facts_of(spark, d))
+
+
+def node_counts_of(spark: SparkSession, d: str) -> DataFrame:
+    return E.counted_nodes(facts_of(spark, d))
+
+
+@query(
+    "counted_edges",
+    f"""with {V.EDGES}, y as (select source, target, relation, min("year") first_year, max("year") last_year from claims group by all)
+  select 'claim_' || substr(sha256(source || '|' || target || '|' || relation || '||' || '{{"cell_types":[],"disease":[],"drugs":[],"tissues":[]}}' || '|pmid'), 1, 16) claim_id, source, target, relation, pmid_count, n_refs, n_refs n_sentences,
+  first_year, last_year, conf_sum, conf_n, case when pmid_count >= 3 then 'strong' when pmid_count >= 2 then 'moderate' else 'weak' end evidence_strength, 'literature_direct' evidence_state from edges join y using (source, target, relation)""",
+)
+def counted_edges(spark, d):
+    e = counts_of(spark, d)
+    return e.select("claim_id", "source", "target", "relation", "pmid_count", "n_refs", "n_sentences", "first_year", "last_year", F.round("conf_sum", 2).alias("conf_sum"), "conf_n", "evidence_strength", "evidence_state")
+
+
+@query("counted_nodes", f"with {V.EDGES} select id, \"type\", pmid_count, edge_count, 'pmid' provenance_type from nodes")
+def counted_nodes(spark, d):
+    return node_counts_of(spark, d)
+
+
+@query(
+    "pair_support",
+    f"""with {V.CLAIMS} select source, target, count(distinct pmid) pmid_count, round(sum(confidence), 2) conf_sum, count(*) conf_n from claims group by source, target""",
+)
+def pair_support(spark, d):
+    return E.pair_support(facts_of(spark, d)).withColumn("conf_sum", F.round("conf_sum", 2))
+
+
 @query(
     "build_edges",
     f"""with {V.EDGES} select 'claim_' || substr(sha256(source || '|' || target || '|' || relation || '||' || '{{"cell_types":[],"disease":[],"drugs":[],"tissues":[]}}' || '|pmid'), 1, 16) claim_id,
@@ -148,10 +186,19 @@ def clean_noise(spark, d):
   from s x join s y on x.source = y.target and x.target = y.source and x.sign <> y.sign where x.source < x.target""",
 )
 def contradictions(spark, d):
+    c = E.counted_contradictions(facts_of(spark, d))
+    flip = (F.col("kind") == "same_direction") & F.col("side_a").startswith("b")
+    either = lambda x, y: F.when(flip, F.col(x)).otherwise(F.col(y))
+    return c.select(either("b", "a").alias("a"), either("a", "b").alias("b"), "kind", F.array_join("relations_a", ",").alias("relations_a"), F.array_join("relations_b", ",").alias("relations_b"), "n_a", "n_b")
+
+
+@query("contradiction_papers", ORACLE["contradictions"])
+def contradiction_papers(spark, d):
+    """With the papers of both sides, from edges that list them."""
     c = A.contradictions(edges_of(spark, d))
-    way = F.substring("side_a", 1, 1) == "b"
-    flip = (F.col("kind") == "same_direction") & way
-    return c.select(F.when(flip, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(flip, F.col("a")).otherwise(F.col("b")).alias("b"), "kind", F.array_join("relations_a", ",").alias("relations_a"), F.array_join("relations_b", ",").alias("relations_b"), F.size("pmids_a").cast("long").alias("n_a"), F.size("pmids_b").cast("long").alias("n_b"))
+    flip = (F.col("kind") == "same_direction") & F.col("side_a").startswith("b")
+    either = lambda x, y: F.when(flip, F.col(x)).otherwise(F.col(y))
+    return c.select(either("b", "a").alias("a"), either("a", "b").alias("b"), "kind", F.array_join("relations_a", ",").alias("relations_a"), F.array_join("relations_b", ",").alias("relations_b"), F.size("pmids_a").cast("long").alias("n_a"), F.size("pmids_b").cast("long").alias("n_b"))
 
 
 @query(
@@ -162,8 +209,8 @@ def contradictions(spark, d):
   (select count(*) from s x join s y on x.source = y.target and x.target = y.source and x.sign <> y.sign where x.source < x.target) contradictions""",
 )
 def contradiction_coverage(spark, d):
-    e = edges_of(spark, d)
-    return A.contradiction_coverage(e, A.contradictions(e))
+    f = facts_of(spark, d)
+    return A.contradiction_coverage(E.counted_edges(f), E.counted_contradictions(f))
 
 
 MOTIF_SQL = """per as (select h.name, h.pos, h.source, h.target, flatten(list(e.pmids)) pmids, sum(e.confidence) conf, count(e.source) n, len(list_distinct(flatten(list(e.pmids)))) support
@@ -174,11 +221,13 @@ MOTIF_SQL = """per as (select h.name, h.pos, h.source, h.target, flatten(list(e.
     "motif_completeness",
     f"""with {V.EDGES}, {V.MOTIFS}, {MOTIF_SQL} select name, category, count_if(n > 0) edges_present, count(*) edges_total, round(count_if(n > 0) / count(*), 4) completeness,
   len(list_distinct(flatten(list(pmids)))) pmid_count, min(coalesce(support, 0)) min_support, max(coalesce(support, 0)) max_support
-  from per join motifs using (name) group by name, category""",
+  , (select count(*) from (select unnest(path) id) where id in (select id from nodes)) nodes_present, len(path) nodes_total
+  from per join motifs using (name) group by name, category, path""",
 )
 def motif_completeness(spark, d):
-    m = A.motif_completeness(edges_of(spark, d), V.motifs(spark))
-    return m.select("name", "category", "edges_present", "edges_total", "completeness", F.col("pmid_count").cast("long").alias("pmid_count"), F.col("min_support").cast("long").alias("min_support"), F.col("max_support").cast("long").alias("max_support"))
+    m = A.motif_completeness(edges_of(spark, d), V.motifs(spark), nodes=nodes_of(spark, d))
+    m = m.withColumns({"nodes_present": F.col("nodes_present").cast("long"), "nodes_total": F.col("nodes_total").cast("long")})
+    return m.select("nodes_present", "nodes_total", "name", "category", "edges_present", "edges_total", "completeness", F.col("pmid_count").cast("long").alias("pmid_count"), F.col("min_support").cast("long").alias("min_support"), F.col("max_support").cast("long").alias("max_support"))
 
 
 @query(
@@ -203,7 +252,7 @@ def cross_graph_motifs(spark, d):
   from hops h left join p r on r.source = h.target and r.target = h.source where (h.source, h.target) not in (select (source, target) from p)""",
 )
 def motif_gaps(spark, d):
-    return A.motif_gaps(nodes_of(spark, d), edges_of(spark, d), V.motifs(spark))
+    return A.motif_gaps(node_counts_of(spark, d), counts_of(spark, d), V.motifs(spark))
 
 
 @query(
@@ -215,8 +264,7 @@ def motif_gaps(spark, d):
   ((x.source = y.source and x.target = y.target) or (x.source = y.target and x.target = y.source))""",
 )
 def support_gaps(spark, d):
-    e = edges_of(spark, d)
-    return A.support_gaps(G.fold_canonical(nodes_of(spark, d), canonical(spark)), A.contradictions(e))
+    return A.support_gaps(G.fold_canonical(nodes_of(spark, d), canonical(spark)), E.counted_contradictions(facts_of(spark, d)))
 
 
 @query(
@@ -262,7 +310,7 @@ def graph_diff(spark, d):
   from nodes n left join b using (id) group by n.id""",
 )
 def degree(spark, d):
-    return A.degree(nodes_of(spark, d), edges_of(spark, d))
+    return A.degree(node_counts_of(spark, d), counts_of(spark, d))
 
 
 @query(
@@ -271,7 +319,7 @@ def degree(spark, d):
   select id, round(n / (select max(n) from g), 4) degree_ratio from g""",
 )
 def degree_ratio(spark, d):
-    return A.degree_ratio(nodes_of(spark, d), edges_of(spark, d))
+    return A.degree_ratio(node_counts_of(spark, d), counts_of(spark, d))
 
 
 def _pagerank_sql(rounds: int, edges: str = V.PAIRS, places: int = 8) -> str:
@@ -349,23 +397,42 @@ def simple_cycles(spark, d):
     return A.simple_cycles(V.supported_edges(spark, d), CYCLE_LENGTH).select(F.array_join("path", ">").alias("path"), "length")
 
 
+@query(
+    "simple_cycles_long",
+    f"""with recursive {V.BACKBONE}, walk as (select source s, [source, target] path from pairs where source < target
+  union all select s, list_append(path, target) from walk join pairs on source = path[len(path)] where len(path) < 6 and target > s and not list_contains(path, target))
+  select array_to_string(path, '>') path, cast(len(path) as integer) length from walk join pairs on source = path[len(path)] and target = s""",
+)
+def simple_cycles_long(spark, d):
+    """Up to six nodes, over each node's three strongest successors."""
+    return A.simple_cycles(V.backbone(spark, d)).select(F.array_join("path", ">").alias("path"), "length")
+
+
+#: A loop has all members of a set; the first rule that fits counts.
+LOOP_SETS = [("hub loop", [["N1", "N2"], ["N3"]]), ("far loop", [["N4", "N5"]])]
+CATEGORY = "case when list_has_all(path, ['N1','N2']) or list_contains(path, 'N3') then 'hub loop' when list_has_all(path, ['N4','N5']) then 'far loop' else 'positive_feedback' end"
+RANKED = LOOPS_SQL + f""", numbered as (select *, 'L' || case when k < 1000 then lpad(cast(k as varchar), 3, '0') else cast(k as varchar) end loop_id, {CATEGORY} category from (select *, row_number() over (order by path) k from ev))"""
+
+
 def loops_of(spark, d):
     e = V.supported_edges(spark, d)
-    return A.build_loops(e, A.simple_cycles(e, CYCLE_LENGTH), [("hub loop", ["N1"])])
+    return A.build_loops(e, A.simple_cycles(e, CYCLE_LENGTH), LOOP_SETS)
 
 
-@query("loops", LOOPS_SQL + " select array_to_string(path, '>') path, pmid_count, 1.0::double completeness, case when list_contains(path, 'N1') then 'hub loop' else 'feedback loop' end category from ev")
+@query("loops", RANKED + " select array_to_string(path, '>') path, pmid_count, 1.0::double completeness, category, loop_id, true complete, len(path) hops from numbered")
 def loops(spark, d):
-    return loops_of(spark, d).select(F.array_join("path", ">").alias("path"), F.col("pmid_count").cast("long").alias("pmid_count"), F.col("completeness").cast("double").alias("completeness"), "category")
+    out = loops_of(spark, d).select(F.array_join("path", ">").alias("path"), F.col("pmid_count").cast("long").alias("pmid_count"), F.col("completeness").cast("double").alias("completeness"), "category", "loop_id", "complete", "hop_pmids")
+    return out.withColumn("hops", F.size("hop_pmids").cast("long")).drop("hop_pmids")
 
 
 @query(
     "rank_architectures",
-    LOOPS_SQL + """, n as (select *, row_number() over (order by pmid_count desc, len(path), array_to_string(path, chr(1))) k from ev), t as (select *, 'L' || case when k < 1000 then lpad(cast(k as varchar), 3, '0') else cast(k as varchar) end loop_id from n)
-  select array_to_string(path, '>') path, loop_id, cast(pmid_count as double) score, row_number() over (order by pmid_count desc, loop_id) rank from t order by pmid_count desc, loop_id limit 25""",
+    RANKED + """ select row_number() over (order by pmid_count desc, k) rank, category || ':' || array_to_string(path, ' -> ') "name", 1.0::double completeness, pmid_count, 0.0::double avg_confidence, cast(pmid_count as double) composite_score, loop_id
+  from numbered order by pmid_count desc, k limit 25""",
 )
 def rank_architectures(spark, d):
-    return A.rank_architectures(loops_of(spark, d)).select(F.array_join("path", ">").alias("path"), "loop_id", F.col("score").cast("double").alias("score"), F.col("rank").cast("long").alias("rank"))
+    top = A.rank_architectures(loops_of(spark, d)).drop("path")
+    return top.withColumns({"rank": F.col("rank").cast("long"), "pmid_count": F.col("pmid_count").cast("long"), "completeness": F.col("completeness").cast("double"), "composite_score": F.col("composite_score").cast("double"), "avg_confidence": F.col("avg_confidence").cast("double")})
 
 
 @query("betweenness")
@@ -378,13 +445,13 @@ def betweenness(spark, d):
     f"""{LOOPS_SQL}, {V.EDGES.removeprefix(V.CLAIMS)[2:]}, s as (select distinct source, target, {V.SIGN} sign from edges where source <> target)
   select (select count(*) from nodes) nodes, (select count(*) from nodes where edge_count = 1) isolated_nodes, 0 canonical_nodes, (select count(*) from edges) edges,
   (select count(*) from edges where pmid_count < 2) weak_edges, (select count(*) from edges where pmid_count = 1) single_paper_edges, (select count(*) from ev) loops,
-  (select max_by(array_to_string(path, '>'), struct_pack(n := pmid_count, p := array_to_string(path, '>'))) from ev) top_loop,
+  (select array_to_string(path, '>') from ev order by pmid_count desc, path limit 1) top_loop,
   (select count(*) from s x join s y on x.source = y.source and x.target = y.target and x.sign < y.sign) +
   (select count(*) from s x join s y on x.source = y.target and x.target = y.source and x.sign <> y.sign where x.source < x.target) contradictions""",
 )
 def graph_health(spark, d):
-    e = edges_of(spark, d)
-    return A.graph_health(nodes_of(spark, d), e, loops_of(spark, d), A.contradictions(e))
+    f = facts_of(spark, d)
+    return A.graph_health(E.counted_nodes(f), E.counted_edges(f), loops_of(spark, d), E.counted_contradictions(f))
 
 
 @query(
@@ -393,7 +460,7 @@ def graph_health(spark, d):
   select id, count(*) degree, (select count(*) from t where source in ('N1','N2','N3') and target in ('N1','N2','N3')) core_edges from b group by id order by degree desc, id limit 20""",
 )
 def core_degree(spark, d):
-    return A.core_degree(edges_of(spark, d), spark.createDataFrame([("N1",), ("N2",), ("N3",)], "id string"))
+    return A.core_degree(counts_of(spark, d), spark.createDataFrame([("N1",), ("N2",), ("N3",)], "id string"))
 
 
 @query(
@@ -412,7 +479,7 @@ def transfer_notes(spark, d):
 
 @query("narratable_edges", f"with {V.EDGES} select source, target, relation, n_refs from edges where n_refs > 0")
 def narratable_edges(spark, d):
-    return VW.narratable_edges(edges_of(spark, d)).select("source", "target", "relation", F.size("source_refs").cast("long").alias("n_refs"))
+    return VW.narratable_edges(counts_of(spark, d)).select("source", "target", "relation", "n_refs")
 
 
 @query("contract_filter", "select n_name, n_regionkey from nation where n_regionkey % 2 = 1")

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sorted_join
 from ..operators import analytics as A
+from ..operators import evidence as E
 from ..operators import graph as G
 from ..operators import novelty as H
 from ..operators import runs as R
 from ..operators import views as VW
 from ..operators.iterate import shared_folder, staged
-from ..sources import io
+from ..sources import io, store
 from ..streaming import events as SE
 from . import testviews as V
-from .graph_queries import edges_of, nodes_of
+from .graph_queries import counts_of, edges_of, facts_of, node_counts_of, nodes_of
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -67,7 +68,7 @@ def latest_graph(spark, d):
   (select count(*) from i) exported_nodes, (select count(*) from e) exported_edges, 'pmid_count >= 3' "filter" """,
 )
 def export_view(spark, d):
-    return VW.export_view(nodes_of(spark, d), edges_of(spark, d), "pmid_count >= 3")[2]
+    return VW.export_view(node_counts_of(spark, d), counts_of(spark, d), "pmid_count >= 3")[2]
 
 
 @query(
@@ -76,12 +77,12 @@ def export_view(spark, d):
   select (select count(*) from n) nodes, (select count(*) from e) edges, (select count(*) from nodes) - (select count(*) from n) hidden_nodes, (select count(*) from edges) - (select count(*) from e) hidden_edges""",
 )
 def filter_view(spark, d):
-    return VW.filter_view(nodes_of(spark, d), edges_of(spark, d), (F.col("edge_count") > 5) & ~F.col("id").endswith("7"))[2]
+    return VW.filter_view(node_counts_of(spark, d), counts_of(spark, d), (F.col("edge_count") > 5) & ~F.col("id").endswith("7"))[2]
 
 
 @query("min_support_view", f"with {V.EDGES} select source, target, relation, pmid_count from edges where pmid_count >= 2")
 def min_support_view(spark, d):
-    return small(VW.min_support_view(nodes_of(spark, d), edges_of(spark, d))[1])
+    return small(VW.min_support_view(node_counts_of(spark, d), counts_of(spark, d))[1])
 
 
 @query(
@@ -109,12 +110,12 @@ def node_set_view_all(spark, d):
 )
 def module_view(spark, d):
     m = spark.createDataFrame([("a", "N1"), ("a", "N2"), ("b", "N3"), ("b", "N4")], "module string, id string")
-    return VW.module_view(nodes_of(spark, d), edges_of(spark, d), m).select("source", "target", "relation", "source_module", "target_module")
+    return VW.module_view(node_counts_of(spark, d), counts_of(spark, d), m).select("source", "target", "relation", "source_module", "target_module")
 
 
 @query("find_nodes", f"with {V.EDGES} select id from nodes where contains(lower(id), 'n1')")
 def find_nodes(spark, d):
-    return VW.find_nodes(nodes_of(spark, d), "n1").select("id")
+    return VW.find_nodes(node_counts_of(spark, d), "n1").select("id")
 
 
 @query(
@@ -123,7 +124,7 @@ def find_nodes(spark, d):
   union all select 'in', source, relation, pmid_count from edges where target = 'N1' and source <> 'N1'""",
 )
 def connections(spark, d):
-    return VW.connections(edges_of(spark, d), "N1").withColumn("pmid_count", F.col("pmid_count").cast("long"))
+    return VW.connections(counts_of(spark, d), "N1").withColumn("pmid_count", F.col("pmid_count").cast("long"))
 
 
 @query(
@@ -134,7 +135,7 @@ def connections(spark, d):
   select id, cast(score as bigint) score, incident, cast(papers as bigint) papers from s order by score desc, pmid_count desc, length(id), id limit 1""",
 )
 def focus_hub(spark, d):
-    return VW.focus_hub(nodes_of(spark, d), edges_of(spark, d))
+    return VW.focus_hub(node_counts_of(spark, d), counts_of(spark, d))
 
 
 @query(
@@ -144,7 +145,7 @@ def focus_hub(spark, d):
   r as (select *, row_number() over (partition by hub, direction order by pmid_count desc, c desc, other, relation) rank from e) select hub, direction, other, relation, pmid_count, rank from r where rank <= case direction when 'in' then 3 else 4 end""",
 )
 def hub_summary(spark, d):
-    e = edges_of(spark, d).withColumn("confidence", F.round(F.col("conf_sum") * 100).cast("long") / F.col("conf_n"))  # whole hundredths, so that both engines agree
+    e = counts_of(spark, d).withColumn("confidence", F.round(F.col("conf_sum") * 100).cast("long") / F.col("conf_n"))  # whole hundredths, so that both engines agree
     hubs = spark.createDataFrame([("N1",), ("N2",)], "id string")
     return VW.hub_summary(e, hubs).select("hub", "direction", "other", "relation", F.col("pmid_count").cast("long").alias("pmid_count"), "rank")
 
@@ -154,31 +155,40 @@ CAND = f"""{V.EDGES}, s as (select distinct source, target, {V.SIGN} sign from e
 
 
 def contradiction_rows(spark, d):
-    c = A.contradictions(edges_of(spark, d)).select(F.concat_ws("|", "a", "b").alias("subject")).distinct()
-    return c.select(F.lit("r1").alias("run_id"), "subject")
+    c = E.counted_contradictions(facts_of(spark, d)).select("a", "b").distinct()
+    return c.select(F.lit("r1").alias("run_id"), "a", "b")
 
 
 @query(
     "candidates",
-    f"""with {CAND}, {V.MOTIFS}, gap as (select distinct h.source || ' → ' || h.target subject from hops h where (h.source, h.target) not in (select (source, target) from edges)),
-  u as (select 0 part, subject, 'Conflicting evidence for ' || subject statement from con union all select 1, subject, 'Untested link: ' || subject from gap), n as (select *, row_number() over (order by part, subject) n from u)
-  select 'r1' run_id, case part when 0 then 'C' else 'G' end || case when n < 1000 then lpad(cast(n as varchar), 3, '0') else cast(n as varchar) end candidate_id, subject, statement from n
-  union all select 'r2', 'G000', null, 'No contradiction or gap was found'""",
+    f"""with {CAND}, {V.MOTIFS}, gap as (select distinct h.name, h.source || ' → ' || h.target missing from hops h where (h.source, h.target) not in (select (source, target) from edges)),
+  u as (select 0 part, split_part(subject, '|', 1) a, split_part(subject, '|', 2) b, null "name", null missing from con union all select 0, null, null, null, null union all select 1, null, null, name, missing from gap union all select 1, null, null, null, 'X → Y' union all select 1, null, null, 'm0', null),
+  n as (select *, row_number() over (order by part, a nulls first, b nulls first, "name" nulls first, missing nulls first) n from u), k as (select *, case when n < 1000 then lpad(cast(n as varchar), 3, '0') else cast(n as varchar) end k from n)
+  select 'r1' run_id, 'C' || k candidate_id, coalesce('Which condition determines whether ' || a || ' -> ' || b || ' or the reverse dominates?', 'Resolve contradiction ' || n || ' in asthma') statement, 'contradiction' kind from k where part = 0
+  union all select 'r1', 'G' || k, missing || ' in asthma (' || coalesce("name", 'global') || ')', 'gap' from k where part = 1 and missing is not null
+  union all select 'r1', 'H001', 'stated', 'curated' union all select 'r2', 'G001', 'Mechanistic gap candidates in fibrosis', 'fallback'""",
 )
 def candidates(spark, d):
-    gaps = A.motif_gaps(nodes_of(spark, d), edges_of(spark, d), V.motifs(spark)).select(F.lit("r1").alias("run_id"), F.col("missing_edge").alias("subject")).distinct()
-    runs = spark.createDataFrame([("r1",), ("r2",)], "run_id string")
-    return H.with_fallback(H.candidate_manifest(contradiction_rows(spark, d), gaps), runs)
+    """With a contradiction that has no pair, a gap of no motif and one without a missing edge."""
+    gaps = A.motif_gaps(node_counts_of(spark, d), counts_of(spark, d), V.motifs(spark)).select(F.lit("r1").alias("run_id"), "architecture", "missing_edge").distinct()
+    gaps = gaps.union(spark.createDataFrame([("r1", None, "X → Y"), ("r1", "m0", None)], gaps.schema))
+    clashes = contradiction_rows(spark, d)
+    clashes = clashes.union(spark.createDataFrame([("r1", None, None)], "run_id string, a string, b string"))
+    runs = spark.createDataFrame([("r1", "asthma"), ("r2", "fibrosis")], "run_id string, disease string")
+    curated = spark.createDataFrame([("r1", "H001", "stated")], "run_id string, candidate_id string, statement string")
+    return H.candidate_manifest(clashes, gaps, runs, curated)
 
 
 @query(
     "supported_patterns",
-    f"""with {V.EDGES}, p as (select * from (values ('p1','n1','n2'),('p2','n3','n')) t(pattern_id, s, t)) select pattern_id, count(*) edges, cast(len(list_distinct(flatten(list(pmids)))) as bigint) pmid_count
-  from edges join p on contains(lower(source), s) and contains(lower(target), t) group by pattern_id""",
+    f"""with {V.EDGES}, p as (select * from (values ('p1','n1','n2'),('p2','n3','n'),('p2','n1','n2'),('p3','n 2','n1'),('p4','1','n4')) t(pattern_id, s, t)), h as (select distinct pattern_id, source, target, relation, pmids from edges join p on contains(lower(source), s) and contains(lower(target), t)),
+  ids as (select distinct pattern_id from p) select pattern_id, count(source) edges, coalesce(len(list_distinct(flatten(list(pmids)))), 0) pmid_count, coalesce(min(array_to_string(pmids[1:3], '+')), '') least_sample from ids left join h using (pattern_id) group by pattern_id""",
 )
 def supported_patterns(spark, d):
-    p = spark.createDataFrame([("p1", "N1", "N-2"), ("p2", "N3", "N")], "pattern_id string, source_term string, target_term string")
-    return H.supported_patterns(edges_of(spark, d), p).withColumn("pmid_count", F.col("pmid_count").cast("long"))
+    """``N-2`` is "n 2", which no label has; terms shorter than a run of three characters meet too."""
+    p = spark.createDataFrame([("p1", "N1", "n2 "), ("p2", "N3", "N"), ("p2", "N1", "N2"), ("p3", "N-2", "N1"), ("p4", "1", "N4")], "pattern_id string, source_term string, target_term string")
+    least = F.coalesce(F.array_min(F.transform("supporting_edges", lambda e: F.array_join(e["sample_pmids"], "+"))), F.lit(""))
+    return H.supported_patterns(edges_of(spark, d), p).select("pattern_id", "edges", "pmid_count", least.alias("least_sample"))
 
 
 @query(
@@ -206,22 +216,27 @@ def restated(spark, d):
     return H.restated(hops, edges_of(spark, d))
 
 
+CHAINS = [("c1", [["the"], ["and"]], [("N1", "N2"), ("N2", "N3")]), ("c2", [["the", "der"], ["zzqx"]], [("N1", "N2")]), ("c3", [["la"], ["que"]], [("N1", "Q1"), ("N2", "N3")]), ("c4", [["und"]], [("N1", "N2")]), ("c5", [["of"]], [("Q1", "N2")]), ("c6", [["attion"], ["thing"]], [("N0", "N1"), ("N1", "Q2")])]
+
+
 @query(
     "novelty_class",
-    """with t as (select unnest(['thing','thble','zzqx','onthe','ander']) term), h as (select term, (select count(*) from documents where contains(lower(text), term)) a, (select count(*) from benchmark where contains(lower(text), term)) b from t)
-  select term, a hits_corpus, b hits_benchmark, case when term = 'ander' or greatest(a, b) > 100 then 'A' when greatest(a, b) > 50 then 'B' when term = 'onthe' then 'C' when greatest(a, b) = 0 then 'E' else 'D' end "class" from h""",
+    f"""with {V.PAIRS}, c as (select * from (values ('c1',['the'],['and']),('c2',['the','der'],['zzqx']),('c3',['la'],['que']),('c4',['und'],['und']),('c5',['of'],['of']),('c6',['attion'],['thing'])) t(id, x, y)),
+  dw as (select regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9-]+') w from documents), bw as (select regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9-]+') w from benchmark),
+  hop as (select * from (values ('c1','N1','N2'),('c1','N2','N3'),('c2','N1','N2'),('c3','N1','Q1'),('c3','N2','N3'),('c4','N1','N2'),('c5','Q1','N2'),('c6','N0','N1'),('c6','N1','Q2')) t(id, s, t)),
+  e as (select id, count(*) hops, count(source) evidenced from hop left join pairs on source = s and target = t group by id),
+  h as (select id, (select count(*) from dw where list_has_any(w, x) and list_has_any(w, y)) a, (select count(*) from bw where list_has_any(w, x) and list_has_any(w, y)) b from c)
+  select id candidate_id, a hits_corpus, b hits_benchmark, hops, evidenced, case when id = 'c5' or greatest(a, b) > 100 then 'A' when greatest(a, b) > 50 then 'B' when id = 'c4' then 'C' when greatest(a, b) = 0 then 'E'
+  when evidenced > 0 and evidenced < hops then 'D' else 'B' end "class" from h join e using (id)""",
 )
 def novelty_class(spark, d):
-    terms = ["thing", "thble", "zzqx", "onthe", "ander"]
-
-    def hits(name, out):
-        found = F.array_compact(F.array(*(F.when(F.contains(F.lower("text"), F.lit(t)), t) for t in terms)))
-        return V.table(spark, d, name).select(F.explode(found).alias("term")).groupBy("term").agg(F.count("*").alias(out))
-
-    t = spark.createDataFrame([(x,) for x in terms], "term string")
-    t = t.join(hits("documents", "a"), "term", "left").join(hits("benchmark", "b"), "term", "left").fillna(0)
-    t = t.withColumns({"hits": F.array("a", "b"), "canonical": F.col("term") == "ander", "conflicting": F.col("term") == "onthe"})
-    return H.novelty_class(t).select("term", F.col("a").alias("hits_corpus"), F.col("b").alias("hits_benchmark"), "class")
+    """Chains of words, searched in documents and benchmark, with their hops among all claims."""
+    asked = spark.createDataFrame([(i, g) for i, g, _ in CHAINS], "candidate_id string, groups array<array<string>>")
+    hops = spark.createDataFrame([(i, s, t) for i, _, h in CHAINS for s, t in h], "candidate_id string, source string, target string")
+    text = lambda name, key: V.table(spark, d, name).select(F.col(key).cast("string").alias("pmid"), F.lit("").alias("title"), F.col("text").alias("abstract"), F.lit(2020).alias("year"))
+    found = H.chain_hits(asked, [text("documents", "doc_id"), text("benchmark", "item_id")]).join(H.evidenced_hops(hops, V.claim_pairs(spark, d)), "candidate_id")
+    found = found.withColumns({"canonical": F.col("candidate_id") == "c5", "conflicting": F.col("candidate_id") == "c4"})
+    return H.novelty_class(found).select("candidate_id", F.col("hits")[0].alias("hits_corpus"), F.col("hits")[1].alias("hits_benchmark"), "hops", "evidenced", "class")
 
 
 @query(
@@ -232,7 +247,7 @@ def novelty_class(spark, d):
 )
 def hypothesis_contradictions(spark, d):
     h = spark.createDataFrame([("h1", ["N1->N2"]), ("h2", ["Q1 → Q2"])], "hypothesis_id string, edges array<string>")
-    return H.contradictions_for(h, A.contradictions(edges_of(spark, d)))
+    return H.contradictions_for(h, E.counted_contradictions(facts_of(spark, d)))
 
 
 @query(
@@ -418,6 +433,42 @@ def interventions(spark, d):
     return out.withColumn("decisions", F.array_join("decisions", ","))
 
 
+STORE_SQL = f"with {V.EDGES} select source, target, relation, pmid_count, conf_sum, conf_n, n_refs from edges"
+
+
+def _stored(spark, d, runs: list[str]) -> str:
+    """A store with the claims of each condition merged as a run of its own; its folder."""
+    base = f"{shared_folder(spark)}/claimgraph/graph-{uuid.uuid4().hex}"
+    c = V.claims(spark, d)
+    for k, condition in enumerate(runs):
+        store.merge_run(spark, base, f"run{k}", c.where(condition))
+    return base
+
+
+def _store_edges(e):
+    return e.select("source", "target", "relation", "pmid_count", F.round("conf_sum", 2).alias("conf_sum"), "conf_n", "n_refs")
+
+
+@query("store_merged", STORE_SQL)
+def store_merged(spark, d):
+    """All claims, merged in three runs and compacted."""
+    base = _stored(spark, d, ["session = 'F'", "session <> 'F' and year < 1997", "session <> 'F' and year >= 1997"])
+    store.compact(spark, base, "compacted", most=2)
+    return _store_edges(store.read_store(spark, base)[1])
+
+
+@query("store_nodes", f"with {V.EDGES} select id, \"type\", pmid_count, edge_count, 'pmid' provenance_type from nodes")
+def store_nodes(spark, d):
+    return store.read_store(spark, _stored(spark, d, ["session = 'F'", "session <> 'F'"]))[0]
+
+
+@query("store_changed", STORE_SQL + " where (source, target) in (select (source, target) from claims where \"year\" = 1998 and confidence > 0.995)")
+def store_changed(spark, d):
+    """The edges that a small second run added to, as they stand after it."""
+    late = "year = 1998 and confidence > 0.995"
+    return _store_edges(store.changed_edges(spark, _stored(spark, d, [f"not ({late})", late]), "run1"))
+
+
 def _streamed(spark, d, transform, mode: str, log=None):
     """Runs a streaming form over the event log, file by file in the log's order, to its end; the result as a table with its batch.
 
@@ -511,17 +562,14 @@ def read_publications_xml(spark, d):
     return io.read_publications_xml(spark, f"{folder}/*").select("pmid", "title", "abstract", "journal", "year", "doi")
 
 
-@query(
-    "read_graph",
-    f"""with {V.EDGES} select source, target, relation, array_to_string(pmids, ',') pmids, pmid_count, n_refs from edges where substr(source, 1, 2) <> 'N9'""",
-)
+@query("read_graph", f"with {V.EDGES} select source, target, relation, array_to_string(pmids, ',') pmids, pmid_count, n_refs from edges")
 def read_graph(spark, d):
-    """Graphs written as documents, one per first digit of the source, and read back; some edges in the older shape."""
-    e = edges_of(spark, d).where("source not like 'N9%'")
+    """Graphs written as documents, one for each sixteenth of the sources, and read back; some edges in the older shape."""
+    e = edges_of(spark, d)
     refs = F.transform("source_refs", lambda r: F.struct(r["pmid"].alias("pmid"), r["source_sentence"].alias("source_sentence")))
     older = F.size("pmids") == 1
     e = e.select("source", "target", F.when(~older, F.col("relation")).alias("relation"), F.when(older, F.col("relation")).alias("primary_relation"), F.when(older, F.col("pmids")[0]).alias("pmid"), F.when(~older, F.col("pmids")).alias("pmids"), refs.alias("source_refs"))
-    edges = io.read_graph(spark, f"{_documents(e, F.substring('source', 2, 1), 'edges', spark)}/*")[1]
+    edges = io.read_graph(spark, f"{_documents(e, F.pmod(F.xxhash64('source'), F.lit(16)), 'edges', spark)}/*")[1]
     return edges.select("source", "target", "relation", sorted_join("pmids").alias("pmids"), F.size("pmids").cast("long").alias("pmid_count"), F.size("source_refs").cast("long").alias("n_refs"))
 
 
@@ -531,8 +579,9 @@ def stored_graphs(spark, d):
     base = f"{shared_folder(spark)}/claimgraph/store-{uuid.uuid4().hex}"
     n = V.table(spark, d, "nation")
     runs = n.select(F.col("n_regionkey").cast("string").alias("scope"), F.col("n_nationkey").cast("string").alias("run_id"), F.col("n_nationkey").alias("updated"))
-    for region in range(5):
-        for run in [r.run_id for r in runs.where(F.col("scope") == str(region)).orderBy("updated").collect()][-2:]:
-            io.write_graph(n.where(F.col("n_regionkey") == region).select("n_name"), base, "nodes", str(region), run)
+    io.write_graphs(runs.drop("updated").join(n.select(F.col("n_regionkey").cast("string").alias("scope"), "n_name"), "scope"), base, "nodes")
+    for region in range(5):  # one run once more, by itself
+        last = runs.where(F.col("scope") == str(region)).agg(F.max("updated")).first()[0]
+        io.write_graph(n.where(F.col("n_regionkey") == region).select("n_name"), base, "nodes", str(region), str(last))
     stored = spark.read.option("mergeSchema", "false").parquet(f"{base}/nodes").withColumns({"scope": F.col("scope").cast("string"), "run_id": F.col("run_id").cast("string")})
     return io.latest_graph(stored, runs).select("scope", "run_id", "n_name")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TERMS = ["thing", "thble", "erble", "attion", "ander", "onthe", "inthe", "tion"]
@@ -98,6 +98,16 @@ SUPPORTED = (
 )
 
 
+def backbone(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
+    """Each node's ``k`` successors with the most papers, over all claims."""
+    c = claims(spark, d).where("source <> target").groupBy("source", "target").agg(F.count_distinct("pmid").alias("n"))
+    best = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "target"))
+    return c.withColumn("rn", best).where(F.col("rn") <= k).select("source", "target")
+
+
+BACKBONE = CLAIMS + """, pairs as (select source, target from (select source, target, row_number() over (partition by source order by count(distinct pmid) desc, target) rn from claims where source <> target group by source, target) where rn <= 3)"""
+
+
 def claim_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The distinct pairs of all claims that aren't loops."""
     return claims(spark, d).where("source <> target").select("source", "target").distinct()

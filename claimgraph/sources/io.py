@@ -80,8 +80,12 @@ def graph_catalog(meta: DataFrame) -> DataFrame:
 
 def write_graph(table: DataFrame, base: str, name: str, scope: str, run_id: str) -> None:
     """An immutable run-scoped snapshot of one table; only this run's partition is written."""
-    out = table.withColumns({"scope": F.lit(scope), "run_id": F.lit(run_id)})
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scope", "run_id").parquet(f"{base}/{name}")
+    write_graphs(table.withColumns({"scope": F.lit(scope), "run_id": F.lit(run_id)}), base, name)
+
+
+def write_graphs(table: DataFrame, base: str, name: str) -> None:
+    """Snapshots of any number of runs (scope, run_id) in one write; only their partitions are replaced."""
+    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scope", "run_id").parquet(f"{base}/{name}")
 
 
 def latest_graph(table: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -171,20 +171,29 @@ COMPATIBLE_TYPES = {
 #: Rank of node types in the hub score; others have 2.
 TYPE_RANK = {"Cytokine": 4, "Molecule": 3, "Gene": 3, "Drug": 3, "Tissue": 3, "Cell_type": 3, "Cell": 2, "Clinical_phenotype": 1}
 
-#: Motifs: name and nodes in order.
+#: Motifs: name, category and nodes in order.
 ARCHITECTURES = [
-    ("Epithelial alarmin → ILC2 → Type 2 cytokine loop", ["Airway epithelium", "IL-33", "ILC2", "IL-5", "Eosinophil"]),
-    ("Mast cell-IgE effector loop", ["Allergen", "IgE", "Mast cell", "Airway inflammation"]),
-    ("IL-5 eosinophil amplification", ["ILC2", "IL-5", "Eosinophil", "Airway inflammation"]),
-    ("IL-4/IL-13 Th2 positive feedback", ["Th2 cell", "IL-4", "Th2 cell"]),
-    ("IL-13 remodeling axis", ["Th2 cell", "IL-13", "Airway remodeling"]),
-    ("Bone marrow eosinophilopoiesis axis", ["IL-5", "Bone marrow", "Eosinophil"]),
-    ("TSLP-dendritic-Th2 axis", ["Airway epithelium", "TSLP", "Dendritic cell", "Th2 cell", "IL-4"]),
-    ("Tissue-resident memory chronicity loop", ["Batf3", "Dendritic cell", "Tissue-resident memory T cell", "Airway inflammation"]),
-    ("Biologic anti-TSLP", ["Tezepelumab", "TSLP", "Type 2 inflammation"]),
-    ("Biologic anti-IL-4R", ["Dupilumab", "Type 2 inflammation", "Airway inflammation"]),
+    ("Epithelial alarmin → ILC2 → Type 2 cytokine loop", "barrier-immune loop", ["Airway epithelium", "IL-33", "ILC2", "IL-5", "Eosinophil"]),
+    ("TSLP-dendritic-Th2 axis", "immune education loop", ["Airway epithelium", "TSLP", "Dendritic cell", "Th2 cell", "IL-4"]),
+    ("IL-4/IL-13 effector axis", "positive feedback loop", ["Th2 cell", "IL-4", "Th2 cell"]),
+    ("IL-5 eosinophil amplification", "immune amplification loop", ["ILC2", "IL-5", "Eosinophil", "Airway inflammation"]),
+    ("Tissue-resident memory chronicity loop", "memory loop", ["Batf3", "Dendritic cell", "Tissue-resident memory T cell", "Airway inflammation"]),
+    ("Mast cell-IgE effector loop", "effector loop", ["Allergen", "IgE", "Mast cell", "Airway inflammation"]),
+    ("Bone marrow eosinophilopoiesis axis", "bone marrow communication", ["IL-5", "Bone marrow", "Eosinophil"]),
+    ("IL-13 remodeling axis", "chronic inflammation loop", ["Th2 cell", "IL-13", "Airway remodeling"]),
+    ("Biologic intervention (anti-TSLP)", "therapeutic interruption", ["Tezepelumab", "TSLP", "Type 2 inflammation"]),
+    ("Biologic intervention (anti-IL-4R)", "therapeutic interruption", ["Dupilumab", "Type 2 inflammation", "Airway inflammation"]),
 ]
 
+#: Categories of loops, the first that fits: a loop has all members of one of the sets.
+LOOP_RULES = [
+    ("bone_marrow_tissue_loop", [["IL-5", "Eosinophil", "Bone marrow"]]),
+    ("cytokine_amplification", [["IL-33", "ILC2"], ["TSLP", "Dendritic cell"]]),
+    ("immune_memory_loop", [["Tissue-resident memory T cell", "Airway inflammation"], ["Batf3"]]),
+    ("fibrosis_feedback", [["Fibroblast", "IL-11"], ["TGF-beta", "IL-11"]]),
+]
+OTHER_LOOPS = "positive_feedback"
+
 #: Claim templates: source, relation, target, pattern over the lower-cased abstract.
 TEMPLATES = [
     ("Airway epithelium", "induces", "TSLP", r"epithelial.*?(?:release|produce|express).*?tslp|tslp.*?(?:from|by).*?epitheli"),
