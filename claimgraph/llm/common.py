@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +51,39 @@ class Membership:
         return marked.withColumn(out, hit).drop("at_", "word_", "bits_")
 
 
+def bit_filter(rows: DataFrame, derive, most_bits: int) -> np.ndarray:
+    """Bits of 64-bit hashes as one array, put together by the cluster: 16 for each row, 2^most_bits at most (16 MB at 27).
+
+    ``derive`` makes the hashes out of a batch's columns. What isn't among the rows passes seldom, more often beyond the bound.
+    """
+    bits = min(most_bits, max(16, (BITS_EACH * rows.count()).bit_length()))
+
+    def places(batches):
+        for batch in batches:
+            hashes = derive([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            yield pa.RecordBatch.from_arrays([pa.array((hashes & np.uint64((1 << bits) - 1)).astype(np.int64))], ["at"])
+
+    words = rows.mapInArrow(places, "at long").groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    # packed by the tasks: a range of 2^16 bits each, so that the driver only puts bytes together
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(1024, np.int64)
+        own[pdf["word"].to_numpy() & 1023] = pdf["bits"]
+        return pd.DataFrame({"range": [int(pdf["word"].iloc[0]) >> 10], "bits": [own.tobytes()]})
+
+    packed = words.groupBy(F.shiftright("word", 10).alias("range")).applyInPandas(pack, "range long, bits binary").collect()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    for r in packed:
+        own = r["range"] * 1024
+        out[own : own + 1024] = np.frombuffer(r["bits"], np.int64)[: len(out) - own]
+    return out.view(np.uint64)
+
+
+def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be one of the filter's."""
+    at = hashes & np.uint64(len(bits) * 64 - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
 def running_sums(df: DataFrame, groups: list[str], order: str, value: Column, out: str, sizes: DataFrame) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows before this one in its group, by ``order``.
 

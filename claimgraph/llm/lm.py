@@ -5,14 +5,15 @@ and clean, and a background model over all documents. They are matched: one voca
 smoothing. A document's score is the mean over its words of target loss minus background loss; low scores
 look like the target.
 
-Words and bigrams are counted exactly. Those with fewer than ``min_count`` occurrences count as not seen; the
-number is the same at every size, so the models grow with the corpus and don't depend on its partitions.
-Unigrams take what absolute discounting leaves of the bigrams. A document's own words are taken out of the counts
-before it is scored, so that no document vouches for itself (the discounted mass of a word before stays that of all).
+All words and bigrams count, with their exact numbers. Unigrams take what absolute discounting leaves of the bigrams. A document's own words
+are taken out of the counts before it is scored, so that no document vouches for itself (the discounted mass of a word before stays that of all).
 
-Bigrams are counted in PASSES parts of the words before, one part's shuffle at a time. Models of a checked size are sent to all
-tasks and each document is scored where it is read; larger ones stay in the cluster, and documents' distinct
-bigrams are joined to them. Both ways give the same scores.
+So a bigram or word that stands in one document alone counts nothing there, and only those of two documents and more are kept; the mass that a
+word before passes on needs the number of its distinct bigrams, which is the number of its (document, bigram) less what the kept ones repeat.
+
+Bigrams are counted in COUNT_PARTS parts of the words before, one part's shuffle at a time. The most frequent words and bigrams, of a fixed number, are sent
+to all tasks, and most of a document is scored where it is read; its other bigrams that may be in the models (by bit filters of fixed size) are joined to
+them, in SCORE_PARTS parts. There is one form for all sizes: a larger corpus has more of them joined.
 
 Cases: null or empty texts and texts without words have 0 words and a null score; without labelled
 documents all scores are 0 (the target model falls back to the background); labels of unknown or null
@@ -30,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_key, staged, unstage
+from .common import bit_filter, fresh_key, in_filter, staged, unstage
 from .words import mix64, text_bytes, word_hashes, word_spans
 
 DISCOUNT, ADD = 0.75, 0.5
 STEP = 400
-PASSES = 2
-#: The query's least number of occurrences of words and bigrams, and the most rows of models that are sent to all tasks (170 MB at most).
-MIN_COUNT, MOST_SENT = 5, 1 << 22
+COUNT_PARTS, SCORE_PARTS = 4, 4
+#: The most words and bigrams that are sent to all tasks (75 MB), and the bits of the filters of the others (32 MB).
+SENT_WORDS, SENT_PAIRS, FILTER_BITS = 1 << 20, 1 << 21, 27
 #: Stands before the first word of a text.
 START = np.uint64(0x5851F42D4C957F2D)
 
@@ -58,9 +59,18 @@ def _pair_hashes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix64(mix64(before) * np.uint64(0xD6E8FEB86659FD93) + word)
 
 
-def _document_pairs(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """Each text's distinct bigrams: text, hash of the word before, hash of the word, and how often the text has the
-    bigram, the word, and the word before as such; last, the number of words of each text."""
+def _in_part(before: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """Whether a word before is in the part: by the low bits of its hash (``parts`` is a power of two)."""
+    return before & np.uint64(parts - 1) == np.uint64(part)
+
+
+def part_of(before: str, part: int, parts: int) -> Column:
+    return F.col(before).bitwiseAND(F.lit(parts - 1)) == part
+
+
+def _document_pairs(column: pa.Array, part: int = 0, parts: int = 1) -> tuple[np.ndarray, ...]:
+    """Each text's distinct bigrams whose word before is in ``part``: text, hash of the word before, hash of the word, and how often the text
+    has the bigram, the word, and the word before as such; last, the number of words of each text."""
     hashes, first = _words(column)
     n = np.diff(first)
     row = np.repeat(np.arange(len(n)), n)
@@ -70,14 +80,16 @@ def _document_pairs(column: pa.Array) -> tuple[np.ndarray, ...]:
     before[1:] = ids[:-1]
     before[first[:-1][n > 0]] = 0
     wide = len(words) + 1
-
-    def repeats(keys: np.ndarray) -> np.ndarray:
-        _, at, times = np.unique(keys, return_inverse=True, return_counts=True)
-        return times[at]
-
-    _, index, own = np.unique((row * wide + before) * wide + ids, return_index=True, return_counts=True)
     table = np.concatenate([np.array([START]), words])
-    return row[index], table[before[index]], table[ids[index]], own, repeats(row * wide + ids)[index], repeats(row * wide + before)[index], n
+    mine = np.flatnonzero(_in_part(table, part, parts)[before]) if parts > 1 else np.arange(len(ids))
+    # how often a text has the word: over the whole text; the word before as such: all of it is in this part
+    word_keys, word_times = np.unique(row * wide + ids, return_counts=True)
+    pairs, own = np.unique((row[mine] * wide + before[mine]) * wide + ids[mine], return_counts=True)
+    at, word = pairs // wide, pairs % wide
+    context_keys, context_at = np.unique(at, return_inverse=True)
+    of, own_before = at // wide, np.bincount(context_at, own, len(context_keys)).astype(np.int64)[context_at]
+    own_word = word_times[np.searchsorted(word_keys, of * wide + word)]
+    return of, table[at % wide], table[word], own, own_word, own_before, n
 
 
 def marked_documents(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -87,130 +99,178 @@ def marked_documents(docs: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def count_bigrams(marked: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
-    """(before, word, n_all, n_target): occurrences of every bigram whose word before is in ``part``, summed in each task and then
-    over all."""
-    names = ["before", "word", "n_all", "n_target"]
+    """(before, word, n0, n1, d0, d1): of every bigram whose word before is in ``part``, occurrences and texts with it, in all (0) and in the
+    target ones (1); summed in each task and then over all."""
+    names = ["before", "word", "n0", "n1", "d0", "d1"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         rows = 0
 
         def summed() -> Iterator[pa.RecordBatch]:
-            before, word, n_all, n_target = (np.concatenate([h[k] for h in held]) for k in range(4))
+            before, word, own, good = (np.concatenate([h[k] for h in held]) for k in range(4))
             _, index, at = np.unique(_pair_hashes(before, word), return_index=True, return_inverse=True)
-            out = [before[index].view(np.int64), word[index].view(np.int64), *(np.bincount(at, x, len(index)).astype(np.int64) for x in (n_all, n_target))]
+            sums = [np.bincount(at, x, len(index)).astype(np.int64) for x in (own, own * good, None, good)]
+            out = [before[index].view(np.int64), word[index].view(np.int64), *sums]
             for k in range(0, len(index), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in out], names)
 
         for whole in batches:
             for low in range(0, whole.num_rows, STEP):
                 batch = whole.slice(low, STEP)
-                row, before, word, own, _, _, _ = _document_pairs(batch.column(0))
-                mine = np.flatnonzero(mix64(before) % np.uint64(parts) == np.uint64(part)) if parts > 1 else slice(None)
+                row, before, word, own, *_ = _document_pairs(batch.column(0), part, parts)
                 good = np.array(batch.column(1).to_pylist(), bool)
-                held.append((before[mine], word[mine], own[mine], (own * good[row])[mine]))
-                rows += len(held[-1][0])
+                held.append((before, word, own, good[row]))
+                rows += len(row)
                 if rows > 3_000_000:  # bounded memory: what has been counted goes out
                     yield from summed()
                     held, rows = [], 0
         if held:
             yield from summed()
 
-    counted = marked.select("text", "is_target").mapInArrow(count, "before long, word long, n_all long, n_target long")
-    return counted.groupBy("before", "word").agg(F.sum("n_all").alias("n_all"), F.sum("n_target").alias("n_target"))
+    counted = marked.select("text", "is_target").mapInArrow(count, "before long, word long, n0 long, n1 long, d0 long, d1 long")
+    return counted.groupBy("before", "word").agg(*(F.sum(c).alias(c) for c in names[2:]))
 
 
 def count_words(marked: DataFrame) -> DataFrame:
-    """(word, w0, w1, c0, c1): occurrences of every word and, as the word before, of every word and of the start of a text;
-    0 for all documents, 1 for the target ones."""
+    """(word, w0, w1, c0, c1, i0, i1, texts): of every word and the start of a text, occurrences as a word (w) and as the word before (c), and
+    numbers of (text, distinct bigram after it) (i), in all texts (0) and in the target ones (1); ``texts`` holds it at all."""
+    names = ["w0", "w1", "c0", "c1", "i0", "i1", "texts"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         rows = 0
 
         def summed() -> pa.RecordBatch:
-            word, *counts = (np.concatenate([h[k] for h in held]) for k in range(5))
+            word, *counts = (np.concatenate([h[k] for h in held]) for k in range(8))
             words, at = np.unique(word, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), *(pa.array(np.bincount(at, c, len(words)).astype(np.int64)) for c in counts)], ["word", "w0", "w1", "c0", "c1"])
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), *(pa.array(np.bincount(at, c, len(words)).astype(np.int64)) for c in counts)], ["word", *names])
 
         for whole in batches:
             for low in range(0, whole.num_rows, STEP):
                 batch = whole.slice(low, STEP)
-                hashes, first = _words(batch.column(0))
-                n = np.diff(first)
-                good = np.array(batch.column(1).to_pylist(), bool)
-                last = np.zeros(len(hashes), bool)
-                last[first[1:][n > 0] - 1] = True
-                target = np.repeat(good, n)
-                starts = np.array([n.astype(bool).sum(), (n.astype(bool) & good).sum()])
-                word = np.concatenate([hashes, [START]])
-                every = np.ones(len(word), np.int64)
-                every[-1] = 0
-                columns = [every, np.append(target, 0), np.append(~last, starts[0]), np.append(target & ~last, starts[1])]
-                words, at = np.unique(word, return_inverse=True)
-                held.append((words, *(np.bincount(at, c, len(words)) for c in columns)))
-                rows += len(words)
+                row, before, word, own, own_word, _, n = _document_pairs(batch.column(0))
+                good = np.array(batch.column(1).to_pylist(), bool)[row]
+                both, at = np.unique(np.concatenate([word, before]), return_inverse=True)
+                as_word, as_before = at[: len(word)], at[len(word) :]
+                total = lambda where, x: np.bincount(where, x, len(both))
+                wide = len(both)
+                texts = np.unique(np.concatenate([row * wide + as_word, row * wide + as_before])) % wide if wide else at
+                sums = [total(as_word, own), total(as_word, own * good), total(as_before, own), total(as_before, own * good), total(as_before, None), total(as_before, good), total(texts, None)]
+                held.append((both, *sums))
+                rows += wide
                 if rows > 2_000_000:
                     yield summed()
                     held, rows = [], 0
         if held:
             yield summed()
 
-    names = ["w0", "w1", "c0", "c1"]
-    counted = marked.select("text", "is_target").mapInArrow(count, "word long, w0 long, w1 long, c0 long, c1 long")
+    counted = marked.select("text", "is_target").mapInArrow(count, "word long, " + ", ".join(f"{c} long" for c in names))
     return counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in names))
 
 
 class Models:
-    """Both models in one process's memory: words with their counts, and bigrams by the hash of the pair."""
+    """What is sent to all tasks: the most frequent words with their counts and bigrams by the hash of the pair, and filters of the others."""
 
-    def __init__(self, words: np.ndarray, counts: list[np.ndarray], mass: list[np.ndarray], pairs: np.ndarray, times: list[np.ndarray], total: tuple[int, int], n_words: int):
+    def __init__(self, words: np.ndarray, counts: list[np.ndarray], mass: list[np.ndarray], pairs: np.ndarray, times: list[np.ndarray], other_words: np.ndarray, other_pairs: np.ndarray, total: tuple[int, int], n_words: int):
         """words: sorted; counts: of the words, w0, w1, c0, c1; mass: that each passes on as the word before, for both models;
         pairs: sorted hashes; times: of the pairs, for both models."""
         self.words, self.counts, self.mass, self.pairs, self.times = words, counts, mass, pairs, times
+        self.other_words, self.other_pairs = other_words, other_pairs
         self.total, self.wide = total, n_words + 2
 
-    def sums(self, column: pa.Array, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each text: words, and the sums of its words' losses under the background and the target model."""
-        row, before, word, own, own_word, own_before, n = _document_pairs(column)
+    def score(self, column: pa.Array, good: np.ndarray, part: int, parts: int) -> dict:
+        """The texts' bigrams in ``part``: which lack their count alone (``pairs``), which lack a word's (``loose``), and of each text the sums of the others' losses."""
+        row, before, word, own, own_word, own_before, n = _document_pairs(column, part, parts)
 
-        def found(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def among(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             at = np.minimum(np.searchsorted(sorted_, keys), max(0, len(sorted_) - 1))
             return at, sorted_[at] == keys if len(sorted_) else np.zeros(len(keys), bool)
 
-        w_at, w_in = found(self.words, word)
-        b_at, b_in = found(self.words, before)
-        p_at, p_in = found(self.pairs, _pair_hashes(before, word))
+        w_at, w_in = among(self.words, word)
+        b_at, b_in = among(self.words, before)
+        hashes = _pair_hashes(before, word)
+        p_at, p_in = among(self.pairs, hashes)
+        open_ = ~p_in & in_filter(self.other_pairs, hashes)
+        loose = (~w_in & in_filter(self.other_words, word)) | (~b_in & in_filter(self.other_words, before))
 
         def of(values: np.ndarray, at: np.ndarray, inside: np.ndarray, other: float) -> np.ndarray:
             return np.where(inside, values[at], other) if len(values) else np.full(len(at), other)
 
-        out = []
+        times = [of(t, p_at, p_in, 0).astype(np.int64) for t in self.times]
+        done = ~open_ & ~loose
+        contexts, others, sums = [], [], []
         for m in (0, 1):
             k = m if self.total[1] else 0  # no target text: both models are the background
             taken = np.ones(len(row)) if k == 0 else good[row].astype(float)
             one = (np.maximum(of(self.counts[k], w_at, w_in, 0) - taken * own_word, 0) + ADD) / (np.maximum(self.total[k] - taken * n[row], 0) + ADD * self.wide)
-            contexts = of(self.counts[2 + k], b_at, b_in, 0) - taken * own_before
-            two = np.maximum(of(self.times[k], p_at, p_in, 0) - taken * own - DISCOUNT, 0) / np.maximum(contexts, 1)
-            passed = np.where(contexts > 0, of(self.mass[k], b_at, b_in, 1), 1)
-            loss = -np.log(np.minimum(two, 1 - 1e-9) + np.maximum(passed, 1e-3) * one)
-            out.append(np.bincount(row, own * loss, len(n)))
-        return n, out[0], out[1]
+            contexts.append(of(self.counts[2 + k], b_at, b_in, 0) - taken * own_before)
+            passed = np.where(contexts[m] > 0, of(self.mass[k], b_at, b_in, 1), 1)
+            others.append(np.maximum(passed, 1e-3) * one)
+            two = np.maximum(times[k] - taken * own - DISCOUNT, 0) / np.maximum(contexts[m], 1)
+            loss = -np.log(np.minimum(two, 1 - 1e-9) + others[m])
+            sums.append(np.bincount(row[done], (own * loss)[done], len(n)).astype(float))
+        return {
+            "n": n, "sums": sums, "pairs": np.flatnonzero(open_ & ~loose), "loose": np.flatnonzero(loose), "open": open_, "row": row, "pair": hashes, "before": before, "word": word,
+            "own": own, "own_word": own_word, "own_before": own_before, "times": times, "contexts": contexts, "others": others,
+        }
+
+
+PAIR_ROWS = "key_ long, doc_id long, is_target boolean, copies long, words long, background double, target double, pair long, own long, x0 long, x1 long, q0 double, q1 double"
 
 
-def score_in_place(marked: DataFrame, models: Models) -> DataFrame:
-    """doc_id, is_target, n_words and the sums of losses, each document scored where it is read."""
-    shared = marked.sparkSession.sparkContext.broadcast(models)
-    names = ["doc_id", "is_target", "own", "background", "target"]
+def pair_rows(marked: DataFrame, models, part: int, parts: int) -> DataFrame:
+    """A row for each document with the sums of what is scored in place (``copies`` is 1 in the first part alone), and one for each of its bigrams in the part that lacks its
+    count alone: what else the loss needs is there (x, contexts less the own ones; q, what the unigram adds). ``models`` is broadcast."""
+    names = [f.split()[0] for f in PAIR_ROWS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, STEP):
                 batch = whole.slice(low, STEP)
-                n, background, target = shared.value.sums(batch.column(1), np.array(batch.column(2).to_pylist(), bool))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(background, pa.float64()), pa.array(target, pa.float64())], names)
+                s = models.value.score(batch.column(1), np.array(batch.column(2).to_pylist(), bool), part, parts)
+                n, at = s["n"], s["pairs"]
+                texts = pa.array(np.concatenate([np.arange(len(n)), s["row"][at]]))
+                then = lambda x: pa.concat_arrays([pa.array(x), pa.nulls(len(at), pa.array(x).type)])  # noqa: E731, B023
+                now = lambda x: pa.concat_arrays([pa.nulls(len(n), pa.array(x[:0]).type), pa.array(x[at])])  # noqa: E731, B023
+                # documents meet no bigram: a key of their own each
+                alone = mix64(batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64) + np.arange(len(n), dtype=np.uint64))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(3).take(texts), pa.concat_arrays([batch.column(0), pa.nulls(len(at), pa.int64())]), batch.column(2).take(texts), then(np.full(len(n), int(part == 0))),
+                        then(n.astype(np.int64) * (part == 0)), then(s["sums"][0]), then(s["sums"][1]), pa.array(np.concatenate([alone, s["pair"][at]]).view(np.int64)), now(s["own"].astype(np.int64)),
+                        *(now(x.astype(np.int64)) for x in s["contexts"]), *(now(x) for x in s["others"]),
+                    ],
+                    names,
+                )
+
+    return _keyed(marked).mapInArrow(run, PAIR_ROWS)
+
+
+LOOSE_ROWS = "key_ long, is_target boolean, pair long, before long, word long, own long, own_word long, own_before long, n long, s0 long, s1 long"
+
 
-    return marked.select("doc_id", "text", "is_target").mapInArrow(run, "doc_id long, is_target boolean, own long, background double, target double")
+def loose_rows(marked: DataFrame, models) -> DataFrame:
+    """A row for each bigram of a document with a word that may be in the models but wasn't sent; s, its count where that was; ``pair`` is null where nothing is to be
+    looked up."""
+    names = [f.split()[0] for f in LOOSE_ROWS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, STEP):
+                batch = whole.slice(low, STEP)
+                s = models.value.score(batch.column(1), np.array(batch.column(2).to_pylist(), bool), 0, 1)
+                at = s["loose"]
+                texts = pa.array(s["row"][at])
+                numbers = [s["before"].view(np.int64), s["word"].view(np.int64), s["own"], s["own_word"], s["own_before"], s["n"][s["row"]], *s["times"]]
+                yield pa.RecordBatch.from_arrays([batch.column(3).take(texts), batch.column(2).take(texts), pa.array(s["pair"].view(np.int64)[at], mask=~s["open"][at]), *(pa.array(x[at].astype(np.int64)) for x in numbers)], names)
+
+    return _keyed(marked).mapInArrow(run, LOOSE_ROWS)
+
+
+def _keyed(marked: DataFrame) -> DataFrame:
+    """Rows alike in doc_id and text share their key_: their sums are those of as many copies."""
+    return marked.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "is_target", F.xxhash64("doc_id", "text").alias("key_"))
 
 
 def collected(rows: DataFrame, derive, kinds: list) -> list[np.ndarray]:
@@ -237,48 +297,27 @@ def _sorted_by_first(arrays: list[np.ndarray]) -> list[np.ndarray]:
     return arrays
 
 
-def passed_mass(pairs: DataFrame) -> DataFrame:
-    """(before, k0, k1): the discounted counts of the bigrams of each word before."""
-    kept = [F.sum(F.greatest(F.col(f"n_{x}") - DISCOUNT, F.lit(0.0))).alias(f"k{m}") for m, x in enumerate(("all", "target"))]
-    return pairs.groupBy("before").agg(*kept)
-
-
-def joined_models(pairs: DataFrame, words: DataFrame, contexts: DataFrame) -> DataFrame:
-    """A row for each bigram (pair; for model m: n, its count; w, of the word; c, of the word before as such; p, the mass that
-    the word before passes on)."""
-    model = pairs.withColumn("w_", fresh_key("word")).join(words.select(fresh_key("word").alias("w_"), "w0", "w1"), "w_", "left")
-    model = model.withColumn("b_", fresh_key("before")).join(contexts.select(fresh_key("before").alias("b_"), "c0", "c1", "p0", "p1"), "b_", "left")
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("w0", "w1", "c0", "c1")]
-    one = [F.coalesce(c, F.lit(1.0)).alias(c) for c in ("p0", "p1")]
-    return model.select("before", "word", "n0", "n1", *zero, *one)
+def least_sent(counts: DataFrame, column: str, most: int) -> int:
+    """The least value of ``column`` from which on at most ``most`` rows remain, by a histogram of binary magnitudes in eighths."""
+    step = F.floor(F.log2(F.col(column).cast("double")) * 8)
+    sizes = dict(counts.where(F.col(column) > 0).groupBy(step.alias("step")).agg(F.count("*")).collect())  # some 300 rows at most
+    left = 0
+    for at in sorted(sizes, reverse=True):
+        if left + sizes[at] > most:
+            return int(2 ** ((at + 1) / 8)) + 1
+        left += sizes[at]
+    return 1
 
 
-def document_pairs(marked: DataFrame) -> DataFrame:
-    """A row for each distinct bigram of a document, one without counts for a document without words; ``copies`` is 1 in
-    a document's first row. Rows alike in doc_id and text share their key_."""
+def hashed_pairs(pairs: DataFrame) -> DataFrame:
+    """(pair, n0, n1): bigrams by the hash of the pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, STEP):
-                batch = whole.slice(low, STEP)
-                row, before, word, own, own_word, own_before, n = _document_pairs(batch.column(1))
-                none = np.flatnonzero(n == 0)
-                zeros = np.zeros(len(none), np.int64)
-                row = np.concatenate([row, none])
-                copies = np.zeros(len(row), np.int64)
-                copies[np.unique(row, return_index=True)[1]] = 1
-                at = pa.array(row)
-                # a document without words has a pair that no text has, of its own
-                alone = mix64(batch.column(3).to_numpy(zero_copy_only=False)[none].view(np.uint64))
-                hashes = [np.concatenate([x, alone]).view(np.int64) for x in (before, word)]
-                counts = [np.concatenate([x, zeros]) for x in (own, own_word, own_before)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(3).take(at), batch.column(0).take(at), batch.column(2).take(at), *map(pa.array, hashes), *(pa.array(x, pa.int64()) for x in (*counts, n[row], copies))],
-                    ["key_", "doc_id", "is_target", "before", "word", "own", "own_word", "own_before", "n", "copies"],
-                )
+        for batch in batches:
+            before, word = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(_pair_hashes(before, word).view(np.int64)), batch.column(2), batch.column(3)], ["pair", "n0", "n1"])
 
-    keyed = marked.select("doc_id", "text", "is_target", F.xxhash64("doc_id", "text").alias("key_"))
-    return keyed.mapInArrow(run, "key_ long, doc_id long, is_target boolean, before long, word long, own long, own_word long, own_before long, n long, copies long")
+    return pairs.select("before", "word", "n0", "n1").mapInArrow(run, "pair long, n0 long, n1 long")
 
 
 def losses(n_words: int, total: tuple[int, int]) -> list[Column]:
@@ -297,51 +336,77 @@ def losses(n_words: int, total: tuple[int, int]) -> list[Column]:
     return out
 
 
-def score_joined(marked: DataFrame, model: DataFrame, n_words: int, total: tuple[int, int]) -> DataFrame:
-    """The same as ``score_in_place`` for models of any size: documents' bigrams are joined to them, losses summed by document."""
-    key = F.xxhash64("before", "word", F.lit(7))
-    rows = document_pairs(marked).withColumn("k_", key).drop("before", "word")
-    rows = rows.join(model.withColumn("k_", key).drop("before", "word"), "k_", "left")
-    background, target = (F.coalesce(F.sum(F.col("own") * loss), F.lit(0.0)) for loss in losses(n_words, total))
-    sums = rows.groupBy("key_", "doc_id", "is_target").agg(F.sum("own").alias("own"), F.sum("copies").alias("copies"), background.alias("background"), target.alias("target"))
-    each = sums.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))  # as many rows as came in
-    return each.select("doc_id", "is_target", *((F.col(c) / F.col("copies")).cast(t).alias(c) for c, t in (("own", "long"), ("background", "double"), ("target", "double"))))
+def in_pairs(rows: DataFrame, pairs: DataFrame, has_target: bool) -> DataFrame:
+    """(key_, doc_id, is_target, copies, words, background, target): ``pair_rows`` with their counts (none: 0), summed by document."""
+    joined = rows.join(hashed_pairs(pairs), "pair", "left")
+    sums = []
+    for m, c in enumerate(("background", "target")):
+        k = m if has_target else 0
+        own = F.col("own") if k == 0 else F.when(F.col("is_target"), F.col("own")).otherwise(0)
+        two = F.greatest(F.coalesce(f"n{k}", F.lit(0)) - own - DISCOUNT, F.lit(0.0)) / F.greatest(f"x{m}", F.lit(1))
+        loss = -F.log(F.least(two, F.lit(1 - 1e-9)) + F.col(f"q{m}"))
+        sums.append(F.sum(F.coalesce(c, F.col("own") * loss)).alias(c))
+    return rows_by_document(joined, sums)
+
 
+def rows_by_document(rows: DataFrame, sums: list[Column]) -> DataFrame:
+    zero = lambda c: F.sum(F.coalesce(c, F.lit(0))).alias(c)
+    return rows.groupBy("key_").agg(F.max("doc_id").alias("doc_id"), F.max("is_target").alias("is_target"), zero("copies"), zero("words"), *sums)
 
-def score_documents(docs: DataFrame, labels: DataFrame, min_count: int = 1, most_sent: int = MOST_SENT) -> DataFrame:
+
+def in_words(rows: DataFrame, pairs: DataFrame, words: DataFrame, n_words: int, total: tuple[int, int]) -> DataFrame:
+    """The same of ``loose_rows``, with the counts of their bigrams and of both words."""
+    # rows without a bigram to look up are dealt out at random
+    keyed = rows.withColumn("pair", F.coalesce("pair", F.xxhash64("key_", "before", "word")))
+    full = keyed.join(hashed_pairs(pairs), "pair", "left").withColumns({f"n{m}": F.greatest(F.coalesce(f"n{m}", F.lit(0)), F.col(f"s{m}")) for m in (0, 1)})
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("w0", "w1", "c0", "c1")]
+    one = [F.coalesce(c, F.lit(1.0)).alias(c) for c in ("p0", "p1")]
+    full = full.withColumn("w_", fresh_key("word")).join(words.select(fresh_key("word").alias("w_"), "w0", "w1"), "w_", "left")
+    full = full.withColumn("b_", fresh_key("before")).join(words.select(fresh_key("word").alias("b_"), "c0", "c1", "p0", "p1"), "b_", "left")
+    full = full.select(*rows.columns, "n0", "n1", *zero, *one)
+    background, target = losses(n_words, total)
+    none = [F.lit(None).cast("long").alias(c) for c in ("doc_id", "copies", "words")]
+    return rows_by_document(full.select("*", *none), [F.sum(F.col("own") * loss).alias(c) for c, loss in (("background", background), ("target", target))])
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, sent: tuple[int, int] = (SENT_WORDS, SENT_PAIRS), filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, n_words, loss_target, loss_background, score (their difference), is_target."""
+    spark = docs.sparkSession
     marked = marked_documents(docs, target_ids(labels))
     every = staged(count_words(marked), "lm-words")
     n_words, *total = every.agg(F.count_if(F.col("w0") > 0), F.coalesce(F.sum("w0"), F.lit(0)), F.coalesce(F.sum("w1"), F.lit(0))).first()
-    # words seen too seldom have no counts as words, nor, if no bigram of theirs can be kept, as words before
-    words = every.where(F.greatest("w0", "c0") >= min_count)
-    words = words.select("word", *(F.when(F.col("w0") >= min_count, F.col(w)).otherwise(0).alias(w) for w in ("w0", "w1")), "c0", "c1")
-    n_kept, kept, parts = words.count(), 0, []
-    for part in range(PASSES):
-        parts.append(staged(count_bigrams(marked, part, PASSES).where(F.col("n_all") >= min_count), "lm-pairs"))
-        kept += parts[-1].count()
+    parts = [staged(count_bigrams(marked, part, COUNT_PARTS).where("d0 > 1"), "lm-pairs") for part in range(COUNT_PARTS)]
     pairs = reduce(DataFrame.union, parts)
-    mass = passed_mass(pairs)
-    # in order: a context's mass is 1 less its discounted bigrams; words that no kept bigram starts with pass on everything
-    of = words.select("word", "w0", "w1", "c0", "c1").join(mass.withColumnRenamed("before", "word"), "word", "left")
-    of = of.select("word", "w0", "w1", "c0", "c1", *((1 - F.coalesce(f"k{m}", F.lit(0.0)) / F.greatest(f"c{m}", F.lit(1))).alias(f"p{m}") for m in (0, 1)))
-    if n_kept + kept <= most_sent:
-        number = np.int32 if total[0] < 1 << 31 else np.int64
-        word, *counts, p0, p1 = _sorted_by_first(collected(of, lambda c: [c[0].view(np.uint64), *c[1:]], [np.uint64, *[number] * 4, float, float]))
-        hashes, *times = _sorted_by_first(collected(pairs, lambda c: [_pair_hashes(c[0].view(np.uint64), c[1].view(np.uint64)), *c[2:]], [np.uint64, number, number]))
-        models = Models(word, counts, [p0, p1], hashes, times, tuple(total), n_words)
-        sums = staged(score_in_place(marked, models), "lm-sums")
-    else:
-        of = staged(of, "lm-models")
-        scored = [count_bigrams(marked, part, PASSES) for part in range(PASSES)]  # with the seldom ones, as rows that count nothing
-        scored = reduce(DataFrame.union, scored).select("before", "word", *(F.when(F.col("n_all") >= min_count, F.col(n)).otherwise(0).alias(f"n{m}") for m, n in enumerate(("n_all", "n_target"))))
-        sums = staged(score_joined(marked, joined_models(scored, of, of.withColumnRenamed("word", "before")), n_words, tuple(total)), "lm-sums")
-        unstage(of)
-    unstage(marked, every, *parts)
-    mean = [F.when(F.col("own") > 0, F.col(c) / F.col("own")).alias(f"loss_{c}") for c in ("target", "background")]
-    out = sums.select("doc_id", F.col("own").alias("n_words"), *mean, "is_target")
-    return out.select("doc_id", "n_words", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"), "is_target")
+    # distinct bigrams after a word: its (text, bigram) less the repetitions of those of two texts and more; each leaves DISCOUNT
+    again = pairs.groupBy(F.col("before").alias("word")).agg(F.sum(F.col("d0") - 1).alias("r0"), F.sum(F.greatest(F.col("d1") - 1, F.lit(0))).alias("r1"))
+    words = every.where("texts > 1").join(again, "word", "left")
+    mass = [F.when(F.col(f"c{m}") > 0, DISCOUNT * (F.col(f"i{m}") - F.coalesce(f"r{m}", F.lit(0))) / F.col(f"c{m}")).otherwise(1.0).alias(f"p{m}") for m in (0, 1)]
+    words = staged(words.select("word", "w0", "w1", "c0", "c1", *mass), "lm-models")
+
+    often = F.greatest("w0", "c0")
+    least_word, least_pair = least_sent(words.select(often.alias("n")), "n", sent[0]), least_sent(pairs, "n0", sent[1])
+    number = np.int32 if total[0] < 1 << 31 else np.int64
+    word, *counts, p0, p1 = _sorted_by_first(collected(words.where(often >= least_word), lambda c: [c[0].view(np.uint64), *c[1:]], [np.uint64, *[number] * 4, float, float]))
+    hashes, *times = _sorted_by_first(collected(pairs.where(F.col("n0") >= least_pair).select("before", "word", "n0", "n1"), lambda c: [_pair_hashes(c[0].view(np.uint64), c[1].view(np.uint64)), *c[2:]], [np.uint64, number, number]))
+    other = pairs.where(F.col("n0") < least_pair)
+    pair_filter = bit_filter(other.select("before", "word"), lambda c: _pair_hashes(c[0].view(np.uint64), c[1].view(np.uint64)), filter_bits)
+    word_filter = bit_filter(words.where(often < least_word).select("word"), lambda c: c[0].view(np.uint64), filter_bits)
+    shared = spark.sparkContext.broadcast(Models(word, counts, [p0, p1], hashes, times, word_filter, pair_filter, tuple(total), n_words))
+
+    sums = []
+    for part in range(SCORE_PARTS):
+        rows = pair_rows(marked, shared, part, SCORE_PARTS)
+        sums.append(staged(in_pairs(rows, other.where(part_of("before", part, SCORE_PARTS)), bool(total[1])), "lm-sums"))
+    sums.append(staged(in_words(loose_rows(marked, shared), other, words, n_words, tuple(total)), "lm-sums"))
+    unstage(marked, every, words, *parts)
+    whole = reduce(DataFrame.union, sums).groupBy("key_").agg(F.max("doc_id").alias("doc_id"), F.max("is_target").alias("is_target"), *(F.sum(c).alias(c) for c in ("copies", "words", "background", "target")))
+    each = whole.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))  # as many rows as came in
+    mean = [F.when(F.col("words") > 0, F.col(c) / F.col("words")).alias(f"loss_{c}") for c in ("target", "background")]
+    out = each.select("doc_id", (F.col("words") / F.col("copies")).cast("long").alias("n_words"), *mean, "is_target")
+    out = staged(out.select("doc_id", "n_words", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"), "is_target"), "lm-scores")
+    unstage(*sums)
+    return out
 
 
 def op2_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), MIN_COUNT)
+    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

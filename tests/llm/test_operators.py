@@ -145,7 +145,7 @@ def test_lm_scoring(spark, docs, odd):
     assert lm.score_documents(odd.limit(0), labels).count() == 0
 
 
-def brute_scores(rows, targets, least=1):
+def brute_scores(rows, targets):
     texts = [[low(x) for x in WORD.findall(t or "")] for _, t in rows]
     bigrams = [list(zip([None, *w], w)) for w in texts]
     good = [d in targets for d, _ in rows]
@@ -156,19 +156,9 @@ def brute_scores(rows, targets, least=1):
         for (b, w), c in n.items():
             words_[w] += c
             contexts[b] += c
+            kept[b] += c - lm.DISCOUNT
         models.append((n, words_, contexts, kept, sum(n.values())))
     wide = len(models[0][1]) + 2
-    often, seen = models[0][0].copy(), models[0][1].copy()
-    for n, words_, contexts, kept, _ in models:  # what is seen less than ``least`` times counts as not seen
-        for b in {b for b, _ in often if b is not None and seen[b] < least}:
-            contexts[b] = 0
-        for x, c in often.items():
-            if c < least:
-                n[x] = 0
-            kept[x[0]] += max(n[x] - lm.DISCOUNT, 0)
-        for w, c in seen.items():
-            if c < least:
-                words_[w] = 0
     out = []
     for b, g in zip(bigrams, good):
         pair, word, before, loss = Counter(b), Counter(w for _, w in b), Counter(x for x, _ in b), [0.0, 0.0]
@@ -184,16 +174,16 @@ def brute_scores(rows, targets, least=1):
     return out
 
 
-@pytest.mark.parametrize(("least", "most_sent"), [(1, 0), (1, 1 << 21), (3, 0), (3, 1 << 21)])
-def test_lm_counts_all_words(spark, least, most_sent):
-    """Words and bigrams that are a tiny share of a large table count as they do in a small one; rows alike stay rows."""
+@pytest.mark.parametrize("sent, bits", [((0, 0), 8), ((0, 0), 27), ((3, 2), 16), ((1 << 20, 4), 27), ((40, 1 << 21), 27), ((1 << 20, 1 << 21), 27)])
+def test_lm_counts_all_words(spark, sent, bits):
+    """All words and bigrams count as they do by hand, whatever is sent and whatever is joined, with filters that let everything pass too; rows alike stay rows."""
     rng = random.Random(22)
     rows = [(d, " ".join(rng.choice(["rare", "seldom", "scarce", "few"]) for _ in range(rng.randrange(9)))) for d in range(40)]
-    rows += [(40, " ".join(f"w{rng.randrange(30_000)}" for _ in range(400_000))), (41, None), (3, rows[3][1]), (None, "rare few")]
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 40, 2)], "doc_id long, quality int, toxic int")
+    rows += [(40, " ".join(f"w{rng.randrange(3_000)}" for _ in range(20_000))), (43, " ".join(f"w{rng.randrange(3_000)}" for _ in range(9_000))), (41, None), (3, rows[3][1]), (None, "rare few")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(0, 40, 2), 43]], "doc_id long, quality int, toxic int")
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_words, r.loss_background, r.loss_target) for r in lm.score_documents(d, labels, least, most_sent).collect()), key=str)
-    want = sorted(((k is None, k or 0, *x) for (k, _), x in zip(rows, brute_scores(rows, set(range(0, 40, 2)), least))), key=str)
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_words, r.loss_background, r.loss_target) for r in lm.score_documents(d, labels, sent, bits).collect()), key=str)
+    want = sorted(((k is None, k or 0, *x) for (k, _), x in zip(rows, brute_scores(rows, {*range(0, 40, 2), 43}))), key=str)
     assert [x[:3] for x in got] == [x[:3] for x in want]
     for a, b in zip(got, want):
         assert (a[3] is None) == (b[3] is None) and (a[3] is None or a[3:] == pytest.approx(b[3:], rel=1e-9))
@@ -201,9 +191,9 @@ def test_lm_counts_all_words(spark, least, most_sent):
 
 def test_lm_scores_do_not_depend_on_partitions(spark, docs):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
-    one, many = ({r.doc_id: r.score for r in lm.score_documents(docs.repartition(n), labels, lm.MIN_COUNT).collect()} for n in (1, 16))
+    one, many = ({r.doc_id: r.score for r in lm.score_documents(docs.repartition(n), labels).collect()} for n in (1, 16))
     assert one == pytest.approx(many, rel=1e-9) and len(one) == docs.count()
-    want = brute_scores([(r.doc_id, r.text) for r in docs.collect()], {r.doc_id for r in lm.target_ids(labels).collect()}, lm.MIN_COUNT)
+    want = brute_scores([(r.doc_id, r.text) for r in docs.collect()], {r.doc_id for r in lm.target_ids(labels).collect()})
     assert [one[r.doc_id] for r in docs.collect()] == pytest.approx([x[2] - x[1] for x in want], rel=1e-6, abs=1e-9)
 
 
