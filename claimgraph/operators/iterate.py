@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,9 +37,45 @@ def shared_folder(spark: SparkSession) -> str:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a Spark context: they need not see the driver's disk."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_claimgraph_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        if os.path.isdir(root):  # else the workers' package came in an archive itself
+            folder = tempfile.mkdtemp(prefix="claimgraph-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            sc.addPyFile(shutil.make_archive(f"{folder}/claimgraph", "zip", root, "claimgraph"))
+        sc._claimgraph_shipped = True
+
+
+#: Tables staged inside the open ``scratch`` blocks.
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[..., DataFrame]]:
+    """Removes the tables staged inside the block when it ends, in success or failure. What it yields stages a result that stays; inside another
+    block, until that one ends."""
+    _OPEN.append([])
+
+    def keep(df: DataFrame, name: str = "result") -> DataFrame:
+        mine = _OPEN.pop()
+        try:
+            return staged(df, name)
+        finally:
+            _OPEN.append(mine)
+
+    try:
+        yield keep
+    finally:
+        unstage(*_OPEN.pop())
+
+
 def staged(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_folder(spark)}/claimgraph/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     before = spark.conf.get(CLEAN_UP, None)
@@ -50,6 +89,8 @@ def staged(df: DataFrame, name: str = "step") -> DataFrame:
             spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(schema).parquet(path)
     out._staged_path = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
