@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.iterate import staged, unstage
+from ..operators.iterate import scratch, ship, staged, unstage
 
 WORD = r"[^\x20\x09-\x0D]+"
 

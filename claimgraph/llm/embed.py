@@ -6,10 +6,10 @@ are cut into cells, the last orders a cell; a pair collides in a list if it shar
 in the query-centred window of the last projection. Collisions are counted over all lists, and pairs with
 the calibrated count are verified by their exact cosine. Lists and count come from the wanted recall.
 
-A list is a sort of the vectors; nothing is emitted per pair. Sorted runs are cut into blocks of bounded
-size, each block with the window before it. A pair that collides in several lists is counted in the first of
-them alone, which both vectors' projections tell. So a block gives the links per vector and, for
-components, a spanning forest of its links.
+In a list, vectors meet by cell and are cut by their last projection into blocks of bounded size, each with the window
+before it; in a block one side is sorted and each vector takes the stretch of its window. A pair that collides in several lists is
+counted in the first of them alone, which both vectors' projections tell. So a block gives the links per vector and, for
+components, a spanning forest of its links; no pair is emitted.
 
 Vectors are compared with those of their own length, one length after the other.
 
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh_key, spread, staged
+from .common import connected_components, fresh_key, scratch, spread, staged
 
 THRESHOLD, RECALL, WANTED_COUNT = 0.95, 0.995, 2
 #: Cell width and window in units of the threshold's distance; projections that are cut into cells, per list.
@@ -80,19 +80,33 @@ def _unit(column: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def window_pairs(cells: np.ndarray, values: np.ndarray, cells2: np.ndarray, values2: np.ndarray, window: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of both sides with equal cells and values at most about ``window`` apart: one side is sorted by (cell, value), and each of the other
+    takes the stretch of its window."""
+    names = np.unique(np.concatenate([cells, cells2]), return_inverse=True)[1]
+    low = min(values.min(initial=0.0), values2.min(initial=0.0))
+    span = max(values.max(initial=0.0), values2.max(initial=0.0)) - low + 4 * window + 1
+    keys, keys2 = names[: len(cells)] * span + (values - low), names[len(cells) :] * span + (values2 - low)
+    order = np.argsort(keys2)
+    starts, ends = (np.searchsorted(keys2[order], keys + side * (window + 1e-9), how) for side, how in ((-1, "left"), (1, "right")))
+    n = ends - starts
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(np.arange(len(keys)), n), order[np.repeat(starts, n) + within]
+
+
 def block_links(own: np.ndarray, own_ids: np.ndarray, other: np.ndarray, other_ids: np.ndarray, at: int, lists: Lists, threshold: float, count: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (rows of own, rows of other) that first collide in list ``at``, collide often enough and reach the threshold."""
     window = WINDOW * lists.distance
     cells, values = lists.place(own)
     cells2, values2 = lists.place(other)
-    i, j = np.nonzero((cells[:, None, at] == cells2[None, :, at]) & (np.abs(values[:, None, at] - values2[None, :, at]) <= window))
+    i, j = window_pairs(cells[:, at], values[:, at], cells2[:, at], values2[:, at], window)
     if same:
         i, j = i[i < j], j[i < j]
     out_i, out_j = [], []
     for low in range(0, len(i), 100_000):
         a, b = i[low : low + 100_000], j[low : low + 100_000]
         hit = (cells[a] == cells2[b]) & (np.abs(values[a] - values2[b]) <= window)
-        good = (hit.sum(1) >= count) & ~hit[:, :at].any(1)
+        good = hit[:, at] & (hit.sum(1) >= count) & ~hit[:, :at].any(1)
         a, b = a[good], b[good]
         good = np.einsum("ij,ij->i", own[a], other[b]) >= threshold
         out_i.append(a[good])
@@ -179,6 +193,11 @@ def vector_links(vectors: DataFrame, dim: int, threshold: float = THRESHOLD, rec
 
 def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding)."""
+    with scratch() as keep:
+        return keep(_near_vectors(rows, threshold, recall), "embed-result")
+
+
+def _near_vectors(rows: DataFrame, threshold: float, recall: float) -> DataFrame:
     vector = F.transform("embedding", lambda x: x.cast("double"))
     bad = F.exists("v_", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     norm = F.sqrt(F.aggregate("v_", F.lit(0.0), lambda s, x: s + x * x))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, fresh_key, in_filter, staged, unstage
+from .common import bit_filter, fresh_key, in_filter, scratch, staged, unstage
 from .words import mix64, text_bytes, word_hashes, word_spans
 
 DISCOUNT, ADD = 0.75, 0.5
@@ -409,4 +409,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, sent: tuple[int, int] =
 
 
 def op2_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    with scratch() as keep:
+        return keep(score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")), "lm-result")

@@ -347,7 +347,8 @@ def digests(pages: DataFrame) -> DataFrame:
     """Per document: sizes, hashes and features of what its pages hold.
 
     ``pages`` has media_bytes and media_sha256 too; a document's pages follow each other in a partition, as
-    ``tiff_pages`` emits them, so they are put together in the stream, and nothing is shuffled.
+    ``tiff_pages`` emits them, so they are put together in the stream, and nothing is shuffled. A file with an error (broken,
+    empty or null) keeps its sizes and hash; its payload columns are null and ``feature`` tells the error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,7 +357,11 @@ def digests(pages: DataFrame) -> DataFrame:
         held: list[dict] = []
 
         def close() -> tuple:
-            first, data = held[0], b"".join(p["samples"] for p in held)
+            first = held[0]
+            broken = next((p.get("error") or "no samples" for p in held if p["samples"] is None), None)
+            if broken is not None:
+                return (first["doc_id"], first["n_bytes"], None, None, None, first["media_bytes"], first["media_sha256"], f"error={broken}")
+            data = b"".join(p["samples"] for p in held)
             return (first["doc_id"], first["n_bytes"], len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-ROW:]), first["media_bytes"], first["media_sha256"], feature(np.frombuffer(data, np.uint8), len(held)))
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -382,4 +387,4 @@ def op8_tiff(spark, sf_dir: str) -> DataFrame:
 
     stored = store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     stored = stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
-    return digests(tiff_pages(stored).select("doc_id", "n_bytes", "media_bytes", "media_sha256", "page", "samples"))
+    return digests(tiff_pages(stored).select("doc_id", "n_bytes", "media_bytes", "media_sha256", "page", "samples", "error"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, running_sums, spread, staged
+from .common import WORD, running_sums, scratch, spread, staged
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -168,10 +168,10 @@ def mixed_documents(docs: DataFrame, shard_column: str | None = None, slice_rows
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
-    draws = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    taken = F.col("words") > 0
-    return (
-        draws.groupBy("row_id", "doc_id", "size", "source_size", "target")
-        .agg(F.sum("words").alias("taken"), F.count_distinct(F.when(taken, F.col("epoch"))).alias("draws"), F.array_sort(F.collect_set(F.when(taken, F.col("shard")))).alias("shards"))
-        .drop("row_id")
-    )
+    with scratch() as keep:
+        draws = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+        taken = F.col("words") > 0
+        out = draws.groupBy("row_id", "doc_id", "size", "source_size", "target").agg(
+            F.sum("words").alias("taken"), F.count_distinct(F.when(taken, F.col("epoch"))).alias("draws"), F.array_sort(F.collect_set(F.when(taken, F.col("shard")))).alias("shards")
+        )
+        return keep(out.drop("row_id"), "mix-taken")

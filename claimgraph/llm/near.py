@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Membership, connected_components, fresh_key, staged, unstage
+from .common import Membership, connected_components, fresh_key, scratch, staged, unstage
 from .words import mix64, shingles, text_bytes, word_hashes, word_spans
 
 STEP = 400
@@ -377,4 +377,5 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return similar_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4, percent=85).drop("whole")
+    with scratch() as keep:
+        return keep(similar_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4, percent=85).drop("whole"), "near-classes")

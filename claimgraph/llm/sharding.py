@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_key, running_sums, spread, staged
+from .common import fresh_key, running_sums, scratch, spread, staged
 
 FAN_IN = 256
 
@@ -112,5 +112,6 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:
-    placed = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    with scratch() as keep:
+        placed = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+        return keep(placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")), "shard-slots")

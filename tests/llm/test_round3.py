@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import os
 import re
 import zlib
 from collections import Counter
@@ -10,7 +11,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from claimgraph.llm import centroids, phrases, toxicity
+from claimgraph.llm import centroids, embed, lm, media, mixing, near, phrases, sharding, toxicity
+from claimgraph.operators import iterate
+from conftest import DATA
 
 DOCS = "doc_id long, text string, lang string, a string, w_ int, rank int"
 VECTORS = "vec_id long, embedding array<float>, v int, n int, cluster int"
@@ -228,3 +231,32 @@ def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {(r.score, r.predicted) for r in toxicity.score_documents(docs, none).collect()} == {(0.0, 0)}
     assert toxicity.score_documents(docs.where("false"), none).collect() == []
+
+
+def test_window_pairs_are_all():
+    rng = np.random.default_rng(5)
+    cells, cells2 = rng.integers(-3, 3, 200), rng.integers(-3, 3, 150)
+    values, values2 = rng.normal(size=200), rng.normal(size=150)
+    i, j = embed.window_pairs(cells, values, cells2, values2, 0.3)
+    want = np.argwhere((cells[:, None] == cells2[None]) & (np.abs(values[:, None] - values2[None]) <= 0.3))
+    assert {tuple(x) for x in want} <= set(zip(i.tolist(), j.tolist())) and len(i) < len(want) * 1.01 + 2
+    assert len(embed.window_pairs(cells[:0], values[:0], cells2, values2, 0.3)[0]) == 0
+
+
+def test_broken_files_keep_a_row(spark):
+    files = spark.createDataFrame([(1, 4, bytearray(b"junk"), 4, "x"), (2, 0, None, None, None), (3, 3, bytearray(media.store(media.payload_of(b"abc"))), 9, "y")], "doc_id long, n_bytes long, media binary, media_bytes long, media_sha256 string")
+    got = {r.doc_id: r for r in media.digests(media.tiff_pages(files).select("doc_id", "n_bytes", "media_bytes", "media_sha256", "page", "samples", "error")).collect()}
+    assert set(got) == {1, 2, 3}
+    for k in (1, 2):
+        assert got[k].payload_sha256 is None and got[k].payload_bytes is None and got[k].feature.startswith("error=")
+    assert got[3].payload_bytes == 64 and got[3].payload_sha256 == hashlib.sha256(b"abc" + bytes(61)).hexdigest() and got[3].media_sha256 == "y"
+
+
+def test_queries_leave_their_result_alone(spark):
+    folder = iterate.shared_folder(spark).removeprefix("file://") + "/claimgraph"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    for query, left in ((mixing.op3_mixing, "mix-taken"), (sharding.op5_sharding, "shard-slots"), (embed.op7_embeddings, "embed-result"), (near.op6_ngram_jaccard, "near-classes"), (lm.op2_lm_scoring, "lm-result")):
+        assert query(spark, DATA).count()
+        new = set(os.listdir(folder)) - before
+        assert [x.rsplit("-", 1)[0] for x in new] == [left], new
+        before |= new
