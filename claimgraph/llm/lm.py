@@ -92,6 +92,21 @@ def _document_pairs(column: pa.Array, part: int = 0, parts: int = 1) -> tuple[np
     return of, table[at % wide], table[word], own, own_word, own_before, n
 
 
+def _part_pairs(column: pa.Array, part: int, parts: int) -> tuple[np.ndarray, ...]:
+    """Each text's distinct bigrams whose word before is in ``part``: text, hashes of both words, and how often the text has it; no more of the text
+    than the part is sorted."""
+    hashes, first = _words(column)
+    n = np.diff(first)
+    row = np.repeat(np.arange(len(n)), n)
+    before = np.empty_like(hashes)
+    before[1:] = hashes[:-1]
+    before[first[:-1][n > 0]] = START
+    mine = np.flatnonzero(_in_part(before, part, parts))
+    row, before, word = row[mine], before[mine], hashes[mine]
+    _, index, own = np.unique(mix64(_pair_hashes(before, word) + row.astype(np.uint64)), return_index=True, return_counts=True)
+    return row[index], before[index], word[index], own
+
+
 def marked_documents(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """doc_id, text, is_target, staged. The labels grow with the documents: joined by a merge at every size, never broadcast."""
     marked = docs.select("doc_id", "text").join(targets.withColumn("is_target", F.lit(True)).hint("merge"), "doc_id", "left")
@@ -118,7 +133,7 @@ def count_bigrams(marked: DataFrame, part: int = 0, parts: int = 1) -> DataFrame
         for whole in batches:
             for low in range(0, whole.num_rows, STEP):
                 batch = whole.slice(low, STEP)
-                row, before, word, own, *_ = _document_pairs(batch.column(0), part, parts)
+                row, before, word, own = _part_pairs(batch.column(0), part, parts)
                 good = np.array(batch.column(1).to_pylist(), bool)
                 held.append((before, word, own, good[row]))
                 rows += len(row)
