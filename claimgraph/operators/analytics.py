@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -84,6 +86,90 @@ def betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame | None = N
     return nodes.select("id").join(total, "id", "left").select("id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
+def sampled_betweenness(nodes: DataFrame, edges: DataFrame, error: float = 0.01, chance: float = 0.1, seed: int = 11, most: int = 1 << 20, first: int = 1024, long: int = 12) -> DataFrame:
+    """A3 for large graphs: betweenness estimated from random shortest paths (Riondato and Kornaropoulos, 2016): id, betweenness, samples, error.
+
+    Pairs of nodes are drawn by hashes; both ends of a pair grow frontiers over its own rows until they meet, and one of its shortest paths is drawn,
+    each with its share, by path counts. A node's estimate is the share of samples whose path it lies inside, times n (n - 1), the scale of the exact
+    form. Samples double until a bound on all nodes at once (Hoeffding and a union over nodes and rounds) is below ``error``, as a share of the pairs; so the
+    state is the samples' frontiers, never a row per pair of nodes. ``error`` in the result is the bound reached, and less than asked for where ``most`` samples end it.
+    Pairs further apart than ``2 * long`` hops count as unconnected.
+    """
+    ids = cut(numbered(cut(nodes.select("id").distinct()), ["id"], "no"))
+    n = ids.count()
+    if n < 3:
+        return nodes.select("id", F.lit(0.0).alias("betweenness"), F.lit(0).cast("long").alias("samples"), F.lit(0.0).alias("error"))
+    p = cut(pairs(edges))
+    spark, done, size, rounds, hits = edges.sparkSession, 0, first, 0, None
+    while True:
+        rounds += 1
+        draw = lambda k: F.pmod(F.xxhash64("sample", F.lit(seed), F.lit(k)), F.lit(n)) + 1
+        drawn = spark.range(done, done + size).select(F.col("id").alias("sample")).select("sample", draw(0).alias("s_"), draw(1).alias("t_")).where("s_ <> t_")
+        drawn = drawn.join(ids.select(F.col("no").alias("s_"), F.col("id").alias("s")), "s_").join(ids.select(F.col("no").alias("t_"), F.col("id").alias("t")), "t_").select("sample", "s", "t")
+        inner = _drawn_paths(cut(drawn), p, seed, long)
+        part = cut(inner.groupBy("id").agg(F.count("*").alias("hits")))
+        hits = part if hits is None else cut(hits.union(part).groupBy("id").agg(F.sum("hits").alias("hits")))
+        done += size
+        # two-sided Hoeffding over n nodes; round k may fail with chance / 2^k
+        bound = (math.log(2 * n * 2**rounds / chance) / (2 * done)) ** 0.5
+        if bound <= error or done * 2 > most:
+            break
+        size = done
+    scale = F.col("hits") / done * n * n  # ends are drawn from n^2 pairs, of which those of a node with itself have no path
+    out = nodes.select("id").join(hits, "id", "left").select("id", F.coalesce(scale, F.lit(0.0)).alias("betweenness"), F.lit(done).cast("long").alias("samples"), F.lit(bound).alias("error"))
+    return cut(out)
+
+
+def _drawn_paths(drawn: DataFrame, p: DataFrame, seed: int, long: int) -> DataFrame:
+    """(sample, id): the inner nodes of one shortest path of each (sample, s, t) that has any, drawn with equal chances."""
+    ahead = [cut(drawn.select("sample", F.col("s").alias("v"), F.lit(1.0).alias("paths")))]
+    behind = [cut(drawn.select("sample", F.col("t").alias("v"), F.lit(1.0).alias("paths")))]
+    seen = {True: ahead[0].select("sample", "v"), False: behind[0].select("sample", "v")}
+    open_, out = drawn.select("sample"), None
+
+    def grow(levels: list[DataFrame], forward: bool) -> None:
+        own, other = ("source", "target") if forward else ("target", "source")
+        step = levels[-1].join(open_, "sample", "left_semi").join(p, F.col("v") == F.col(own)).groupBy("sample", F.col(other).alias("v")).agg(F.sum("paths").alias("paths"))
+        levels.append(cut(step.join(seen[forward], ["sample", "v"], "left_anti")))
+        seen[forward] = seen[forward].union(levels[-1].select("sample", "v"))
+
+    for hop in range(2 * long):
+        # the distance is ``hop + 1``: frontiers a hops from s and b from t meet, where a + b is the distance
+        grow(ahead if hop % 2 == 0 else behind, hop % 2 == 0)
+        a, b = len(ahead) - 1, len(behind) - 1
+        meet = ahead[a].join(behind[b].select("sample", "v", F.col("paths").alias("back")), ["sample", "v"]).join(open_, "sample", "left_semi")
+        chosen = cut(_one_of(meet.select("sample", "v", (F.col("paths") * F.col("back")).alias("weight")), seed + hop).select("sample", F.col("v").alias("at")))
+        if not chosen.isEmpty():
+            found = chosen.select("sample", F.col("at").alias("id"), F.lit(a).alias("from_s"), F.lit(b).alias("from_t"))
+            way, home = chosen, chosen
+            for k in range(a - 1, 0, -1):  # back to s: each time one of the predecessors, by its paths from s
+                way = _step(way, ahead[k], p, True, seed + 100 + k)
+                found = found.union(way.select("sample", F.col("at").alias("id"), F.lit(k), F.lit(-1)))
+            for k in range(b - 1, 0, -1):  # on to t
+                home = _step(home, behind[k], p, False, seed + 200 + k)
+                found = found.union(home.select("sample", F.col("at").alias("id"), F.lit(-1), F.lit(k)))
+            inner = cut(found.where("from_s <> 0 and from_t <> 0").select("sample", "id"))
+            out = inner if out is None else out.union(inner)
+            open_ = cut(open_.join(chosen, "sample", "left_anti"))
+        if open_.isEmpty() or ahead[-1].isEmpty() or behind[-1].isEmpty():
+            break
+    unstage(*ahead, *behind)
+    return out if out is not None else drawn.select("sample", F.col("s").alias("id")).where("false")
+
+
+def _step(at: DataFrame, level: DataFrame, p: DataFrame, back: bool, seed: int) -> DataFrame:
+    """The next node of each sample's path, drawn among its neighbours in ``level`` by their numbers of paths."""
+    here, there = ("target", "source") if back else ("source", "target")
+    near = at.join(p, F.col("at") == F.col(here)).select("sample", F.col(there).alias("v")).join(level, ["sample", "v"])
+    return cut(_one_of(near.select("sample", "v", F.col("paths").alias("weight")), seed).select("sample", F.col("v").alias("at")))
+
+
+def _one_of(rows: DataFrame, seed: int) -> DataFrame:
+    """One row of each sample, with chances by ``weight``: the least of exponential variables with these rates."""
+    u = (F.shiftrightunsigned(F.xxhash64("sample", "v", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    return rows.groupBy("sample").agg(F.min_by("v", -F.log(u) / F.col("weight")).alias("v"))
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-8) -> DataFrame:
     """A4: PageRank over distinct pairs; dangling mass spread evenly; stops at an L1 change below tol (0: never).
 

@@ -71,40 +71,35 @@ def _matching(pattern: str):
     return lambda s: s.rlike(f"(?i){pattern}")
 
 
-#: Requests that one scan of the corpus takes along; more are taken in as many scans.
-REQUESTS = 2000
-
-
-def _asked(pubs: DataFrame, targets: DataFrame, *names: str, aliases: dict[str, list[str]] = {}) -> DataFrame:
+def _asked(pubs: DataFrame, targets: DataFrame, *names: str, aliases: dict[str, list[str]] = {}, size: int = 3) -> DataFrame:
     """Papers with every request (run_id and one value of each of ``names``) whose first value, or an alias, they mention in compact form.
 
-    The corpus is scanned with the requests as one literal list, and only matches become rows: no paper is paired with a
-    request that it doesn't mention.
+    An inverted join: each value is anchored on that of its runs of ``size`` characters which the fewest papers have; papers meet values on these
+    anchors, and what meets is verified in the text. Runs are of a-z and 0-9, so there are at most 36^size of them, whatever is asked for: papers are
+    looked through for them in place, and only what they have of them travels. No request comes to the driver. A value of fewer characters is anchored on
+    itself; one without any meets nothing.
     """
     t = targets
     for n in names:
         t = t.select("*", F.explode(n).alias(n[:-1])).drop(n)
     values = [n[:-1] for n in names]
-    rows = t.select("run_id", *values).distinct().orderBy("run_id", *values).collect()  # requests are typed by people
-    papers = pubs.where("coalesce(abstract, '') <> '' and coalesce(pmid, '') <> ''").withColumn("compact_", T.compact_label("abstract"))
-    kind = "array<struct<" + ",".join(f"{c}:string" for c in ("run_id", *values)) + ">>"
-    out = None
-    for low in range(0, max(1, len(rows)), REQUESTS):
-        part = rows[low : low + REQUESTS]
-        by_key: dict[str, list] = {}
-        for r in part:
-            by_key.setdefault(r[values[0]], []).append(r)
-        hits = []
-        for v, group in by_key.items():
-            said = F.lit(False)
-            for name in [v, *aliases.get((v or "").lower(), [])]:
-                key = T.compact_label(F.lit(name))
-                said = said | ((F.length(key) > 0) & F.contains(F.col("compact_"), key))
-            hits.append(F.when(said, F.array(*(F.struct(*(F.lit(r[c]).cast("string").alias(c) for c in ("run_id", *values))) for r in group))))
-        found = F.flatten(F.array_compact(F.array(*hits))) if hits else F.array().cast(kind)
-        one = papers.withColumn("asked_", found).select(*(c for c in pubs.columns if c not in ("run_id", *values)), F.inline("asked_"))
-        out = one if out is None else out.union(one)
-    return out
+    wanted = t.select("run_id", *values).distinct()
+    first = F.col(values[0])
+    own = F.array(first)
+    for name, others in aliases.items():
+        own = F.when(F.lower(first) == name, F.concat(F.array(first), F.array(*map(F.lit, others)))).otherwise(own)
+    said = wanted.select(first.alias("value_"), F.explode(own).alias("said_")).select("value_", T.compact_label("said_").alias("key_")).where("key_ <> ''").distinct()
+    texts = pubs.where("coalesce(abstract, '') <> '' and coalesce(pmid, '') <> ''").withColumns({"paper_": F.xxhash64("pmid", "abstract"), "compact_": T.compact_label("abstract")})
+    runs = lambda c, n: F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?=(.{{{n}}}))"), F.lit(1)))
+    parts = said.select("value_", "key_", F.explode(F.when(F.length("key_") >= size, runs(F.col("key_"), size)).otherwise(F.array("key_"))).alias("run_"))
+    cut = texts.select("paper_", F.explode(F.concat(*(runs(F.col("compact_"), n) for n in range(1, size + 1)))).alias("run_"))
+    often = cut.join(F.broadcast(parts.select("run_").distinct()), "run_", "left_semi").groupBy("run_").agg(F.count("*").alias("n_"))
+    anchors = parts.join(often, "run_", "left").groupBy("value_", "key_").agg(F.min(F.struct(F.coalesce("n_", F.lit(0)).alias("n_"), "run_")).alias("x_")).select("value_", "key_", F.col("x_.run_").alias("run_"))
+    met = cut.join(F.broadcast(anchors.select("run_").distinct()), "run_", "left_semi").join(anchors, "run_").select("paper_", "value_", "key_")
+    found = met.join(texts.select("paper_", "compact_"), "paper_").where(F.contains("compact_", F.col("key_"))).select("paper_", "value_").distinct()
+    rows = found.join(wanted, F.col("value_").eqNullSafe(first)).drop("value_")
+    keep = [c for c in pubs.columns if c not in ("run_id", *values)]
+    return texts.select("paper_", *keep).join(rows, "paper_").select(*keep, "run_id", *values)
 
 
 def extract_drug_claims(pubs: DataFrame, targets: DataFrame, direct_cues: str = DIRECT_CUES, indirect_cues: str = INDIRECT_CUES) -> DataFrame:

@@ -227,3 +227,64 @@ def test_default_motifs(spark):
     r = got["IL-4/IL-13 effector axis"]
     assert (r.edges_present, r.edges_total, r.nodes_present, r.nodes_total, r.pmid_count, r.category) == (2, 2, 3, 3, 2, "positive feedback loop")
     assert got["IL-5 eosinophil amplification"].nodes_present == 2
+
+
+def test_requests_meet_papers_that_mention_them(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("aAb1-β ") for _ in range(n))
+    pubs = [(str(k), word(rng.randint(0, 40)), 2000, "human") for k in range(60)] + [("60", None, 1, "x"), (None, "ab ab", 1, "x"), ("", "ab ab", 1, "x"), ("5", "TNF-alpha and tumor necrosis factor", 1, "x")] * 2
+    targets = [(f"r{k}", [word(rng.randint(1, 4)) for _ in range(3)] + [None, "...", "tnf"], [word(2)]) for k in range(6)]
+    p = spark.createDataFrame(pubs, "pmid string, abstract string, year int, species string")
+    t = spark.createDataFrame(targets, "run_id string, genes array<string>, drugs array<string>")
+    aliases = {"tnf": ["tumor necrosis factor"]}
+    flat = lambda x: "".join(c for c in (x or "").lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789")
+    want = []
+    for pmid, abstract, *_ in pubs:
+        for run, genes, drugs in targets:
+            for g in set(genes):
+                keys = [flat(x) for x in [g, *aliases.get((g or "").lower(), [])]]
+                want += [(pmid, run, g, d) for d in set(drugs) if pmid and abstract and any(k and k in flat(abstract) for k in keys)]
+    got = X._asked(p, t, "genes", "drugs", aliases=aliases)
+    assert sorted((r.pmid, r.run_id, r.gene, r.drug) for r in got.collect()) == sorted(want) and want
+
+
+def exact_betweenness(nodes, pairs):
+    after = {n: [t for s, t in pairs if s == n] for n in nodes}
+    score = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        level, paths, dist, order = [s], {s: 1.0}, {s: 0}, [s]
+        while level:
+            nxt = []
+            for v in level:
+                for w in after[v]:
+                    if w not in dist:
+                        dist[w], paths[w] = dist[v] + 1, 0.0
+                        nxt.append(w)
+                        order.append(w)
+                    if dist[w] == dist[v] + 1:
+                        paths[w] += paths[v]
+            level = nxt
+        delta = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in order:
+                if w in after[v] and dist[w] == dist[v] + 1:
+                    delta[v] += paths[v] / paths[w] * (1 + delta[w])
+            if w != s:
+                score[w] += delta[w]
+    return score
+
+
+def test_sampled_betweenness_is_near_the_exact_one(spark):
+    rng = random.Random(6)
+    names = [f"n{k:02d}" for k in range(24)]
+    pairs = sorted({(rng.choice(names), rng.choice(names)) for _ in range(60)} - {(n, n) for n in names})
+    nodes, edges = spark.createDataFrame([(n,) for n in names], "id string"), spark.createDataFrame(pairs, "source string, target string")
+    want = exact_betweenness(names, pairs)
+    exact = {r.id: r.betweenness for r in A.betweenness(nodes, edges).collect()}
+    assert exact == pytest.approx(want)
+    got = A.sampled_betweenness(nodes, edges, error=0.05, first=4096).collect()
+    assert len(got) == 24 and got[0].error <= 0.05
+    worst = max(abs(r.betweenness - want[r.id]) for r in got) / 24**2
+    assert worst <= got[0].error and worst < 0.02 and max(want.values()) / 24**2 > 0.1
+    assert A.sampled_betweenness(nodes.limit(2), edges.limit(0)).count() == 2
+    assert {r.betweenness for r in A.sampled_betweenness(nodes, edges.limit(0), error=0.2).collect()} == {0.0}
