@@ -85,6 +85,12 @@ def run_status(events: DataFrame) -> DataFrame:
     return last.select("run_id", status.alias("status"), "current_agent", "attempts", "last_seq", "first_error_seq")
 
 
+def shortened(text: Column, most: int = 800) -> Column:
+    """A summary, trimmed, with dots after its first ``most`` characters."""
+    text = F.trim(text)
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+
+
 def pair_steps(events: DataFrame) -> DataFrame:
     """Each start with the next completion of the same step before another start; lone completions go.
 
@@ -97,21 +103,25 @@ def pair_steps(events: DataFrame) -> DataFrame:
     rows = steps.withColumns({"agent_": agent_of(events), "next_type": nxt("event_type"), "end_seq": nxt("seq"), "ended_at": nxt("created_at")} | more)
     rows = rows.where("event_type = 'agent_started' and next_type = 'agent_completed'")
     error = F.coalesce("next_is_error", F.lit(False)) if "next_is_error" in more else F.lit(False)
-    text = F.trim("next_summary") if "next_summary" in more else F.lit(None).cast("string")
-    short = F.when(F.length(text) > 800, F.concat(F.substring(text, 1, 800), F.lit("..."))).otherwise(text)
+    short = shortened(F.col("next_summary") if "next_summary" in more else F.lit(None).cast("string"))
     return rows.select("run_id", "step_id", F.col("agent_").alias("agent"), F.col("seq").alias("start_seq"), "end_seq", (F.unix_micros("ended_at") - F.unix_micros("created_at")).alias("duration_us"), error.alias("is_error"), short.alias("summary"))
 
 
+def tokens_of(events: DataFrame) -> Column:
+    """Tokens of an event: its total, else those in and out where the log has them."""
+    tokens = F.col("tokens") if "tokens" in events.columns else F.lit(None).cast("long")
+    if {"tokens_in", "tokens_out"} <= set(events.columns):
+        parts = F.coalesce("tokens_in", F.lit(0)) + F.coalesce("tokens_out", F.lit(0))
+        tokens = F.coalesce(tokens, F.when(F.coalesce("tokens_in", "tokens_out").isNotNull(), parts))
+    return tokens
+
+
 def usage_totals(events: DataFrame, budget: int = 2_000_000, cumulative: bool = False) -> DataFrame:
     """Calls and tokens per run, and the first event at which the running total passes the budget.
 
     ``tokens`` may be left out where tokens_in and tokens_out are there. A ``cumulative`` source reports totals: its last record counts.
     """
-    tokens = F.col("tokens") if "tokens" in events.columns else F.lit(None).cast("long")
-    if {"tokens_in", "tokens_out"} <= set(events.columns):
-        parts = F.coalesce("tokens_in", F.lit(0)) + F.coalesce("tokens_out", F.lit(0))
-        tokens = F.coalesce(tokens, F.when(F.coalesce("tokens_in", "tokens_out").isNotNull(), parts))
-    rows = events.withColumn("t_", tokens)
+    rows = events.withColumn("t_", tokens_of(events))
     by = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     running = F.last("t_", ignorenulls=True).over(by) if cumulative else F.sum(F.coalesce("t_", F.lit(0))).over(by)
     total = F.max_by("t_", F.when(F.col("t_").isNotNull(), F.col("seq"))) if cumulative else F.sum("t_")

@@ -390,11 +390,15 @@ PAIRED = f"""with {SEQ}, s as (select *, lead(event_type) over w nt, lead(seq) o
   select run_id, step_id, seq start_seq, ns end_seq, epoch_us(na) - epoch_us(created_at) duration_us%s from s where event_type = 'agent_started' and nt = 'agent_completed'"""
 
 
+def told_events(spark, d):
+    """Events with agents, error flags and summaries."""
+    text = F.when(F.col("seq") % 3 == 0, " short ").when(F.col("seq") % 3 == 1, F.repeat(F.lit("x"), 801))
+    return events(spark, d).withColumns({"agent": F.concat(F.lit("agent "), "step_id"), "is_error": F.col("seq") % 2 == 0, "summary": text})
+
+
 @query("pair_steps", PAIRED.replace("%s", ", 'agent ' || step_id agent, ns % 2 = 0 is_error, case when ns % 3 = 0 then 'short' when ns % 3 = 1 then repeat('x', 800) || '...' end summary"))
 def pair_steps(spark, d):
-    text = F.when(F.col("seq") % 3 == 0, " short ").when(F.col("seq") % 3 == 1, F.repeat(F.lit("x"), 801))
-    e = events(spark, d).withColumns({"agent": F.concat(F.lit("agent "), "step_id"), "is_error": F.col("seq") % 2 == 0, "summary": text})
-    return R.pair_steps(e)
+    return R.pair_steps(told_events(spark, d))
 
 
 @query(
@@ -411,10 +415,13 @@ def usage_totals(spark, d):
   select run_id, count(t) calls, max_by(t, seq) filter (t is not null) total, min(seq) filter (running > 9000) exhausted_at from x group by run_id""",
 )
 def usage_cumulative(spark, d):
+    return R.usage_totals(counted_events(spark, d), 9_000, cumulative=True)
+
+
+def counted_events(spark, d):
     """Records with counters in and out, none in every third."""
     some = F.when(F.col("seq") % 3 < 2, F.col("tokens"))
-    e = events(spark, d).withColumns({"tokens_in": some, "tokens_out": some}).drop("tokens")
-    return R.usage_totals(e, 9_000, cumulative=True)
+    return events(spark, d).withColumns({"tokens_in": some, "tokens_out": some}).drop("tokens")
 
 
 @query(
@@ -478,16 +485,16 @@ def _streamed(spark, d, transform, mode: str, log=None):
     log = staged(log if log is not None else events(spark, d), "stream-log")
     low, high = log.agg(F.min("created_at").cast("double"), F.max("created_at").cast("double")).first()
     batch_of = F.least(F.lit(3), F.floor((F.col("created_at").cast("double") - low) / max(1e-6, high - low) * 4))
-    for k in range(4):  # one after the other, so that the files' times keep the order
-        log.where(batch_of == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    # a quarter of the time at once, in as many files as its tasks write; each run of the stream takes what is new
 
     def sink(batch, n):
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}")
 
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    q = transform(stream).writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    for k in range(4):
+        log.where(batch_of == k).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(log.schema).parquet(f"{base}/in")
+        transform(stream).writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     spark.conf.set("spark.sql.shuffle.partitions", before)
     return spark.read.parquet(f"{base}/out")
 
@@ -513,9 +520,14 @@ def stream_run_status(spark, d):
     return _last(_streamed(spark, d, SE.run_status, "update"), "status", "current_agent", "attempts", "last_seq", "first_error_seq")
 
 
-@query("stream_pair_steps", PAIRED.replace("%s", ""))
+@query("stream_pair_steps", ORACLE["pair_steps"])
 def stream_pair_steps(spark, d):
-    return _streamed(spark, d, SE.pair_steps, "append").drop("batch")
+    return _streamed(spark, d, SE.pair_steps, "append", told_events(spark, d)).drop("batch")
+
+
+@query("stream_usage_cumulative", ORACLE["usage_cumulative"])
+def stream_usage_cumulative(spark, d):
+    return _last(_streamed(spark, d, lambda s: SE.usage_totals(s, 9_000, cumulative=True), "update", counted_events(spark, d)), "calls", "total", "exhausted_at")
 
 
 @query("stream_usage_totals", ORACLE["usage_totals"])

@@ -1,7 +1,8 @@
 """Streaming forms of R1-R6: the same rows as the batch forms, from readStream.
 
 Rows of a run must come in order over micro-batches (as a log does); inside one they may come in any. Forms in update mode give
-a run's row again whenever it changes: the last one counts.
+a run's row again whenever it changes: the last one counts. A run that is silent for longer than ``ttl`` of event time has ended: its state leaves
+the store, and what came later would start anew. Rows more than LATENESS behind the latest are late and dropped, as the watermark has it.
 """
 
 from __future__ import annotations
@@ -13,22 +14,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.runs import MOVES, REOPEN, TERMINAL, agent_of
+from ..operators.runs import MOVES, REOPEN, TERMINAL, agent_of, shortened, tokens_of
 
 LATENESS = "1 hour"
+#: Milliseconds of event time after which a silent run's state goes: 30 days.
+TTL = 30 * 24 * 3600 * 1000
 
 
-def _keyed(events: DataFrame, keys: list[str], fold: Callable, out: str, state: str, mode: str) -> DataFrame:
-    """``fold(key, rows in order, state or None)`` gives the result's rows and the new state."""
+def _keyed(events: DataFrame, keys: list[str], fold: Callable, out: str, state: str, mode: str, ttl: int = TTL) -> DataFrame:
+    """``fold(key, rows in order, state or None)`` gives the result's rows and the new state; ``events`` has created_at."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         rows = pd.concat(list(frames))
         rows = rows.sort_values("seq" if "seq" in rows else ["created_at", "arrival"])
         result, new = fold(key, rows, held.get if held.exists else None)
         held.update(new)
+        latest = int(rows["created_at"].max().timestamp() * 1000)
+        held.setTimeoutTimestamp(max(latest, held.getCurrentWatermarkMs()) + ttl)
         yield result
 
-    return events.groupBy(*keys).applyInPandasWithState(run, out, state, mode, GroupStateTimeout.NoTimeout)
+    stamped = events.withWatermark("created_at", LATENESS)
+    return stamped.groupBy(*keys).applyInPandasWithState(run, out, state, mode, GroupStateTimeout.EventTimeTimeout)
 
 
 def _numbers(values: list) -> pd.Series:
@@ -71,45 +80,49 @@ def run_status(events: DataFrame) -> DataFrame:
         out = pd.DataFrame({"run_id": [key[0]], "status": [status], "current_agent": [agent], "attempts": [attempts], "last_seq": [last], "first_error_seq": _numbers([error if error >= 0 else None])})
         return out, (attempts, end, move, agent, last, error)
 
-    rows = events.select("run_id", "seq", "event_type", agent_of(events).alias("agent_"))
+    rows = events.select("run_id", "seq", "event_type", "created_at", agent_of(events).alias("agent_"))
     schema = "run_id string, status string, current_agent string, attempts long, last_seq long, first_error_seq long"
     return _keyed(rows, ["run_id"], fold, schema, "attempts long, end string, move string, agent string, last long, error long", "update")
 
 
 def pair_steps(events: DataFrame) -> DataFrame:
-    """The open start of each step in keyed state; the step's next event closes or replaces it."""
+    """The open start of each step in keyed state; the step's next event closes or replaces it. All columns of the batch form."""
 
     def fold(key: tuple, rows: pd.DataFrame, state: tuple | None):
-        seq, at = state or (-1, 0)
+        seq, at, agent = state or (-1, 0, None)
         found = []
         for row in rows.itertuples():
             if row.event_type == "agent_started":
-                seq, at = row.seq, row.micros
+                seq, at, agent = row.seq, row.micros, row.agent_ if isinstance(row.agent_, str) else None
             else:
                 if seq >= 0:
-                    found.append((*key, seq, row.seq, row.micros - at))
+                    found.append((*key, agent, seq, row.seq, row.micros - at, bool(row.is_error), row.summary))
                 seq = -1
-        return pd.DataFrame(found, columns=["run_id", "step_id", "start_seq", "end_seq", "duration_us"]), (seq, at)
+        return pd.DataFrame(found, columns=[c.split()[0] for c in PAIRED.split(", ")]), (seq, at, agent)
 
+    has = lambda c, otherwise: F.col(c) if c in events.columns else otherwise
     rows = events.where(F.col("event_type").isin("agent_started", "agent_completed") & F.col("step_id").isNotNull())
-    rows = rows.select("run_id", "step_id", "event_type", "seq", F.unix_micros("created_at").alias("micros"))
-    return _keyed(rows, ["run_id", "step_id"], fold, "run_id string, step_id string, start_seq long, end_seq long, duration_us long", "seq long, at long", "append")
+    rows = rows.select("run_id", "step_id", "event_type", "seq", "created_at", F.unix_micros("created_at").alias("micros"), agent_of(events).alias("agent_"), F.coalesce(has("is_error", F.lit(False)), F.lit(False)).alias("is_error"), shortened(has("summary", F.lit(None).cast("string"))).alias("summary"))
+    return _keyed(rows, ["run_id", "step_id"], fold, PAIRED, "seq long, at long, agent string", "append")
 
 
-def usage_totals(events: DataFrame, budget: int = 2_000_000) -> DataFrame:
-    """Calls, tokens and the event at which the budget ran out, in keyed state per run."""
+PAIRED = "run_id string, step_id string, agent string, start_seq long, end_seq long, duration_us long, is_error boolean, summary string"
+
+
+def usage_totals(events: DataFrame, budget: int = 2_000_000, cumulative: bool = False) -> DataFrame:
+    """Calls, tokens and the event at which the budget ran out, in keyed state per run; tokens as the batch form reads them."""
 
     def fold(key: tuple, rows: pd.DataFrame, state: tuple | None):
         calls, total, gone = state or (0, 0, -1)
         for row in rows.itertuples():
-            if pd.notna(row.tokens):
-                calls, total = calls + 1, total + int(row.tokens)
+            if pd.notna(row.t_):
+                calls, total = calls + 1, int(row.t_) + (0 if cumulative else total)
             if total > budget and gone < 0:
                 gone = row.seq
         out = pd.DataFrame({"run_id": [key[0]], "calls": [calls], "total": _numbers([total if calls else None]), "exhausted_at": _numbers([gone if gone >= 0 else None])})
         return out, (calls, total, gone)
 
-    rows = events.select("run_id", "seq", "tokens")
+    rows = events.select("run_id", "seq", "created_at", tokens_of(events).alias("t_"))
     return _keyed(rows, ["run_id"], fold, "run_id string, calls long, total long, exhausted_at long", "calls long, total long, gone long", "update")
 
 
@@ -126,5 +139,5 @@ def stalled_runs(events: DataFrame, idle: int = 600, total: int = 3600) -> DataF
         out = pd.DataFrame({"run_id": [key[0]], "longest_gap": _numbers([gap]), "length": [high - low], "stalled": [(gap or 0) > idle], "overlong": [high - low > total]})
         return out, (low, high, last, gap)
 
-    rows = events.select("run_id", "seq", F.unix_seconds("created_at").alias("second"))
+    rows = events.select("run_id", "seq", "created_at", F.unix_seconds("created_at").alias("second"))
     return _keyed(rows, ["run_id"], fold, "run_id string, longest_gap long, length long, stalled boolean, overlong boolean", "low long, high long, last long, gap long", "update")
