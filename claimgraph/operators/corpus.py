@@ -241,18 +241,32 @@ def build_strategies(targets: DataFrame, most: int = 8) -> DataFrame:
     return targets.select("run_id", F.posexplode(F.slice(every, 1, most)).alias("pos", "x")).select("run_id", "pos", "x.*")
 
 
+def text_terms(pubs: DataFrame) -> DataFrame:
+    """(pmid, year, term): the distinct words of each text."""
+    words = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "title", "abstract")), r"[^a-z0-9-]+"))
+    return pubs.select("pmid", "year", F.explode(words).alias("term"))
+
+
 def search_corpus(pubs: DataFrame, strategies: DataFrame, per_query: int = 25, cap: int = 120, pages: int = 1) -> tuple[DataFrame, DataFrame]:
     """Corpus search: strategies (strategy, groups: array of any-of term arrays, year_from, year_to) against words of the texts.
 
     Words and terms meet in one equi-join; a document matches if it has a term of each group. Returns
     (strategy, total hits) and the documents retrieved: ``pages`` of ``per_query`` per strategy by recency, each once with its first
-    page, ``cap`` overall.
+    page, ``cap`` overall. ``sources.index`` keeps the words, so that later searches read no text.
     """
-    words = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "title", "abstract")), r"[^a-z0-9-]+"))
-    tokens = pubs.select("pmid", "year", F.explode(words).alias("term"))
+    return search_terms(text_terms(pubs), strategies, per_query, cap, pages)
+
+
+def matching_documents(tokens: DataFrame, strategies: DataFrame) -> DataFrame:
+    """(strategy, pmid, year): documents with a term of each group, among (pmid, year, term)."""
     terms = strategies.select("strategy", F.size("groups").alias("n_groups"), "year_from", "year_to", F.posexplode("groups").alias("g", "any")).select("strategy", "n_groups", "year_from", "year_to", "g", F.explode("any").alias("term"))
     hits = tokens.join(terms, "term").where("year between year_from and year_to")
-    found = hits.groupBy("strategy", "pmid").agg(F.count_distinct("g").alias("got"), F.first("n_groups").alias("n_groups"), F.first("year").alias("year")).where("got = n_groups")
+    return hits.groupBy("strategy", "pmid").agg(F.count_distinct("g").alias("got"), F.first("n_groups").alias("n_groups"), F.first("year").alias("year")).where("got = n_groups").select("strategy", "pmid", "year")
+
+
+def search_terms(tokens: DataFrame, strategies: DataFrame, per_query: int = 25, cap: int = 120, pages: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The search over (pmid, year, term)."""
+    found = matching_documents(tokens, strategies)
     totals = found.groupBy("strategy").agg(F.count("*").alias("total"))
     by = Window.partitionBy("strategy").orderBy(F.desc("year"), F.col("pmid").cast("long"))
     picked = found.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= per_query * pages)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -10,6 +12,8 @@ from ..functions import text as T
 from ..operators import corpus as C
 from ..operators import extract as X
 from ..operators import gates as GT
+from ..operators.iterate import shared_folder
+from ..sources import index
 from . import testviews as V
 
 QUERIES: dict = {}
@@ -407,6 +411,30 @@ def reusable_runs(spark, d):
     return C.reusable_runs(runs, runs, ["o_custkey", "o_orderpriority"])
 
 
+def indexed(spark, d):
+    base = f"{shared_folder(spark)}/claimgraph/index-{uuid.uuid4().hex}"
+    index.write_index(V.publications(spark, d), base)
+    return base
+
+
+@query("search_index", ORACLE["search_corpus"])
+def search_index(spark, d):
+    """The same search, from an index of the corpus."""
+    return index.search_index(spark, indexed(spark, d), search_strategies(spark))[0]
+
+
+@query(
+    "search_pages",
+    ORACLE["search_retrieved"].split("select pmid, string_agg")[0] + """select strategy, "year", pmid, cast(rn - 10 as integer) rank from f where rn between 11 and 20""",
+)
+def search_pages(spark, d):
+    """Each strategy's second page, by the cursor of the first."""
+    base = indexed(spark, d)
+    first = index.next_page(spark, base, search_strategies(spark), per_query=10)
+    cursor = first.groupBy("strategy").agg(F.max_by(F.struct("year", "pmid"), "rank").alias("x")).select("strategy", "x.*")
+    return index.next_page(spark, base, search_strategies(spark), cursor, per_query=10)
+
+
 TEMPLATES = [("thing", "activates", "thble", "thing.*?thble"), ("erble", "suppresses", "attion", "erble.*?attion"), ("ander", "induces", "onthe", "ander.*?onthe"), ("thing", "induces", "erble", "thing.*?erble")]
 TEMPLATE_SQL = "tpl as (select * from (values " + ", ".join(f"('{s}','{r}','{t}','{p}')" for s, r, t, p in TEMPLATES) + ") t(source, relation, target, pattern))"
 EXTRACTED = (

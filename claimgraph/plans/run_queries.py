@@ -574,6 +574,24 @@ def read_publications_xml(spark, d):
     return io.read_publications_xml(spark, f"{folder}/*").select("pmid", "title", "abstract", "journal", "year", "doi")
 
 
+@query(
+    "quarantined",
+    """select case p_partkey % 10 when 3 then 'corrupt record' when 7 then 'no pmid' else 'accepted' end reason, count(*) records, count(distinct p_partkey % 8) files from part group by 1""",
+)
+def quarantined(spark, d):
+    """Citations of which every tenth is broken and every tenth has no pmid."""
+    tag = lambda name, *inner: F.concat(F.lit(f"<{name}>"), *inner, F.lit(f"</{name}>"))
+    broken, bare = F.col("p_partkey") % 10 == 3, F.col("p_partkey") % 10 == 7
+    title = F.when(broken, F.concat(F.lit("<ArticleTitle>"), "p_name", F.lit("</Wrong>"))).otherwise(tag("ArticleTitle", F.col("p_name")))
+    article = tag("PubmedArticle", tag("MedlineCitation", F.when(bare, F.lit("")).otherwise(tag("PMID", F.col("p_partkey").cast("string"))), tag("Article", title)))
+    folder = f"{shared_folder(spark)}/claimgraph/xml-{uuid.uuid4().hex}"
+    sets = V.table(spark, d, "part").groupBy((F.col("p_partkey") % 8).alias("k")).agg(F.array_join(F.collect_list(article), "").alias("all"))
+    sets.select("k", tag("PubmedArticleSet", F.col("all")).alias("value")).write.partitionBy("k").text(folder)
+    good, bad = io.checked_publications_xml(spark, f"{folder}/*")
+    accepted = good.agg(F.lit("accepted").alias("reason"), F.count("*").alias("records"), F.count_distinct(F.pmod(F.col("pmid").cast("long"), F.lit(8))).alias("files"))
+    return io.quarantine_report(bad).unionByName(accepted)
+
+
 @query("read_graph", f"with {V.EDGES} select source, target, relation, array_to_string(pmids, ',') pmids, pmid_count, n_refs from edges")
 def read_graph(spark, d):
     """Graphs written as documents, one for each sixteenth of the sources, and read back; some edges in the older shape."""

@@ -20,13 +20,23 @@ ARTICLE = (
 
 
 def read_publications_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Bulk citation XML; labelled abstract parts as "LABEL: text", the year from MedlineDate where there is no Year."""
-    raw = spark.read.format("xml").option("rowTag", "PubmedArticle").option("attributePrefix", "_").option("valueTag", "_VALUE").schema(ARTICLE).load(path)
+    """Bulk citation XML; labelled abstract parts as "LABEL: text", the year from MedlineDate where there is no Year. Broken records go (``quarantine``)."""
+    return checked_publications_xml(spark, path)[0]
+
+
+def checked_publications_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """S1 with what is wrong: the publications, and (file, reason, pmid, record) of records that can't be read or have no pmid."""
+    # record by record: text is split at the closing tags, so that a broken record spoils no other and files can be split
+    end = "</PubmedArticle>"
+    text = spark.read.option("lineSep", end).text(path).withColumn("file", F.col("_metadata.file_path"))
+    text = text.select("file", F.concat(F.regexp_extract("value", r"(?s)<PubmedArticle(?=[\s>/]).*", 0), F.lit(end)).alias("x_")).where(F.col("x_") != end)
+    options = {"rowTag": "PubmedArticle", "attributePrefix": "_", "valueTag": "_VALUE", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    raw = text.select("file", F.from_xml("x_", f"{ARTICLE}, {CORRUPT} string", options).alias("r")).select("file", "r.*")
     a = F.col("MedlineCitation.Article")
     part = lambda p: F.when(p["_Label"].isNotNull(), F.concat(p["_Label"], F.lit(": "), p["_VALUE"])).otherwise(p["_VALUE"])
     date = a["Journal"]["JournalIssue"]["PubDate"]
     ids = F.filter("PubmedData.ArticleIdList.ArticleId", lambda i: i["_IdType"] == "doi")
-    return raw.select(
+    rows = raw.select(
         F.col("MedlineCitation.PMID._VALUE").alias("pmid"),
         a["ArticleTitle"].alias("title"),
         F.array_join(F.transform(a["Abstract"]["AbstractText"], part), " ").alias("abstract"),
@@ -36,16 +46,44 @@ def read_publications_xml(spark: SparkSession, path: str) -> DataFrame:
         F.try_element_at(ids, F.lit(1))["_VALUE"].alias("doi"),
         F.transform("MedlineCitation.MeshHeadingList.MeshHeading", lambda m: m["DescriptorName"]["_VALUE"]).alias("mesh_terms"),
         F.transform(a["PublicationTypeList"]["PublicationType"], lambda t: t["_VALUE"]).alias("publication_types"),
+        "file",
+        CORRUPT,
     )
+    return _checked(rows)
+
+
+#: Column of a record that can't be read.
+CORRUPT = "_corrupt_record"
+
+
+def _checked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that can be read and have a pmid; and the others with their reason."""
+    reason = F.when(F.col(CORRUPT).isNotNull(), "corrupt record").when(F.coalesce(F.trim("pmid"), F.lit("")) == "", "no pmid")
+    told = rows.withColumn("reason", reason)
+    bad = told.where("reason is not null")
+    return told.where("reason is null").drop("file", "reason", CORRUPT), bad.select("file", "reason", "pmid", F.coalesce(CORRUPT, F.to_json(F.struct(*(c for c in rows.columns if c not in ("file", CORRUPT))))).alias("record"))
+
+
+def quarantine_report(quarantined: DataFrame) -> DataFrame:
+    """C9 for records that never became publications: how many of each reason, and of how many files."""
+    return quarantined.groupBy("reason").agg(F.count("*").alias("records"), F.count_distinct("file").alias("files"))
 
 
 def read_publications(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet, a JSON list of publications, or one document with a ``publications`` list."""
+    """Parquet, a JSON list of publications, or one document with a ``publications`` list. Broken documents and records go (``quarantine``)."""
+    return checked_publications(spark, path)[0]
+
+
+def checked_publications(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """S2 with what is wrong: the publications, and (file, reason, pmid, record) of documents that can't be read and records without a pmid."""
     if path.rstrip("/").endswith(".parquet"):
-        return spark.read.parquet(path)
-    raw = spark.read.schema(f"{PUBLICATIONS}, publications array<struct<{_as_struct(PUBLICATIONS)}>>").json(path, multiLine=True)
-    wrapped = raw.where("publications is not null").select(F.inline("publications"))
-    return raw.where("publications is null").drop("publications").unionByName(wrapped)
+        raw = spark.read.parquet(path).withColumns({"file": F.col("_metadata.file_path"), CORRUPT: F.lit(None).cast("string")})
+        return _checked(raw)
+    reader = spark.read.option("columnNameOfCorruptRecord", CORRUPT).schema(f"{PUBLICATIONS}, publications array<struct<{_as_struct(PUBLICATIONS)}>>, {CORRUPT} string")
+    raw = reader.json(path, multiLine=True).withColumn("file", F.col("_metadata.file_path"))
+    wrapped = raw.where(f"publications is not null and {CORRUPT} is null").select("file", CORRUPT, F.inline("publications"))
+    alone = raw.where(f"publications is null or {CORRUPT} is not null").drop("publications")
+    return _checked(alone.unionByName(wrapped))
 
 
 def _as_struct(ddl: str) -> str:

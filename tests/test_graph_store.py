@@ -8,12 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimgraph.operators import analytics as A
+from claimgraph.operators import corpus as C
 from claimgraph.operators import evidence as E
 from claimgraph.operators import extract as X
 from claimgraph.operators import graph as G
 from claimgraph.operators import novelty as H
 from claimgraph.schemas import CLAIMS
-from claimgraph.sources import store
+from claimgraph.sources import index, io, store
+from claimgraph.streaming import events as SE
 
 
 def claims(spark, *rows):
@@ -288,3 +290,54 @@ def test_sampled_betweenness_is_near_the_exact_one(spark):
     assert worst <= got[0].error and worst < 0.02 and max(want.values()) / 24**2 > 0.1
     assert A.sampled_betweenness(nodes.limit(2), edges.limit(0)).count() == 2
     assert {r.betweenness for r in A.sampled_betweenness(nodes, edges.limit(0), error=0.2).collect()} == {0.0}
+
+
+def test_broken_documents_are_kept_aside(spark, tmp_path):
+    good = '{"pmid": "1", "title": "t", "year": 2000}'
+    for name, text in {"a.json": f"[{good}]", "b.json": '{"publications": [%s, {"title": "none"}]}' % good.replace('"1"', '"2"'), "c.json": '{"pmid": "3", "title": '}.items():
+        (tmp_path / name).write_text(text)
+    rows, bad = io.checked_publications(spark, str(tmp_path))
+    assert sorted(r.pmid for r in rows.collect()) == ["1", "2"] and "file" not in rows.columns
+    assert sorted((r.file.rsplit("/", 1)[1], r.reason) for r in bad.collect()) == [("b.json", "no pmid"), ("c.json", "corrupt record")]
+    xml = tmp_path / "x.xml"
+    xml.write_text("<Set><PubmedArticle><MedlineCitation><PMID>1</PMID><Article><ArticleTitle>a</ArticleTitle></Article></MedlineCitation></PubmedArticle>\n<PubmedArticle><MedlineCitation><PMID>2</PMIX></MedlineCitation></PubmedArticle><PubmedArticle a='b'><MedlineCitation><PMID>3</PMID></MedlineCitation></PubmedArticle><PubmedArticle><MedlineCitation><PMID>4")
+    rows, bad = io.checked_publications_xml(spark, str(xml))
+    assert sorted(r.pmid for r in rows.collect()) == ["1", "3"]
+    assert [r.reason for r in bad.collect()] == ["corrupt record"] * 2 and all("PMID" in r.record for r in bad.collect())
+
+
+def test_index_reads_its_terms_buckets(spark, tmp_path):
+    pubs = spark.createDataFrame([(str(k), f"title w{k % 7}", f"common w{k % 11} text", 2000 + k % 5) for k in range(200)], "pmid string, title string, abstract string, year int")
+    asked = spark.createDataFrame([("s", [["w3", "w5"], ["common"]], 2001, 2003), ("none", [["zzz"]], 0, 9999)], "strategy string, groups array<array<string>>, year_from int, year_to int")
+    base = str(tmp_path / "index")
+    index.write_index(pubs.where("pmid < '5'"), base)
+    index.write_index(pubs.where("pmid >= '5'"), base, mode="append")
+    for a, b in zip(C.search_corpus(pubs, asked), index.search_index(spark, base, asked)):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    read = index.read_postings(spark, base, asked)
+    assert "PartitionFilters: [bucket" in read._jdf.queryExecution().simpleString().replace("#", " #").split("FileScan")[-1].replace(" #", "#")
+    pages, cursor = [], None
+    while True:
+        page = index.next_page(spark, base, asked, cursor, per_query=7).where("strategy = 's'").orderBy("rank").collect()
+        if not page:
+            break
+        pages += page
+        cursor = spark.createDataFrame([("s", page[-1].year, page[-1].pmid)], "strategy string, year int, pmid string")
+    order = sorted(pages, key=lambda r: (-r.year, int(r.pmid)))
+    assert pages == order and len({r.pmid for r in pages}) == len(pages) == C.search_corpus(pubs, asked)[0].where("strategy = 's'").first().total
+
+
+def test_silent_runs_leave_the_store(spark, tmp_path):
+    log = spark.createDataFrame([("a", 1, "agent_started", "x", 5, 1000.0), ("b", 2, "agent_started", "x", 5, 2000.0)], "run_id string, arrival long, event_type string, step_id string, tokens long, at double")
+    late = spark.createDataFrame([("b", 3, "agent_started", "x", 5, 1e7), ("c", 4, "agent_started", "x", 5, 1e7)], log.schema)
+    last = spark.createDataFrame([("a", 5, "agent_started", "x", 5, 1e7 + 10), ("b", 6, "agent_started", "x", 5, 1e7 + 10)], log.schema)
+    stamped = lambda df: df.withColumn("created_at", F.timestamp_seconds("at")).drop("at")
+    out, before = {}, spark.conf.get("spark.sql.shuffle.partitions")
+    for part in (log, late, last):
+        stamped(part).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(stamped(part).schema).parquet(str(tmp_path / "in"))
+        q = SE.sequence_events(stream).writeStream.foreachBatch(lambda df, n: out.update({r.arrival: r.seq for r in df.collect()})).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    # ``a`` was silent for longer than a month and starts anew; ``b`` goes on
+    assert out[1] == 0 and out[2] == 0 and out[4] == 0 and out[5] == 0 and out[6] == out[3] + 1
