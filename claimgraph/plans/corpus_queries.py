@@ -411,6 +411,24 @@ def reusable_runs(spark, d):
     return C.reusable_runs(runs, runs, ["o_custkey", "o_orderpriority"])
 
 
+@query(
+    "structured_context",
+    """select c_custkey, case c_custkey % 6 when 0 then '' when 1 then 'tissue: known context values require value or identifier' when 2 then 'unknown context fields: organ, zone' when 3 then 'species: unknown context values cannot contain a resolved value|assay: unresolved context values require raw input or value'
+  when 4 then 'model: extra fields: note|assay: unknown status: odd' else 'no object' end errors, case c_custkey % 6 when 0 then 'tissue,cell_type' when 1 then 'tissue' when 2 then 'species' when 3 then 'assay' when 4 then 'assay' else '' end supplied,
+  case when c_custkey % 6 = 0 then c_name else '' end tissue_raw from customer""",
+)
+def structured_context(spark, d):
+    """Contexts of every kind of state, made of the customers."""
+    c = V.table(spark, d, "customer")
+    kind = F.col("c_custkey") % 6
+    text = F.when(kind == 0, F.concat(F.lit('{"tissue": " '), "c_name", F.lit(' ", "cell_type": {"value": "'), "c_mktsegment", F.lit('", "status": "known"}, "model": "  ", "assay": null}')))
+    for k, json in enumerate(['{"tissue": {"status": "known", "reason": "x"}}', '{"zone": "a", "organ": "b", "species": "mouse"}', '{"species": {"value": "mouse"}, "assay": {"status": "unresolved", "value": " "}}', '{"model": {"note": 1}, "assay": {"status": "odd"}}', "liver"]):
+        text = text.when(kind == k + 1, json)
+    x = N.structured_context("x_")
+    rows = c.withColumn("x_", text).select("c_custkey", x.alias("x"))
+    return rows.select("c_custkey", F.array_join("x.errors", "|").alias("errors"), F.array_join("x.supplied", ",").alias("supplied"), F.coalesce("x.tissue.raw", F.lit("")).alias("tissue_raw"))
+
+
 def indexed(spark, d):
     base = f"{shared_folder(spark)}/claimgraph/index-{uuid.uuid4().hex}"
     index.write_index(V.publications(spark, d), base)
@@ -538,6 +556,17 @@ def gated(spark, d):
     return GT.quality_gate(c, ["attion"], V.publications(spark, d))
 
 
+@query(
+    "gate_fallback",
+    TYPED + """, g as (select g.*, 'r' || (cast(pmid as bigint) % 50) run_id from gated g), ok as (select *, source in ('thing', 'erble') main from g where reasons = ''), enough as (select run_id from ok where main group by run_id having count(*) >= 3)
+  select run_id, pmid, source, relation, target, main from ok where main or run_id not in (select run_id from enough)""",
+)
+def gate_fallback(spark, d):
+    """Claims of two templates, with those of the others for runs that have fewer than three accepted."""
+    g = gated(spark, d).withColumns({"run_id": F.concat(F.lit("r"), F.col("pmid").cast("long") % 50), "main": F.col("source").isin("thing", "erble")})
+    return GT.gated_with_fallback(g.where("main"), g.where("not main")).select("run_id", "pmid", "source", "relation", "target", "main")
+
+
 @query("quality_gate", TYPED + " select pmid, source, relation, target, reasons from gated")
 def quality_gate(spark, d):
     return gated(spark, d).select("pmid", "source", "relation", "target", F.array_join("reasons", ",").alias("reasons"))

@@ -357,6 +357,19 @@ def eval_scores(spark, d):
     return R.replace_scores(R.replace_scores(old, s, "hypothesis"), s, "hypothesis").groupBy("session_id", "outcome").agg(F.count("*").alias("n"))
 
 
+@query(
+    "written_scores",
+    f"with {SCORES}, a as (select *, case when session_id < 5 then 'hypothesis' else 'audit' end kind from s) select kind subject_type, session_id, case when kind = 'audit' then outcome else 'second' end outcome, count(*) n from a group by 1, 2, 3",
+)
+def written_scores(spark, d):
+    """Two subject types written, then one of them again: only its partition is replaced."""
+    path = f"{shared_folder(spark)}/claimgraph/scores-{uuid.uuid4().hex}"
+    s = scores(spark, d).withColumn("subject_type", F.when(F.col("session_id") < 5, "hypothesis").otherwise("audit"))
+    R.write_scores(s, path)
+    R.write_scores(s.where("subject_type = 'hypothesis'").withColumn("outcome", F.lit("second")), path)
+    return spark.read.parquet(path).groupBy("subject_type", "session_id", "outcome").agg(F.count("*").alias("n"))
+
+
 SEQ = f"{V.EVENTS}, ev as (select *, row_number() over (partition by run_id order by created_at, arrival) - 1 seq from run_events)"
 
 
