@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ from .words import mix64, text_bytes, word_hashes, word_spans
 DISCOUNT, ADD = 0.75, 0.5
 STEP = 400
 COUNT_PARTS, SCORE_PARTS = 4, 4
+#: Rows of a bucket of counted bigrams (13 MB).
+BUCKET = 1 << 18
 #: The most words and bigrams that are sent to all tasks (75 MB), and the bits of the filters of the others (32 MB).
 SENT_WORDS, SENT_PAIRS, FILTER_BITS = 1 << 20, 1 << 21, 27
 #: Stands before the first word of a text.
@@ -68,33 +71,44 @@ def part_of(before: str, part: int, parts: int) -> Column:
     return F.col(before).bitwiseAND(F.lit(parts - 1)) == part
 
 
-def _document_pairs(column: pa.Array, part: int = 0, parts: int = 1) -> tuple[np.ndarray, ...]:
-    """Each text's distinct bigrams whose word before is in ``part``: text, hash of the word before, hash of the word, and how often the text
-    has the bigram, the word, and the word before as such; last, the number of words of each text."""
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return np.flatnonzero(new)
+
+
+def _sums(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The place of one row of each key, in order of the keys, and the columns' sums over its rows."""
+    order = np.argsort(keys)
+    runs = _runs(keys[order])
+    return order[runs], [np.add.reduceat(c[order], runs) if len(runs) else c for c in columns]
+
+
+def _positions(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of every word of the texts: its text, the word's id and that of the word before; then the hash of each id (0 stands before the first
+    word of a text) and the number of words of each text."""
     hashes, first = _words(column)
     n = np.diff(first)
-    row = np.repeat(np.arange(len(n)), n)
-    words, ids = np.unique(hashes, return_inverse=True)
-    ids = ids.astype(np.int64) + 1
+    codes, words = pd.factorize(hashes)
+    ids = codes.astype(np.int64) + 1
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
     before[first[:-1][n > 0]] = 0
-    wide = len(words) + 1
-    table = np.concatenate([np.array([START]), words])
-    mine = np.flatnonzero(_in_part(table, part, parts)[before]) if parts > 1 else np.arange(len(ids))
-    # how often a text has the word: over the whole text; the word before as such: all of it is in this part
-    word_keys, word_times = np.unique(row * wide + ids, return_counts=True)
-    pairs, own = np.unique((row[mine] * wide + before[mine]) * wide + ids[mine], return_counts=True)
-    at, word = pairs // wide, pairs % wide
-    context_keys, context_at = np.unique(at, return_inverse=True)
-    of, own_before = at // wide, np.bincount(context_at, own, len(context_keys)).astype(np.int64)[context_at]
-    own_word = word_times[np.searchsorted(word_keys, of * wide + word)]
-    return of, table[at % wide], table[word], own, own_word, own_before, n
+    return np.repeat(np.arange(len(n)), n), ids, before, np.concatenate([np.array([START]), words]), n
+
+
+def _document_pairs(row: np.ndarray, before: np.ndarray, ids: np.ndarray, wide: int) -> tuple[np.ndarray, ...]:
+    """Each text's distinct bigrams, in order of these: text, ids of the word before and of the word, and how often the text has it."""
+    pairs, own = np.unique((row * wide + before) * wide + ids, return_counts=True)
+    at = pairs // wide
+    of = at // wide
+    return of, at - of * wide, pairs - at * wide, own
 
 
 def _part_pairs(column: pa.Array, part: int, parts: int) -> tuple[np.ndarray, ...]:
     """Each text's distinct bigrams whose word before is in ``part``: text, hashes of both words, and how often the text has it; no more of the text
-    than the part is sorted."""
+    than the part is counted."""
     hashes, first = _words(column)
     n = np.diff(first)
     row = np.repeat(np.arange(len(n)), n)
@@ -103,7 +117,7 @@ def _part_pairs(column: pa.Array, part: int, parts: int) -> tuple[np.ndarray, ..
     before[first[:-1][n > 0]] = START
     mine = np.flatnonzero(_in_part(before, part, parts))
     row, before, word = row[mine], before[mine], hashes[mine]
-    _, index, own = np.unique(mix64(_pair_hashes(before, word) + row.astype(np.uint64)), return_index=True, return_counts=True)
+    index, (own,) = _sums(mix64(_pair_hashes(before, word) + row.astype(np.uint64)), [np.ones(len(row), np.int64)])
     return row[index], before[index], word[index], own
 
 
@@ -113,22 +127,30 @@ def marked_documents(docs: DataFrame, targets: DataFrame) -> DataFrame:
     return staged(marked.withColumn("is_target", F.coalesce("is_target", F.lit(False))), "lm-documents")
 
 
-def count_bigrams(marked: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
-    """(before, word, n0, n1, d0, d1): of every bigram whose word before is in ``part``, occurrences and texts with it, in all (0) and in the
-    target ones (1); summed in each task and then over all."""
+def count_bigrams(marked: DataFrame, rows: int, part: int = 0, parts: int = 1, least: int = 2) -> DataFrame:
+    """(before, word, n0, n1, d0, d1): of every bigram whose word before is in ``part`` and that ``least`` texts hold, occurrences and texts with it, in all (0)
+    and in the target ones (1); summed in each task and then over all.
+
+    What the tasks counted goes out in buckets of the bigram's hash, each packed. Their number grows with ``rows``, the number of (text, distinct bigram) of the
+    part, so that a bucket has some BUCKET rows whatever the corpus' size: a bigram stands in it once for each 3 million rows of a task at most."""
     names = ["before", "word", "n0", "n1", "d0", "d1"]
+    bits = max(0, (rows // BUCKET).bit_length())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        rows = 0
+        many = 0
 
         def summed() -> Iterator[pa.RecordBatch]:
             before, word, own, good = (np.concatenate([h[k] for h in held]) for k in range(4))
-            _, index, at = np.unique(_pair_hashes(before, word), return_index=True, return_inverse=True)
-            sums = [np.bincount(at, x, len(index)).astype(np.int64) for x in (own, own * good, None, good)]
-            out = [before[index].view(np.int64), word[index].view(np.int64), *sums]
-            for k in range(0, len(index), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in out], names)
+            pair = _pair_hashes(before, word)
+            index, sums = _sums(pair, [own, own * good, np.ones(len(own), np.int64), good.astype(np.int64)])
+            columns = [before[index].view(np.int64), word[index].view(np.int64), *sums]
+            bucket = (pair[index] >> np.uint64(1) >> np.uint64(63 - bits)).astype(np.int64)
+            runs = np.append(_runs(bucket), len(bucket))
+            for low in range(0, len(runs) - 1, 64):
+                cuts = runs[low : low + 65]
+                packed = [np.concatenate([c[a:b] for c in columns]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(packed, pa.binary())], ["bucket", "counts"])
 
         for whole in batches:
             for low in range(0, whole.num_rows, STEP):
@@ -136,15 +158,21 @@ def count_bigrams(marked: DataFrame, part: int = 0, parts: int = 1) -> DataFrame
                 row, before, word, own = _part_pairs(batch.column(0), part, parts)
                 good = np.array(batch.column(1).to_pylist(), bool)
                 held.append((before, word, own, good[row]))
-                rows += len(row)
-                if rows > 3_000_000:  # bounded memory: what has been counted goes out
+                many += len(row)
+                if many > 3_000_000:  # bounded memory: what has been counted goes out
                     yield from summed()
-                    held, rows = [], 0
-        if held:
+                    held, many = [], 0
+        if many:
             yield from summed()
 
-    counted = marked.select("text", "is_target").mapInArrow(count, "before long, word long, n0 long, n1 long, d0 long, d1 long")
-    return counted.groupBy("before", "word").agg(*(F.sum(c).alias(c) for c in names[2:]))
+    def merge(bucket: pa.Table) -> pa.Table:
+        counted = np.concatenate([np.frombuffer(c.as_buffer(), np.int64).reshape(6, -1) for c in bucket.column("counts")], axis=1)
+        index, sums = _sums(_pair_hashes(counted[0].view(np.uint64), counted[1].view(np.uint64)), list(counted[2:]))
+        kept = np.flatnonzero(sums[2] >= least)
+        return pa.table([pa.array(c[kept]) for c in (counted[0][index], counted[1][index], *sums)], names)
+
+    counted = marked.select("text", "is_target").mapInArrow(count, "bucket long, counts binary")
+    return counted.groupBy("bucket").applyInArrow(merge, ", ".join(f"{c} long" for c in names))
 
 
 def count_words(marked: DataFrame) -> DataFrame:
@@ -158,21 +186,22 @@ def count_words(marked: DataFrame) -> DataFrame:
 
         def summed() -> pa.RecordBatch:
             word, *counts = (np.concatenate([h[k] for h in held]) for k in range(8))
-            words, at = np.unique(word, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), *(pa.array(np.bincount(at, c, len(words)).astype(np.int64)) for c in counts)], ["word", *names])
+            index, sums = _sums(word, counts)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (word[index].view(np.int64), *sums)], ["word", *names])
 
         for whole in batches:
             for low in range(0, whole.num_rows, STEP):
                 batch = whole.slice(low, STEP)
-                row, before, word, own, own_word, _, n = _document_pairs(batch.column(0))
-                good = np.array(batch.column(1).to_pylist(), bool)[row]
-                both, at = np.unique(np.concatenate([word, before]), return_inverse=True)
-                as_word, as_before = at[: len(word)], at[len(word) :]
-                total = lambda where, x: np.bincount(where, x, len(both))
-                wide = len(both)
-                texts = np.unique(np.concatenate([row * wide + as_word, row * wide + as_before])) % wide if wide else at
-                sums = [total(as_word, own), total(as_word, own * good), total(as_before, own), total(as_before, own * good), total(as_before, None), total(as_before, good), total(texts, None)]
-                held.append((both, *sums))
+                row, ids, before, table, n = _positions(batch.column(0))
+                wide = len(table)
+                good = np.array(batch.column(1).to_pylist(), bool)
+                total = lambda where, x=None: np.bincount(where, x, wide).astype(np.int64)  # noqa: E731, B023
+                texts = total(np.unique(row * wide + ids) % wide)
+                texts[0] = np.count_nonzero(n)
+                sums = [total(ids), total(ids, good[row]), total(before), total(before, good[row])]
+                row, before, _, _ = _document_pairs(row, before, ids, wide)
+                sums += [total(before), total(before, good[row]), texts]
+                held.append((table, *sums))
                 rows += wide
                 if rows > 2_000_000:
                     yield summed()
@@ -180,10 +209,35 @@ def count_words(marked: DataFrame) -> DataFrame:
         if held:
             yield summed()
 
-    counted = marked.select("text", "is_target").mapInArrow(count, "word long, " + ", ".join(f"{c} long" for c in names))
+    counted = marked.select("text", "is_target").mapInArrow(count, "word long, " + ", ".join(f"{c} long" for c in names)).where("texts > 0")
     return counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in names))
 
 
+class Found:
+    """Places of hashes in a sorted array: a table by their high bits leads to the few that share them."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(1, len(keys).bit_length() - 1)
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.start = np.append(self.start, np.int32(len(keys)))
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each hash's place, and whether it is there."""
+        high = (hashes >> self.shift).astype(np.int64)
+        at, end = self.start[high].astype(np.int64), self.start[high + 1]
+        left = np.flatnonzero(at < end)
+        inside = np.zeros(len(hashes), bool)
+        while len(left):
+            here = self.keys[at[left]]
+            inside[left] = here == hashes[left]
+            left = left[here < hashes[left]]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return np.where(inside, at, 0), inside
+
+
 class Models:
     """What is sent to all tasks: the most frequent words with their counts and bigrams by the hash of the pair, and filters of the others."""
 
@@ -193,21 +247,34 @@ class Models:
         self.words, self.counts, self.mass, self.pairs, self.times = words, counts, mass, pairs, times
         self.other_words, self.other_pairs = other_words, other_pairs
         self.total, self.wide = total, n_words + 2
-
-    def score(self, column: pa.Array, good: np.ndarray, part: int, parts: int) -> dict:
-        """The texts' bigrams in ``part``: which lack their count alone (``pairs``), which lack a word's (``loose``), and of each text the sums of the others' losses."""
-        row, before, word, own, own_word, own_before, n = _document_pairs(column, part, parts)
-
-        def among(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.minimum(np.searchsorted(sorted_, keys), max(0, len(sorted_) - 1))
-            return at, sorted_[at] == keys if len(sorted_) else np.zeros(len(keys), bool)
-
-        w_at, w_in = among(self.words, word)
-        b_at, b_in = among(self.words, before)
+        self.found: tuple[Found, Found] | None = None
+
+    def score(self, column: pa.Array, good: np.ndarray, part: int, parts: int, only_loose: bool = False) -> dict | None:
+        """The texts' bigrams in ``part``: which lack their count alone (``pairs``), which lack a word's (``loose``), and of each text the sums of the others' losses.
+
+        With ``only_loose``, None where no word is lacking."""
+        if self.found is None:  # made by each worker, not sent
+            self.found = Found(self.words), Found(self.pairs)
+        row, ids, before, table, n = _positions(column)
+        at, sent = self.found[0].places(table)
+        lacking = ~sent & in_filter(self.other_words, table)
+        if only_loose and not lacking.any():
+            return None
+        mine = np.flatnonzero(_in_part(table, part, parts)[before]) if parts > 1 else np.arange(len(ids))
+        if only_loose:  # texts without such a word have nothing to give
+            mine = mine[(np.bincount(row, lacking[ids] | lacking[before], len(n)) > 0)[row[mine]]]
+        of_text, times = np.unique(row * len(table) + ids, return_counts=True)
+        row, before_id, word_id, own = _document_pairs(row[mine], before[mine], ids[mine], len(table))
+        own_word = times[np.searchsorted(of_text, row * len(table) + word_id)]
+        # all that follows a word before in its text is here, in a run
+        runs = _runs(row * len(table) + before_id)
+        own_before = np.repeat(np.add.reduceat(own, runs) if len(runs) else own, np.diff(np.append(runs, len(own))))
+        before, word = table[before_id], table[word_id]
+        w_at, w_in, b_at, b_in = at[word_id], sent[word_id], at[before_id], sent[before_id]
         hashes = _pair_hashes(before, word)
-        p_at, p_in = among(self.pairs, hashes)
+        p_at, p_in = self.found[1].places(hashes)
         open_ = ~p_in & in_filter(self.other_pairs, hashes)
-        loose = (~w_in & in_filter(self.other_words, word)) | (~b_in & in_filter(self.other_words, before))
+        loose = lacking[word_id] | lacking[before_id]
 
         def of(values: np.ndarray, at: np.ndarray, inside: np.ndarray, other: float) -> np.ndarray:
             return np.where(inside, values[at], other) if len(values) else np.full(len(at), other)
@@ -274,7 +341,9 @@ def loose_rows(marked: DataFrame, models) -> DataFrame:
         for whole in batches:
             for low in range(0, whole.num_rows, STEP):
                 batch = whole.slice(low, STEP)
-                s = models.value.score(batch.column(1), np.array(batch.column(2).to_pylist(), bool), 0, 1)
+                s = models.value.score(batch.column(1), np.array(batch.column(2).to_pylist(), bool), 0, 1, True)
+                if s is None:
+                    continue
                 at = s["loose"]
                 texts = pa.array(s["row"][at])
                 numbers = [s["before"].view(np.int64), s["word"].view(np.int64), s["own"], s["own_word"], s["own_before"], s["n"][s["row"]], *s["times"]]
@@ -389,8 +458,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, sent: tuple[int, int] =
     spark = docs.sparkSession
     marked = marked_documents(docs, target_ids(labels))
     every = staged(count_words(marked), "lm-words")
-    n_words, *total = every.agg(F.count_if(F.col("w0") > 0), F.coalesce(F.sum("w0"), F.lit(0)), F.coalesce(F.sum("w1"), F.lit(0))).first()
-    parts = [staged(count_bigrams(marked, part, COUNT_PARTS).where("d0 > 1"), "lm-pairs") for part in range(COUNT_PARTS)]
+    n_words, *total, rows = every.agg(F.count_if(F.col("w0") > 0), *(F.coalesce(F.sum(c), F.lit(0)) for c in ("w0", "w1", "i0"))).first()
+    parts = [staged(count_bigrams(marked, rows // COUNT_PARTS, part, COUNT_PARTS), "lm-pairs") for part in range(COUNT_PARTS)]
     pairs = reduce(DataFrame.union, parts)
     # distinct bigrams after a word: its (text, bigram) less the repetitions of those of two texts and more; each leaves DISCOUNT
     again = pairs.groupBy(F.col("before").alias("word")).agg(F.sum(F.col("d0") - 1).alias("r0"), F.sum(F.greatest(F.col("d1") - 1, F.lit(0))).alias("r1"))
