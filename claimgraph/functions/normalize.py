@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,41 +90,60 @@ CONTEXT_KEYS = ["value", "identifier", "status", "raw", "reason"]
 STATUSES = ["known", "unknown", "unresolved"]
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once a row, however often ``then`` asks for it: a column of its own would be copied into each use."""
+    return F.transform(F.array(value), then)[0]
+
+
 def checked_value(text: Column) -> Column:
     """One field of a context as it came: null, plain text (unresolved), or a JSON object of its own, whose state must hold together; ``error`` tells what doesn't."""
-    given = F.trim(F.coalesce(text, F.lit("")))
+    return _once(F.trim(F.coalesce(text, F.lit(""))), _checked_given)
+
+
+def _checked_given(given: Column) -> Column:
     plain = context_value(given)
-    keys = F.json_object_keys(given)
     own = F.from_json(given, "struct<" + ",".join(f"{k}:string" for k in CONTEXT_KEYS) + ">")
-    part = {k: F.nullif(F.trim(own[k]), F.lit("")) for k in CONTEXT_KEYS}
-    status = F.coalesce(part["status"], F.lit("unknown"))
-    resolved = part["value"].isNotNull() | part["identifier"].isNotNull()
-    extra = F.array_sort(F.array_except(keys, F.array(*map(F.lit, CONTEXT_KEYS))))
-    error = (
-        F.when(F.size(extra) > 0, F.concat(F.lit("extra fields: "), F.array_join(extra, ", ")))
-        .when(~status.isin(STATUSES), F.concat(F.lit("unknown status: "), status))
-        .when((status == "known") & ~resolved, "known context values require value or identifier")
-        .when((status == "unknown") & resolved, "unknown context values cannot contain a resolved value")
-        .when((status == "unresolved") & part["raw"].isNull() & part["value"].isNull(), "unresolved context values require raw input or value")
-    )
     none = F.lit(None).cast("string")
-    as_object = F.struct(part["value"].alias("value"), part["identifier"].alias("identifier"), status.alias("status"), part["raw"].alias("raw"), part["reason"].alias("reason"), error.alias("error"))
-    as_text = F.struct(*(plain[k].alias(k) for k in CONTEXT_KEYS), none.alias("error"))
-    as_other = F.struct(none.alias("value"), none.alias("identifier"), F.lit("unknown").alias("status"), given.alias("raw"), none.alias("reason"), F.lit("must be a string, object, or null").alias("error"))
-    return F.when(keys.isNotNull(), as_object).when(given.startswith("["), as_other).otherwise(as_text)
+
+    def checked(j: Column) -> Column:
+        part = {k: j[k] for k in CONTEXT_KEYS}
+        status = F.coalesce(part["status"], F.lit("unknown"))
+        resolved = part["value"].isNotNull() | part["identifier"].isNotNull()
+        extra = F.array_sort(F.array_except(j["keys"], F.array(*map(F.lit, CONTEXT_KEYS))))
+        error = (
+            F.when(F.size(extra) > 0, F.concat(F.lit("extra fields: "), F.array_join(extra, ", ")))
+            .when(~status.isin(STATUSES), F.concat(F.lit("unknown status: "), status))
+            .when((status == "known") & ~resolved, "known context values require value or identifier")
+            .when((status == "unknown") & resolved, "unknown context values cannot contain a resolved value")
+            .when((status == "unresolved") & part["raw"].isNull() & part["value"].isNull(), "unresolved context values require raw input or value")
+        )
+        as_object = F.struct(part["value"].alias("value"), part["identifier"].alias("identifier"), status.alias("status"), part["raw"].alias("raw"), part["reason"].alias("reason"), error.alias("error"))
+        as_text = F.struct(*(plain[k].alias(k) for k in CONTEXT_KEYS), none.alias("error"))
+        as_other = F.struct(none.alias("value"), none.alias("identifier"), F.lit("unknown").alias("status"), given.alias("raw"), none.alias("reason"), F.lit("must be a string, object, or null").alias("error"))
+        return F.when(j["keys"].isNotNull(), as_object).when(given.startswith("["), as_other).otherwise(as_text)
+
+    parts = _once(own, lambda o: F.struct(F.json_object_keys(given).alias("keys"), *(F.nullif(F.trim(o[k]), F.lit("")).alias(k) for k in CONTEXT_KEYS)))
+    return _once(parts, checked)
 
 
 def structured_context(c: Column | str) -> Column:
     """A context given as a JSON object: a checked value of each field, the fields supplied, and all errors (unknown fields, then those of the
-    fields in order). Text that is no object has that as its only error."""
-    fields = F.from_json(T.col(c), "map<string,string>")
-    unknown = F.array_sort(F.array_except(F.map_keys(fields), F.array(*map(F.lit, CONTEXT_FIELDS))))
-    values = {f: checked_value(F.try_element_at(fields, F.lit(f))) for f in CONTEXT_FIELDS}
-    first = F.when(F.size(unknown) > 0, F.concat(F.lit("unknown context fields: "), F.array_join(unknown, ", ")))
-    errors = F.array_compact(F.array(first, *(F.concat(F.lit(f"{f}: "), v["error"]) for f, v in values.items())))
-    bad = F.json_object_keys(T.col(c)).isNull() & (F.trim(F.coalesce(T.col(c), F.lit(""))) != "")
-    supplied = F.array_compact(F.array(*(F.when(v["status"] != "unknown", f) for f, v in values.items())))
-    return F.struct(*(v.alias(f) for f, v in values.items()), supplied.alias("supplied"), F.when(bad, F.array(F.lit("no object"))).otherwise(errors).alias("errors"))
+    fields in order). Text that is no object has that as its only error. The text is parsed once."""
+    text = T.col(c)
+    bad = F.json_object_keys(text).isNull() & (F.trim(F.coalesce(text, F.lit(""))) != "")
+
+    def checked(fields: Column) -> Column:
+        unknown = F.array_sort(F.array_except(F.map_keys(fields), F.array(*map(F.lit, CONTEXT_FIELDS))))
+        first = F.when(F.size(unknown) > 0, F.concat(F.lit("unknown context fields: "), F.array_join(unknown, ", ")))
+        values = F.struct(*(checked_value(F.try_element_at(fields, F.lit(f))).alias(f) for f in CONTEXT_FIELDS), first.alias("first_"))
+        return _once(values, told)
+
+    def told(v: Column) -> Column:
+        errors = F.array_compact(F.array(v["first_"], *(F.concat(F.lit(f"{f}: "), v[f]["error"]) for f in CONTEXT_FIELDS)))
+        supplied = F.array_compact(F.array(*(F.when(v[f]["status"] != "unknown", f) for f in CONTEXT_FIELDS)))
+        return F.struct(*(v[f].alias(f) for f in CONTEXT_FIELDS), supplied.alias("supplied"), F.when(bad, F.array(F.lit("no object"))).otherwise(errors).alias("errors"))
+
+    return _once(F.from_json(text, "map<string,string>"), checked)
 
 
 DRUG_SCHEMA = "struct<name:string,drug_name:string,identifiers:array<struct<namespace:string,value:string>>,claims:array<struct<predicate:string,object:string,provenance:string>>>"

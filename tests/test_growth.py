@@ -1,8 +1,10 @@
 """Cases that only larger tables brought up."""
 
+import re
 
 import duckdb
 
+from claimgraph.functions import normalize as N
 from claimgraph.functions import text as T
 from claimgraph.plans import corpus_queries as CQ
 
@@ -16,3 +18,10 @@ def test_sample_size_after_a_word_of_any_script(spark, tmp_path):
     duck.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     sql = {r[0]: r[1] for r in duck.sql(f"select pmid, sample_size from ({CQ.ORACLE['quality_score']})").fetchall()}
     assert sql == {r.pmid: r.sample_size for r in CQ.quality_score(spark, str(tmp_path)).collect()}
+
+
+def test_a_context_is_parsed_once(spark):
+    rows = spark.createDataFrame([('{"tissue": {"status": "known"}, "zone": "a"}',)], "c string").select(N.structured_context("c").alias("x"))
+    assert rows.first().x.errors == ["unknown context fields: zone", "tissue: known context values require value or identifier"]
+    plan = rows.selectExpr("x.errors", "x.supplied", "x.tissue.raw")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("from_json", plan)) <= 7
