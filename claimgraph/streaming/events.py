@@ -86,24 +86,27 @@ def run_status(events: DataFrame) -> DataFrame:
 
 
 def pair_steps(events: DataFrame) -> DataFrame:
-    """The open start of each step in keyed state; the step's next event closes or replaces it. All columns of the batch form."""
+    """The open starts of a run's steps in its keyed state; a step's next event closes or replaces its own. All columns of the batch form.
+
+    The key is the run, as in the other forms: a run has many steps of few events each. A closed step leaves the state.
+    """
 
     def fold(key: tuple, rows: pd.DataFrame, state: tuple | None):
-        seq, at, agent = state or (-1, 0, None)
+        opened = dict(zip(state[0], zip(*state[1:]))) if state else {}
         found = []
-        for row in rows.itertuples():
-            if row.event_type == "agent_started":
-                seq, at, agent = row.seq, row.micros, row.agent_ if isinstance(row.agent_, str) else None
-            else:
-                if seq >= 0:
-                    found.append((*key, agent, seq, row.seq, row.micros - at, bool(row.is_error), row.summary))
-                seq = -1
-        return pd.DataFrame(found, columns=[c.split()[0] for c in PAIRED.split(", ")]), (seq, at, agent)
+        for step, kind, seq, at, agent, error, summary in zip(*(rows[c].tolist() for c in ("step_id", "event_type", "seq", "micros", "agent_", "is_error", "summary"))):
+            start = opened.pop(step, None)
+            if kind == "agent_started":
+                opened[step] = (seq, at, agent if isinstance(agent, str) else None)
+            elif start is not None:
+                found.append((*key, step, start[2], start[0], seq, at - start[1], bool(error), summary))
+        held = [list(x) for x in zip(*((step, *start) for step, start in opened.items()))] or [[], [], [], []]
+        return pd.DataFrame(found, columns=[c.split()[0] for c in PAIRED.split(", ")]), tuple(held)
 
     has = lambda c, otherwise: F.col(c) if c in events.columns else otherwise
     rows = events.where(F.col("event_type").isin("agent_started", "agent_completed") & F.col("step_id").isNotNull())
     rows = rows.select("run_id", "step_id", "event_type", "seq", "created_at", F.unix_micros("created_at").alias("micros"), agent_of(events).alias("agent_"), F.coalesce(has("is_error", F.lit(False)), F.lit(False)).alias("is_error"), shortened(has("summary", F.lit(None).cast("string"))).alias("summary"))
-    return _keyed(rows, ["run_id", "step_id"], fold, PAIRED, "seq long, at long, agent string", "append")
+    return _keyed(rows, ["run_id"], fold, PAIRED, "steps array<string>, seqs array<long>, ats array<long>, agents array<string>", "append")
 
 
 PAIRED = "run_id string, step_id string, agent string, start_seq long, end_seq long, duration_us long, is_error boolean, summary string"
