@@ -62,22 +62,34 @@ def labels_with(labels: DataFrame, terms: DataFrame, size: int = 3) -> DataFrame
     return anchors.select("term", "t_", F.col("x.run").alias("run")).join(grams, "run").where(F.contains("l_", F.col("t_"))).select("term", "label")
 
 
-def supported_patterns(edges: DataFrame, patterns: DataFrame, sample: int = 3) -> DataFrame:
-    """H2: candidate patterns (pattern_id, source_term, target_term; a row per hop) with the edges that both terms of a hop occur in: distinct
-    (source, target, relation), their count, summaries (with the first pmids) and distinct papers; zeros for a pattern without any.
+def pattern_edges(edges: DataFrame, patterns: DataFrame) -> DataFrame:
+    """H2 in rows: (pattern_id, source, target, relation, pmid_count, pmids) of the edges that both terms of one of a pattern's hops (pattern_id,
+    source_term, target_term) occur in, each once a pattern. A term that many labels have gives rows, never a longer one.
     """
     sides = {}
     for e in ("source", "target"):
         sides[e] = labels_with(edges.select(F.col(e).alias("label")), patterns.select(F.col(f"{e}_term").alias("term"))).select(F.col("term").alias(f"{e}_term"), F.col("label").alias(e))
     hops = patterns.select("pattern_id", "source_term", "target_term").distinct()
     hits = hops.join(sides["source"], "source_term").join(edges, "source").join(sides["target"], ["target_term", "target"])
-    one = hits.groupBy("pattern_id", "source", "target", "relation").agg(F.max("pmid_count").cast("long").alias("pmid_count"), F.first("pmids").alias("pmids"))
+    return hits.groupBy("pattern_id", "source", "target", "relation").agg(F.max("pmid_count").cast("long").alias("pmid_count"), F.first("pmids").alias("pmids"))
+
+
+def pattern_counts(found: DataFrame, patterns: DataFrame) -> DataFrame:
+    """H2: edges and distinct papers of each pattern, zeros without any; ``found`` are its ``pattern_edges``."""
+    per = found.groupBy("pattern_id").agg(F.count("*").alias("edges"))
+    papers = found.select("pattern_id", F.explode("pmids").alias("pmid")).distinct().groupBy("pattern_id").agg(F.count("*").alias("pmid_count"))
+    out = patterns.select("pattern_id").distinct().join(per, "pattern_id", "left").join(papers, "pattern_id", "left")
+    return out.select("pattern_id", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("pmid_count", F.lit(0)).alias("pmid_count"))
+
+
+def supported_patterns(edges: DataFrame, patterns: DataFrame, sample: int = 3) -> DataFrame:
+    """H2 as a document has it: ``pattern_counts`` with all summaries (and their first pmids) in an array. For patterns of few edges; ``pattern_edges`` has the same in rows.
+    """
+    one = pattern_edges(edges, patterns)
     summary = F.struct("source", "target", "relation", "pmid_count", F.slice("pmids", 1, sample).alias("sample_pmids"))
-    per = one.groupBy("pattern_id").agg(F.count("*").alias("edges"), F.array_sort(F.collect_list(summary)).alias("supporting_edges"))
-    papers = one.select("pattern_id", F.explode("pmids").alias("pmid")).distinct().groupBy("pattern_id").agg(F.count("*").alias("pmid_count"))
-    out = hops.select("pattern_id").distinct().join(per, "pattern_id", "left").join(papers, "pattern_id", "left")
+    per = one.groupBy("pattern_id").agg(F.array_sort(F.collect_list(summary)).alias("supporting_edges"))
     none = F.array().cast("array<struct<source:string,target:string,relation:string,pmid_count:bigint,sample_pmids:array<string>>>")
-    return out.select("pattern_id", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("pmid_count", F.lit(0)).alias("pmid_count"), F.coalesce("supporting_edges", none).alias("supporting_edges"))
+    return pattern_counts(one, patterns).join(per, "pattern_id", "left").select("pattern_id", "edges", "pmid_count", F.coalesce("supporting_edges", none).alias("supporting_edges"))
 
 
 def eligible(audits: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -3,10 +3,15 @@
 import re
 
 import duckdb
+from pyspark.sql import functions as F
 
 from claimgraph.functions import normalize as N
 from claimgraph.functions import text as T
+from claimgraph.operators import novelty as H
 from claimgraph.plans import corpus_queries as CQ
+from claimgraph.plans import run_queries as RQ
+from claimgraph.sources import io
+from claimgraph.streaming import events as SE
 
 
 def test_sample_size_after_a_word_of_any_script(spark, tmp_path):
@@ -25,3 +30,35 @@ def test_a_context_is_parsed_once(spark):
     assert rows.first().x.errors == ["unknown context fields: zone", "tissue: known context values require value or identifier"]
     plan = rows.selectExpr("x.errors", "x.supplied", "x.tissue.raw")._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall("from_json", plan)) <= 7
+
+
+def test_documents_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(RQ, "DOCUMENT_ROWS", 10)
+    rows = spark.range(1000).select(F.lit("hub").alias("source"), F.col("id").cast("string").alias("target"), F.lit("activates").alias("relation"))
+    folder = RQ._documents(rows, ["source", "target"], "edges", spark)
+    edges = io.read_graph(spark, f"{folder}/*")[1]
+    assert edges.select("target").distinct().count() == edges.count() == 1000
+    assert max(r["count"] for r in spark.read.text(folder).select(F.size(F.split("value", '"target"')).alias("count")).collect()) < 40
+
+
+def test_edges_of_a_pattern_are_rows(spark):
+    edges = spark.range(500).select(F.lit("IL-11").alias("source"), F.concat(F.lit("n"), "id").alias("target"), F.lit("activates").alias("relation"), F.array(F.lit("1"), F.col("id").cast("string")).alias("pmids"), F.lit(2).alias("pmid_count"))
+    p = spark.createDataFrame([("p1", "il 11", "n"), ("p2", "zz", "n")], "pattern_id string, source_term string, target_term string")
+    found = H.pattern_edges(edges, p)
+    assert found.count() == 500
+    counts = H.pattern_counts(found, p)
+    assert sorted(map(tuple, counts.collect())) == [("p1", 500, 500), ("p2", 0, 0)]
+    assert "collect_" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_steps_are_paired_in_a_state_of_each_run(spark, tmp_path):
+    rows = [("r", s, k, i, 1000 + i) for i, (s, k) in enumerate([("a", "agent_started"), ("b", "agent_started"), ("a", "agent_completed"), ("a", "agent_completed"), ("b", "agent_started"), ("b", "agent_completed")])]
+    log = spark.createDataFrame(rows, "run_id string, step_id string, event_type string, seq long, at long").withColumn("created_at", F.timestamp_seconds("at")).drop("at")
+    log.where("seq < 2").coalesce(1).write.parquet(f"{tmp_path}/in")
+    paired = lambda: SE.pair_steps(spark.readStream.schema(log.schema).parquet(f"{tmp_path}/in"))
+    for k in range(2):
+        if k:
+            log.where("seq >= 2").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        paired().writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.step_id, r.start_seq, r.end_seq, r.duration_us) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("a", 0, 2, 2_000_000), ("b", 4, 5, 1_000_000)]
+    assert paired()._jdf.queryExecution().analyzed().groupingAttributes().size() == 1
