@@ -1,12 +1,16 @@
 """Cases that only larger tables brought up."""
 
+import random
 import re
+from collections import Counter
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from claimgraph.functions import normalize as N
 from claimgraph.functions import text as T
+from claimgraph.operators import analytics as A
 from claimgraph.operators import novelty as H
 from claimgraph.plans import corpus_queries as CQ
 from claimgraph.plans import run_queries as RQ
@@ -62,3 +66,23 @@ def test_steps_are_paired_in_a_state_of_each_run(spark, tmp_path):
         paired().writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.step_id, r.start_seq, r.end_seq, r.duration_us) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("a", 0, 2, 2_000_000), ("b", 4, 5, 1_000_000)]
     assert paired()._jdf.queryExecution().analyzed().groupingAttributes().size() == 1
+
+
+def test_ways_over_hubs_leave_their_block_as_the_result(spark):
+    rng = random.Random(5)
+    rows = {(f"n{rng.randrange(60)}", f"n{int(60 * rng.random() ** 2)}") for _ in range(500)} | {("x", "y"), ("y", "n1"), ("n2", "x")}
+    pairs = {(a, b) for a, b in rows if a != b}
+    want = Counter((a, d) for a, b in pairs for c, d in pairs if b == c and a != d and (a, d) not in pairs)
+    e = spark.createDataFrame(sorted(rows), "source string, target string")
+    for heavy, block in ((60, 16), (0, 64), (10**9, 16)):
+        got = A.untested_transitive(e, heavy=heavy, block=block)
+        assert {(r.a, r.c): r.ways for r in got.collect()} == want
+        if heavy < 10**9:  # no shuffle after the products
+            plan = got._jdf.queryExecution().optimizedPlan().toString()
+            assert not re.search(r"(Aggregate|Join)[\s\S]*FlatMapCoGroupsInPandas", plan.split("Union")[-1])
+    sparse = [np.zeros((3, 3), np.int32) for _ in range(2)]
+    bits = np.random.default_rng(1).integers(0, 2, (2, 3, 64)).astype(np.uint8)
+    A._add_ways(sparse[0], np.arange(3), np.arange(3), *bits)
+    thin = bits * (np.arange(64) == 7).astype(np.uint8)
+    A._add_ways(sparse[1], np.arange(3), np.arange(3), *thin)
+    assert (sparse[0] == bits[0].astype(int) @ bits[1].T).all() and (sparse[1] == thin[0].astype(int) @ thin[1].T).all()
