@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.evidence import counted_edges, counted_nodes, edge_facts, folded
+from ..operators.evidence import counted_edges, counted_nodes, edge_facts, fact_parts, folded
 from ..schemas import CLAIMS
 
 BUCKETS = 64
@@ -41,11 +41,11 @@ def _commit(spark: SparkSession, base: str, rows: list[tuple[str, int]], version
     spark.createDataFrame(sorted(rows), "run string, bucket int").coalesce(1).write.mode("overwrite").parquet(f"{base}/live/version={version}")
 
 
-def _write(facts: DataFrame, base: str, run: str, buckets: int) -> list[tuple[str, int]]:
-    """Writes facts of one run by bucket; the (run, bucket) written."""
-    spark = facts.sparkSession
+def _write(parts: DataFrame, base: str, run: str, buckets: int) -> list[tuple[str, int]]:
+    """Folds rows of one run and writes them by bucket; the (run, bucket) written. They are dealt to the buckets before they are folded there: one shuffle."""
+    spark = parts.sparkSession
     path = f"{base}/facts/run={run}"
-    facts.withColumn("bucket", bucket_of(buckets=buckets)).repartition("bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
+    folded(parts.withColumn("bucket", bucket_of(buckets=buckets)).repartition("bucket"), "bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
     return [(run, r.bucket) for r in spark.read.parquet(path).select("bucket").distinct().collect()]
 
 
@@ -53,18 +53,26 @@ def merge_run(spark: SparkSession, base: str, run: str, claims: DataFrame, bucke
     """Adds a run's claims to the graph and returns the new version. A run that is merged again replaces itself."""
     now = live(spark, base).collect()
     version = max((r.version for r in now), default=0) + 1
-    added = _write(edge_facts(claims), base, run, buckets)
+    added = _write(fact_parts(claims), base, run, buckets)
     _commit(spark, base, [(r.run, r.bucket) for r in now if r.run != run] + added, version)
     return version
 
 
+def _stored(spark: SparkSession, base: str, version: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """The facts of a version as its runs wrote them; ``buckets`` reads their files only. None without any."""
+    rows = [(r.run, r.bucket) for r in live(spark, base, version).collect() if buckets is None or r.bucket in set(buckets)]
+    return spark.read.parquet(*(f"{base}/facts/run={run}/bucket={bucket}" for run, bucket in rows)) if rows else None
+
+
+def _by_pair(stored: DataFrame) -> DataFrame:
+    """Stored facts folded where their pair is dealt to, as in the buckets: edges are then counted in place."""
+    return folded(stored.repartition("source", "target"))
+
+
 def read_facts(spark: SparkSession, base: str, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
     """The facts of a version, folded; ``buckets`` reads their files only."""
-    rows = [(r.run, r.bucket) for r in live(spark, base, version).collect() if buckets is None or r.bucket in set(buckets)]
-    paths = [f"{base}/facts/run={run}/bucket={bucket}" for run, bucket in rows]
-    if not paths:
-        return edge_facts(spark.createDataFrame([], CLAIMS))
-    return folded(spark.read.parquet(*paths))
+    stored = _stored(spark, base, version, buckets)
+    return edge_facts(spark.createDataFrame([], CLAIMS)) if stored is None else _by_pair(stored)
 
 
 def changed_edges(spark: SparkSession, base: str, run: str) -> DataFrame:
@@ -73,7 +81,7 @@ def changed_edges(spark: SparkSession, base: str, run: str) -> DataFrame:
     if not mine:
         return counted_edges(read_facts(spark, base, buckets=[]))
     keys = spark.read.parquet(*(f"{base}/facts/run={run}/bucket={b}" for b in mine)).select("source", "target").distinct()
-    return counted_edges(read_facts(spark, base, buckets=mine).join(keys, ["source", "target"], "left_semi"))
+    return counted_edges(_by_pair(_stored(spark, base, buckets=mine).join(keys, ["source", "target"], "left_semi")))
 
 
 def read_store(spark: SparkSession, base: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -92,7 +100,7 @@ def compact(spark: SparkSession, base: str, run: str, most: int = 8, buckets: in
     many = [b for b, n in runs.items() if n > most]
     if not many:
         return version
-    made = _write(read_facts(spark, base, version, many), base, run, buckets)
+    made = _write(_stored(spark, base, version, many), base, run, buckets)
     _commit(spark, base, [(r.run, r.bucket) for r in now if r.bucket not in set(many)] + made, version + 1)
     return version + 1
 

@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from claimgraph.functions import normalize as N
 from claimgraph.functions import text as T
 from claimgraph.operators import analytics as A
+from claimgraph.operators import evidence as E
 from claimgraph.operators import novelty as H
 from claimgraph.plans import corpus_queries as CQ
 from claimgraph.plans import run_queries as RQ
-from claimgraph.sources import io
+from claimgraph.plans import testviews as V
+from claimgraph.sources import io, store
 from claimgraph.streaming import events as SE
+from conftest import DATA
 
 
 def test_sample_size_after_a_word_of_any_script(spark, tmp_path):
@@ -86,3 +89,11 @@ def test_ways_over_hubs_leave_their_block_as_the_result(spark):
     thin = bits * (np.arange(64) == 7).astype(np.uint8)
     A._add_ways(sparse[1], np.arange(3), np.arange(3), *thin)
     assert (sparse[0] == bits[0].astype(int) @ bits[1].T).all() and (sparse[1] == thin[0].astype(int) @ thin[1].T).all()
+
+
+def test_stored_facts_are_shuffled_once(spark, tmp_path):
+    base = f"file://{tmp_path}/graph"
+    store.merge_run(spark, base, "run0", V.claims(spark, DATA).where("pmid < '2'"))
+    plan = store.read_store(spark, base)[1]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert store.read_store(spark, base)[1].count() == E.counted_edges(E.edge_facts(V.claims(spark, DATA).where("pmid < '2'"))).count()
