@@ -19,6 +19,7 @@ from claimgraph.plans import testviews as V
 from claimgraph.sources import io, store
 from claimgraph.streaming import events as SE
 from conftest import DATA
+from test_graph_store import exact_betweenness
 
 
 def test_sample_size_after_a_word_of_any_script(spark, tmp_path):
@@ -97,3 +98,14 @@ def test_stored_facts_are_shuffled_once(spark, tmp_path):
     plan = store.read_store(spark, base)[1]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert store.read_store(spark, base)[1].count() == E.counted_edges(E.edge_facts(V.claims(spark, DATA).where("pmid < '2'"))).count()
+
+
+def test_betweenness_in_blocks(spark):
+    """Levels are products of blocks: many blocks, unreached nodes, pivots that are not all nodes."""
+    rng = random.Random(8)
+    names = [f"n{k:02d}" for k in range(14)]
+    pairs = sorted({(rng.choice(names[:12]), rng.choice(names[2:])) for _ in range(45)} - {(n, n) for n in names})
+    nodes, edges = spark.createDataFrame([(n,) for n in names], "id string"), spark.createDataFrame(pairs, "source string, target string")
+    want = exact_betweenness(names, pairs)
+    halves = [{r.id: r.betweenness for r in A.betweenness(nodes, edges, nodes.where(f"id {sign} 'n06'"), block=4, wide=2).collect()} for sign in ("<", ">=")]
+    assert all(abs(halves[0][n] + halves[1][n] - want[n]) < 1e-9 for n in names) and sum(want.values()) > 9
