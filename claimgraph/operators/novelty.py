@@ -154,7 +154,7 @@ def novelty_class(candidates: DataFrame, many: int = 100, some: int = 50) -> Dat
 def contradictions_for(hypotheses: DataFrame, contradictions: DataFrame, most: int = 10, default: int = 5) -> DataFrame:
     """H6: contradictions (a, b) that touch the nodes of a hypothesis' edges ("x->y"), at most ``most``; else the first ``default``."""
     nodes = hypotheses.select("hypothesis_id", F.explode(F.flatten(F.transform("edges", lambda e: F.transform(F.split(e, "->|→"), F.trim)))).alias("node")).distinct()
-    c = contradictions.select("a", "b").distinct()
+    c = staged(contradictions.select("a", "b").distinct(), "contradictions")
     ends = c.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
     hit = nodes.join(ends, "node").select("hypothesis_id", "a", "b").distinct()
     hit = hit.withColumn("n", F.row_number().over(Window.partitionBy("hypothesis_id").orderBy("a", "b"))).where(F.col("n") <= most)

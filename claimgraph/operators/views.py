@@ -18,8 +18,9 @@ def filter_view(nodes: DataFrame, edges: DataFrame, condition: Column) -> tuple[
     """V1: nodes that meet the condition, their induced edges, and what is hidden."""
     n = nodes.where(condition)
     e = induced(edges, n)
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    hidden = count(nodes, "a").crossJoin(count(n, "b")).crossJoin(count(edges, "c")).crossJoin(count(e, "d"))
+    mark = lambda end: n.select(F.col("id").alias(end)).distinct().withColumn(f"{end}_", F.lit(True))
+    marked = edges.join(mark("source"), "source", "left").join(mark("target"), "target", "left")
+    hidden = nodes.agg(F.count("*").alias("a"), F.count_if(condition).alias("b")).crossJoin(marked.agg(F.count("*").alias("c"), F.count_if(F.col("source_") & F.col("target_")).alias("d")))
     return n, e, hidden.select(F.col("b").alias("nodes"), F.col("d").alias("edges"), (F.col("a") - F.col("b")).alias("hidden_nodes"), (F.col("c") - F.col("d")).alias("hidden_edges"))
 
 
@@ -78,9 +79,9 @@ def focus_hub(nodes: DataFrame, edges: DataFrame, noise: Column | None = None, g
 
     Ties go to the node with more papers, then to the shorter name, then to the lesser id.
     """
-    half = lambda own, way: narratable_edges(edges).select(*graph_key, F.col(own).alias("id"), F.lit(way).alias("way"), "pmid_count")
-    ends = half("source", 1).union(half("target", 0))
-    per = ends.groupBy(*graph_key, "id").agg(F.count("*").alias("incident"), F.sum("pmid_count").alias("papers"), (F.count_distinct("way") == 2).alias("both"))
+    half = lambda own, way: F.struct(F.col(own).alias("id"), F.lit(way).alias("way"))
+    ends = narratable_edges(edges).select(*graph_key, "pmid_count", F.inline(F.array(half("source", 1), half("target", 0))))
+    per = ends.groupBy(*graph_key, "id").agg(F.count("*").alias("incident"), F.sum("pmid_count").alias("papers"), (F.min("way") < F.max("way")).alias("both"))
     rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in ranks.items() for x in p)), F.col("type")), F.lit(2))
     size = F.length(F.trim(F.regexp_replace(F.lower("id"), "[^a-z0-9]+", " ")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

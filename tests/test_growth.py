@@ -109,3 +109,20 @@ def test_betweenness_in_blocks(spark):
     want = exact_betweenness(names, pairs)
     halves = [{r.id: r.betweenness for r in A.betweenness(nodes, edges, nodes.where(f"id {sign} 'n06'"), block=4, wide=2).collect()} for sign in ("<", ">=")]
     assert all(abs(halves[0][n] + halves[1][n] - want[n]) < 1e-9 for n in names) and sum(want.values()) > 9
+
+
+def test_counts_without_papers_are_those_of_facts(spark):
+    """Edges, nodes and clashing pairs counted from claims alone; labels, once a row, by alias, and claims of several papers or of none."""
+    c = V.claims(spark, DATA)
+    more = c.limit(3).withColumns({"source": F.lit("il 33"), "source_type": F.lit("Cytokine"), "pmids": F.array(F.lit("p1"), F.lit("p2"), F.lit("p1")), "context": F.expr("named_struct('cell_types', array('T'), 'disease', cast(array() as array<string>), 'drugs', cast(null as array<string>), 'tissues', array('x'))")})
+    bare = c.limit(2).withColumns({"source": F.lit("il 33"), "source_type": F.lit("Gene"), "pmid": F.lit("")})
+    c = c.unionByName(more).unionByName(bare).localCheckpoint()
+    facts = E.edge_facts(c)
+    nodes, found = E.counted_nodes(facts), E.counted_contradictions(facts)
+    rows = lambda df, *names: sorted(map(str, df.select(*names).collect()))
+    assert {"IL-33", "il 33"} <= {r.id for r in nodes.collect()}
+    assert rows(E.edge_keys(c), "source", "target", "relation_key") == rows(E.counted_edges(facts), "source", "target", F.col("relation").alias("relation_key"))
+    assert rows(E.node_claims(c), "id", "edge_count") == rows(nodes, "id", "edge_count")
+    assert rows(E.node_papers(c), "id", "pmid_count") == rows(nodes, "id", "pmid_count")
+    assert rows(E.clashing_pairs(c), "a", "b", "kind", "side_a", "side_b") == rows(found, "a", "b", "kind", "side_a", "side_b") != []
+    assert E.clashing_pairs(c)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
