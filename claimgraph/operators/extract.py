@@ -10,6 +10,8 @@ from ..functions.normalize import classify_node, normalize_node
 from ..vocab import CAUSAL_CUES, CAUSAL_VERBS, DIRECT_CUES, GENE_ALIASES, INDIRECT_CUES, NODE_ALIASES, NODE_LEXICON, PATHWAYS, POSITIVE_CUES, SUPPRESS_CUES, TEMPLATES
 
 PAPER = ["pmid", "year", "species"]
+#: So many names, asked for in one call, are looked for one by one.
+FEW_NAMES = 64
 #: A letter or digit of any script, and white space of any kind: what ends of a causal claim are made of.
 LETTER, BLANK = r"\p{L}\p{N}_", r"\s\x1c-\x1f\x{85}\p{Z}"
 
@@ -75,7 +77,7 @@ def _asked(pubs: DataFrame, targets: DataFrame, *names: str, aliases: dict[str,
     """Papers with every request (run_id and one value of each of ``names``) whose first value, or an alias, they mention in compact form.
 
     An inverted join: each value is anchored on that of its runs of ``size`` characters which the fewest papers have; papers meet values on these
-    anchors, and what meets is verified in the text. Runs are of a-z and 0-9, so there are at most 36^size of them, whatever is asked for: papers are
+    anchors, and what meets is verified in the text. Up to ``FEW_NAMES`` names need no anchors: each is looked for in every text, which isn't shuffled then. Runs are of a-z and 0-9, so there are at most 36^size of them, whatever is asked for: papers are
     looked through for them in place, and only what they have of them travels. No request comes to the driver. A value of fewer characters is anchored on
     itself; one without any meets nothing.
     """
@@ -90,6 +92,11 @@ def _asked(pubs: DataFrame, targets: DataFrame, *names: str, aliases: dict[str,
         own = F.when(F.lower(first) == name, F.concat(F.array(first), F.array(*map(F.lit, others)))).otherwise(own)
     said = wanted.select(first.alias("value_"), F.explode(own).alias("said_")).select("value_", T.compact_label("said_").alias("key_")).where("key_ <> ''").distinct()
     texts = pubs.where("coalesce(abstract, '') <> '' and coalesce(pmid, '') <> ''").withColumns({"paper_": F.xxhash64("pmid", "abstract"), "compact_": T.compact_label("abstract")})
+    keep = [c for c in pubs.columns if c not in ("run_id", *values)]
+    if said.limit(FEW_NAMES + 1).count() <= FEW_NAMES:
+        keys = said.groupBy("value_").agg(F.collect_list("key_").alias("keys_"))
+        found = texts.crossJoin(F.broadcast(keys)).where(F.exists("keys_", lambda k: F.contains("compact_", k)))
+        return found.join(F.broadcast(wanted), F.col("value_").eqNullSafe(first)).select(*keep, "run_id", *values)
     runs = lambda c, n: F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?=(.{{{n}}}))"), F.lit(1)))
     parts = said.select("value_", "key_", F.explode(F.when(F.length("key_") >= size, runs(F.col("key_"), size)).otherwise(F.array("key_"))).alias("run_"))
     cut = texts.select("paper_", F.explode(F.concat(*(runs(F.col("compact_"), n) for n in range(1, size + 1)))).alias("run_"))
@@ -98,14 +105,14 @@ def _asked(pubs: DataFrame, targets: DataFrame, *names: str, aliases: dict[str,
     met = cut.join(F.broadcast(anchors.select("run_").distinct()), "run_", "left_semi").join(anchors, "run_").select("paper_", "value_", "key_")
     found = met.join(texts.select("paper_", "compact_"), "paper_").where(F.contains("compact_", F.col("key_"))).select("paper_", "value_").distinct()
     rows = found.join(wanted, F.col("value_").eqNullSafe(first)).drop("value_")
-    keep = [c for c in pubs.columns if c not in ("run_id", *values)]
     return texts.select("paper_", *keep).join(rows, "paper_").select(*keep, "run_id", *values)
 
 
 def extract_drug_claims(pubs: DataFrame, targets: DataFrame, direct_cues: str = DIRECT_CUES, indirect_cues: str = INDIRECT_CUES) -> DataFrame:
     """A requested drug and gene in one sentence: direct cue binds_target, else indirect cue indirectly_modulates."""
     rows = _asked(pubs, targets, "drugs", "genes").where(F.contains(F.lower("abstract"), F.lower("drug")))
-    rows = rows.withColumn("source_sentence", T.supporting_sentence("abstract", F.col("drug"), F.col("gene"))).where("source_sentence is not null")
+    # a row for each sentence found, rather than a condition on it: it is looked for once
+    rows = rows.select("*", F.explode(F.array_compact(F.array(T.supporting_sentence("abstract", F.col("drug"), F.col("gene"))))).alias("source_sentence"))
     low = F.lower("source_sentence")
     predicate = F.when(low.rlike(direct_cues), "binds_target").when(low.rlike(indirect_cues), "indirectly_modulates")
     rows = rows.withColumn("predicate", predicate).where("predicate is not null")

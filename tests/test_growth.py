@@ -12,6 +12,7 @@ from claimgraph.functions import normalize as N
 from claimgraph.functions import text as T
 from claimgraph.operators import analytics as A
 from claimgraph.operators import evidence as E
+from claimgraph.operators import extract as X
 from claimgraph.operators import novelty as H
 from claimgraph.plans import corpus_queries as CQ
 from claimgraph.plans import run_queries as RQ
@@ -126,3 +127,14 @@ def test_counts_without_papers_are_those_of_facts(spark):
     assert rows(E.node_papers(c), "id", "pmid_count") == rows(nodes, "id", "pmid_count")
     assert rows(E.clashing_pairs(c), "a", "b", "kind", "side_a", "side_b") == rows(found, "a", "b", "kind", "side_a", "side_b") != []
     assert E.clashing_pairs(c)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_few_names_are_looked_for_without_a_shuffle_of_texts(spark, monkeypatch):
+    p = spark.createDataFrame([("1", "The IL-33 of mice"), ("1", "The IL-33 of mice"), ("2", "st2, not il 3 3"), ("3", None), ("", "il33")], "pmid string, abstract string")
+    t = spark.createDataFrame([("r1", ["IL-33", "--"], ["x", "y"]), ("r2", ["Q"], ["z"])], "run_id string, genes array<string>, drugs array<string>")
+    found = lambda: X._asked(p, t, "genes", "drugs", aliases={"q": ["ST2", "st-2"]})
+    rows = sorted(map(tuple, found().collect()))
+    assert len(rows) == 7
+    assert "Exchange hashpartitioning(paper_" not in found()._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(X, "FEW_NAMES", 0)
+    assert sorted(map(tuple, found().collect())) == rows
