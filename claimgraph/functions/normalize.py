@@ -34,14 +34,22 @@ def titled(c: Column) -> Column:
     return F.array_join(F.transform(runs, lambda w: F.concat(F.when(F.substring(w, 1, 1) == "ß", "Ss").otherwise(F.upper(F.substring(w, 1, 1))), w.substr(F.lit(2), F.length(w)))), "")
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once a row, however often ``then`` asks for it: a column of its own would be copied into each use."""
+    return F.transform(F.array(value), then)[0]
+
+
 def normalize_node(c: Column | str, aliases: list[tuple[str, str]] = NODE_ALIASES) -> Column:
     """Exact alias, then the first alias that contains the text or is contained in it, then the text if 3 to 59 characters long."""
-    low = F.lower(squeeze(c))
-    exact = F.try_element_at(F.create_map(*(F.lit(x) for p in aliases for x in p)), low)
+    spellings = F.create_map(*(F.lit(x) for p in aliases for x in p))
     pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(n).alias("n")) for a, n in aliases))
-    near = F.try_element_at(F.filter(pairs, lambda p: F.contains(low, p["a"]) | F.contains(p["a"], low)), F.lit(1))["n"]
-    own = F.when((F.length(low) > 2) & (F.length(low) < 60), titled(low))
-    return F.coalesce(exact, near, own)
+
+    def named(low: Column) -> Column:
+        near = F.try_element_at(F.filter(pairs, lambda p: F.contains(low, p["a"]) | F.contains(p["a"], low)), F.lit(1))["n"]
+        own = F.when((F.length(low) > 2) & (F.length(low) < 60), titled(low))
+        return F.coalesce(F.try_element_at(spellings, low), near, own)
+
+    return once(F.lower(squeeze(c)), named)
 
 
 def classify_node(c: Column | str, lexicon: dict[str, list[str]] = NODE_LEXICON) -> Column:
@@ -90,14 +98,9 @@ CONTEXT_KEYS = ["value", "identifier", "status", "raw", "reason"]
 STATUSES = ["known", "unknown", "unresolved"]
 
 
-def _once(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is computed once a row, however often ``then`` asks for it: a column of its own would be copied into each use."""
-    return F.transform(F.array(value), then)[0]
-
-
 def checked_value(text: Column) -> Column:
     """One field of a context as it came: null, plain text (unresolved), or a JSON object of its own, whose state must hold together; ``error`` tells what doesn't."""
-    return _once(F.trim(F.coalesce(text, F.lit(""))), _checked_given)
+    return once(F.trim(F.coalesce(text, F.lit(""))), _checked_given)
 
 
 def _checked_given(given: Column) -> Column:
@@ -122,8 +125,8 @@ def _checked_given(given: Column) -> Column:
         as_other = F.struct(none.alias("value"), none.alias("identifier"), F.lit("unknown").alias("status"), given.alias("raw"), none.alias("reason"), F.lit("must be a string, object, or null").alias("error"))
         return F.when(j["keys"].isNotNull(), as_object).when(given.startswith("["), as_other).otherwise(as_text)
 
-    parts = _once(own, lambda o: F.struct(F.json_object_keys(given).alias("keys"), *(F.nullif(F.trim(o[k]), F.lit("")).alias(k) for k in CONTEXT_KEYS)))
-    return _once(parts, checked)
+    parts = once(own, lambda o: F.struct(F.json_object_keys(given).alias("keys"), *(F.nullif(F.trim(o[k]), F.lit("")).alias(k) for k in CONTEXT_KEYS)))
+    return once(parts, checked)
 
 
 def structured_context(c: Column | str) -> Column:
@@ -136,14 +139,14 @@ def structured_context(c: Column | str) -> Column:
         unknown = F.array_sort(F.array_except(F.map_keys(fields), F.array(*map(F.lit, CONTEXT_FIELDS))))
         first = F.when(F.size(unknown) > 0, F.concat(F.lit("unknown context fields: "), F.array_join(unknown, ", ")))
         values = F.struct(*(checked_value(F.try_element_at(fields, F.lit(f))).alias(f) for f in CONTEXT_FIELDS), first.alias("first_"))
-        return _once(values, told)
+        return once(values, told)
 
     def told(v: Column) -> Column:
         errors = F.array_compact(F.array(v["first_"], *(F.concat(F.lit(f"{f}: "), v[f]["error"]) for f in CONTEXT_FIELDS)))
         supplied = F.array_compact(F.array(*(F.when(v[f]["status"] != "unknown", f) for f in CONTEXT_FIELDS)))
         return F.struct(*(v[f].alias(f) for f in CONTEXT_FIELDS), supplied.alias("supplied"), F.when(bad, F.array(F.lit("no object"))).otherwise(errors).alias("errors"))
 
-    return _once(F.from_json(text, "map<string,string>"), checked)
+    return once(F.from_json(text, "map<string,string>"), checked)
 
 
 DRUG_SCHEMA = "struct<name:string,drug_name:string,identifiers:array<struct<namespace:string,value:string>>,claims:array<struct<predicate:string,object:string,provenance:string>>>"

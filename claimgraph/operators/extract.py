@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.normalize import classify_node, normalize_node
+from ..functions.normalize import classify_node, normalize_node, once
 from ..vocab import CAUSAL_CUES, CAUSAL_VERBS, DIRECT_CUES, GENE_ALIASES, INDIRECT_CUES, NODE_ALIASES, NODE_LEXICON, PATHWAYS, POSITIVE_CUES, SUPPRESS_CUES, TEMPLATES
 
 PAPER = ["pmid", "year", "species"]
@@ -38,35 +38,52 @@ def extract_templates_by_token(pubs: DataFrame, templates: DataFrame) -> DataFra
 def extract_patterns(pubs: DataFrame, seen: DataFrame, aliases: list[tuple[str, str]] = NODE_ALIASES, verbs=CAUSAL_VERBS, confidence: str = "confidence", lexicon: dict[str, list[str]] = NODE_LEXICON) -> DataFrame:
     """Causal verbs; both ends normalised, self-loops and short ends dropped, once per paper, not where X1 (``seen``) has it.
 
-    A paper's matches become distinct inside its row, so abstracts aren't shuffled.
+    A paper's matches become distinct inside its row, so abstracts aren't shuffled. A text is cut into runs once; a run is read for
+    single verbs only where it has some verb.
     """
-    # a match lies in one run of the characters that its ends may have; runs without the verb are left alone
+    # a match lies in one run of the characters that its ends may have
     runs = F.split(F.lower("abstract"), rf"[^{LETTER}{BLANK}\-+/]+")
-    found = []
-    for forms, relation in verbs:
-        end = rf"[{LETTER}][{LETTER}{BLANK}\-+/]"
-        p = F.lit(rf"({end}+?)[{BLANK}]+(?:{forms})[{BLANK}]+({end}+)")
-        both = F.flatten(F.transform(F.filter(runs, _has_verb(forms)), _pairs_of(p)))
-        found.append(F.transform(both, _ends_of(relation, aliases)))
+    found = once(runs, lambda r: _claims_in(r, list(verbs), aliases))
     good = lambda m: (m["source"] != m["target"]) & (F.length(m["source"]) > 2) & (F.length(m["target"]) > 2)
-    rows = pubs.where("coalesce(abstract, '') <> ''").select(*PAPER, F.greatest(F.col(confidence) - 0.15, F.lit(0.3)).alias("confidence"), "abstract", F.explode(F.array_distinct(F.filter(F.concat(*found), good))).alias("m"))
+    rows = pubs.where("coalesce(abstract, '') <> ''").select(*PAPER, F.greatest(F.col(confidence) - 0.15, F.lit(0.3)).alias("confidence"), "abstract", F.explode(F.array_distinct(F.filter(found, good))).alias("m"))
     rows = rows.select(*PAPER, "confidence", "m.source", "m.relation", "m.target", T.supporting_sentence("abstract", F.col("m.source"), F.col("m.target")).alias("source_sentence"))
     rows = rows.withColumns({f"{e}_type": classify_node(e, lexicon) for e in ("source", "target")}).withColumn("extraction_method", F.lit("pattern"))
     rows = rows.dropDuplicates(["pmid", "source", "relation", "target"])
     return rows.join(seen.select("pmid", "source", "relation", "target").distinct(), ["pmid", "source", "relation", "target"], "left_anti")
 
 
-def _has_verb(forms: str):
-    return lambda run: run.rlike(rf"[{BLANK}](?:{forms})[{BLANK}]")
+def _claims_in(runs: Column, verbs: list[tuple[str, str]], aliases: list[tuple[str, str]]) -> Column:
+    """The claims of all runs, in order of the verbs. Runs are looked through for all verbs at once; those that have one, for either half of the verbs, and so on."""
+    if not verbs:
+        return F.array().cast("array<struct<source:string,relation:string,target:string>>")
+
+    def found(hits: Column) -> Column:
+        if len(verbs) == 1:
+            forms, relation = verbs[0]
+            return F.transform(_ends_in(hits, forms), _ends_of(relation, aliases))
+        half = len(verbs) // 2
+        return F.concat(_claims_in(hits, verbs[:half], aliases), _claims_in(hits, verbs[half:], aliases))
+
+    return once(F.filter(runs, _matching_verb("|".join(forms for forms, _ in verbs))), found)
 
 
-def _pairs_of(pattern: Column):
-    return lambda run: F.arrays_zip(F.regexp_extract_all(run, pattern, F.lit(1)).alias("s"), F.regexp_extract_all(run, pattern, F.lit(2)).alias("t"))
+def _ends_in(runs: Column, forms: str) -> Column:
+    """[source, target] of each run with the verb between them. A run has one match at most: all its characters may stand in an end, so the source begins with
+    the run's first letter (what no later verb follows there, none follows further on) and the target takes the rest. So the pattern is tied to the
+    run's beginning, and runs without a match aren't tried again from each of their letters."""
+    ends = rf"(?s)^[^{LETTER}]*+([{LETTER}].+?)[{BLANK}]+(?:{forms})[{BLANK}]+([{LETTER}].+)"
+    # \x01 stands in no run
+    cut = F.transform(runs, lambda run: F.split(F.regexp_replace(run, ends, "$1\x01$2"), "\x01"))
+    return F.filter(cut, lambda e: F.size(e) == 2)
+
+
+def _matching_verb(forms: str):
+    return lambda run: run.rlike(rf"[{BLANK}](?:{forms})[{BLANK}]")
 
 
 def _ends_of(relation: str, aliases: list[tuple[str, str]]):
     """A match as a claim; a function of one argument, since higher-order functions pass an index to a second."""
-    return lambda m: F.struct(normalize_node(m["s"], aliases).alias("source"), F.lit(relation).alias("relation"), normalize_node(m["t"], aliases).alias("target"))
+    return lambda m: F.struct(normalize_node(m[0], aliases).alias("source"), F.lit(relation).alias("relation"), normalize_node(m[1], aliases).alias("target"))
 
 
 def _matching(pattern: str):

@@ -138,3 +138,16 @@ def test_few_names_are_looked_for_without_a_shuffle_of_texts(spark, monkeypatch)
     assert "Exchange hashpartitioning(paper_" not in found()._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(X, "FEW_NAMES", 0)
     assert sorted(map(tuple, found().collect())) == rows
+
+
+def test_runs_are_read_for_a_verb_only_where_they_have_one(spark):
+    """A text of one run whose only verb stands at its beginning was tried again from each of its letters; and it was read anew for every verb."""
+    long = " induces " + "growth of cells " * 3_000
+    rows = [("1", long), ("2", "x promotes  il-5 and y. TNF induces fibrosis　induces scars; IL-4 blocks IL-5"), ("3", None), ("4", "and induces")]
+    p = spark.createDataFrame([(k, 2020, "human", t, 0.5) for k, t in rows], "pmid string, year int, species string, abstract string, confidence double")
+    none = spark.createDataFrame([], "pmid string, source string, relation string, target string")
+    got = X.extract_patterns(p, none)
+    assert {(r.pmid, r.source, r.relation, r.target) for r in got.collect()} == {("2", "IL-4", "suppresses", "IL-5"), ("2", "Tnf", "induces", "Fibrosis　Induces Scars")}
+    plan = got.select("pmid", "source", "relation", "target")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(lower(abstract") == 1
+    assert X.extract_patterns(p, none, verbs=[]).count() == 0
