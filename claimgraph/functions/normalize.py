@@ -39,8 +39,8 @@ def once(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def normalize_node(c: Column | str, aliases: list[tuple[str, str]] = NODE_ALIASES) -> Column:
-    """Exact alias, then the first alias that contains the text or is contained in it, then the text if 3 to 59 characters long."""
+def node_names(aliases: list[tuple[str, str]] = NODE_ALIASES) -> Callable[[Column | str], Column]:
+    """``normalize_node`` for many columns: the aliases become literals once."""
     spellings = F.create_map(*(F.lit(x) for p in aliases for x in p))
     pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(n).alias("n")) for a, n in aliases))
 
@@ -49,7 +49,12 @@ def normalize_node(c: Column | str, aliases: list[tuple[str, str]] = NODE_ALIASE
         own = F.when((F.length(low) > 2) & (F.length(low) < 60), titled(low))
         return F.coalesce(F.try_element_at(spellings, low), near, own)
 
-    return once(F.lower(squeeze(c)), named)
+    return lambda c: once(F.lower(squeeze(c)), named)
+
+
+def normalize_node(c: Column | str, aliases: list[tuple[str, str]] = NODE_ALIASES) -> Column:
+    """Exact alias, then the first alias that contains the text or is contained in it, then the text if 3 to 59 characters long."""
+    return node_names(aliases)(c)
 
 
 def classify_node(c: Column | str, lexicon: dict[str, list[str]] = NODE_LEXICON) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.normalize import classify_node, normalize_node, once
+from ..functions.normalize import classify_node, node_names, once
 from ..vocab import CAUSAL_CUES, CAUSAL_VERBS, DIRECT_CUES, GENE_ALIASES, INDIRECT_CUES, NODE_ALIASES, NODE_LEXICON, PATHWAYS, POSITIVE_CUES, SUPPRESS_CUES, TEMPLATES
 
 PAPER = ["pmid", "year", "species"]
@@ -43,7 +43,8 @@ def extract_patterns(pubs: DataFrame, seen: DataFrame, aliases: list[tuple[str,
     """
     # a match lies in one run of the characters that its ends may have
     runs = F.split(F.lower("abstract"), rf"[^{LETTER}{BLANK}\-+/]+")
-    found = once(runs, lambda r: _claims_in(r, list(verbs), aliases))
+    name = node_names(aliases)
+    found = once(runs, lambda r: _claims_in(r, list(verbs), name))
     good = lambda m: (m["source"] != m["target"]) & (F.length(m["source"]) > 2) & (F.length(m["target"]) > 2)
     rows = pubs.where("coalesce(abstract, '') <> ''").select(*PAPER, F.greatest(F.col(confidence) - 0.15, F.lit(0.3)).alias("confidence"), "abstract", F.explode(F.array_distinct(F.filter(found, good))).alias("m"))
     rows = rows.select(*PAPER, "confidence", "m.source", "m.relation", "m.target", T.supporting_sentence("abstract", F.col("m.source"), F.col("m.target")).alias("source_sentence"))
@@ -52,7 +53,7 @@ def extract_patterns(pubs: DataFrame, seen: DataFrame, aliases: list[tuple[str,
     return rows.join(seen.select("pmid", "source", "relation", "target").distinct(), ["pmid", "source", "relation", "target"], "left_anti")
 
 
-def _claims_in(runs: Column, verbs: list[tuple[str, str]], aliases: list[tuple[str, str]]) -> Column:
+def _claims_in(runs: Column, verbs: list[tuple[str, str]], name) -> Column:
     """The claims of all runs, in order of the verbs. Runs are looked through for all verbs at once; those that have one, for either half of the verbs, and so on."""
     if not verbs:
         return F.array().cast("array<struct<source:string,relation:string,target:string>>")
@@ -60,9 +61,9 @@ def _claims_in(runs: Column, verbs: list[tuple[str, str]], aliases: list[tuple[s
     def found(hits: Column) -> Column:
         if len(verbs) == 1:
             forms, relation = verbs[0]
-            return F.transform(_ends_in(hits, forms), _ends_of(relation, aliases))
+            return F.transform(_ends_in(hits, forms), _ends_of(relation, name))
         half = len(verbs) // 2
-        return F.concat(_claims_in(hits, verbs[:half], aliases), _claims_in(hits, verbs[half:], aliases))
+        return F.concat(_claims_in(hits, verbs[:half], name), _claims_in(hits, verbs[half:], name))
 
     return once(F.filter(runs, _matching_verb("|".join(forms for forms, _ in verbs))), found)
 
@@ -81,9 +82,9 @@ def _matching_verb(forms: str):
     return lambda run: run.rlike(rf"[{BLANK}](?:{forms})[{BLANK}]")
 
 
-def _ends_of(relation: str, aliases: list[tuple[str, str]]):
+def _ends_of(relation: str, name):
     """A match as a claim; a function of one argument, since higher-order functions pass an index to a second."""
-    return lambda m: F.struct(normalize_node(m[0], aliases).alias("source"), F.lit(relation).alias("relation"), normalize_node(m[1], aliases).alias("target"))
+    return lambda m: F.struct(name(m[0]).alias("source"), F.lit(relation).alias("relation"), name(m[1]).alias("target"))
 
 
 def _matching(pattern: str):
