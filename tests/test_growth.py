@@ -151,3 +151,15 @@ def test_runs_are_read_for_a_verb_only_where_they_have_one(spark):
     plan = got.select("pmid", "source", "relation", "target")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(lower(abstract") == 1
     assert X.extract_patterns(p, none, verbs=[]).count() == 0
+
+
+def test_tasks_that_make_pairs_distinct_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(A, "TASK_ROWS", 100)
+    e = spark.range(1000).select(F.concat(F.lit("n"), F.col("id") % 50).alias("source"), F.concat(F.lit("n"), F.col("id") % 7).alias("target"))
+    p = A.undirected(e)
+    assert p.rdd.getNumPartitions() == e.where("source <> target").count() // 100 + 1 == 10
+    assert {tuple(r) for r in p.collect()} == {tuple(sorted(r)) for r in e.collect() if r[0] != r[1]} and p.count() == p.distinct().count()
+    nodes = e.select(F.col("source").alias("id")).distinct()
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "HashAggregate" not in plan[plan.rindex("Exchange") :]
+    assert nodes.count() == A.eigenvector_centrality(nodes, e, max_iter=2, tol=0).where("eigenvector > 0").count() == 50
