@@ -11,9 +11,10 @@ are taken out of the counts before it is scored, so that no document vouches for
 So a bigram or word that stands in one document alone counts nothing there, and only those of two documents and more are kept; the mass that a
 word before passes on needs the number of its distinct bigrams, which is the number of its (document, bigram) less what the kept ones repeat.
 
-Bigrams are counted in COUNT_PARTS parts of the words before, one part's shuffle at a time. The most frequent words and bigrams, of a fixed number, are sent
-to all tasks, and most of a document is scored where it is read; its other bigrams that may be in the models (by bit filters of fixed size) are joined to
-them, in SCORE_PARTS parts. There is one form for all sizes: a larger corpus has more of them joined.
+Texts are dealt in chunks of some megabytes. A chunk asks for its bigrams, with what it counted itself, in COUNT_PARTS parts of the words before, one part's
+shuffle at a time; a bucket of bigrams sums what came and answers every chunk with the numbers of those it asked for that are kept. The most frequent words, of a
+fixed number, are sent to all tasks, the others are asked for in the same way. A chunk then meets its answers, and its documents are scored in one place. A
+distinct bigram of a chunk is shuffled twice at most, so what is shuffled grows with the corpus and no faster.
 
 Cases: null or empty texts and texts without words have 0 words and a null score; without labelled
 documents all scores are 0 (the target model falls back to the background); labels of unknown or null
@@ -29,19 +30,22 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, fresh_key, in_filter, scratch, staged, unstage
+from .common import bit_filter, in_filter, scratch, staged, unstage
 from .words import mix64, text_bytes, word_hashes, word_spans
 
 DISCOUNT, ADD = 0.75, 0.5
 STEP = 400
-COUNT_PARTS, SCORE_PARTS = 4, 4
+COUNT_PARTS = 2
+#: Bytes of the texts of a chunk, without the last one.
+CHUNK = 1 << 24
 #: Rows of a bucket of counted bigrams (13 MB).
 BUCKET = 1 << 18
-#: The most words and bigrams that are sent to all tasks (75 MB), and the bits of the filters of the others (32 MB).
-SENT_WORDS, SENT_PAIRS, FILTER_BITS = 1 << 20, 1 << 21, 27
+#: The most words that are sent to all tasks (42 MB), and the bits of the filter of the others (16 MB).
+SENT_WORDS, FILTER_BITS = 1 << 20, 27
 #: Stands before the first word of a text.
 START = np.uint64(0x5851F42D4C957F2D)
 
@@ -67,10 +71,6 @@ def _in_part(before: np.ndarray, part: int, parts: int) -> np.ndarray:
     return before & np.uint64(parts - 1) == np.uint64(part)
 
 
-def part_of(before: str, part: int, parts: int) -> Column:
-    return F.col(before).bitwiseAND(F.lit(parts - 1)) == part
-
-
 def _runs(keys: np.ndarray) -> np.ndarray:
     """Where each run of equal keys begins."""
     new = np.ones(len(keys), bool)
@@ -122,57 +122,141 @@ def _part_pairs(column: pa.Array, part: int, parts: int) -> tuple[np.ndarray, ..
 
 
 def marked_documents(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """doc_id, text, is_target, staged. The labels grow with the documents: joined by a merge at every size, never broadcast."""
+    """chunk, no, doc_id, text, is_target, staged; a chunk's rows are written behind each other, by their number ``no``. The labels grow with the documents: joined by a merge at every
+    size, never broadcast."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, passed, rows = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            ends = passed + np.cumsum(np.diff(text_bytes(batch.column(1))[1]))
+            begin = np.append(passed, ends[:-1])
+            passed = int(ends[-1]) if len(ends) else passed
+            chunk, no = first + begin[: len(ends)] // CHUNK, rows + np.arange(len(ends))
+            rows += len(ends)
+            yield pa.RecordBatch.from_arrays([pa.array(chunk.astype(np.int64)), pa.array(no), *batch.columns], ["chunk", "no", "doc_id", "text", "is_target"])
+
     marked = docs.select("doc_id", "text").join(targets.withColumn("is_target", F.lit(True)).hint("merge"), "doc_id", "left")
-    return staged(marked.withColumn("is_target", F.coalesce("is_target", F.lit(False))), "lm-documents")
+    marked = marked.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    return staged(marked.mapInArrow(deal, "chunk long, no long, doc_id long, text string, is_target boolean"), "lm-documents")
 
 
-def count_bigrams(marked: DataFrame, rows: int, part: int = 0, parts: int = 1, least: int = 2) -> DataFrame:
-    """(before, word, n0, n1, d0, d1): of every bigram whose word before is in ``part`` and that ``least`` texts hold, occurrences and texts with it, in all (0)
-    and in the target ones (1); summed in each task and then over all.
+def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Rows with the chunk first, as (chunk, its rows in small batches). A chunk whose file was cut comes in pieces, which ask apart."""
+    last, held = None, []
+    for whole in batches:
+        chunks = whole.column(0).to_numpy()
+        cuts = np.append(_runs(chunks), len(chunks)) if len(chunks) else []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if held and chunks[a] != last:
+                yield last, held
+                held = []
+            last = int(chunks[a])
+            held += [whole.slice(k, min(STEP, b - k)) for k in range(a, b, STEP)]
+    if held:
+        yield last, held
 
-    What the tasks counted goes out in buckets of the bigram's hash, each packed. Their number grows with ``rows``, the number of (text, distinct bigram) of the
-    part, so that a bucket has some BUCKET rows whatever the corpus' size: a bigram stands in it once for each 3 million rows of a task at most."""
-    names = ["before", "word", "n0", "n1", "d0", "d1"]
-    bits = max(0, (rows // BUCKET).bit_length())
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        many = 0
+def _packed(columns: list[np.ndarray], cuts: np.ndarray) -> pa.Array:
+    """Columns of 8-byte numbers cut at ``cuts``, one value for each piece."""
+    return pa.array([np.concatenate([c[a:b].view(np.int64) for c in columns]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
+
+
+def _unpacked(column: pa.ChunkedArray | pa.Array, wide: int) -> list[np.ndarray]:
+    """The ``wide`` columns of each packed value."""
+    return [np.frombuffer(c.as_buffer(), np.int64).reshape(wide, -1) for c in column]
+
+
+def _small(columns: list[np.ndarray]) -> bytes:
+    """Columns of counts in as few bytes each as the greatest needs, which the first byte tells."""
+    top = max(int(c.max()) for c in columns)
+    size = next(k for k in (1, 2, 4, 8) if top < 1 << 8 * k)
+    return bytes([size]) + b"".join(c.astype(f"u{size}").tobytes() for c in columns)
+
+
+def _from_small(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"u{packed[0]}", offset=1).reshape(2, -1).astype(np.int64)
+
+
+def _buckets(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(1) >> np.uint64(63 - bits)).astype(np.int64)
 
-        def summed() -> Iterator[pa.RecordBatch]:
-            before, word, own, good = (np.concatenate([h[k] for h in held]) for k in range(4))
-            pair = _pair_hashes(before, word)
+
+def bucket_bits(rows: int) -> int:
+    """So many high bits of a hash name its bucket that a bucket has some BUCKET of ``rows``, whatever the corpus' size."""
+    return max(0, (rows // BUCKET).bit_length())
+
+
+ANSWERS = "chunk long, kind int, low long, bucket long, packed binary"
+#: Kinds of answers: for no chunk, what a bucket's bigrams repeat (word, r0, r1); to a chunk, words (hash, w0, w1, c0, c1, p0, p1), and n0 and n1 of the bigrams of part k (PAIRS + k),
+#: in the order of what the piece that begins with row ``low`` asked for.
+AGAIN, WORDS, PAIRS = 0, 1, 2
+
+
+def _answers(kind: int, chunk: pa.Array, low: pa.Array, bucket: pa.Array, packed: list[bytes]) -> pa.Table:
+    return pa.table([chunk, pa.array(np.full(len(packed), kind, np.int32)), low, bucket, pa.array(packed, pa.binary())], ["chunk", "kind", "low", "bucket", "packed"])
+
+
+def count_bigrams(marked: DataFrame, rows: int, part: int = 0, parts: int = 1, least: int = 2) -> DataFrame:
+    """Answers: to each chunk the occurrences, in all texts (n0) and in the target ones (n1), of its bigrams whose word before is in ``part``, 0 where fewer than
+    ``least`` texts hold them; and by the word before, how often such bigrams stand in one more text than the first, in all texts (r0) and in the target ones (r1).
+
+    What the chunks counted goes out in buckets of the bigram's hash, each packed; ``rows`` is the number of (text, distinct bigram) of the part. A bigram
+    stands in its bucket once for each chunk that has it."""
+    bits = bucket_bits(rows)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, texts in _by_chunk(batches):
+            held, low = [], texts[0].column(1)[0].as_py()
+            for batch in texts:
+                row, before, word, own = _part_pairs(batch.column(2), part, parts)
+                held.append((before, _pair_hashes(before, word), own, np.array(batch.column(3).to_pylist(), bool)[row]))
+            before, pair, own, good = (np.concatenate([h[k] for h in held]) for k in range(4))
             index, sums = _sums(pair, [own, own * good, np.ones(len(own), np.int64), good.astype(np.int64)])
-            columns = [before[index].view(np.int64), word[index].view(np.int64), *sums]
-            bucket = (pair[index] >> np.uint64(1) >> np.uint64(63 - bits)).astype(np.int64)
+            if not len(index):
+                continue
+            columns = [before[index], pair[index], *sums]
+            bucket = _buckets(columns[1], bits)
             runs = np.append(_runs(bucket), len(bucket))
-            for low in range(0, len(runs) - 1, 64):
-                cuts = runs[low : low + 65]
-                packed = [np.concatenate([c[a:b] for c in columns]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(packed, pa.binary())], ["bucket", "counts"])
+            for k in range(0, len(runs) - 1, 64):
+                cuts = runs[k : k + 65]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(np.full(len(cuts) - 1, chunk)), pa.array(np.full(len(cuts) - 1, low)), _packed(columns, cuts)], ["bucket", "chunk", "low", "counts"])
+
+    def answer(bucket: pa.Table) -> pa.Table:
+        asked = _unpacked(bucket.column("counts"), 6)
+        ends = np.cumsum([0, *(a.shape[1] for a in asked)])
+        before, pair, *counts = np.concatenate(asked, axis=1)
+        pair = pair.view(np.uint64)
+        order = np.argsort(pair)
+        runs = _runs(pair[order])
+        n0, n1, d0, d1 = (np.add.reduceat(c[order], runs) for c in counts)
+        run = np.empty(len(order), np.int64)
+        run[order] = np.repeat(np.arange(len(runs)), np.diff(np.append(runs, len(order))))
+        few = d0 < least
+        n0[few] = n1[few] = 0
+        packed = [_small([n0[run[a:b]], n1[run[a:b]]]) for a, b in zip(ends[:-1], ends[1:])]
+        told = _answers(PAIRS + part, *(bucket.column(c).combine_chunks() for c in ("chunk", "low", "bucket")), packed)
+        kept = np.flatnonzero(~few)
+        if not len(kept):
+            return told
+        index, sums = _sums(before[order[runs[kept]]], [d0[kept] - 1, np.maximum(d1[kept] - 1, 0)])
+        of = before[order[runs[kept]]][index]
+        none = pa.nulls(1, pa.int64())
+        return pa.concat_tables([told, _answers(AGAIN, none, none, none, [np.concatenate([of, *sums]).tobytes()])])
+
+    asked = marked.select("chunk", "no", "text", "is_target").mapInArrow(ask, "bucket long, chunk long, low long, counts binary")
+    return asked.groupBy("bucket").applyInArrow(answer, ANSWERS)
+
+
+def repeated(answers: DataFrame) -> DataFrame:
+    """(word, r0, r1) out of the answers."""
 
-        for whole in batches:
-            for low in range(0, whole.num_rows, STEP):
-                batch = whole.slice(low, STEP)
-                row, before, word, own = _part_pairs(batch.column(0), part, parts)
-                good = np.array(batch.column(1).to_pylist(), bool)
-                held.append((before, word, own, good[row]))
-                many += len(row)
-                if many > 3_000_000:  # bounded memory: what has been counted goes out
-                    yield from summed()
-                    held, many = [], 0
-        if many:
-            yield from summed()
-
-    def merge(bucket: pa.Table) -> pa.Table:
-        counted = np.concatenate([np.frombuffer(c.as_buffer(), np.int64).reshape(6, -1) for c in bucket.column("counts")], axis=1)
-        index, sums = _sums(_pair_hashes(counted[0].view(np.uint64), counted[1].view(np.uint64)), list(counted[2:]))
-        kept = np.flatnonzero(sums[2] >= least)
-        return pa.table([pa.array(c[kept]) for c in (counted[0][index], counted[1][index], *sums)], names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for word, r0, r1 in _unpacked(batch.column(0), 3):
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(r0), pa.array(r1)], ["word", "r0", "r1"])
 
-    counted = marked.select("text", "is_target").mapInArrow(count, "bucket long, counts binary")
-    return counted.groupBy("bucket").applyInArrow(merge, ", ".join(f"{c} long" for c in names))
+    rows = answers.where(F.col("kind") == AGAIN).select("packed").mapInArrow(run, "word long, r0 long, r1 long")
+    return rows.groupBy("word").agg(F.sum("r0").alias("r0"), F.sum("r1").alias("r1"))
 
 
 def count_words(marked: DataFrame) -> DataFrame:
@@ -239,122 +323,140 @@ class Found:
 
 
 class Models:
-    """What is sent to all tasks: the most frequent words with their counts and bigrams by the hash of the pair, and filters of the others."""
+    """What is sent to all tasks: the most frequent words with their counts, and a filter of the others."""
 
-    def __init__(self, words: np.ndarray, counts: list[np.ndarray], mass: list[np.ndarray], pairs: np.ndarray, times: list[np.ndarray], other_words: np.ndarray, other_pairs: np.ndarray, total: tuple[int, int], n_words: int):
-        """words: sorted; counts: of the words, w0, w1, c0, c1; mass: that each passes on as the word before, for both models;
-        pairs: sorted hashes; times: of the pairs, for both models."""
-        self.words, self.counts, self.mass, self.pairs, self.times = words, counts, mass, pairs, times
-        self.other_words, self.other_pairs = other_words, other_pairs
+    def __init__(self, words: np.ndarray, columns: list[np.ndarray], others: np.ndarray, total: tuple[int, int], n_words: int):
+        """words: sorted; columns: of the words, w0, w1, c0, c1 and the mass that each passes on as the word before, p0, p1."""
+        self.words, self.columns, self.others = words, columns, others
         self.total, self.wide = total, n_words + 2
-        self.found: tuple[Found, Found] | None = None
-
-    def score(self, column: pa.Array, good: np.ndarray, part: int, parts: int, only_loose: bool = False) -> dict | None:
-        """The texts' bigrams in ``part``: which lack their count alone (``pairs``), which lack a word's (``loose``), and of each text the sums of the others' losses.
+        self.found: Found | None = None
 
-        With ``only_loose``, None where no word is lacking."""
+    def places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.found is None:  # made by each worker, not sent
-            self.found = Found(self.words), Found(self.pairs)
+            self.found = Found(self.words)
+        return self.found.places(words)
+
+    def lacking(self, words: np.ndarray) -> np.ndarray:
+        """Which may be in the models but weren't sent."""
+        return ~self.places(words)[1] & in_filter(self.others, words)
+
+    def score(self, column: pa.Array, good: np.ndarray, words: tuple[Found, np.ndarray], pairs: tuple[Found, np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The texts' numbers of words and their summed losses under both models; words and pairs: what the chunk was answered."""
         row, ids, before, table, n = _positions(column)
-        at, sent = self.found[0].places(table)
-        lacking = ~sent & in_filter(self.other_words, table)
-        if only_loose and not lacking.any():
-            return None
-        mine = np.flatnonzero(_in_part(table, part, parts)[before]) if parts > 1 else np.arange(len(ids))
-        if only_loose:  # texts without such a word have nothing to give
-            mine = mine[(np.bincount(row, lacking[ids] | lacking[before], len(n)) > 0)[row[mine]]]
+        values = [np.zeros(len(table)) for _ in range(4)] + [np.ones(len(table)) for _ in range(2)]
+        for (at, inside), columns in ((self.places(table), self.columns), (words[0].places(table), [*words[1][:4], *(x.view(float) for x in words[1][4:])])):
+            for value, known in zip(values, columns):
+                value[inside] = known[at[inside]]
         of_text, times = np.unique(row * len(table) + ids, return_counts=True)
-        row, before_id, word_id, own = _document_pairs(row[mine], before[mine], ids[mine], len(table))
-        own_word = times[np.searchsorted(of_text, row * len(table) + word_id)]
+        row, before, word, own = _document_pairs(row, before, ids, len(table))
+        own_word = times[np.searchsorted(of_text, row * len(table) + word)]
         # all that follows a word before in its text is here, in a run
-        runs = _runs(row * len(table) + before_id)
+        runs = _runs(row * len(table) + before)
         own_before = np.repeat(np.add.reduceat(own, runs) if len(runs) else own, np.diff(np.append(runs, len(own))))
-        before, word = table[before_id], table[word_id]
-        w_at, w_in, b_at, b_in = at[word_id], sent[word_id], at[before_id], sent[before_id]
-        hashes = _pair_hashes(before, word)
-        p_at, p_in = self.found[1].places(hashes)
-        open_ = ~p_in & in_filter(self.other_pairs, hashes)
-        loose = lacking[word_id] | lacking[before_id]
-
-        def of(values: np.ndarray, at: np.ndarray, inside: np.ndarray, other: float) -> np.ndarray:
-            return np.where(inside, values[at], other) if len(values) else np.full(len(at), other)
-
-        times = [of(t, p_at, p_in, 0).astype(np.int64) for t in self.times]
-        done = ~open_ & ~loose
-        contexts, others, sums = [], [], []
+        at, inside = pairs[0].places(_pair_hashes(table[before], table[word]))
+        sums = []
         for m in (0, 1):
             k = m if self.total[1] else 0  # no target text: both models are the background
             taken = np.ones(len(row)) if k == 0 else good[row].astype(float)
-            one = (np.maximum(of(self.counts[k], w_at, w_in, 0) - taken * own_word, 0) + ADD) / (np.maximum(self.total[k] - taken * n[row], 0) + ADD * self.wide)
-            contexts.append(of(self.counts[2 + k], b_at, b_in, 0) - taken * own_before)
-            passed = np.where(contexts[m] > 0, of(self.mass[k], b_at, b_in, 1), 1)
-            others.append(np.maximum(passed, 1e-3) * one)
-            two = np.maximum(times[k] - taken * own - DISCOUNT, 0) / np.maximum(contexts[m], 1)
-            loss = -np.log(np.minimum(two, 1 - 1e-9) + others[m])
-            sums.append(np.bincount(row[done], (own * loss)[done], len(n)).astype(float))
-        return {
-            "n": n, "sums": sums, "pairs": np.flatnonzero(open_ & ~loose), "loose": np.flatnonzero(loose), "open": open_, "row": row, "pair": hashes, "before": before, "word": word,
-            "own": own, "own_word": own_word, "own_before": own_before, "times": times, "contexts": contexts, "others": others,
-        }
-
-
-PAIR_ROWS = "key_ long, doc_id long, is_target boolean, copies long, words long, background double, target double, pair long, own long, x0 long, x1 long, q0 double, q1 double"
-
-
-def pair_rows(marked: DataFrame, models, part: int, parts: int) -> DataFrame:
-    """A row for each document with the sums of what is scored in place (``copies`` is 1 in the first part alone), and one for each of its bigrams in the part that lacks its
-    count alone: what else the loss needs is there (x, contexts less the own ones; q, what the unigram adds). ``models`` is broadcast."""
-    names = [f.split()[0] for f in PAIR_ROWS.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, STEP):
-                batch = whole.slice(low, STEP)
-                s = models.value.score(batch.column(1), np.array(batch.column(2).to_pylist(), bool), part, parts)
-                n, at = s["n"], s["pairs"]
-                texts = pa.array(np.concatenate([np.arange(len(n)), s["row"][at]]))
-                then = lambda x: pa.concat_arrays([pa.array(x), pa.nulls(len(at), pa.array(x).type)])  # noqa: E731, B023
-                now = lambda x: pa.concat_arrays([pa.nulls(len(n), pa.array(x[:0]).type), pa.array(x[at])])  # noqa: E731, B023
-                # documents meet no bigram: a key of their own each
-                alone = mix64(batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64) + np.arange(len(n), dtype=np.uint64))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(3).take(texts), pa.concat_arrays([batch.column(0), pa.nulls(len(at), pa.int64())]), batch.column(2).take(texts), then(np.full(len(n), int(part == 0))),
-                        then(n.astype(np.int64) * (part == 0)), then(s["sums"][0]), then(s["sums"][1]), pa.array(np.concatenate([alone, s["pair"][at]]).view(np.int64)), now(s["own"].astype(np.int64)),
-                        *(now(x.astype(np.int64)) for x in s["contexts"]), *(now(x) for x in s["others"]),
-                    ],
-                    names,
-                )
-
-    return _keyed(marked).mapInArrow(run, PAIR_ROWS)
-
-
-LOOSE_ROWS = "key_ long, is_target boolean, pair long, before long, word long, own long, own_word long, own_before long, n long, s0 long, s1 long"
-
-
-def loose_rows(marked: DataFrame, models) -> DataFrame:
-    """A row for each bigram of a document with a word that may be in the models but wasn't sent; s, its count where that was; ``pair`` is null where nothing is to be
-    looked up."""
-    names = [f.split()[0] for f in LOOSE_ROWS.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, STEP):
-                batch = whole.slice(low, STEP)
-                s = models.value.score(batch.column(1), np.array(batch.column(2).to_pylist(), bool), 0, 1, True)
-                if s is None:
-                    continue
-                at = s["loose"]
-                texts = pa.array(s["row"][at])
-                numbers = [s["before"].view(np.int64), s["word"].view(np.int64), s["own"], s["own_word"], s["own_before"], s["n"][s["row"]], *s["times"]]
-                yield pa.RecordBatch.from_arrays([batch.column(3).take(texts), batch.column(2).take(texts), pa.array(s["pair"].view(np.int64)[at], mask=~s["open"][at]), *(pa.array(x[at].astype(np.int64)) for x in numbers)], names)
-
-    return _keyed(marked).mapInArrow(run, LOOSE_ROWS)
-
-
-def _keyed(marked: DataFrame) -> DataFrame:
-    """Rows alike in doc_id and text share their key_: their sums are those of as many copies."""
-    return marked.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "is_target", F.xxhash64("doc_id", "text").alias("key_"))
+            one = (np.maximum(values[k][word] - taken * own_word, 0) + ADD) / (np.maximum(self.total[k] - taken * n[row], 0) + ADD * self.wide)
+            contexts = values[2 + k][before] - taken * own_before
+            passed = np.where(contexts > 0, values[4 + k][before], 1)
+            number = np.zeros(len(row))
+            number[inside] = pairs[1][k][at[inside]]
+            two = np.maximum(number - taken * own - DISCOUNT, 0) / np.maximum(contexts, 1)
+            loss = -np.log(np.minimum(two, 1 - 1e-9) + np.maximum(passed, 1e-3) * one)
+            sums.append(np.bincount(row, own * loss, len(n)).astype(float))
+        return n, sums
+
+
+def answer_words(marked: DataFrame, models, words: DataFrame, rows: int) -> DataFrame:
+    """Answers: to each chunk its words that are in ``words``, of ``rows`` rows, which weren't sent. ``models`` is broadcast."""
+    bits = bucket_bits(rows)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, texts in _by_chunk(batches):
+            every = np.unique(np.concatenate([np.array([START]), *(np.unique(_words(batch.column(1))[0]) for batch in texts)]))
+            every = every[models.value.lacking(every)]
+            if len(every):
+                bucket = _buckets(every, bits)
+                cuts = np.append(_runs(bucket), len(bucket))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(np.full(len(cuts) - 1, chunk)), _packed([every], cuts)], ["bucket", "chunk", "words"])
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        if not asked.num_rows or not known.num_rows:
+            none = pa.array([], pa.int64())
+            return _answers(WORDS, none, none, none, [])
+        columns = [known.column(k).to_numpy() for k in range(1, 8)]
+        order = np.argsort(columns[0].view(np.uint64))
+        found = Found(columns[0].view(np.uint64)[order])
+        packed = []
+        for (wanted,) in _unpacked(asked.column("words"), 1):
+            at, inside = found.places(wanted.view(np.uint64))
+            packed.append(np.concatenate([c[order[at[inside]]].view(np.int64) for c in columns]).tobytes())
+        return _answers(WORDS, asked.column("chunk").combine_chunks(), pa.nulls(len(packed), pa.int64()), asked.column("bucket").combine_chunks(), packed)
+
+    asked = marked.select("chunk", "text").mapInArrow(ask, "bucket long, chunk long, words binary")
+    known = words.select(F.shiftrightunsigned(F.shiftrightunsigned("word", 1), 63 - bits).alias("bucket"), "word", "w0", "w1", "c0", "c1", "p0", "p1")
+    return asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, ANSWERS)
+
+
+def answered_words(told: pa.Table) -> tuple[Found, np.ndarray]:
+    """A chunk's words that were answered: their hashes, to be found, and the columns after them."""
+    own = told.filter(pa.array(told.column("kind").to_numpy() == WORDS))
+    columns = np.concatenate([np.zeros((7, 0), np.int64), *_unpacked(own.column("packed"), 7)], axis=1)
+    columns = columns[:, np.argsort(columns[0].view(np.uint64))]
+    return Found(columns[0].view(np.uint64)), columns[1:]
+
+
+def answered_pairs(texts: pa.Table, told: pa.Table) -> tuple[Found, np.ndarray]:
+    """A chunk's kept bigrams: their hashes, to be found, and n0 and n1. What each piece asked for is made again from its texts, in the same order, and meets the answers."""
+    held = []
+    for batch in texts.select(["text"]).to_batches(max_chunksize=STEP):
+        word, first = _words(batch.column(0))
+        n = np.diff(first)
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        before[first[:-1][n > 0]] = START
+        held.append((before, _pair_hashes(before, word), n))
+    before, pair, n = (np.concatenate([h[k] for h in held]) for k in range(3))
+    begin, no = np.append(0, np.cumsum(n)), texts.column("no").to_numpy()
+    kind, low, bucket = (told.column(c).fill_null(0).to_numpy() for c in ("kind", "low", "bucket"))
+    packed = told.column("packed")
+    out = [np.zeros((3, 0), np.int64)]
+    for own in np.unique(kind[kind >= PAIRS]):
+        lows = np.unique(low[kind == own])
+        rows = np.append(np.searchsorted(no, lows), len(no))
+        for first, a, b in zip(lows, begin[rows[:-1]], begin[rows[1:]]):
+            mine = np.flatnonzero((kind == own) & (low == first))
+            counts = np.concatenate([_from_small(packed[int(k)].as_py()) for k in mine[np.argsort(bucket[mine])]], axis=1)
+            asked = np.unique(pair[a:b][_in_part(before[a:b], own - PAIRS, COUNT_PARTS)])
+            if len(asked) != counts.shape[1]:
+                raise ValueError(f"{len(asked)} bigrams asked for, {counts.shape[1]} answered")
+            kept = counts[0] > 0
+            out.append(np.concatenate([asked[kept].view(np.int64)[None], counts[:, kept]]))
+    columns = np.concatenate(out, axis=1)
+    columns = columns[:, np.argsort(columns[0].view(np.uint64))]
+    return Found(columns[0].view(np.uint64)), columns[1:]
+
+
+SCORES = "doc_id long, words long, background double, target double, is_target boolean"
+
+
+def score_chunks(marked: DataFrame, models, answers: DataFrame) -> DataFrame:
+    """Each document's number of words and summed losses, chunk by chunk with what it was answered. ``models`` is broadcast."""
+    names = [f.split()[0] for f in SCORES.split(", ")]
+
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+        out = []
+        if texts.num_rows:
+            texts = texts.sort_by("no")
+            words, pairs = answered_words(told), answered_pairs(texts, told)
+            for batch in texts.select(["doc_id", "text", "is_target"]).to_batches(max_chunksize=STEP):
+                n, sums = models.value.score(batch.column(1), np.array(batch.column(2).to_pylist(), bool), words, pairs)
+                out.append(pa.table([batch.column(0), pa.array(n.astype(np.int64)), *map(pa.array, sums), batch.column(2)], names))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())], names)
+
+    return marked.groupBy("chunk").cogroup(answers.where("chunk is not null").groupBy("chunk")).applyInArrow(run, SCORES)
 
 
 def collected(rows: DataFrame, derive, kinds: list) -> list[np.ndarray]:
@@ -393,102 +495,33 @@ def least_sent(counts: DataFrame, column: str, most: int) -> int:
     return 1
 
 
-def hashed_pairs(pairs: DataFrame) -> DataFrame:
-    """(pair, n0, n1): bigrams by the hash of the pair."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            before, word = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(_pair_hashes(before, word).view(np.int64)), batch.column(2), batch.column(3)], ["pair", "n0", "n1"])
-
-    return pairs.select("before", "word", "n0", "n1").mapInArrow(run, "pair long, n0 long, n1 long")
-
-
-def losses(n_words: int, total: tuple[int, int]) -> list[Column]:
-    """Loss of a bigram's word under both models, the document's own counts taken out where they are in the model."""
-    wide = n_words + 2  # as in Models: the start of a text, and a word not seen
-    out = []
-    for m in (0, 1):
-        k = m if total[1] else 0  # no target text: both models are the background
-        taken = F.lit(True) if k == 0 else F.col("is_target")
-        own, own_word, own_before, own_all = (F.when(taken, F.col(c)).otherwise(0) for c in ("own", "own_word", "own_before", "n"))
-        one = (F.greatest(F.col(f"w{k}") - own_word, F.lit(0)) + ADD) / (F.greatest(F.lit(total[k]) - own_all, F.lit(0)) + ADD * wide)
-        contexts = F.col(f"c{k}") - own_before
-        two = F.greatest(F.col(f"n{k}") - own - DISCOUNT, F.lit(0.0)) / F.greatest(contexts, F.lit(1))
-        passed = F.when(contexts > 0, F.col(f"p{k}")).otherwise(1.0)
-        out.append(-F.log(F.least(two, F.lit(1 - 1e-9)) + F.greatest(passed, F.lit(1e-3)) * one))
-    return out
-
-
-def in_pairs(rows: DataFrame, pairs: DataFrame, has_target: bool) -> DataFrame:
-    """(key_, doc_id, is_target, copies, words, background, target): ``pair_rows`` with their counts (none: 0), summed by document."""
-    joined = rows.join(hashed_pairs(pairs), "pair", "left")
-    sums = []
-    for m, c in enumerate(("background", "target")):
-        k = m if has_target else 0
-        own = F.col("own") if k == 0 else F.when(F.col("is_target"), F.col("own")).otherwise(0)
-        two = F.greatest(F.coalesce(f"n{k}", F.lit(0)) - own - DISCOUNT, F.lit(0.0)) / F.greatest(f"x{m}", F.lit(1))
-        loss = -F.log(F.least(two, F.lit(1 - 1e-9)) + F.col(f"q{m}"))
-        sums.append(F.sum(F.coalesce(c, F.col("own") * loss)).alias(c))
-    return rows_by_document(joined, sums)
-
-
-def rows_by_document(rows: DataFrame, sums: list[Column]) -> DataFrame:
-    zero = lambda c: F.sum(F.coalesce(c, F.lit(0))).alias(c)
-    return rows.groupBy("key_").agg(F.max("doc_id").alias("doc_id"), F.max("is_target").alias("is_target"), zero("copies"), zero("words"), *sums)
-
-
-def in_words(rows: DataFrame, pairs: DataFrame, words: DataFrame, n_words: int, total: tuple[int, int]) -> DataFrame:
-    """The same of ``loose_rows``, with the counts of their bigrams and of both words."""
-    # rows without a bigram to look up are dealt out at random
-    keyed = rows.withColumn("pair", F.coalesce("pair", F.xxhash64("key_", "before", "word")))
-    full = keyed.join(hashed_pairs(pairs), "pair", "left").withColumns({f"n{m}": F.greatest(F.coalesce(f"n{m}", F.lit(0)), F.col(f"s{m}")) for m in (0, 1)})
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("w0", "w1", "c0", "c1")]
-    one = [F.coalesce(c, F.lit(1.0)).alias(c) for c in ("p0", "p1")]
-    full = full.withColumn("w_", fresh_key("word")).join(words.select(fresh_key("word").alias("w_"), "w0", "w1"), "w_", "left")
-    full = full.withColumn("b_", fresh_key("before")).join(words.select(fresh_key("word").alias("b_"), "c0", "c1", "p0", "p1"), "b_", "left")
-    full = full.select(*rows.columns, "n0", "n1", *zero, *one)
-    background, target = losses(n_words, total)
-    none = [F.lit(None).cast("long").alias(c) for c in ("doc_id", "copies", "words")]
-    return rows_by_document(full.select("*", *none), [F.sum(F.col("own") * loss).alias(c) for c, loss in (("background", background), ("target", target))])
-
-
-def score_documents(docs: DataFrame, labels: DataFrame, sent: tuple[int, int] = (SENT_WORDS, SENT_PAIRS), filter_bits: int = FILTER_BITS) -> DataFrame:
-    """doc_id, n_words, loss_target, loss_background, score (their difference), is_target."""
+def score_documents(docs: DataFrame, labels: DataFrame, sent: tuple[int, ...] = (SENT_WORDS,), filter_bits: int = FILTER_BITS) -> DataFrame:
+    """doc_id, n_words, loss_target, loss_background, score (their difference), is_target. ``sent`` begins with the most words that are sent; bigrams no longer are."""
     spark = docs.sparkSession
     marked = marked_documents(docs, target_ids(labels))
     every = staged(count_words(marked), "lm-words")
     n_words, *total, rows = every.agg(F.count_if(F.col("w0") > 0), *(F.coalesce(F.sum(c), F.lit(0)) for c in ("w0", "w1", "i0"))).first()
     parts = [staged(count_bigrams(marked, rows // COUNT_PARTS, part, COUNT_PARTS), "lm-pairs") for part in range(COUNT_PARTS)]
-    pairs = reduce(DataFrame.union, parts)
+    answers = reduce(DataFrame.union, parts)
     # distinct bigrams after a word: its (text, bigram) less the repetitions of those of two texts and more; each leaves DISCOUNT
-    again = pairs.groupBy(F.col("before").alias("word")).agg(F.sum(F.col("d0") - 1).alias("r0"), F.sum(F.greatest(F.col("d1") - 1, F.lit(0))).alias("r1"))
-    words = every.where("texts > 1").join(again, "word", "left")
+    words = every.where("texts > 1").join(repeated(answers), "word", "left")
     mass = [F.when(F.col(f"c{m}") > 0, DISCOUNT * (F.col(f"i{m}") - F.coalesce(f"r{m}", F.lit(0))) / F.col(f"c{m}")).otherwise(1.0).alias(f"p{m}") for m in (0, 1)]
     words = staged(words.select("word", "w0", "w1", "c0", "c1", *mass), "lm-models")
 
     often = F.greatest("w0", "c0")
-    least_word, least_pair = least_sent(words.select(often.alias("n")), "n", sent[0]), least_sent(pairs, "n0", sent[1])
+    least_word = least_sent(words.select(often.alias("n")), "n", sent[0])
     number = np.int32 if total[0] < 1 << 31 else np.int64
-    word, *counts, p0, p1 = _sorted_by_first(collected(words.where(often >= least_word), lambda c: [c[0].view(np.uint64), *c[1:]], [np.uint64, *[number] * 4, float, float]))
-    hashes, *times = _sorted_by_first(collected(pairs.where(F.col("n0") >= least_pair).select("before", "word", "n0", "n1"), lambda c: [_pair_hashes(c[0].view(np.uint64), c[1].view(np.uint64)), *c[2:]], [np.uint64, number, number]))
-    other = pairs.where(F.col("n0") < least_pair)
-    pair_filter = bit_filter(other.select("before", "word"), lambda c: _pair_hashes(c[0].view(np.uint64), c[1].view(np.uint64)), filter_bits)
-    word_filter = bit_filter(words.where(often < least_word).select("word"), lambda c: c[0].view(np.uint64), filter_bits)
-    shared = spark.sparkContext.broadcast(Models(word, counts, [p0, p1], hashes, times, word_filter, pair_filter, tuple(total), n_words))
-
-    sums = []
-    for part in range(SCORE_PARTS):
-        rows = pair_rows(marked, shared, part, SCORE_PARTS)
-        sums.append(staged(in_pairs(rows, other.where(part_of("before", part, SCORE_PARTS)), bool(total[1])), "lm-sums"))
-    sums.append(staged(in_words(loose_rows(marked, shared), other, words, n_words, tuple(total)), "lm-sums"))
-    unstage(marked, every, words, *parts)
-    whole = reduce(DataFrame.union, sums).groupBy("key_").agg(F.max("doc_id").alias("doc_id"), F.max("is_target").alias("is_target"), *(F.sum(c).alias(c) for c in ("copies", "words", "background", "target")))
-    each = whole.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))  # as many rows as came in
+    word, *columns = _sorted_by_first(collected(words.where(often >= least_word), lambda c: [c[0].view(np.uint64), *c[1:]], [np.uint64, *[number] * 4, float, float]))
+    others = words.where(often < least_word)
+    word_filter = bit_filter(others.select("word"), lambda c: c[0].view(np.uint64), filter_bits)
+    shared = spark.sparkContext.broadcast(Models(word, columns, word_filter, tuple(total), n_words))
+
+    told = staged(answer_words(marked, shared, others, others.count()), "lm-told")
+    sums = score_chunks(marked, shared, answers.union(told))
     mean = [F.when(F.col("words") > 0, F.col(c) / F.col("words")).alias(f"loss_{c}") for c in ("target", "background")]
-    out = each.select("doc_id", (F.col("words") / F.col("copies")).cast("long").alias("n_words"), *mean, "is_target")
-    out = staged(out.select("doc_id", "n_words", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"), "is_target"), "lm-scores")
-    unstage(*sums)
+    each = sums.select("doc_id", F.col("words").alias("n_words"), *mean, "is_target")
+    out = staged(each.select("doc_id", "n_words", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"), "is_target"), "lm-scores")
+    unstage(marked, every, words, told, *parts)
     return out
 
 

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from claimgraph.llm import centroids, embed, lm, media, mixing, near, phrases, sharding, toxicity
 from claimgraph.operators import iterate
@@ -260,3 +261,27 @@ def test_queries_leave_their_result_alone(spark):
         new = set(os.listdir(folder)) - before
         assert [x.rsplit("-", 1)[0] for x in new] == [left], new
         before |= new
+
+
+def test_lm_bigrams_are_answered_by_chunk(spark, monkeypatch):
+    """A chunk is answered two bytes for a bigram, never a row; a chunk that was cut is answered piece by piece, with the same numbers."""
+    monkeypatch.setattr(lm, "CHUNK", 4_000)
+    rng = random.Random(31)
+    rows = [(d, " ".join(f"w{rng.randrange(60)}" for _ in range(60)) if d % 9 else None) for d in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    marked = lm.marked_documents(d, spark.createDataFrame([(k,) for k in range(90)], "doc_id long"))
+    assert marked.select("chunk").distinct().count() >= 8 and marked.count() == 200
+    cut = marked.where("no % 40 < 25").union(marked.where("no % 40 >= 25"))
+    for chunk in [r.chunk for r in marked.select("chunk").distinct().collect()]:
+        texts = marked.where(F.col("chunk") == chunk).toArrow().sort_by("no")
+        got = []
+        for table in (marked, cut) if chunk % 3 == 0 else (marked,):
+            answers = lm.count_bigrams(table, 1, 0, lm.COUNT_PARTS).union(lm.count_bigrams(table, 1, 1, lm.COUNT_PARTS))
+            told = answers.where((F.col("chunk") == chunk) & (F.col("kind") >= lm.PAIRS)).toArrow()
+            found, counts = lm.answered_pairs(texts, told)
+            got.append({int(k): tuple(map(int, counts[:, i])) for i, k in enumerate(found.keys)})
+        hashes = lm._part_pairs(texts.column("text"), 0, 1)
+        assert sum(len(x.as_py()) - 1 for x in told.column("packed")) <= 4 * len(hashes[0])
+        assert got[0] == got[-1] and all(n0 >= 2 and n1 <= n0 for n0, n1 in got[0].values())
+        if chunk % 3 == 0:
+            break
