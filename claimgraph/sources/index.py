@@ -6,21 +6,58 @@ buckets alone and skips their other row groups. Postings of a frequent term are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.corpus import matching_documents, search_terms, text_terms
+from ..operators.corpus import matching_documents, search_terms
 
 BUCKETS = 256
+#: Bytes of a term, a-z, 0-9 and the hyphen; and how many texts are cut at once.
+TERM, STEP = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789-")), 400
 
 
 def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
+def index_terms(pubs: DataFrame) -> DataFrame:
+    """(pmid, year, term): what ``text_terms`` gives, but for the empty term; the texts of a batch are cut at once and their terms compared as numbers."""
+    texts = pubs.select("pmid", "year", F.lower(F.concat_ws(" ", "title", "abstract")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, STEP):
+                batch = whole.slice(low, STEP)
+                text = batch.column(2).cast(pa.large_binary())
+                _, ends, data = text.buffers()
+                ends = np.frombuffer(ends, np.int64)[text.offset : text.offset + len(text) + 1]
+                values = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+                ends = ends - ends[0]
+                inside = TERM[values]
+                start = inside.copy()
+                start[1:] &= ~inside[:-1]
+                cuts = ends[:-1][ends[:-1] < len(values)]
+                start[cuts] = inside[cuts]  # a text starts a term of its own
+                starts = np.flatnonzero(start)
+                if not len(starts):
+                    continue
+                places = np.append((np.cumsum(inside) - 1)[starts], np.count_nonzero(inside))
+                terms = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(values[inside])]).dictionary_encode()
+                wide = len(terms.dictionary)
+                each = np.unique((np.searchsorted(ends, starts, side="right") - 1) * wide + terms.indices.to_numpy())
+                of = pa.array(each // wide)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), terms.dictionary.take(pa.array(each % wide)).cast(pa.string())], ["pmid", "year", "term"])
+
+    return texts.mapInArrow(run, texts.select("pmid", "year", F.col("text").alias("term")).schema)
+
+
 def write_index(pubs: DataFrame, base: str, buckets: int = BUCKETS, mode: str = "overwrite") -> None:
     """Writes the postings of ``pubs`` (pmid, title, abstract, year); ``append`` adds those of new documents."""
-    rows = text_terms(pubs).where("term <> ''").withColumn("bucket", _bucket(buckets))
+    rows = index_terms(pubs).withColumn("bucket", _bucket(buckets))
     # a frequent term's postings are dealt over four tasks
     rows = rows.repartition("bucket", F.pmod(F.xxhash64("pmid"), F.lit(4))).sortWithinPartitions("bucket", "term", F.desc("year"), "pmid")
     rows.write.mode(mode).option("compression", "zstd").partitionBy("bucket").parquet(base)

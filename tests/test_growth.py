@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from claimgraph.functions import normalize as N
 from claimgraph.functions import text as T
 from claimgraph.operators import analytics as A
+from claimgraph.operators import corpus as C
 from claimgraph.operators import evidence as E
 from claimgraph.operators import extract as X
 from claimgraph.operators import novelty as H
 from claimgraph.plans import corpus_queries as CQ
 from claimgraph.plans import run_queries as RQ
 from claimgraph.plans import testviews as V
-from claimgraph.sources import io, store
+from claimgraph.sources import index, io, store
 from claimgraph.streaming import events as SE
 from conftest import DATA
 from test_graph_store import exact_betweenness
@@ -163,3 +164,13 @@ def test_tasks_that_make_pairs_distinct_grow_in_number(spark, monkeypatch):
     plan = p._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "HashAggregate" not in plan[plan.rindex("Exchange") :]
     assert nodes.count() == A.eigenvector_centrality(nodes, e, max_iter=2, tol=0).where("eigenvector > 0").count() == 50
+
+
+def test_index_terms_are_those_of_the_search(spark):
+    texts = [("A-b a-B", "Zürich 3x\n3X --"), (None, None), ("", ""), ("é", "x"), ("y", None), ("İ K", "ß-1"), ("x" * 5000, "end ")]
+    rows = [(str(k % 6), 2000 + k, *t) for k, t in enumerate(texts)] + [(None, None, "last", "first")]
+    pubs = spark.createDataFrame(rows, "pmid string, year int, title string, abstract string")
+    for d in (pubs.coalesce(1), pubs.repartition(3), pubs.limit(0), V.publications(spark, DATA)):
+        got, want = (Counter(map(tuple, x.collect())) for x in (index.index_terms(d), C.text_terms(d).where("term <> ''")))
+        assert got == want
+    assert "split" not in index.index_terms(pubs)._jdf.queryExecution().optimizedPlan().toString()
