@@ -35,6 +35,19 @@ def test_sample_size_after_a_word_of_any_script(spark, tmp_path):
     assert sql == {r.pmid: r.sample_size for r in CQ.quality_score(spark, str(tmp_path)).collect()}
 
 
+def test_quality_of_odd_texts_is_that_of_the_sql(spark, tmp_path):
+    """Blank texts, texts with words of a design, and letters of two code units before a sample size."""
+    texts = [None, "", " ", "\n", "in vitro, n = 44", "a cohort", "a review of a cell line", "single-cell N:12.", "\U0001d41an 34", "\U0001f600n 35", "n 36\U0001d41a", "n, 37\n"]
+    rows = [(k * 15 + j, t, "en", "web", 0) for k, t in enumerate(texts) for j in range(15)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    columns = "pmid, evidence_level, study_design, sample_size, confidence_score"
+    want = {r[0]: (*r[1:4], float(r[4])) for r in duck.sql(f"select {columns} from ({CQ.ORACLE['quality_score']})").fetchall()}
+    assert {r[0]: tuple(r[1:]) for r in CQ.quality_score(spark, str(tmp_path)).collect()} == want
+    assert {want[str(k * 15)][2] for k in range(len(texts))} == {None, 44, 12, 35, 37}
+
+
 def test_a_context_is_parsed_once(spark):
     rows = spark.createDataFrame([('{"tissue": {"status": "known"}, "zone": "a"}',)], "c string").select(N.structured_context("c").alias("x"))
     assert rows.first().x.errors == ["unknown context fields: zone", "tissue: known context values require value or identifier"]
