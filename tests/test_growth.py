@@ -16,6 +16,7 @@ from claimgraph.operators import evidence as E
 from claimgraph.operators import extract as X
 from claimgraph.operators import novelty as H
 from claimgraph.plans import corpus_queries as CQ
+from claimgraph.plans import graph_queries as GQ
 from claimgraph.plans import run_queries as RQ
 from claimgraph.plans import testviews as V
 from claimgraph.sources import index, io, store
@@ -187,3 +188,21 @@ def test_index_terms_are_those_of_the_search(spark):
         got, want = (Counter(map(tuple, x.collect())) for x in (index.index_terms(d), C.text_terms(d).where("term <> ''")))
         assert got == want
     assert "split" not in index.index_terms(pubs)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_loops_of_single_papers_count(spark, tmp_path):
+    """Loops are found over all pairs, not over those of two papers alone."""
+    spark.createDataFrame([(k,) for k in range(12)], "s_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    rng = random.Random(3)
+    ends = [(1, 2), (2, 1), (2, 3), (3, 1), (3, 1), (11, 2), (1, 11)] + [(rng.randrange(12), rng.randrange(12)) for _ in range(40)]
+    rows = [(k // 2, b, a, 1 + k % 2, "ARN"[k % 3], "F", 0.1) for k, (a, b) in enumerate(ends)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_discount double").withColumn("l_shipdate", F.lit("1995-01-01").cast("date"))
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck = duckdb.connect()
+    for t in ("supplier", "lineitem"):
+        duck.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    columns = "path, pmid_count, completeness, category, loop_id, complete, hops"
+    want = duck.sql(f"select {columns} from ({GQ.ORACLE['loops']})").fetchall()
+    got = [tuple(r) for r in GQ.loops(spark, str(tmp_path)).select(*columns.split(", ")).collect()]
+    assert sorted(got) == sorted(want)
+    assert {"N1>N2", "N1>N2>N3", "N1>N11>N2"} <= {r[0] for r in got} and {1, 2, 3} <= {r[1] for r in got}
