@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from functools import partial
 
 import duckdb
 import numpy as np
@@ -14,6 +15,7 @@ from claimgraph.operators import analytics as A
 from claimgraph.operators import corpus as C
 from claimgraph.operators import evidence as E
 from claimgraph.operators import extract as X
+from claimgraph.operators import held
 from claimgraph.operators import novelty as H
 from claimgraph.plans import corpus_queries as CQ
 from claimgraph.plans import graph_queries as GQ
@@ -206,3 +208,22 @@ def test_loops_of_single_papers_count(spark, tmp_path):
     got = [tuple(r) for r in GQ.loops(spark, str(tmp_path)).select(*columns.split(", ")).collect()]
     assert sorted(got) == sorted(want)
     assert {"N1>N2", "N1>N2>N3", "N1>N11>N2"} <= {r[0] for r in got} and {1, 2, 3} <= {r[1] for r in got}
+
+
+def test_betweenness_of_a_held_graph(spark, monkeypatch):
+    """Groups of pivots, blocks of neighbours, levels grown from either side; as in blocks of path counts and by brute force."""
+    monkeypatch.setattr(held, "betweenness", partial(held.betweenness, block=4, group=3))
+    rng = random.Random(4)
+    names = [f"n{k:02d}" for k in range(16)]
+    for many in (24, 90):
+        pairs = sorted({(rng.choice(names[:14]), rng.choice(names[2:])) for _ in range(many)} - {(n, n) for n in names})
+        nodes, edges = spark.createDataFrame([(n,) for n in names], "id string"), spark.createDataFrame(pairs, "source string, target string")
+        want = exact_betweenness(names, pairs)
+        for most in (len(pairs), 0):
+            got = A.betweenness(nodes, edges, block=4, wide=2, most=most)
+            got = {r.id: r.betweenness for r in got.collect()}
+            assert all(abs(got[n] - want[n]) < 1e-9 for n in names) and sum(want.values()) > 9
+    tasks = []
+    monkeypatch.setattr(A, "_path_products", lambda *x, **y: tasks.append(x))
+    A.betweenness(nodes, edges).count()
+    assert not tasks
