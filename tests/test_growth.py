@@ -227,3 +227,18 @@ def test_betweenness_of_a_held_graph(spark, monkeypatch):
     monkeypatch.setattr(A, "_path_products", lambda *x, **y: tasks.append(x))
     A.betweenness(nodes, edges).count()
     assert not tasks
+
+
+def test_loops_counted_where_they_are_found(spark, monkeypatch):
+    """Groups and blocks of few nodes, pairs of several papers, of shared ones and of none; as loops with all their evidence."""
+    monkeypatch.setattr(held, "short_loops", partial(held.short_loops, block=4, group=3))
+    rng = random.Random(6)
+    rows = [(f"n{rng.randrange(11)}", f"n{rng.randrange(11)}", rng.choice(["p1", "p2", "p3", "p4", None])) for _ in range(110)] + [("n1", "n2", None), ("n2", "n1", "p9"), ("x", "n1", "p1"), ("n1", "y", "p1")]
+    claims = spark.createDataFrame(rows, "source string, target string, pmid string")
+    columns = ["path", "length", "category", "completeness", "complete", "pmid_count", "number", "loop_id"]
+    rules = [("hub", [["n1", "n10"], ["n3"]])]
+    whole = A.counted_loops(claims, rules, most=0).select(columns).collect()
+    got = A.counted_loops(claims, rules).select(columns).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, whole)) and {r.length for r in got} == {2, 3}
+    assert len({r.completeness for r in got}) > 2 and len({r.pmid_count for r in got}) > 2
+    assert A.counted_loops(claims.where("source < target")).count() == A.counted_loops(claims.limit(0)).count() == 0
