@@ -242,3 +242,16 @@ def test_loops_counted_where_they_are_found(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(map(tuple, whole)) and {r.length for r in got} == {2, 3}
     assert len({r.completeness for r in got}) > 2 and len({r.pmid_count for r in got}) > 2
     assert A.counted_loops(claims.where("source < target")).count() == A.counted_loops(claims.limit(0)).count() == 0
+
+
+def test_blocks_of_ways_are_written_once(spark):
+    """Every block of a meets every block of c where it is read; dense and sparse blocks, light ways of the same ends."""
+    rng = random.Random(9)
+    for n, many, heavy in ((24, 400, 60), (90, 420, 0), (40, 300, 55)):
+        pairs = {(f"n{rng.randrange(n)}", f"n{int(n * rng.random() ** 1.5)}") for _ in range(many)} | {("x", "n1"), ("n0", "y")}
+        pairs = {(a, b) for a, b in pairs if a != b}
+        want = Counter((a, d) for a, b in pairs for c, d in pairs if b == c and a != d and (a, d) not in pairs)
+        got = A.untested_transitive(spark.createDataFrame(sorted(pairs), "source string, target string"), heavy=heavy, block=7)
+        assert {(r.a, r.c): r.ways for r in got.collect()} == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Generate" not in plan and "FlatMapCoGroups" not in plan
